@@ -9,6 +9,12 @@ from pyspark.sql import DataFrame, SparkSession
 from stratalens.llm.common import table
 
 
+def op1_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from stratalens.llm.simhash import digest
+
+    return digest(table(spark, sf_dir, "documents"))
+
+
 def op4_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     from stratalens.llm.secret_scan import secret_digest
 
@@ -16,7 +22,7 @@ def op4_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op4_secret_scan,)}
+    return {f.__name__: f for f in (op1_simhash_near_dedup, op4_secret_scan,)}
 
 
 def oracle_sql() -> dict[str, str]:
