@@ -9,6 +9,33 @@ from pyspark.sql import DataFrame, SparkSession
 from stratalens.llm.common import table
 
 
+OP7_SQL = r"""
+WITH parts AS (
+  SELECT page_id, regexp_extract(coalesce(url, ''), '^(?s:.*?)://((?s:.*))$', 1) AS rest FROM pages
+), split AS (
+  SELECT page_id,
+         translate(regexp_extract(rest, '^([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+         regexp_extract(rest, '^[^/?#]*((?:/[^?#]*)?)', 1) AS path
+  FROM parts
+), ruled AS (
+  SELECT *, '.' || host || path AS canon,
+         CASE WHEN ends_with('.' || host, '.example.net') AND starts_with(path, '/en/') THEN 'example.net/en/'
+              WHEN ends_with('.' || host, '.example.com') AND starts_with(path, '/de/') THEN 'example.com/de/'
+              WHEN ends_with('.' || host, '.org') AND starts_with(path, '/fr/') THEN 'org/fr/'
+              WHEN ends_with('.' || host, '.net') AND starts_with(path, '/') THEN 'net/' END AS rule
+  FROM split
+)
+SELECT page_id, host, path, rule,
+       CASE WHEN rule IN ('net/', 'example.com/de/') THEN 'block'
+            WHEN rule IS NOT NULL THEN 'allow'
+            WHEN canon LIKE '%/login%' OR canon LIKE '%/cart%' OR regexp_matches(canon, '^[^/]*\.ads\.')
+              OR regexp_matches(canon, '^[^/]*\.tracker\.') OR canon LIKE '%.exe' OR canon LIKE '%.zip'
+              OR canon LIKE '%/wp-admin/%' THEN 'block'
+            ELSE 'allow' END AS verdict
+FROM ruled
+"""
+
+
 def op1_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from stratalens.llm.simhash import digest
 
@@ -21,9 +48,15 @@ def op4_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_digest(table(spark, sf_dir, "documents"))
 
 
+def op7_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from stratalens.llm.url_filter import digest
+
+    return digest(table(spark, sf_dir, "pages"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_simhash_near_dedup, op4_secret_scan,)}
+    return {f.__name__: f for f in (op1_simhash_near_dedup, op4_secret_scan, op7_url_filter)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op7_url_filter": OP7_SQL}
