@@ -42,6 +42,12 @@ def op1_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return digest(table(spark, sf_dir, "documents"))
 
 
+def op3_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from stratalens.llm.mixing import digest
+
+    return digest(table(spark, sf_dir, "documents"))
+
+
 def op4_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     from stratalens.llm.secret_scan import secret_digest
 
@@ -55,7 +61,7 @@ def op7_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_simhash_near_dedup, op4_secret_scan, op7_url_filter)}
+    return {f.__name__: f for f in (op1_simhash_near_dedup, op3_source_mix, op4_secret_scan, op7_url_filter)}
 
 
 def oracle_sql() -> dict[str, str]:
