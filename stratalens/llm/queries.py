@@ -60,8 +60,14 @@ def op7_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return digest(table(spark, sf_dir, "pages"))
 
 
+def op10_private_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from stratalens.llm.pii import digest
+
+    return digest(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_simhash_near_dedup, op3_source_mix, op4_secret_scan, op7_url_filter)}
+    return {f.__name__: f for f in (op1_simhash_near_dedup, op3_source_mix, op4_secret_scan, op7_url_filter, op10_private_data)}
 
 
 def oracle_sql() -> dict[str, str]:

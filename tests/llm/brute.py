@@ -2,6 +2,9 @@
 
 import hashlib
 import re
+import sys
+
+sys.set_int_max_str_digits(0)
 
 
 def joined(spans):
