@@ -54,6 +54,12 @@ def op4_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_digest(table(spark, sf_dir, "documents"))
 
 
+def op5_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from stratalens.llm.packing import digest
+
+    return digest(table(spark, sf_dir, "documents"))
+
+
 def op7_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     from stratalens.llm.url_filter import digest
 
@@ -67,7 +73,7 @@ def op10_private_data(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_simhash_near_dedup, op3_source_mix, op4_secret_scan, op7_url_filter, op10_private_data)}
+    return {f.__name__: f for f in (op1_simhash_near_dedup, op3_source_mix, op4_secret_scan, op5_best_fit_packing, op7_url_filter, op10_private_data)}
 
 
 def oracle_sql() -> dict[str, str]:

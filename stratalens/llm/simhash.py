@@ -68,7 +68,9 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
             fps = np.array([fingerprint(t, width) for t in b["text"]], np.uint64).view(np.int64)
             yield pd.DataFrame({"id": b["id"], "fp": fps})
 
-    return docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).mapInPandas(run, "id long, fp long")
+    # ids pass through pandas as strings, which keep nulls and large numbers as they are
+    slim = docs.select(F.col(id_col).cast("string").alias("id"), F.col(text_col).alias("text"))
+    return slim.mapInPandas(run, "id string, fp long").withColumn("id", F.col("id").cast("long"))
 
 
 # --- Golay code ----------------------------------------------------------------------------------

@@ -152,8 +152,10 @@ def judge(
             )
 
     host, path = host_and_path(F.col(url_col))
-    slim = pages.select(F.col(id_col).cast("long").alias("id"), host.alias("host"), path.alias("path"))
-    return slim.mapInPandas(run, "id long, host string, path string, rule string, verdict string")
+    # ids pass through pandas as strings, which keep nulls and large numbers as they are
+    slim = pages.select(F.col(id_col).cast("string").alias("id"), host.alias("host"), path.alias("path"))
+    judged = slim.mapInPandas(run, "id string, host string, path string, rule string, verdict string")
+    return judged.withColumn("id", F.col("id").cast("long"))
 
 
 def digest(pages: DataFrame) -> DataFrame:

@@ -58,7 +58,7 @@ def test_keys_meet_every_pair_within_three_bits():
 def test_odd_texts(spark):
     base = " ".join(f"word{i}" for i in range(400))
     texts = [None, "", "  \n", "One", "one TWO", "ÀB c d e", base, base + " tail", base.replace("word7 ", "w7 "), "x " * 30_000, base, "y" * 100_000]
-    ids = [*range(10, 10 + len(texts) - 1), None]
+    ids = [*range(10, 10 + len(texts) - 2), 2**62 + 1, None]
     docs = spark.createDataFrame([(i, t, "z", 1) for i, t in zip(ids, texts)] * 2, "doc_id long, text string, fp string, component long")
     got = S.digest(docs).collect()
     want = [(i, plain(t)) for i, t in zip(ids, texts)]

@@ -42,6 +42,8 @@ def test_odd_urls(spark):
     urls = [None, "", "x", "http://", "http://net", "http://NET/", "http://a.Net/x://y", "ftp://EXAMPLE.net/en/", "http://example.net/en", "http://myexample.net/en/",
             "://org/fr/?a", "http://a.org?/fr/", "http://xorg/fr/", "http://é.ORG/fr/é", "http://a.com/x.net/", "http://a.example.com/de/x#y", "a\nb://c.net/\nd", "http://h/" + "x" * 50_000]
     pages = spark.createDataFrame([(i, u, "h", "r") for i, u in enumerate(urls)] * 2, "page_id long, url string, host string, rule string")
+    big = spark.createDataFrame([(None, "http://a.net/"), (2**62 + 1, "http://b.net/")], "page_id long, url string")
+    assert {r.page_id for r in U.digest(big).collect()} == {None, 2**62 + 1}
     got = U.digest(pages).collect()
     assert len(got) == 2 * len(urls)
     verdicts = {rule: v for v, rule in U.DOMAIN_RULES}
