@@ -42,6 +42,12 @@ def op1_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return digest(table(spark, sf_dir, "documents"))
 
 
+def op2_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from stratalens.llm.quality import scored
+
+    return scored(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op3_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     from stratalens.llm.mixing import digest
 
@@ -85,7 +91,7 @@ def op10_private_data(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_simhash_near_dedup, op3_source_mix, op4_secret_scan, op5_best_fit_packing, op7_url_filter, op8_document_fingerprints, op9_embedding_near_dedup, op10_private_data)}
+    return {f.__name__: f for f in (op1_simhash_near_dedup, op2_quality_classifier, op3_source_mix, op4_secret_scan, op5_best_fit_packing, op7_url_filter, op8_document_fingerprints, op9_embedding_near_dedup, op10_private_data)}
 
 
 def oracle_sql() -> dict[str, str]:
