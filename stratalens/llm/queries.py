@@ -66,6 +66,12 @@ def op5_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return digest(table(spark, sf_dir, "documents"))
 
 
+def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from stratalens.llm.line_dedup import digest
+
+    return digest(table(spark, sf_dir, "documents"))
+
+
 def op7_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     from stratalens.llm.url_filter import digest
 
@@ -91,7 +97,7 @@ def op10_private_data(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_simhash_near_dedup, op2_quality_classifier, op3_source_mix, op4_secret_scan, op5_best_fit_packing, op7_url_filter, op8_document_fingerprints, op9_embedding_near_dedup, op10_private_data)}
+    return {f.__name__: f for f in (op1_simhash_near_dedup, op2_quality_classifier, op3_source_mix, op4_secret_scan, op5_best_fit_packing, op6_line_dedup, op7_url_filter, op8_document_fingerprints, op9_embedding_near_dedup, op10_private_data)}
 
 
 def oracle_sql() -> dict[str, str]:
