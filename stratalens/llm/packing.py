@@ -1,6 +1,6 @@
 """Conflict-constrained best-fit packing of documents into bins of a fixed number of words.
 
-A document longer than a bin is cut: its full pieces are bins of their own, its rest is packed.  Two
+A document longer than a bin is cut: its full pieces fill bins of their own, its rest is packed.  Two
 pieces conflict if they are of the same duplicate cluster (equal texts up to case and white space), and
 a bin takes at most ``per_source`` pieces of one source.  Each piece goes to the tightest bin that
 holds it without a conflict: open bins are kept by residual, and each set of bins (of a residual, with
@@ -100,19 +100,14 @@ def pack(
     ``start`` counts words of the document, ``slot`` the pieces of the bin in order of placement, and
     ``residual`` is what the closed bin has left.
     """
-    every = pieces(docs, capacity, id_col, text_col, source_col)
-    full = F.col("words") == capacity
-    alone = every.where(full).select(
-        "doc_id", "piece", "start", "words", "source", "cluster",
-        F.concat_ws("-", F.lit("full"), F.hex("deal"), F.col("doc_id"), F.col("piece")).alias("bin"), F.lit(0).alias("slot"), F.lit(0).alias("residual"),
-    )
     # ids pass through pandas as strings, which keep nulls and large numbers as they are
-    loose = every.where(~full).withColumn("doc_id", F.col("doc_id").cast("string"))
+    every = pieces(docs, capacity, id_col, text_col, source_col)
+    kind = dict(every.dtypes)["doc_id"]
     shards = max(1, -(-docs.count() // shard))
-    loose = loose.withColumn("shard", F.pmod("deal", F.lit(shards)).cast("int"))
+    dealt = every.withColumn("doc_id", F.col("doc_id").cast("string")).withColumn("shard", F.pmod(F.xxhash64("deal", "piece"), F.lit(shards)).cast("int"))
 
     def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["words", "deal", "doc_id"], ascending=[False, True, True], kind="stable").reset_index(drop=True)
+        pdf = pdf.sort_values(["words", "deal", "doc_id", "piece"], ascending=[False, True, True, True], kind="stable").reset_index(drop=True)
         bins = Bins(capacity, per_source)
         sources = pdf["source"].where(pdf["source"].notna(), None)
         which = [bins.place(int(w), c, s) for w, c, s in zip(pdf["words"], pdf["cluster"], sources)]
@@ -122,8 +117,7 @@ def pack(
         return pdf[["doc_id", "piece", "start", "words", "source", "cluster", "bin", "slot", "residual"]]
 
     schema = "doc_id string, piece long, start long, words long, source string, cluster long, bin string, slot int, residual int"
-    packed = loose.groupBy("shard").applyInPandas(run, schema)
-    return packed.withColumn("doc_id", F.col("doc_id").cast(dict(every.dtypes)["doc_id"])).unionByName(alone)
+    return dealt.groupBy("shard").applyInPandas(run, schema).withColumn("doc_id", F.col("doc_id").cast(kind))
 
 
 def assembled(packed: DataFrame, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", joint: str = "\n\n") -> DataFrame:

@@ -96,8 +96,14 @@ def op10_private_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     return digest(table(spark, sf_dir, "documents"))
 
 
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from corpus_pipeline import run
+
+    return run(spark, sf_dir)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_simhash_near_dedup, op2_quality_classifier, op3_source_mix, op4_secret_scan, op5_best_fit_packing, op6_line_dedup, op7_url_filter, op8_document_fingerprints, op9_embedding_near_dedup, op10_private_data)}
+    return {f.__name__: f for f in (op1_simhash_near_dedup, op2_quality_classifier, op3_source_mix, op4_secret_scan, op5_best_fit_packing, op6_line_dedup, op7_url_filter, op8_document_fingerprints, op9_embedding_near_dedup, op10_private_data, pipeline)}
 
 
 def oracle_sql() -> dict[str, str]:

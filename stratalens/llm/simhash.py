@@ -171,6 +171,19 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return rows.join(named, "fp", "left").select("id", "fp", "component")
 
 
+def representatives(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One row of each group of near-duplicates, that of the smallest id, with its columns as they are."""
+    name = F.xxhash64(F.lit("row"), *[F.col(f"`{c}`") for c in docs.columns])
+    slim = docs.select(name.alias("id"), F.col(text_col).alias("text"), F.col(id_col).alias("own"))
+    groups = near_duplicates(slim, "id", "text").select("id", "component").distinct()
+    order = F.struct(F.col("own").isNull(), F.col("own"), F.col("id").alias("id"))
+    first = groups.join(slim.select("id", "own"), "id").groupBy("component").agg(F.min(order).alias("first"))
+    chosen = cut(first.select(F.col("first.id").alias("name")))
+    whole = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc"), name.alias("name"))
+    # rows that repeat whole have one name: one of them stays
+    return whole.join(chosen, "name").dropDuplicates(["name"]).select("doc.*")
+
+
 def digest(docs: DataFrame) -> DataFrame:
     """The contract's columns for each row of ``docs``."""
     return near_duplicates(docs).select(

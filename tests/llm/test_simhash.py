@@ -84,3 +84,13 @@ def test_whole_table(spark):
     got = {(r.doc_id, r.fingerprint, r.component_id) for r in op1_simhash_near_dedup(spark, SF).collect()}
     assert got == {(d, f"{f:016x}", comp[f]) for d, f in fps}
     assert len({c for _, _, c in got}) < len(got)
+
+
+def test_representatives(spark):
+    base = " ".join(f"word{i}" for i in range(400))
+    rows = [(5, base, "a"), (3, base + " tail", "b"), (3, base + " tail", "b"), (9, "other words here", "c"), (None, base, "d"), (2, None, "e"), (1, "", "f")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, name string")
+    got = S.representatives(docs)
+    assert got.columns == docs.columns
+    assert sorted(r.doc_id for r in got.collect()) == [1, 3, 9]
+    assert S.representatives(docs.where("false")).count() == 0
