@@ -1,0 +1 @@
+"""No streaming operators: the engine covers batch retrieval; increments go through the embedding cache and the upsert."""
