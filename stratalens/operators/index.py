@@ -9,9 +9,7 @@ from pyspark.sql import functions as F
 
 from stratalens.functions.hashing import point_id
 from stratalens.operators.embedding import last_wins, unit, usable
-from stratalens.schemas import PAYLOAD
-
-KEY = ("document_family", "release_label", "source_kind")
+from stratalens.schemas import PAYLOAD, POINT
 
 
 def points(records: DataFrame, strict: bool = True) -> DataFrame:
@@ -63,9 +61,7 @@ class Collection:
     def ensure(self) -> None:
         """Create the collection if it is absent; an existing one is left as it is, whatever its size."""
         if not self.exists():
-            kinds = ", ".join(f"{c} {'int' if c == 'unit_index' else 'string'}" for c in PAYLOAD)
-            empty = self.spark.createDataFrame([], f"point_id string, vector array<double>, unit_vector array<double>, payload struct<{kinds.replace(' ', ':').replace(',:', ',')}>")
-            self._write(empty)
+            self._write(self.spark.createDataFrame([], POINT))
 
     def _write(self, rows: DataFrame) -> None:
         generation = uuid.uuid4().hex
@@ -89,9 +85,7 @@ class Collection:
         """The points; partition filters are pruned."""
         if not self.exists():
             raise RuntimeError(f"Collection does not exist: {self.name}")
-        kinds = ", ".join(f"{c}:{'int' if c == 'unit_index' else 'string'}" for c in PAYLOAD)
-        schema = f"point_id string, vector array<double>, unit_vector array<double>, payload struct<{kinds}>, _release string, _kind string"
-        rows = self.spark.read.schema(schema).parquet(f"{self.path}/{self.name}/{self._current()}")
+        rows = self.spark.read.schema(f"{POINT}, _release string, _kind string").parquet(f"{self.path}/{self.name}/{self._current()}")
         if release_label is not None:
             rows = rows.where(F.col("_release") == release_label)
         if source_kind is not None:

@@ -16,6 +16,10 @@ PAYLOAD = (
     "unit_id", "unit_index", "source_kind", "document_family", "release_label", "content_hash", "artifact_version", "cache_key",
     "embedding_model", "embedding_status", "text",
 )
+POINT = (
+    "point_id string, vector array<double>, unit_vector array<double>, payload struct<"
+    + ", ".join(f"{c}:{'int' if c == 'unit_index' else 'string'}" for c in PAYLOAD) + ">"
+)
 EVAL_CASE = (
     "case_id string, query string, filters struct<document_family:string,release_label:string,source_kind:string>, "
     "expectation struct<expected_to_pass:boolean,min_results:int,expected_release_label:string,expected_source_kind:string,"
