@@ -1,7 +1,7 @@
 import math
 
 import numpy as np
-from conftest import SF
+from brute import SF
 from stratalens.llm import collisions as C
 from stratalens.llm.queries import op9_embedding_near_dedup
 

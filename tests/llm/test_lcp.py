@@ -2,7 +2,7 @@ import hashlib
 import random
 
 import numpy as np
-from conftest import SF
+from brute import SF
 from stratalens.llm import lcp as L
 from stratalens.llm.queries import op8_document_fingerprints
 

@@ -1,6 +1,6 @@
 import random
 
-from conftest import SF
+from brute import SF
 from stratalens.llm import line_dedup as L
 from stratalens.llm.queries import op6_line_dedup
 

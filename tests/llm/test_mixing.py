@@ -2,7 +2,7 @@ import re
 from collections import Counter
 
 import pytest
-from conftest import SF
+from brute import SF
 from stratalens.llm import mixing as M
 from stratalens.llm.queries import op3_source_mix
 

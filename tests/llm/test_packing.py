@@ -2,7 +2,7 @@ import random
 import re
 from collections import Counter, defaultdict
 
-from conftest import SF
+from brute import SF
 from stratalens.llm import packing as P
 from stratalens.llm.queries import op5_best_fit_packing
 

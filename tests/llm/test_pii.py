@@ -1,5 +1,4 @@
-from brute import digest, joined, private
-from conftest import SF
+from brute import SF, digest, joined, private
 from stratalens.llm import pii as P
 from stratalens.llm.queries import op10_private_data
 

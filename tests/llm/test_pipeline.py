@@ -1,7 +1,7 @@
 from collections import Counter
 
 import corpus_pipeline as C
-from conftest import SF
+from brute import SF
 from stratalens.llm import simhash
 from test_line_dedup import brute
 from test_packing import words

@@ -1,5 +1,5 @@
 import numpy as np
-from conftest import SF
+from brute import SF
 from stratalens.llm import quality as Q
 from stratalens.llm.queries import op2_quality_classifier
 

@@ -1,5 +1,4 @@
-from brute import digest, joined, secrets
-from conftest import SF
+from brute import SF, digest, joined, secrets
 from stratalens.llm import secret_scan as S
 from stratalens.llm.queries import op4_secret_scan
 

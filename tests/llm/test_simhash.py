@@ -2,7 +2,7 @@ import re
 
 import numpy as np
 import xxhash
-from conftest import SF
+from brute import SF
 from stratalens.llm import simhash as S
 from stratalens.llm.queries import op1_simhash_near_dedup
 

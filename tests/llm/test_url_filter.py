@@ -1,8 +1,8 @@
 import random
 import re
 
-from conftest import SF
-from oracle import same
+from brute import SF
+from llm_oracle import same
 from stratalens.llm import url_filter as U
 from stratalens.llm.queries import oracle_sql, op7_url_filter
 
