@@ -41,14 +41,14 @@ class Generator:
 # The contract's kinds in its order, then the kinds that the method adds.  Patterns are
 # written so that matching takes linear time, with the same leftmost matches as the contract's.
 GENERATORS = (
-    Generator("email", r"(?:(?<![A-Za-z0-9._%+-])|\G)[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)+", "@"),
+    Generator("email", r"(?:(?<![A-Za-z0-9._%+-])|\G)[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++", "@"),
     Generator("ip", r"(?<![0-9])[0-9]++(?:\.[0-9]++){3}", "."),
     Generator("card", r"[0-9](?:[\x20-]?[0-9]){11,}+"),
     Generator("phone", r"\+[0-9][\x20().0-9-]+[0-9]", "+"),
     Generator("local_phone", r"(?<![0-9A-Za-z+.-])\(?[0-9]{3}\)?[\x20.-][0-9]{3}[\x20.-][0-9]{4}(?![0-9A-Za-z-])"),
     Generator("national_id", r"(?<![0-9A-Za-z-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9A-Za-z-])", "-"),
     Generator("iban", r"(?<![0-9A-Za-z])[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]{4}){3,7}(?:\x20?[A-Z0-9]{1,3})?(?![0-9A-Za-z])"),
-    Generator("hidden_email", r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{1,64}\x20?[\[(]at[\])]\x20?[A-Za-z0-9-]{1,63}(?:(?:\.|\x20?[\[(]dot[\])]\x20?)[A-Za-z0-9-]{1,63})+", "at"),
+    Generator("hidden_email", r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{1,64}\x20?[\[(]at[\])]\x20?[A-Za-z0-9-]{1,63}(?:(?:\.|\x20?[\[(]dot[\])]\x20?)[A-Za-z0-9-]{1,63})++", "at"),
 )
 BASE = 4
 KINDS = tuple(g.kind for g in GENERATORS)

@@ -5,7 +5,7 @@ from stratalens.llm.queries import op10_private_data
 ODD = [
     None, "", "a.b+c@d-e.f.g@h.i", "a@b.c+d@e.f x@y", "@" * 3000, "a" * 60_000, "1.2.3.4.5 999.1.1.1 007.0.0.0255 1.2.3.00000000255", "+1 (555) 123-4567 +12 +123456789012345678 +1",
     "4539 1488 0343 6467 4539148803436467 4539-1488-0343-6468 12", "9" * 40_000, "1-" * 30_000, "é 4539148803436467é a@b.cé", "+1.2.3.4.5.6.7.8.9.0", "1.1.1.1" + "0" * 50_000,
-    "0000 0000 0000", " ".join(f"u{i}@h.com" for i in range(1300)),
+    "0000 0000 0000", "a@b" + ".c" * 20_000 + ".", "a@b..c @b.c a@-.-", " ".join(f"u{i}@h.com" for i in range(1300)),
 ]
 
 
