@@ -10,9 +10,8 @@ position and bitmap filters drop most pairs that meet; the rest are verified on
 A line is removed if a line before it, kept or not, has similarity ``LEAST`` or more: all occurrences
 of a class but its first, and all of a class whose first occurrence has an earlier match.
 
-Where a word's list is long because lines are alike, the first ``FIRST`` earlier candidates of each
-class decide nearly all; classes that they leave undecided are compared with the whole list
-afterwards.  Lists longer than ``HOT`` are cut into blocks by hash, each two blocks a group of their own.
+Where a word's list is long because lines are alike, the earliest candidate of each class decides
+nearly all; classes that it leaves undecided are compared with the whole list afterwards.  Lists longer than ``HOT`` are cut into blocks by hash, each two blocks a group of their own.
 
 Defined cases: null text has no lines; a line without words is never removed and matches nothing; null
 ids come last in the order; rows that repeat whole (id and text) are one row and fare alike; the empty
@@ -25,16 +24,18 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from stratalens.llm.common import cut
+from stratalens.llm.common import cut, stored, tidy
 
 #: Similarity as a fraction of small integers.
 LEAST = (4, 5)
-#: Counters of the frequency sketch, bits of the filter of lines to verify, and the limits above.
-SKETCH, FILTER, FIRST, HOT = 1 << 18, 1 << 26, 4, 8192
+#: Counters of the frequency sketch, bits of the filter of lines to verify, longest list that is not cut,
+#: 64-bit words of the bitmaps for verification.
+SKETCH, FILTER, HOT, SIGNATURE = 1 << 18, 1 << 26, 8192, 8
 #: Documents tokenised at a time.
 STEP = 256
 
@@ -66,21 +67,21 @@ def _words(texts: list) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]
     return hashes, np.repeat(np.arange(len(sizes)), sizes), np.array(owner, np.int64), np.array(number, np.int64)
 
 
-def _counted(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     counts = np.zeros(SKETCH, np.int64)
     for b in batches:
-        texts = b["text"].tolist()
+        texts = b.column("text").to_pylist()
         for at in range(0, len(texts), STEP):
             hashes, *_ = _words(texts[at : at + STEP])
             counts += np.bincount((hashes % _U(SKETCH)).astype(np.int64), minlength=SKETCH)
     own = np.flatnonzero(counts)
-    yield pd.DataFrame({"slot": own, "n": counts[own]})
+    yield pa.RecordBatch.from_arrays([pa.array(own), pa.array(counts[own])], names=["slot", "n"])
 
 
 def sketch(docs: DataFrame) -> np.ndarray:
     """How often the words of each of SKETCH hash slots occur in all lines."""
     out = np.zeros(SKETCH, np.int64)
-    for r in docs.select("text").mapInPandas(_counted, "slot long, n long").groupBy("slot").agg(F.sum("n").alias("n")).collect():
+    for r in docs.select("text").mapInArrow(_counted, "slot long, n long").groupBy("slot").agg(F.sum("n").alias("n")).collect():
         out[r.slot] = r.n
     return out
 
@@ -90,39 +91,58 @@ def needed(n: np.ndarray) -> np.ndarray:
     return (LEAST[0] * n + LEAST[1] - 1) // LEAST[1]
 
 
-def _lines(rarity: np.ndarray):
-    # equal frequency classes are enough to put rare words first
-    rank = np.minimum(rarity, 2**31 - 1).astype(np.int32)
+def _ordered(h: np.ndarray, rank: np.ndarray, line: np.ndarray) -> np.ndarray:
+    """Order by line, rank, hash.  Packed in one key of 64 bits where that tells all words apart."""
+    if len(line) and line[-1] < 1 << 18:
+        key = (line.astype(np.uint64) << _U(46)) | (rank << _U(36)) | (h >> _U(28))
+        order = np.argsort(key)
+        k, own = key[order], h[order]
+        if not ((k[1:] == k[:-1]) & (own[1:] != own[:-1])).any():
+            return order
+    return np.lexsort((h, rank, line))
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+
+def _lines(rarity: np.ndarray, hot: int):
+    # 1024 classes of frequency, finer for rare words, are enough to put rare words first
+    rank = np.minimum(np.log2(rarity + 1.0) * 24, 1023).astype(np.uint64)
+    warm = rarity > hot
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            texts = b["text"].tolist()
-            o, k = b["o"].to_numpy(np.int64), b["k"].to_numpy(np.int64)
+            texts = b.column("text").to_pylist()
+            o, k = (b.column(c).to_numpy(zero_copy_only=False) for c in ("o", "k"))
             for at in range(0, len(texts), STEP):
                 h, line, owner, number = _words(texts[at : at + STEP])
                 if not len(h):
                     continue
-                order = np.lexsort((h, rank[(h % _U(SKETCH)).astype(np.int64)], line))
+                order = _ordered(h, rank[(h % _U(SKETCH)).astype(np.int64)], line)
                 h, line = h[order], line[order]
                 new = np.concatenate(([True], (h[1:] != h[:-1]) | (line[1:] != line[:-1])))
                 h, line = h[new], line[new]
                 begin = np.flatnonzero(np.concatenate(([True], line[1:] != line[:-1])))
                 own = line[begin]
                 n = np.diff(begin, append=len(h))
-                c = _mix(np.add.reduceat(_mix(h, 1), begin) + n.astype(np.uint64))
-                c2 = np.add.reduceat(_mix(h, 2), begin)
+                c, c2 = _named(h, begin, n)
                 bits = np.bitwise_xor.reduceat(_U(1) << (h >> _U(58)), begin)
                 p = n - needed(n) + 1
                 place = np.arange(len(h)) - np.repeat(begin, n)
-                head = h[place < np.repeat(p, n)].view(np.int64)
-                yield pd.DataFrame({
-                    "o": o[at + owner[own]], "k": k[at + owner[own]], "line": number[own], "c": c.view(np.int64), "c2": c2.view(np.int64),
-                    "n": n, "bits": bits.view(np.int64), "head": pd.Series(np.split(head, np.cumsum(p)[:-1]), dtype=object),
-                })
+                head = h[place < np.repeat(p, n)]
+                hottest = np.add.reduceat(warm[(head % _U(SKETCH)).astype(np.int64)].astype(np.int64), np.cumsum(p) - p) > 0
+                cols = (o[at + owner[own]], k[at + owner[own]], number[own], c.view(np.int64), c2.view(np.int64), n, bits.view(np.int64))
+                heads = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(p))), pa.int32()), pa.array(head.astype(np.uint32).view(np.int32)))
+                yield pa.RecordBatch.from_arrays([*[pa.array(x, pa.int64()) for x in cols], pa.array(hottest), heads], names=_LINE)
 
     return run
 
 
+_LINE = ["o", "k", "line", "c", "c2", "n", "bits", "warm", "head"]
+
+
+def _named(h: np.ndarray, begin: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Two 64-bit names of each set of word hashes, whatever their order."""
+    return _mix(np.add.reduceat(_mix(h, 1), begin) + n.astype(np.uint64)), np.add.reduceat(_mix(h, 2), begin)
+
+
 def keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """(o, k, text): the order by id, nulls last, and a hash that names the row."""
     text = F.col(text_col)
@@ -141,60 +161,64 @@ def passes(n1, at1, bits1, n2, at2, bits2) -> np.ndarray:
     return (LEAST[1] * np.minimum(n1, n2) >= LEAST[0] * np.maximum(n1, n2)) & (bound >= least) & ((n1 + n2 - apart) // 2 >= least)
 
 
-def _list_pairs(n: np.ndarray, at: np.ndarray, bits: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Candidates (later, earlier) of lists of one word each, earliest FIRST for each later row, and the
-    rows that may have more.  ``first`` is the place where each row's list starts; lists are in order."""
+def _list_pairs(c: np.ndarray, n: np.ndarray, at: np.ndarray, bits: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The earliest candidate of each row of lists of one word each: (row, candidate, whether rows between
+    them are left out).  ``first`` is the place where each row's list starts; lists are in order."""
     left = np.arange(len(n))
-    seen = np.zeros(len(n), np.int64)
-    later, earlier = [], []
+    later, earlier = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
     step = 0
-    more = np.zeros(len(n), bool)
-    while True:
+    while len(left):
         x = first[left] + step
-        ok = x < left
-        left, x = left[ok], x[ok]
-        if not len(left):
-            break
-        hit = passes(n[left], at[left], bits[left], n[x], at[x], bits[x])
+        left, x = left[x < left], x[x < left]
+        # two words of a class may share a list
+        hit = (c[left] != c[x]) & passes(n[left], at[left], bits[left], n[x], at[x], bits[x])
         later.append(left[hit])
         earlier.append(x[hit])
-        seen[left[hit]] += 1
-        full = seen[left] >= FIRST
-        more[left[full & (x + 1 < left)]] = True
-        left = left[~full]
+        left = left[~hit]
         step += 1
-    none = np.zeros(0, np.int64)
-    return np.concatenate([none, *later]), np.concatenate([none, *earlier]), np.flatnonzero(more)
+    y, x = np.concatenate(later), np.concatenate(earlier)
+    return y, x, x + 1 < y
 
 
 _POSTED = ["o", "line", "c", "n", "bits"]
-_FOUND = "y long, yo long, yl long, x long, xo long, xl long, token long, more boolean"
+_SORTED = ["part", "token", "at", *_POSTED]
+_FOUND = ["y", "yo", "yl", "x", "xo", "xl", "token", "more"]
+#: Posting rows compared at a time.
+GATHER = 1 << 17
 
 
-def _candidates(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+def _candidates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rows come sorted by list, then order; a list may span batches."""
-    held = None
+    held, size = [], 0
     for b in batches:
-        b = b if held is None else pd.concat((held, b), ignore_index=True)
-        if not len(b):
+        held.append({c: b.column(c).to_numpy(zero_copy_only=False) for c in _SORTED})
+        size += b.num_rows
+        if size < GATHER:
             continue
-        group, token = b["part"].to_numpy(), b["token"].to_numpy()
-        start = np.flatnonzero(np.concatenate(([True], (group[1:] != group[:-1]) | (token[1:] != token[:-1]))))
-        held = b.iloc[start[-1] :]
-        if start[-1]:
-            yield _emitted(b.iloc[: start[-1]], start[:-1])
-    if held is not None and len(held):
-        yield _emitted(held, np.array([0]))
+        col = {c: np.concatenate([x[c] for x in held]) for c in _SORTED}
+        start = _starts(col)
+        yield _emitted({c: v[: start[-1]] for c, v in col.items()})
+        held = [{c: v[start[-1] :] for c, v in col.items()}]
+        size = len(held[0]["token"])
+    if size:
+        yield _emitted({c: np.concatenate([x[c] for x in held]) for c in _SORTED})
+
 
+def _starts(col: dict[str, np.ndarray]) -> np.ndarray:
+    part, token = col["part"], col["token"]
+    return np.flatnonzero(np.concatenate(([True], (part[1:] != part[:-1]) | (token[1:] != token[:-1])))) if len(token) else np.zeros(0, np.int64)
 
-def _emitted(b: pd.DataFrame, start: np.ndarray) -> pd.DataFrame:
-    first = np.repeat(start, np.diff(start, append=len(b)))
-    col = {c: b[c].to_numpy() for c in ("token", "at", *_POSTED)}
-    y, x, more = _list_pairs(col["n"], col["at"], col["bits"], first)
-    named = lambda i, c, o, k: {c: col["c"][i], o: col["o"][i], k: col["line"][i]}
-    pairs = pd.DataFrame({**named(y, "y", "yo", "yl"), **named(x, "x", "xo", "xl"), "token": col["token"][y], "more": False})
-    rest = pd.DataFrame({**named(more, "y", "yo", "yl"), **named(more, "x", "xo", "xl"), "token": col["token"][more], "more": True})
-    return pd.concat((pairs, rest), ignore_index=True)
+
+def _emitted(col: dict[str, np.ndarray]) -> pa.RecordBatch:
+    start = _starts(col)
+    held = np.diff(start, append=len(col["token"]))
+    # most lists have one row, which meets none
+    several = np.repeat(held > 1, held)
+    col = {c: v[several] for c, v in col.items()}
+    held = held[held > 1]
+    y, x, more = _list_pairs(col["c"], col["n"], col["at"], col["bits"], np.repeat(np.cumsum(held) - held, held))
+    cols = [col[c][i] for i in (y, x) for c in ("c", "o", "line")]
+    return pa.RecordBatch.from_arrays([*[pa.array(v, pa.int64()) for v in cols], pa.array(col["token"][y], pa.int32()), pa.array(more)], names=_FOUND)
 
 
 def postings(classes: DataFrame) -> DataFrame:
@@ -202,9 +226,10 @@ def postings(classes: DataFrame) -> DataFrame:
 
 
 def candidates(classes: DataFrame, hot: int = HOT) -> DataFrame:
-    """Candidate pairs of classes, later and earlier, by shared prefix words; see ``_FOUND``."""
+    """Of each class and prefix word, the earliest candidate, and whether there may be more (``more``)."""
     posted = postings(classes)
-    sizes = cut(posted.groupBy("token").agg(F.count("*").alias("held")).where(F.col("held") > hot))
+    # a list is no longer than its words' counter, so only classes with such a word are counted
+    sizes = cut(postings(classes.where("warm")).groupBy("token").agg(F.count("*").alias("held")).where(F.col("held") > hot))
     if sizes.limit(1).count():
         # block pairs (i, j) of hot lists: each row goes to every pair that has its block
         blocks = F.ceil(F.col("held") / hot).cast("int")
@@ -215,7 +240,7 @@ def candidates(classes: DataFrame, hot: int = HOT) -> DataFrame:
     else:
         posted = posted.withColumn("part", F.lit(0))
     ready = posted.repartition("token", "part").sortWithinPartitions("part", "token", "o", "line", "c")
-    return ready.mapInPandas(_candidates, _FOUND)
+    return ready.withColumn("part", F.col("part").cast("long")).mapInArrow(_candidates, "y long, yo long, yl long, x long, xo long, xl long, token int, more boolean")
 
 
 def _slot(o: np.ndarray, line: np.ndarray) -> np.ndarray:
@@ -241,44 +266,79 @@ def wanted(places: DataFrame) -> np.ndarray:
 
 
 def sets(rows: DataFrame, places: DataFrame) -> DataFrame:
-    """(c, words): the whole word sets of the lines at ``places`` (and of some that share their filter bit)."""
+    """(c, n, sig, words): the whole word sets, and their parity bitmaps of 64 * SIGNATURE bits, of the lines at ``places`` (and of some that share their filter bit)."""
     sc = rows.sparkSession.sparkContext
     bits = sc.broadcast(wanted(places))
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            picked = []
-            for text, o in zip(b["text"], b["o"].to_numpy(np.int64)):
-                if text is None:
+            texts, o = b.column("text").to_pylist(), b.column("o").to_numpy(zero_copy_only=False)
+            for at in range(0, len(texts), STEP):
+                lines, owner, number = [], [], []
+                for d, text in enumerate(texts[at : at + STEP]):
+                    if text is not None:
+                        own = text.split("\n")
+                        lines += own
+                        owner.append(np.full(len(own), o[at + d]))
+                        number.append(np.arange(len(own)))
+                if not lines:
+                    continue
+                s = _slot(np.concatenate(owner), np.concatenate(number))
+                picked = np.flatnonzero(bits.value[s >> 3] >> (s & 7).astype(np.uint8) & 1)
+                h, line, *_ = _words([lines[i] for i in picked])
+                if not len(h):
                     continue
-                lines = text.split("\n")
-                s = _slot(np.full(len(lines), o), np.arange(len(lines)))
-                picked += [lines[i] for i in np.flatnonzero(bits.value[s >> 3] >> (s & 7).astype(np.uint8) & 1)]
-            cs, found = [], []
-            for line in picked:
-                h = np.unique(np.array([xxhash.xxh64_intdigest(w) for w in line.encode("utf-8", "surrogatepass").split()], np.uint64))
-                if len(h):
-                    cs.append(int(_mix(np.array([_mix(h, 1).sum(dtype=np.uint64) + _U(len(h))], np.uint64)).view(np.int64)[0]))
-                    found.append(h.view(np.int64))
-            yield pd.DataFrame({"c": np.array(cs, np.int64), "words": pd.Series(found, dtype=object)})
+                order = np.lexsort((h, line))
+                h, line = h[order], line[order]
+                new = np.concatenate(([True], (h[1:] != h[:-1]) | (line[1:] != line[:-1])))
+                h, line = h[new], line[new]
+                begin = np.flatnonzero(np.concatenate(([True], line[1:] != line[:-1])))
+                n = np.diff(begin, append=len(h))
+                words = pa.ListArray.from_arrays(pa.array(np.append(begin, len(h)), pa.int32()), pa.array(h.view(np.int64)))
+                wide = np.zeros((len(begin), SIGNATURE), np.uint64)
+                np.bitwise_xor.at(wide, (np.repeat(np.arange(len(begin)), n), (h >> _U(8)) % _U(SIGNATURE)), _U(1) << (h & _U(63)))
+                sigs = pa.ListArray.from_arrays(pa.array(np.arange(len(begin) + 1) * SIGNATURE, pa.int32()), pa.array(wide.ravel().view(np.int64)))
+                yield pa.RecordBatch.from_arrays([pa.array(_named(h, begin, n)[0].view(np.int64)), pa.array(n, pa.int64()), sigs, words], names=["c", "n", "sig", "words"])
 
-    return rows.select("o", "text").mapInPandas(run, "c long, words array<long>")
+    return rows.select("o", "text").mapInArrow(run, "c long, n long, sig array<long>, words array<long>")
 
 
 def verified(pairs: DataFrame, rows: DataFrame) -> DataFrame:
-    """The distinct pairs (y, x) whose whole sets are similar."""
-    pairs = cut(pairs.select("y", "yo", "yl", "x", "xo", "xl").distinct())
+    """Those of the distinct ``pairs`` whose whole sets are similar, as (y, x).
+
+    Wide bitmaps go first: two sets share at most half of what their sizes exceed their bitmaps'
+    difference by.  That leaves few pairs that are not similar, so few sets are moved in vain.
+    """
+    pairs = cut(pairs.select("y", "yo", "yl", "x", "xo", "xl"))
     places = pairs.select(F.col("yo").alias("o"), F.col("yl").alias("line")).unionByName(pairs.select(F.col("xo").alias("o"), F.col("xl").alias("line")))
-    have = cut(sets(rows, places).dropDuplicates(["c"]))
-    both = pairs.select("y", "x").join(have.select(F.col("c").alias("y"), F.col("words").alias("a")), "y").join(have.select(F.col("c").alias("x"), F.col("words").alias("b")), "x")
-    common = F.size(F.array_intersect("a", "b"))
-    return both.where(common * (LEAST[0] + LEAST[1]) >= LEAST[0] * (F.size("a") + F.size("b"))).select("y", "x")
+    have = stored(sets(rows, places))
+    side = lambda k, *cols: have.select(F.col("c").alias(k), *[F.col(c).alias(f"{k}_{c}") for c in cols])
+    slim = pairs.select("y", "x").join(side("y", "n", "sig"), "y").join(side("x", "n", "sig"), "x")
+    apart = F.aggregate(F.zip_with("y_sig", "x_sig", lambda a, b: F.bit_count(a.bitwiseXOR(b))), F.lit(0), lambda t, d: t + d)
+    total = F.col("y_n") + F.col("x_n")
+    close = cut(slim.where(F.floor((total - apart) / 2) * (LEAST[0] + LEAST[1]) >= total * LEAST[0]).select("y", "x").distinct())
+    need = lambda k: side(k, "words").join(close.select(k).distinct(), k, "left_semi")
+    both = close.join(need("y"), "y").join(need("x"), "x")
+    common = F.size(F.array_intersect("y_words", "x_words"))
+    out = cut(both.where(common * (LEAST[0] + LEAST[1]) >= LEAST[0] * (F.size("y_words") + F.size("x_words"))).select("y", "x").distinct())
+    tidy(rows.sparkSession)
+    return out
 
 
 def later(classes: DataFrame, rows: DataFrame, hot: int = HOT) -> DataFrame:
-    """(c) of the classes whose first occurrence has an earlier match."""
-    found = cut(candidates(classes, hot))
-    gone = cut(verified(found.where("NOT more"), rows).select(F.col("y").alias("c")).distinct())
+    """(c) of the classes whose first occurrence has an earlier match.
+
+    The earliest candidate of each class is verified first; that decides most.  Those of its other
+    words are verified for the classes left, and then, for those still left, all that was left out.
+    """
+    found = stored(candidates(classes, hot))
+    tidy(rows.sparkSession)
+    pairs = found.select("y", "yo", "yl", "x", "xo", "xl").distinct()
+    best = pairs.groupBy("y").agg(F.min(F.struct("xo", "xl", "x", "yo", "yl")).alias("b")).select("y", "b.yo", "b.yl", "b.x", "b.xo", "b.xl")
+    gone = cut(verified(best, rows).select(F.col("y").alias("c")))
+    rest = cut(pairs.join(gone.select(F.col("c").alias("y")), "y", "left_anti").join(best.select("y", "x"), ["y", "x"], "left_anti"))
+    if rest.limit(1).count():
+        gone = cut(gone.unionByName(verified(rest, rows).select(F.col("y").alias("c")).distinct()))
     open_ = cut(found.where("more").select(F.col("y").alias("c"), "token").distinct().join(gone, "c", "left_anti"))
     if not open_.limit(1).count():
         return gone
@@ -301,12 +361,15 @@ def later(classes: DataFrame, rows: DataFrame, hot: int = HOT) -> DataFrame:
 def removals(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", hot: int = HOT) -> DataFrame:
     """(k, removed): the row's name and the numbers of its removed lines, for rows that lose any."""
     rows = keyed(docs, id_col, text_col)
-    lines = rows.mapInPandas(_lines(sketch(rows)), "o long, k long, line long, c long, c2 long, n long, bits long, head array<long>")
-    first = F.min(F.struct("o", "line", "k", "n", "bits", "head")).alias("first")
-    classes = cut(lines.groupBy("c", "c2").agg(first).select("c", "c2", "first.*"))
+    made = rows.mapInArrow(_lines(sketch(rows), hot), "o long, k long, line long, c long, c2 long, n long, bits long, warm boolean, head array<int>")
+    # prefixes hold 32 bits of each word's hash: enough to meet, and what meets by chance is verified
+    lines = stored(made)
+    first = F.min(F.struct("o", "line", "k")).alias("first")
+    classes = stored(lines.groupBy("c", "c2").agg(first, *[F.any_value(c).alias(c) for c in ("n", "bits", "warm", "head")]).select("c", "c2", "first.*", "n", "bits", "warm", "head"))
+    tidy(docs.sparkSession)
     gone = later(classes, rows, hot).withColumn("gone", F.lit(True))
     named = classes.select("c", "c2", F.col("k").alias("fk"), F.col("line").alias("fl")).join(gone, "c", "left")
-    held = cut(lines.select("k", "line", "c", "c2")).join(cut(named), ["c", "c2"])
+    held = lines.select("k", "line", "c", "c2").join(cut(named), ["c", "c2"])
     lost = held.where("gone OR k <> fk OR line <> fl").select("k", "line").distinct()
     return lost.groupBy("k").agg(F.array_sort(F.collect_list("line")).alias("removed"))
 
