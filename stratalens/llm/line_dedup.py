@@ -225,6 +225,26 @@ def postings(classes: DataFrame) -> DataFrame:
     return classes.select(*_POSTED, F.posexplode("head").alias("at", "token")).withColumn("at", F.col("at").cast("long"))
 
 
+def postings_of(classes: DataFrame, tokens: DataFrame) -> DataFrame:
+    """The postings of the words in ``tokens`` (and of some that share their filter bit)."""
+    sc = classes.sparkSession.sparkContext
+    bits = sc.broadcast(wanted(tokens.select(F.col("token").cast("long").alias("o"), F.lit(0).cast("long").alias("line"))))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            heads = b.column("head")
+            size = heads.value_lengths().to_numpy()
+            token = heads.flatten().to_numpy()
+            slot = _slot(token.astype(np.int64), np.zeros(len(token)))
+            keep = np.flatnonzero(bits.value[slot >> 3] >> (slot & 7).astype(np.uint8) & 1)
+            row = np.repeat(np.arange(len(size)), size)[keep]
+            at = keep - (np.cumsum(size) - size)[row]
+            cols = [b.column(c).to_numpy(zero_copy_only=False)[row] for c in _POSTED]
+            yield pa.RecordBatch.from_arrays([*[pa.array(x, pa.int64()) for x in cols], pa.array(at, pa.int64()), pa.array(token[keep], pa.int32())], names=[*_POSTED, "at", "token"])
+
+    return classes.select(*_POSTED, "head").mapInArrow(run, ", ".join(f"{c} long" for c in (*_POSTED, "at")) + ", token int")
+
+
 def candidates(classes: DataFrame, hot: int = HOT) -> DataFrame:
     """Of each class and prefix word, the earliest candidate, and whether there may be more (``more``)."""
     posted = postings(classes)
@@ -343,7 +363,7 @@ def later(classes: DataFrame, rows: DataFrame, hot: int = HOT) -> DataFrame:
     if not open_.limit(1).count():
         return gone
     # the rare rest: compared with the whole of the lists that they were cut off in
-    posted = postings(classes)
+    posted = stored(postings_of(classes, open_.select("token").distinct()))
     mine = posted.join(open_, ["c", "token"], "left_semi")
     y, x = (d.select("token", *[F.col(c).alias(p + c) for c in (*_POSTED, "at")]) for d, p in ((mine, "y_"), (posted, "x_")))
     n = F.col("y_n") + F.col("x_n")
@@ -355,7 +375,7 @@ def later(classes: DataFrame, rows: DataFrame, hot: int = HOT) -> DataFrame:
     pairs = y.join(x, "token").where(fits).select(
         F.col("y_c").alias("y"), F.col("y_o").alias("yo"), F.col("y_line").alias("yl"), F.col("x_c").alias("x"), F.col("x_o").alias("xo"), F.col("x_line").alias("xl")
     )
-    return gone.unionByName(verified(pairs, rows).select(F.col("y").alias("c")).distinct()).distinct()
+    return gone.unionByName(verified(pairs.distinct(), rows).select(F.col("y").alias("c")).distinct()).distinct()
 
 
 def removals(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", hot: int = HOT) -> DataFrame:
