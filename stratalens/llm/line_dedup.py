@@ -29,7 +29,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from stratalens.llm.common import cut, stored, tidy
+from stratalens.llm.common import cut, discard, stored, tidy
 
 #: Similarity as a fraction of small integers.
 LEAST = (4, 5)
@@ -341,6 +341,7 @@ def verified(pairs: DataFrame, rows: DataFrame) -> DataFrame:
     both = close.join(need("y"), "y").join(need("x"), "x")
     common = F.size(F.array_intersect("y_words", "x_words"))
     out = cut(both.where(common * (LEAST[0] + LEAST[1]) >= LEAST[0] * (F.size("y_words") + F.size("x_words"))).select("y", "x").distinct())
+    discard(have)
     tidy(rows.sparkSession)
     return out
 
