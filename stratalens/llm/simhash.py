@@ -12,6 +12,13 @@ segments' neighbours for the first pair, one segment's at a time for the other t
 pair within 3 bits; a join on the key verifies the distance, and the links' connected components
 are the groups.
 
+``representatives``, the pipeline's stage, links documents whose sets of five-word shingles have a
+Jaccard similarity of at least 0.8; at 0.8 fingerprints differ in about 10 bits, beyond what their keys
+meet.  So candidates share the group of their fingerprints or one of ``BANDS`` min-hash keys of ``ROWS``
+minima each (a pair at 0.8 misses all with chance (1 - 0.8^4)^24, about 3 in a million, and less above),
+and every candidate pair is verified on its whole shingle sets.  First each key's documents meet its
+smallest one; then all pairs of a key that are not yet in one group meet.
+
 Defined cases: null text and text without words have fingerprint zero, linked like any other; equal
 fingerprints are one node whatever the number of rows; a null id never becomes a component's id
 (a component of null ids only has a null one); repeated rows are all returned; columns besides the
@@ -29,7 +36,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from stratalens.llm.common import components, cut
+from stratalens.llm.common import components, cut, discard, stored
 
 SEED = 42
 #: Shingles hashed at a time, so that a very long text needs no more memory.
@@ -40,24 +47,60 @@ GOLAY = 0b101011100011
 SEGMENTS = ((0, 23), (23, 23), (46, 18))
 #: Pairs of segments, and whether both are looked up with their neighbours at once.
 PAIRS = ((0, 1, True), (0, 2, False), (1, 2, False))
+#: The stage's words in a shingle and least similarity of a link.
+WIDTH, LEAST = 5, 0.8
+#: Min-hash keys of a document, minima in each, shingles hashed at a time.
+BANDS, ROWS, STRIP = 24, 4, 1 << 10
+_ODD, _PLUS, _BAND = (np.random.default_rng(SEED + k).integers(0, 1 << 63, BANDS * ROWS, np.uint64) * np.uint64(2) + np.uint64(1) for k in range(3))
 
 
-def fingerprint(text: str | None, width: int = 3) -> int:
-    """64-bit SimHash of the whole text's shingles of ``width`` lower-cased words."""
+def _hashes(text: str | None, width: int) -> Iterator[np.ndarray]:
+    """Hashes of the text's shingles of ``width`` lower-cased words, ``PIECE`` at a time."""
     words = (text or "").encode("utf-8", "surrogatepass").lower().split()
     if not words:
-        return 0
+        return
     whole = b" ".join(words)
     ends = np.cumsum([len(w) + 1 for w in words]) - 1
     n = max(1, len(words) - width + 1)
     starts = np.concatenate(([0], ends[:-1] + 1))[:n].tolist()
     stops = (ends[width - 1 :] if len(words) >= width else ends[-1:]).tolist()
-    ones = np.zeros(64, np.int64)
     digest = xxhash.xxh64_intdigest
     for at in range(0, n, PIECE):
-        hashes = np.array([digest(whole[a:z], SEED) for a, z in zip(starts[at : at + PIECE], stops[at : at + PIECE])], np.uint64)
+        yield np.array([digest(whole[a:z], SEED) for a, z in zip(starts[at : at + PIECE], stops[at : at + PIECE])], np.uint64)
+
+
+def _bits(pieces: list[np.ndarray]) -> int:
+    """The fingerprint of hashes: each bit as in most of them."""
+    ones = np.zeros(64, np.int64)
+    for hashes in pieces:
         ones += np.unpackbits(hashes.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
-    return int(np.packbits(ones * 2 > n, bitorder="little").view(np.uint64)[0])
+    return int(np.packbits(ones * 2 > sum(map(len, pieces)), bitorder="little").view(np.uint64)[0])
+
+
+def fingerprint(text: str | None, width: int = 3) -> int:
+    """64-bit SimHash of the whole text's shingles of ``width`` lower-cased words."""
+    return _bits(list(_hashes(text, width)))
+
+
+def shingles(text: str | None, width: int = WIDTH) -> np.ndarray:
+    """The set of the text's shingles, as sorted hashes."""
+    return np.unique(np.concatenate([np.zeros(0, np.uint64), *_hashes(text, width)]))
+
+
+def band_keys(held: np.ndarray) -> np.ndarray:
+    """The min-hash keys of a set of shingles; the empty set has none."""
+    if not len(held):
+        return np.zeros(0, np.int64)
+    least = np.full(BANDS * ROWS, np.iinfo(np.uint64).max, np.uint64)
+    for at in range(0, len(held), STRIP):
+        np.minimum(least, (held[at : at + STRIP, None] * _ODD + _PLUS).min(axis=0), out=least)
+    return ((least ^ (least >> np.uint64(29))) * _BAND).reshape(BANDS, ROWS).sum(axis=1, dtype=np.uint64).view(np.int64)
+
+
+def similarity(a: np.ndarray, b: np.ndarray) -> float:
+    """Jaccard similarity of two sets of shingles; two empty sets are equal."""
+    both = len(np.intersect1d(a, b, assume_unique=True))
+    return both / (len(a) + len(b) - both) if len(a) or len(b) else 1.0
 
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 3) -> DataFrame:
@@ -171,11 +214,79 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return rows.join(named, "fp", "left").select("id", "fp", "component")
 
 
+def _sketched(docs: DataFrame, width: int) -> DataFrame:
+    """(id, node, size, fp, keys) for each row (id, text); rows of one set of shingles are one node."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            out = []
+            for t in b["text"]:
+                pieces = list(_hashes(t, width))
+                held = np.unique(np.concatenate([np.zeros(0, np.uint64), *pieces]))
+                out.append((xxhash.xxh64_intdigest(held.tobytes(), SEED), len(held), _bits(pieces), band_keys(held)))
+            node, size, fp, keys = zip(*out) if out else ((), (), (), ())
+            signed = lambda x: np.array(x, np.uint64).view(np.int64)
+            yield pd.DataFrame({"id": b["id"], "node": signed(node), "size": np.array(size, np.int64), "fp": signed(fp), "keys": list(keys)})
+
+    return docs.select("id", "text").mapInPandas(run, "id long, node long, size long, fp long, keys array<long>")
+
+
+def _verified(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, width: int, least: float) -> DataFrame:
+    """Those of the pairs (u, v) of nodes whose sets of shingles are similar."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            sets: dict = {}
+            for side, text in (("u", "a"), ("v", "b")):
+                for node, t in zip(b[side], b[text]):
+                    if node not in sets:
+                        sets[node] = shingles(t, width)
+            ok = [similarity(sets[u], sets[v]) >= least for u, v in zip(b["u"], b["v"])]
+            yield b.loc[np.array(ok, bool), ["u", "v"]]
+
+    asked = pairs.select(F.col("u").alias("node")).union(pairs.select(F.col("v").alias("node"))).distinct()
+    named = nodes.join(asked, "node").select("node", "id")
+    texts = stored(docs.select("id", "text").join(named, "id").dropDuplicates(["node"]).select("node", "text"))
+    first, second = texts.select(F.col("node").alias("u"), F.col("text").alias("a")), texts.select(F.col("node").alias("v"), F.col("text").alias("b"))
+    out = cut(pairs.join(first, "u").join(second, "v").select("u", "v", "a", "b").mapInPandas(run, "u long, v long"))
+    discard(texts)
+    return out
+
+
+def similar(docs: DataFrame, width: int = WIDTH, least: float = LEAST) -> DataFrame:
+    """(id, component) for each row (id, text) of ``docs``: components of the links between all rows
+    whose sets of shingles have a Jaccard similarity of at least ``least``."""
+    rows = stored(_sketched(docs, width))
+    nodes = cut(rows.groupBy("node").agg(F.min("id").alias("id"), F.min("size").alias("size"), F.min("fp").alias("fp")))
+    near = components(links(nodes.select("fp").distinct())).select(F.col("node").alias("fp"), F.col("root").alias("key"))
+    coarse = nodes.join(near, "fp", "left").select(F.coalesce("key", "fp").alias("key"), "node", "size")
+    keyed = rows.dropDuplicates(["node"]).select(F.explode("keys").alias("key"), "node", "size").unionByName(coarse)
+    met = stored(keyed.join(keyed.groupBy("key").agg(F.min("node").alias("hub"), F.max("node").alias("last")).where("hub < last"), "key").drop("last"))
+    sizes = lambda a, b: F.least(a, b) >= F.greatest(a, b) * least - 1e-6
+
+    starred = cut(met.where("node <> hub").select(F.col("hub").alias("u"), F.col("node").alias("v")).distinct())
+    linked = _verified(starred, nodes, docs, width, least)
+    roots = components(linked)
+    own = met.join(roots, "node", "left").select("key", "node", "size", F.coalesce("root", "node").alias("root"))
+    own = own.join(own.groupBy("key").agg(F.min("root").alias("a"), F.max("root").alias("b")).where("a < b"), "key").select("key", "node", "size", "root")
+    own = stored(own)
+    x, y = own.alias("x"), own.alias("y")
+    apart = (F.col("x.key") == F.col("y.key")) & (F.col("x.node") < F.col("y.node")) & (F.col("x.root") != F.col("y.root"))
+    others = x.join(y, apart & sizes(F.col("x.size"), F.col("y.size"))).select(F.col("x.node").alias("u"), F.col("y.node").alias("v")).distinct()
+    others = cut(others.join(starred, ["u", "v"], "left_anti"))
+    linked = linked.unionByName(_verified(others, nodes, docs, width, least))
+    roots = cut(components(linked))
+    named = cut(rows.select("id", "node").join(roots, "node", "left").select("id", F.coalesce("root", "node").alias("component")))
+    for done in (rows, met, own):
+        discard(done)
+    return named
+
+
 def representatives(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row of each group of near-duplicates, that of the smallest id, with its columns as they are."""
+    """One row of each group of similar documents, that of the smallest id, with its columns as they are."""
     name = F.xxhash64(F.lit("row"), *[F.col(f"`{c}`") for c in docs.columns])
     slim = docs.select(name.alias("id"), F.col(text_col).alias("text"), F.col(id_col).alias("own"))
-    groups = near_duplicates(slim, "id", "text").select("id", "component").distinct()
+    groups = similar(slim).distinct()
     order = F.struct(F.col("own").isNull(), F.col("own"), F.col("id").alias("id"))
     first = groups.join(slim.select("id", "own"), "id").groupBy("component").agg(F.min(order).alias("first"))
     chosen = cut(first.select(F.col("first.id").alias("name")))

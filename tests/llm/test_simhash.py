@@ -1,3 +1,4 @@
+import random
 import re
 
 import numpy as np
@@ -94,3 +95,43 @@ def test_representatives(spark):
     assert got.columns == docs.columns
     assert sorted(r.doc_id for r in got.collect()) == [1, 3, 9]
     assert S.representatives(docs.where("false")).count() == 0
+
+
+def jaccard(a, b):
+    grams = [{tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set() for w in (t.lower().split() for t in (a, b))]
+    return len(grams[0] & grams[1]) / len(grams[0] | grams[1]) if grams[0] | grams[1] else 1.0
+
+
+def test_stage_links_all_similar(spark):
+    rng = random.Random(5)
+    texts = []
+    for _ in range(12):
+        base = [f"w{rng.randrange(10**6)}" for _ in range(rng.randrange(60, 400))]
+        texts.append(" ".join(base))
+        for changed in (1, 2, 3, 5, 8):
+            copy = list(base)
+            for at in rng.sample(range(len(base)), changed):
+                copy[at] = "changed"
+            texts.append(" ".join(copy))
+    rng.shuffle(texts)
+    texts += ["", " ", "one two", "one three", "ONE two"]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    parent = list(range(len(texts)))
+    for i in range(len(texts)):
+        for j in range(i):
+            if jaccard(texts[i], texts[j]) >= 0.8:
+                a, b = sorted((parent[i], parent[j]))
+                parent = [a if p == b else p for p in parent]
+    far = [(S.fingerprint(texts[i]) ^ S.fingerprint(texts[j])).bit_count() for i in range(len(texts)) for j in range(i) if jaccard(texts[i], texts[j]) >= 0.8]
+    assert max(far) > 3
+    assert sorted(r.doc_id for r in S.representatives(df).collect()) == sorted(set(parent))
+
+
+def test_stage_verifies_candidates(spark):
+    base = [f"w{i}" for i in range(400)]
+    texts = [" ".join(base), " ".join([f"v{i}" for i in range(60)] + base[60:]), " ".join(base + ["tail"])]
+    keys = [set(S.band_keys(S.shingles(t)).tolist()) for t in texts]
+    assert keys[0] & keys[1] and jaccard(texts[0], texts[1]) < 0.8
+    assert S.similarity(S.shingles(texts[0]), S.shingles(texts[1])) == jaccard(texts[0], texts[1])
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert sorted(r.doc_id for r in S.representatives(df).collect()) == [0, 1]
