@@ -5,10 +5,11 @@
    order of cap per weight, the level is the first at which the next source is not above its cap.
 2. Schedule.  Slot n of N takes the point frac((n + 1) / golden ratio).  Mapped through the sources'
    cumulative targets, the points give each source its share of slots with low discrepancy at every
-   stretch of the schedule.
-3. Blocks.  Each source's documents, in an order shuffled by hash, form a circular stream of words cut
-   into equal blocks.  The r-th slot of a source takes its r-th block; the stream is taken again from
-   its start when it has ended, up to ``most`` times.
+   stretch of the schedule.  A source too small to be met by a point has one slot at the end.
+3. Blocks.  Each source's documents, in an order shuffled by hash, form a circular stream of words, of
+   which the source's rounded target is cut into as many equal blocks (to one word) as it has slots, so
+   that every source is taken to its target at every size.  The r-th slot of a source takes its r-th
+   block; the stream is taken again from its start when it has ended, up to ``most`` times.
 
 A document's ``taken`` is the number of its words in the blocks that slots take.  Positions come from
 running sums in two levels (within hash buckets of a source, and over its buckets), so a source that
@@ -50,7 +51,7 @@ def sized(docs: DataFrame, source_col: str = "source", text_col: str = "text", i
 
 def targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = SHARE, most: int = MOST, slots: int = SLOTS) -> DataFrame:
     """One row for each source: its rank, size, weight and target, its interval of the cumulative
-    targets, and the words of a block (the total over ``slots`` slots a source).
+    targets, and the words of a slot on average (the total over ``slots`` slots a source).
 
     The windows run over sources, after all rows of a source have become one.
     """
@@ -80,20 +81,20 @@ def targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float =
 def schedule(of: DataFrame, slots: int = SLOTS) -> DataFrame:
     """One row for each slot: (slot, source rank, block, words), from the rows of ``targets``.
 
-    ``block`` is the rank of the slot among its source's slots; ``words`` is the words a block holds.
+    ``block`` is the rank of the slot among its source's slots; ``words`` is the words its block holds.
     Points meet their source's interval of the cumulative targets by way of equal cells of the unit
     interval, an equi-join, so no pair of a slot and a source is formed outside one cell.
     """
     count = F.ceil(F.col("total") / F.col("words")).cast("long")
     cells = F.greatest(F.ceil(count / 8), F.lit(1)).cast("long")
-    base = of.where("total > 0").select("rank", "target", "total", "low", "high", "sources", "words", count.alias("count"), cells.alias("cells"))
+    base = of.where("total > 0").select("rank", "target", "total", "low", "high", "sources", count.alias("count"), cells.alias("cells"))
     share = F.ceil(F.col("count") / F.col("sources")).cast("long")
     points = base.withColumn("slot", F.explode(F.sequence(F.col("rank") * share, (F.col("rank") + 1) * share - 1))).where("slot < count")
     point = (F.col("slot") + 1) * F.lit(GOLDEN)
     points = points.select("slot", "cells", (point - F.floor(point)).alias("point")).withColumn("cell", F.floor(F.col("point") * F.col("cells")))
     last = F.max("rank").over(Window.partitionBy())
     spans = base.where("target > 0").select(
-        "rank", "cells", "words", (F.col("low") / F.col("total")).alias("low"),
+        "rank", "cells", (F.col("low") / F.col("total")).alias("low"),
         F.when(F.col("rank") == last, F.lit(2.0)).otherwise(F.col("high") / F.col("total")).alias("high"),
     )
     end = F.least(F.floor(F.col("high") * F.col("cells")), F.col("cells"))
@@ -102,26 +103,52 @@ def schedule(of: DataFrame, slots: int = SLOTS) -> DataFrame:
     # ranks within a source in two levels, as for the documents
     run = F.floor(F.col("slot") / slots)
     in_run = Window.partitionBy("rank", "run").orderBy("slot")
-    placed = taken.select("slot", "rank", "words", run.alias("run")).withColumn("at", F.row_number().over(in_run) - 1)
+    placed = taken.select("slot", "rank", run.alias("run")).withColumn("at", F.row_number().over(in_run) - 1)
     before = Window.partitionBy("rank").orderBy("run").rowsBetween(Window.unboundedPreceding, -1)
     runs = placed.groupBy("rank", "run").count().withColumn("before", F.coalesce(F.sum("count").over(before), F.lit(0)))
-    return placed.join(runs.select("rank", "run", "before"), ["rank", "run"]).select("slot", "rank", (F.col("before") + F.col("at")).alias("block"), "words")
+    met = placed.join(runs.select("rank", "run", "before"), ["rank", "run"]).select("slot", "rank", (F.col("before") + F.col("at")).alias("block"))
+    held = base.select("rank", "target", "count").join(runs.groupBy("rank").agg(F.sum("count").alias("held")), "rank", "left")
+    at_end = F.col("count") + F.row_number().over(Window.orderBy("rank")) - 1
+    missed = held.where(F.col("held").isNull() & (whole_target() > 0)).select(at_end.alias("slot"), "rank", F.lit(0).cast("long").alias("block"))
+    held = held.select("rank", whole_target().alias("goal"), F.coalesce("held", F.lit(1)).alias("held"))
+    return met.unionByName(missed).join(held, "rank").select("slot", "rank", "block", (block_end(F.col("block")) - block_start(F.col("block"))).alias("words"))
+
+
+def whole_target() -> Column:
+    """A source's target in whole words."""
+    return F.round("target").cast("long")
+
+
+def block_start(block: Column) -> Column:
+    """Where a block starts in the ``goal`` words that ``held`` blocks share: the first ones have a word more."""
+    return block * F.expr("goal div held") + F.least(block, F.col("goal") % F.col("held"))
+
+
+def block_end(block: Column) -> Column:
+    return block_start(block + 1)
+
+
+def block_of(place: Column) -> Column:
+    """The block of a word's place below ``goal``."""
+    small, more = F.expr("goal div held"), F.col("goal") % F.col("held")
+    head = more * (small + 1)
+    return F.when(place < head, F.floor(place / (small + 1))).otherwise(more + F.floor((place - head) / F.greatest(small, F.lit(1))))
 
 
 def streams(sizes: DataFrame, of: DataFrame) -> DataFrame:
-    """Each document with its source's row and its words' place [start, start + size) in the source's stream."""
+    """Each document with its source's row (with its ``goal`` and ``held`` blocks) and its words' place [start, start + size) in the source's stream."""
     rows = sizes.withColumn("bucket", F.pmod("row", F.lit(BUCKETS)))
     order = Window.partitionBy("source", "bucket").orderBy("row", "doc_id", "size")
     rows = rows.withColumn("at", F.row_number().over(order))
     rows = rows.withColumn("start", F.sum("size").over(order.rowsBetween(Window.unboundedPreceding, 0)) - F.col("size"))
     before = Window.partitionBy("source").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
-    buckets = sizes.groupBy("source", F.pmod("row", F.lit(BUCKETS)).alias("bucket")).agg(F.sum("size").alias("held"))
-    buckets = buckets.withColumn("before", F.coalesce(F.sum("held").over(before), F.lit(0)))
+    buckets = sizes.groupBy("source", F.pmod("row", F.lit(BUCKETS)).alias("bucket")).agg(F.sum("size").alias("filled"))
+    buckets = buckets.withColumn("before", F.coalesce(F.sum("filled").over(before), F.lit(0)))
     same = lambda a, b: a.eqNullSafe(b)
     buckets = buckets.join(of, same(buckets["source"], of["source"])).drop(of["source"])
     joined = rows.join(buckets, same(rows["source"], buckets["source"]) & (rows["bucket"] == buckets["bucket"]))
     return joined.select(
-        "doc_id", "row", "size", rows["bucket"], "at", "rank", "source_size", "target", "words", (F.col("start") + F.col("before")).alias("start"),
+        "doc_id", "row", "size", rows["bucket"], "at", "rank", "source_size", "target", "goal", "held", (F.col("start") + F.col("before")).alias("start"),
     )
 
 
@@ -130,13 +157,14 @@ def mix(docs: DataFrame, id_col: str = "doc_id", source_col: str = "source", tex
     sizes = cut(sized(docs, source_col, text_col, id_col))
     of = cut(targets(sizes, most=most))
     slots = schedule(of)
-    placed = cut(streams(sizes, of))
-    pieces = placed.where("size > 0")
+    goals = of.join(slots.groupBy("rank").agg(F.count("*").alias("held")), "rank", "left").withColumn("goal", whole_target())
+    placed = cut(streams(sizes, goals))
+    pieces = placed.where("size > 0 AND held > 0")
     pieces = pieces.withColumn("pass", F.explode(F.array(*[F.lit(p) for p in range(most)])))
-    pieces = pieces.withColumn("low", F.col("start") + F.col("pass") * F.col("source_size")).withColumn("high", F.col("low") + F.col("size"))
-    first, last = F.floor(F.col("low") / F.col("words")), F.floor((F.col("high") - 1) / F.col("words"))
-    pieces = pieces.withColumn("block", F.explode(F.sequence(first, last)))
-    held = F.least("high", (F.col("block") + 1) * F.col("words")) - F.greatest("low", F.col("block") * F.col("words"))
+    pieces = pieces.withColumn("low", F.col("start") + F.col("pass") * F.col("source_size")).where("low < goal")
+    pieces = pieces.withColumn("high", F.least(F.col("low") + F.col("size"), "goal"))
+    pieces = pieces.withColumn("block", F.explode(F.sequence(block_of(F.col("low")), block_of(F.col("high") - 1))))
+    held = F.least("high", block_end(F.col("block"))) - F.greatest("low", block_start(F.col("block")))
     pieces = pieces.select("rank", "bucket", "at", "block", held.alias("held"))
     taken = pieces.join(slots.select("rank", "block"), ["rank", "block"]).groupBy("rank", "bucket", "at").agg(F.sum("held").alias("taken"))
     return placed.join(taken, ["rank", "bucket", "at"], "left").select("doc_id", "row", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"))

@@ -3,6 +3,7 @@ from collections import Counter
 
 import pytest
 from brute import SF
+from pyspark.sql import functions as F
 from stratalens.llm import mixing as M
 from stratalens.llm.queries import op3_source_mix
 
@@ -78,3 +79,28 @@ def test_schedule_is_even(spark):
         seen[rank] += 1
         if n % 500 == 0:
             assert all(abs(seen[k] - goal[k] * n) < 8 for k in goal)
+
+
+def test_small_source_beside_large_ones(spark):
+    # 64-bit sizes stand in for texts: blocks grow with the corpus, the small source does not
+    sizes = {f"s{i:02}": 200_000_000 for i in range(20)}
+    for name in ("a", "s05x", "z"):
+        for small in (3, 200, 20_000):
+            held = {**sizes, name: small}
+            df = spark.createDataFrame([(i, s, n, i) for i, (s, n) in enumerate(sorted(held.items()))], "doc_id long, source string, size long, row long")
+            of = M.targets(df).cache()
+            goal = {r.rank: r.target for r in of.collect()}
+            slots = M.schedule(of).groupBy("rank").agg(F.sum("words").alias("words"), F.count("*").alias("n"), F.max("block").alias("last")).collect()
+            assert {r.rank: r.words for r in slots} == {k: round(v) for k, v in goal.items()}
+            assert all(r.last == r.n - 1 for r in slots)
+
+
+def test_every_source_to_its_target(spark):
+    docs = [(i, "w " * 4000, f"s{i % 20:02}") for i in range(400)] + [(1000 + i, "one two", "s07x") for i in range(3)] + [(2000, "x", "tiny")]
+    got = M.digest(spark.createDataFrame(docs, "doc_id long, text string, source string")).collect()
+    source = {d: s for d, _, s in docs}
+    taken, goal = Counter(), {}
+    for r in got:
+        taken[source[r.doc_id]] += r.taken
+        goal[source[r.doc_id]] = r.target
+    assert dict(taken) == {s: round(g) for s, g in goal.items()}
