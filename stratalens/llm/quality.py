@@ -8,8 +8,9 @@ most confident, and the other view trains on them too.  On held-out labels, each
 model scores every document; ``keep`` is false below the threshold, which is set on the held-out
 labels so that at most ``SPARE`` of the good documents fall below it.
 
-The fit uses the documents whose id hashes into a share of all ids, about ``SAMPLE`` documents at most,
-labelled or not; their features are a bounded table on the driver.  All documents are scored.
+The fit uses all labelled documents, or of a label that has more than half of ``SAMPLE`` about so many
+by id hash, and apart from them about ``SAMPLE`` unlabelled ones; so the labels used do not fall as the
+corpus grows.  Their features are a bounded table on the driver.  All documents are scored.
 
 Defined cases: null text is the empty text, other nulls are values of their own; a document labelled
 both ways, or with a null label, counts as unlabelled; with no labels, or labels of one kind only, no
@@ -28,6 +29,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from stratalens.llm.common import cut
+
 SAMPLE, ROUNDS, SPARE = 8_000, 3, 0.001
 #: Pseudo-labels that a view gives in a round, as a share of the unlabelled sample, and how sure it must be.
 GIVEN, SURE = 0.1, 0.97
@@ -128,11 +131,15 @@ def _logits(*chances: np.ndarray) -> np.ndarray:
 def cotrain(a: np.ndarray, b: np.ndarray, y: np.ndarray, rounds: int = ROUNDS, spare: float = SPARE) -> Model | None:
     """Fit on views ``a`` (text) and ``b`` (metadata); ``y`` is 0, 1, or -1 where unlabelled.
 
-    Rows are in an order that has nothing to do with their labels: every third labelled row is held out.
+    Rows are in an order that has nothing to do with their labels: every third labelled row is held out, or where that
+    leaves a side without rows of a label, every third row of each label.
     """
-    labelled = np.flatnonzero(y >= 0)
-    held, train, free = labelled[::3], np.setdiff1d(labelled, labelled[::3]), np.flatnonzero(y < 0)
-    if min([np.bincount(y[s], minlength=2).min() for s in (held, train)]) == 0:
+    labelled, free = np.flatnonzero(y >= 0), np.flatnonzero(y < 0)
+    for held in (labelled[::3], np.sort(np.concatenate([np.flatnonzero(y == label)[::3] for label in (0, 1)]))):
+        train = np.setdiff1d(labelled, held)
+        if min([np.bincount(y[s], minlength=2).min() for s in (held, train)]) > 0:
+            break
+    else:
         return None
     views = (a, b)
     rows, given = [train, train], [y[train], y[train]]
@@ -167,19 +174,24 @@ def _columns(docs: DataFrame) -> list[Column]:
 
 
 def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, id_col: str = "doc_id", label_col: str = "quality") -> Model | None:
-    """Co-train on a bounded sample; None if it lacks labels of either kind."""
-    part = min(1.0, sample / max(1, docs.count()))
-    inside = (F.shiftrightunsigned(F.xxhash64(F.lit("fit"), "id"), 1) / F.lit(2.0**63)) < part
-    given = labels.select(F.col(id_col).alias("id"), F.col(label_col).alias("y")).where(inside).groupBy("id")
+    """Co-train on bounded samples of the labelled and the unlabelled; None if there are too few labels of either kind."""
+    given = labels.select(F.col(id_col).alias("id"), F.col(label_col).alias("y")).groupBy("id")
     given = given.agg(F.min("y").alias("low"), F.max("y").alias("high")).where("low = high AND low IN (0, 1)").select("id", F.col("low").cast("int").alias("y"))
-    own = docs.select(F.col(id_col).alias("id"), *_columns(docs)).where(inside).join(given, "id", "left")
+    # null ids are told apart by what else is known of the page
+    other = F.when(F.col(id_col).isNull(), F.xxhash64("lang", "source", "n_chars"))
+    pick = F.xxhash64(F.lit("fit"), F.col(id_col), other)
+    ids = cut(docs.select(F.col(id_col).alias("id"), pick.alias("pick")).join(given, "id", "left").select("pick", F.coalesce("y", F.lit(-1)).alias("y")))
+    held = {r.y: r["count"] for r in ids.groupBy("y").count().collect()}
+    part = {y: min(1.0, (sample if y < 0 else sample / 2) / n) for y, n in held.items()}
+    inside = (F.shiftrightunsigned("pick", 1) / F.lit(2.0**63)) < F.coalesce(*[F.when(F.col("y") == y, F.lit(p)) for y, p in part.items()], F.lit(0.0))
+    own = docs.select(F.col(id_col).alias("id"), *_columns(docs), pick.alias("pick")).join(F.broadcast(ids.where(inside).distinct()), "pick")
 
     def run(batches):
         for b in batches:
             x, z = _views(b["text"], b["lang"], b["source"], b["n_chars"])
             yield pd.DataFrame({"key": b["key"], "y": b["y"], "a": [r.tobytes() for r in x], "b": [r.tobytes() for r in z]})
 
-    keyed = own.select(F.xxhash64("id", F.coalesce("text", F.lit(""))).alias("key"), F.coalesce("y", F.lit(-1)).alias("y"), "text", "lang", "source", "n_chars")
+    keyed = own.select(F.xxhash64("id", F.coalesce("text", F.lit(""))).alias("key"), "y", "text", "lang", "source", "n_chars")
     rows = sorted((r.key, r.y, bytes(r.a), bytes(r.b)) for r in keyed.mapInPandas(run, "key long, y int, a binary, b binary").collect())
     if not rows:
         return None

@@ -1,8 +1,10 @@
 import numpy as np
 from brute import SF
+from pyspark.sql import functions as F
 from stratalens.llm import quality as Q
 from stratalens.llm.queries import op2_quality_classifier
 
+cotrain = Q.cotrain
 WIDE = "/root/testdata/sf0.01"
 COLS = "doc_id long, text string, lang string, source string, n_chars long, keep string, score int"
 
@@ -43,3 +45,33 @@ def test_without_usable_labels(spark):
 def test_query(spark):
     got = op2_quality_classifier(spark, SF)
     assert got.columns == ["doc_id", "text_score", "meta_score", "score", "keep"] and got.count() == 200
+
+
+def test_labels_used_do_not_fall_as_the_corpus_grows(spark, monkeypatch):
+    docs, labels = (spark.read.parquet(f"{WIDE}/{t}.parquet") for t in ("documents", "labels"))
+    seen = []
+    monkeypatch.setattr(Q, "cotrain", lambda a, b, y: seen.append(np.bincount(y + 1, minlength=3).tolist()) or cotrain(a, b, y))
+    more = docs.crossJoin(spark.range(1, 21)).select((docs.doc_id + F.col("id") * 1_000_000).alias("doc_id"), *docs.columns[1:])
+    sample = 2 * labels.count()
+    for every in (docs, docs.unionByName(more)):
+        assert Q.fit(every, labels, sample) is not None
+    known = {d.doc_id for d in docs.select("doc_id").collect()}
+    y = {r.doc_id: r.quality for r in labels.collect() if r.doc_id in known}
+    assert [s[1:] for s in seen] == [[sum(v == c for v in y.values()) for c in (0, 1)]] * 2
+    assert 0 < seen[0][0] <= seen[1][0] <= 1.2 * sample
+
+
+def test_labels_are_bounded_by_kind(spark, monkeypatch):
+    docs, labels = (spark.read.parquet(f"{WIDE}/{t}.parquet") for t in ("documents", "labels"))
+    seen = []
+    monkeypatch.setattr(Q, "cotrain", lambda a, b, y: seen.append(np.bincount(y + 1, minlength=3).tolist()))
+    Q.fit(docs, labels, 100)
+    bad = labels.join(docs, "doc_id").where("quality = 0").count()
+    assert 25 <= seen[0][2] <= 80 and min(bad, 50) / 2 <= seen[0][1] <= 80
+
+
+def test_few_labels_of_a_kind():
+    rng = np.random.default_rng(3)
+    for y in ([0, 1, 1, 0, 1, 1, 1], [1, 1, 0, 0, 1, 1, 1]):
+        x = np.array(y)[:, None] + rng.normal(0, 0.1, (7, 2))
+        assert Q.cotrain(x, x, np.array(y)) is not None
