@@ -1,8 +1,9 @@
 """Conflict-constrained best-fit packing of documents into bins of a fixed number of words.
 
 A document longer than a bin is cut: its full pieces fill bins of their own, its rest is packed.  Two
-pieces conflict if they are of the same duplicate cluster (equal texts up to case and white space), and
-a bin takes at most ``per_source`` pieces of one source.  Each piece goes to the tightest bin that
+pieces conflict if they are of the same duplicate cluster (equal texts up to case and white space, or,
+where ``clusters`` are given, near-duplicates: components of texts linked at similarity 0.8 of five-word
+shingles), and a bin takes at most ``per_source`` pieces of one source.  Each piece goes to the tightest bin that
 holds it without a conflict: open bins are kept by residual, and each set of bins (of a residual, with
 a cluster, with a source at its limit) is a bitmap, so the search steps from one residual to its
 successor and masks out the bins in conflict until a bin is left.  Only if none is left is a new one
@@ -19,10 +20,11 @@ empty table gives no bins; columns besides the id, text and source columns are i
 from __future__ import annotations
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from stratalens.llm.common import word_count
+from stratalens.llm.simhash import similar
 
 #: Words that a bin holds, pieces of one source that it takes, pieces of a shard on average.
 CAPACITY, PER_SOURCE, SHARD = 2048, 4, 4096
@@ -77,14 +79,31 @@ class Bins:
         self.held |= 1 << new
 
 
-def pieces(docs: DataFrame, capacity: int = CAPACITY, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
-    """(doc_id, piece, start, words, source, cluster, deal) for each piece of each document."""
+def text_name(text_col: str) -> Column:
+    """A hash of the text up to case and white space."""
+    return F.xxhash64(F.trim(F.regexp_replace(F.lower(F.coalesce(F.col(text_col), F.lit(""))), r"[\x20\x09-\x0D]+", " ")))
+
+
+def near_clusters(docs: DataFrame, text_col: str = "text") -> DataFrame:
+    """(cluster, component) for each text's name: the near-duplicates that it belongs to."""
+    found = similar(docs.select(text_name(text_col).alias("id"), F.lower(F.col(text_col)).alias("text")))
+    return found.groupBy(F.col("id").alias("cluster")).agg(F.min("component").alias("component"))
+
+
+def pieces(
+    docs: DataFrame, capacity: int = CAPACITY, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", clusters: DataFrame | None = None
+) -> DataFrame:
+    """(doc_id, piece, start, words, source, cluster, deal) for each piece of each document.
+
+    A text that ``clusters`` (cluster, component) does not name is a cluster of its own.
+    """
     text = F.coalesce(F.col(text_col), F.lit(""))
-    plain = F.trim(F.regexp_replace(F.lower(text), r"[\x20\x09-\x0D]+", " "))
     slim = docs.select(
         F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), word_count(F.col(text_col)).alias("size"),
-        F.xxhash64(plain).alias("cluster"), F.xxhash64(F.lit("deal"), F.col(id_col), text).alias("deal"),
+        text_name(text_col).alias("cluster"), F.xxhash64(F.lit("deal"), F.col(id_col), text).alias("deal"),
     )
+    if clusters is not None:
+        slim = slim.join(clusters, "cluster", "left").withColumn("cluster", F.coalesce("component", "cluster")).drop("component")
     last = F.greatest(F.ceil(F.col("size") / capacity) - 1, F.lit(0))
     slim = slim.withColumn("piece", F.explode(F.sequence(F.lit(0).cast("long"), last.cast("long"))))
     slim = slim.withColumn("start", F.col("piece") * capacity)
@@ -93,7 +112,7 @@ def pieces(docs: DataFrame, capacity: int = CAPACITY, id_col: str = "doc_id", te
 
 def pack(
     docs: DataFrame, capacity: int = CAPACITY, per_source: int = PER_SOURCE, shard: int = SHARD,
-    id_col: str = "doc_id", text_col: str = "text", source_col: str = "source",
+    id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", clusters: DataFrame | None = None,
 ) -> DataFrame:
     """(doc_id, piece, start, words, source, cluster, bin, slot, residual) for each piece.
 
@@ -101,7 +120,7 @@ def pack(
     ``residual`` is what the closed bin has left.
     """
     # ids pass through pandas as strings, which keep nulls and large numbers as they are
-    every = pieces(docs, capacity, id_col, text_col, source_col)
+    every = pieces(docs, capacity, id_col, text_col, source_col, clusters)
     kind = dict(every.dtypes)["doc_id"]
     shards = max(1, -(-docs.count() // shard))
     dealt = every.withColumn("doc_id", F.col("doc_id").cast("string")).withColumn("shard", F.pmod(F.xxhash64("deal", "piece"), F.lit(shards)).cast("int"))
@@ -129,6 +148,6 @@ def assembled(packed: DataFrame, docs: DataFrame, id_col: str = "doc_id", text_c
     return cut.groupBy("bin").agg(F.array_join(F.transform(parts, lambda p: p["text"]), joint).alias("text"))
 
 
-def digest(docs: DataFrame) -> DataFrame:
+def digest(docs: DataFrame, clusters: DataFrame | None = None) -> DataFrame:
     """One row for each piece of each document: where it lies and in which bin."""
-    return pack(docs).select("doc_id", "piece", "start", "words", "bin", "slot", "residual")
+    return pack(docs, clusters=clusters).select("doc_id", "piece", "start", "words", "bin", "slot", "residual")

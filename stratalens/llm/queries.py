@@ -61,9 +61,10 @@ def op4_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from stratalens.llm.packing import digest
+    from stratalens.llm.packing import digest, near_clusters
 
-    return digest(table(spark, sf_dir, "documents"))
+    docs = table(spark, sf_dir, "documents")
+    return digest(docs, near_clusters(docs))
 
 
 def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -51,6 +51,8 @@ PAIRS = ((0, 1, True), (0, 2, False), (1, 2, False))
 WIDTH, LEAST = 5, 0.8
 #: Min-hash keys of a document, minima in each, shingles hashed at a time.
 BANDS, ROWS, STRIP = 24, 4, 1 << 10
+#: Sets of shingles handed on at a time.
+STEP = 64
 _ODD, _PLUS, _BAND = (np.random.default_rng(SEED + k).integers(0, 1 << 63, BANDS * ROWS, np.uint64) * np.uint64(2) + np.uint64(1) for k in range(3))
 
 
@@ -97,12 +99,6 @@ def band_keys(held: np.ndarray) -> np.ndarray:
     return ((least ^ (least >> np.uint64(29))) * _BAND).reshape(BANDS, ROWS).sum(axis=1, dtype=np.uint64).view(np.int64)
 
 
-def similarity(a: np.ndarray, b: np.ndarray) -> float:
-    """Jaccard similarity of two sets of shingles; two empty sets are equal."""
-    both = len(np.intersect1d(a, b, assume_unique=True))
-    return both / (len(a) + len(b) - both) if len(a) or len(b) else 1.0
-
-
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 3) -> DataFrame:
     """(id, fp) for each row; ``fp`` holds the 64 bits as a signed long."""
 
@@ -236,20 +232,19 @@ def _verified(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, width: int, l
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            sets: dict = {}
-            for side, text in (("u", "a"), ("v", "b")):
-                for node, t in zip(b[side], b[text]):
-                    if node not in sets:
-                        sets[node] = shingles(t, width)
-            ok = [similarity(sets[u], sets[v]) >= least for u, v in zip(b["u"], b["v"])]
-            yield b.loc[np.array(ok, bool), ["u", "v"]]
+            for at in range(0, len(b), STEP):
+                own = b.iloc[at : at + STEP]
+                yield pd.DataFrame({"node": own["node"], "held": [shingles(t, width).view(np.int64) for t in own["text"]]})
 
     asked = pairs.select(F.col("u").alias("node")).union(pairs.select(F.col("v").alias("node"))).distinct()
     named = nodes.join(asked, "node").select("node", "id")
-    texts = stored(docs.select("id", "text").join(named, "id").dropDuplicates(["node"]).select("node", "text"))
-    first, second = texts.select(F.col("node").alias("u"), F.col("text").alias("a")), texts.select(F.col("node").alias("v"), F.col("text").alias("b"))
-    out = cut(pairs.join(first, "u").join(second, "v").select("u", "v", "a", "b").mapInPandas(run, "u long, v long"))
-    discard(texts)
+    texts = docs.select("id", "text").join(named, "id").dropDuplicates(["node"]).select("node", "text")
+    have = stored(texts.mapInPandas(run, "node long, held array<long>"))
+    # the sets meet row by row, so that long texts in many pairs need no more memory
+    first, second = have.select(F.col("node").alias("u"), F.col("held").alias("a")), have.select(F.col("node").alias("v"), F.col("held").alias("b"))
+    both = F.size(F.array_intersect("a", "b"))
+    out = cut(pairs.join(first, "u").join(second, "v").where(both >= (F.size("a") + F.size("b") - both) * least - 1e-6).select("u", "v"))
+    discard(have)
     return out
 
 

@@ -78,3 +78,22 @@ def test_whole_table(spark):
     total = sum(len(words(t)) for _, t, _ in docs)
     assert len(bins) <= 1.1 * total / P.CAPACITY + 3
     assert sorted(got) == sorted(op5_best_fit_packing(spark, SF).collect())
+
+
+def test_near_copies_do_not_share_a_bin(spark, tmp_path):
+    rng = random.Random(6)
+    docs, group = [], {}
+    for k in range(30):
+        base = [f"W{rng.randrange(10**6)}" for _ in range(100)]
+        for copy in range(3):
+            w = list(base)
+            if copy:
+                w[rng.randrange(100)] = "É" if copy == 1 else "é"
+            group[len(docs)] = k
+            docs.append((len(docs), " ".join(w), f"s{len(docs) % 7}"))
+    docs += [(90, None, "a"), (91, " ", "b"), (92, "É x", "a"), (93, "é  X", "b")]
+    group |= {90: "none", 91: "none", 92: "e", 93: "e"}
+    spark.createDataFrame(docs, "doc_id long, text string, source string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = op5_best_fit_packing(spark, str(tmp_path)).collect()
+    bins = check(got, docs, P.CAPACITY, P.PER_SOURCE)
+    assert all(max(Counter(group[r.doc_id] for r in b).values()) == 1 for b in bins.values())
