@@ -1,21 +1,26 @@
 """Line deduplication by an exact set-similarity join.
 
-A line is the set of its words.  Lines with equal sets are one class, whose first occurrence (in order
-of id, then line) stands for it.  The words of a class are put in order of rarity: a sketch of
-``SKETCH`` counters over all lines' words gives each word's frequency class, and a hash breaks ties (any
-order is right, rare words first is fast).  Sets of Jaccard similarity ``LEAST`` or more share a word
-among the first n - ceil(LEAST * n) + 1 of each (the prefix), so classes meet by prefix words.  Length,
-position and bitmap filters drop most pairs that meet; the rest are verified on their whole sets.
-
-A line is removed if a line before it, kept or not, has similarity ``LEAST`` or more: all occurrences
-of a class but its first, and all of a class whose first occurrence has an earlier match.
-
-Where a word's list is long because lines are alike, the earliest candidate of each class decides
-nearly all; classes that it leaves undecided are compared with the whole list afterwards.  Lists longer than ``HOT`` are cut into blocks by hash, each two blocks a group of their own.
+A line is the set of its words.  The words of a line are put in order of rarity: a sketch of counters
+over all lines' words, whose size follows the input, gives each word's frequency class, and a hash breaks
+ties (any order is right, rare words first is fast).  Sets of Jaccard similarity ``LEAST`` or more share a
+word among the first n - ceil(LEAST * n) + 1 of each (the prefix), so lines meet in the lists of their
+prefix words.  Length, position and bitmap filters drop most pairs that meet; the rest are verified on
+their whole sets.
+
+A line is removed if a line before it (in order of id, then line), kept or not, has similarity ``LEAST`` or
+more.  Lines of equal sets are one class: within a stretch of input, and where they meet in the list of their
+rarest word, all but the first are removed at once and take no further part.
+
+Postings travel as columns of bytes, one row for each stretch of input and partition.  Of each line, a
+list gives its likeliest candidate, which decides nearly all; where a list has more, it is kept, and lines
+left undecided are compared with all candidates in it.  Postings of words that the sketch counts over
+``hot`` times are dealt evenly first; once their lists' lengths are known, longer lists are cut into blocks
+by hash, each two blocks a list of their own.
 
 Defined cases: null text has no lines; a line without words is never removed and matches nothing; null
-ids come last in the order; rows that repeat whole (id and text) are one row and fare alike; the empty
-table gives no rows; columns besides the id and text columns are ignored or kept as they are.
+ids are ordered like the largest long; rows that repeat whole (id and text) are one row and fare alike; ties
+(rows of one id) go by a hash of the text; a very long text needs memory in proportion to its words; the
+empty table gives no rows; columns besides the id and text columns are ignored or kept as they are.
 """
 
 from __future__ import annotations
@@ -25,7 +30,9 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -33,13 +40,16 @@ from stratalens.llm.common import cut, discard, stored, tidy
 
 #: Similarity as a fraction of small integers.
 LEAST = (4, 5)
-#: Counters of the frequency sketch, bits of the filter of lines to verify, longest list that is not cut,
-#: 64-bit words of the bitmaps for verification.
-SKETCH, FILTER, HOT, SIGNATURE = 1 << 18, 1 << 26, 8192, 8
-#: Documents tokenised at a time.
-STEP = 256
+#: Longest list that is not cut, 64-bit words of the bitmaps for verification, blobs of a sketch.
+HOT, SIGNATURE, PIECES = 8192, 8, 16
+#: Bytes hashed and lines gathered at a time.
+SLICE, LINES = 1 << 18, 1 << 17
+#: Bounds of sizes that follow the input: counters of the sketch, bits of the filter of lines to verify.
+SKETCH, FILTER = (1 << 14, 1 << 20), (1 << 16, 1 << 28)
 
 _U = np.uint64
+_SPACE = np.zeros(256, bool)
+_SPACE[[9, 10, 11, 12, 13, 32]] = True
 
 
 def _mix(x: np.ndarray, salt: int = 0) -> np.ndarray:
@@ -50,39 +60,127 @@ def _mix(x: np.ndarray, salt: int = 0) -> np.ndarray:
     return x ^ (x >> _U(31))
 
 
-def _words(texts: list) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(hash and line ordinal of each word, document and line number of each line) of a few texts."""
-    words, sizes, owner, number = [], [], [], []
-    for d, text in enumerate(texts):
-        if text is None:
-            continue
-        for k, line in enumerate(text.encode("utf-8", "surrogatepass").split(b"\n")):
-            found = line.split()
-            words += found
-            sizes.append(len(found))
-            owner.append(d)
-            number.append(k)
-    digest = xxhash.xxh64_intdigest
-    hashes = np.fromiter(map(digest, words), np.uint64, len(words))
-    return hashes, np.repeat(np.arange(len(sizes)), sizes), np.array(owner, np.int64), np.array(number, np.int64)
-
-
-def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    counts = np.zeros(SKETCH, np.int64)
-    for b in batches:
-        texts = b.column("text").to_pylist()
-        for at in range(0, len(texts), STEP):
-            hashes, *_ = _words(texts[at : at + STEP])
-            counts += np.bincount((hashes % _U(SKETCH)).astype(np.int64), minlength=SKETCH)
-    own = np.flatnonzero(counts)
-    yield pa.RecordBatch.from_arrays([pa.array(own), pa.array(counts[own])], names=["slot", "n"])
-
-
-def sketch(docs: DataFrame) -> np.ndarray:
-    """How often the words of each of SKETCH hash slots occur in all lines."""
-    out = np.zeros(SKETCH, np.int64)
-    for r in docs.select("text").mapInArrow(_counted, "slot long, n long").groupBy("slot").agg(F.sum("n").alias("n")).collect():
-        out[r.slot] = r.n
+# --- words -----------------------------------------------------------------------------------------
+
+#: A word's hash is a polynomial over its bytes' random values, so running sums give it without a loop.
+_VALUE, _BASE, _LONG = _mix(np.arange(256, dtype=_U), 5), 0x9E3779B97F4A7C13, 256
+_powers: list[np.ndarray] = []
+
+
+def _table(n: int) -> list[np.ndarray]:
+    """Powers of the base and of its inverse, at least ``n`` of each."""
+    if not _powers or len(_powers[0]) < n:
+        _powers[:] = []
+        for base in (_BASE, pow(_BASE, -1, 1 << 64)):
+            row = np.full(max(n, SLICE), base, _U)
+            row[0] = 1
+            _powers.append(np.multiply.accumulate(row))
+    return _powers
+
+
+def _hashed(raw: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(place, hash, line) of each word of a piece; texts begin at ``starts``; lines count breaks so far."""
+    space = _SPACE[raw]
+    at = np.zeros(len(raw) + 1, bool)
+    at[starts] = True
+    at[-1] = True
+    begin, end = ~space, ~space
+    begin[1:] &= space[:-1] | at[1:-1]
+    end[:-1] &= space[1:] | at[1:-1]
+    begin, end = np.flatnonzero(begin), np.flatnonzero(end) + 1
+    power, inverse = _table(len(raw))
+    total = np.zeros(len(raw) + 1, _U)
+    np.cumsum(_VALUE[raw] * power[: len(raw)], out=total[1:])
+    size = end - begin
+    h = _mix((total[end] - total[begin]) * inverse[begin] + size.astype(_U))
+    for i in np.flatnonzero(size > _LONG):  # where sums of powers would no longer tell words apart
+        h[i] = xxhash.xxh64_intdigest(raw[begin[i] : end[i]].tobytes(), 1)
+    breaks = (raw == 10).astype(np.int32)
+    np.add.at(breaks, starts[starts < len(raw)], 1)
+    return begin, h, np.cumsum(breaks)[begin]
+
+
+def _words(raw: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(hash and line of each word, place of each line's first word), for texts that begin at ``starts``.
+
+    Lines are numbered by the breaks before them.  Long texts are hashed in pieces cut at white space.
+    """
+    hashes, lines, places, a, base = [], [], [], 0, 0
+    while a < len(raw):
+        b = a + SLICE
+        if b < len(raw):
+            own = np.flatnonzero(_SPACE[raw[a:b]])
+            if len(own):
+                b = a + int(own[-1]) + 1
+            else:
+                while b < len(raw) and not _SPACE[raw[b]]:
+                    b += 1
+        b = min(b, len(raw))
+        inside = starts[np.searchsorted(starts, a) : np.searchsorted(starts, b)] - a
+        at, h, line = _hashed(raw[a:b], inside)
+        hashes.append(h)
+        lines.append(line + base)
+        places.append(at + a)
+        base += int(np.count_nonzero(raw[a:b] == 10)) + len(inside)
+        a = b
+    none = np.zeros(0, np.int64)
+    line, place = np.concatenate([none, *lines]), np.concatenate([none, *places])
+    first = np.flatnonzero(np.concatenate(([True], line[1:] != line[:-1]))) if len(line) else none
+    return np.concatenate([none.astype(_U), *hashes]), line, place[first]
+
+
+def _texts(column: pa.Array) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """(first row, bytes, where each text begins) for groups of whole texts of about ``SLICE`` bytes."""
+    column = pc.fill_null(column, "") if column.null_count else column
+    column = column.cast(pa.large_string())
+    off = np.frombuffer(column.buffers()[1], np.int64)[column.offset : column.offset + len(column) + 1] if len(column) else np.zeros(1, np.int64)
+    raw = np.frombuffer(column.buffers()[2] or b"", np.uint8)
+    i = 0
+    while i < len(column):
+        j = max(i + 1, int(np.searchsorted(off, off[i] + SLICE, "right")) - 1)
+        if off[j] > off[i]:
+            yield i, raw[off[i] : off[j]], off[i:j] - off[i]
+        i = j
+
+
+def _numbered(raw: np.ndarray, starts: np.ndarray, place: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(text, number in its text) of the lines that hold the bytes at ``place``."""
+    text = np.searchsorted(starts, place, "right") - 1
+    ends = np.flatnonzero(raw == 10)
+    return text, np.searchsorted(ends, place) - np.searchsorted(ends, starts[text])
+
+
+# --- rarity ----------------------------------------------------------------------------------------
+
+
+def _sized(n: int, bounds: tuple[int, int]) -> int:
+    """The power of two from ``n``, within ``bounds``."""
+    return min(max(1 << max(0, n - 1).bit_length(), bounds[0]), bounds[1])
+
+
+def sketch(docs: DataFrame, slots: int) -> np.ndarray:
+    """How often the words of each of ``slots`` hash slots occur in all lines."""
+    part = slots // PIECES
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts = np.zeros(slots, np.int64)
+        for b in batches:
+            for _, raw, starts in _texts(b.column("text")):
+                h, *_ = _words(raw, starts)
+                counts += np.bincount((h & _U(slots - 1)).astype(np.int64), minlength=slots)
+        yield pa.RecordBatch.from_arrays([pa.array(range(PIECES), pa.int32()), pa.array([counts[i * part : (i + 1) * part].tobytes() for i in range(PIECES)])], names=["piece", "n"])
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own: dict[int, np.ndarray] = {}
+        for b in batches:
+            for piece, n in zip(b.column("piece").to_pylist(), b.column("n")):
+                own[piece] = own.get(piece, 0) + np.frombuffer(n.as_buffer(), np.int64)
+        yield pa.RecordBatch.from_arrays([pa.array(own.keys(), pa.int32()), pa.array([v.tobytes() for v in own.values()], pa.binary())], names=["piece", "n"])
+
+    kind = "piece int, n binary"
+    out = np.zeros(slots, np.int64)
+    for r in docs.select("text").mapInArrow(count, kind).repartitionById(PIECES, F.col("piece")).mapInArrow(add, kind).collect():
+        out[r.piece * part : (r.piece + 1) * part] = np.frombuffer(r.n, np.int64)
     return out
 
 
@@ -102,311 +200,426 @@ def _ordered(h: np.ndarray, rank: np.ndarray, line: np.ndarray) -> np.ndarray:
     return np.lexsort((h, rank, line))
 
 
-def _lines(rarity: np.ndarray, hot: int):
+def _distinct(h: np.ndarray, line: np.ndarray, rank: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(hashes of each line's set in order, where each set begins, its size)."""
+    order = _ordered(h, rank, line)
+    h, line = h[order], line[order]
+    new = np.concatenate(([True], (h[1:] != h[:-1]) | (line[1:] != line[:-1])))
+    h, line = h[new], line[new]
+    begin = np.flatnonzero(np.concatenate(([True], line[1:] != line[:-1])))
+    return h, begin, np.diff(begin, append=len(h))
+
+
+def _named(h: np.ndarray, begin: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """A 64-bit name of each set of word hashes, whatever their order."""
+    return _mix(np.add.reduceat(_mix(h, 1), begin) + n.astype(_U))
+
+
+# --- postings --------------------------------------------------------------------------------------
+
+#: Columns of a posting: its list; the line's order (id, row's name, number), class, size and bitmap; the word's place.
+_POSTED = {"list": np.uint64, "o": np.int64, "k": np.int64, "line": np.int32, "c": np.uint64, "n": np.int32, "bits": np.uint64, "at": np.int32}
+_ROW = {c: _POSTED[c] for c in ("o", "k", "line")}
+#: Rows between stages: lines that equal an earlier one, postings dealt to their partition, and postings of frequent words.
+SAME, DEALT, WARM = 0, 1, 2
+#: And after lists are compared: candidates, lists that have more of them, and the lines that these may help.
+PAIR, LIST, MORE = 3, 4, 5
+
+
+def _packed(col: dict[str, np.ndarray], kinds: dict) -> bytes:
+    """Columns of one length as bytes, equal places of their values together, so that they compress."""
+    rows = len(next(iter(col.values())))
+    flat = [np.ascontiguousarray(col[c], t).view(np.uint8).reshape(rows, -1).T.tobytes() for c, t in kinds.items()]
+    return b"".join([rows.to_bytes(8, "little"), *flat])
+
+
+def _unpacked(blob: bytes, kinds: dict) -> dict[str, np.ndarray]:
+    rows, at, out = int.from_bytes(blob[:8], "little"), 8, {}
+    for c, t in kinds.items():
+        size = np.dtype(t).itemsize
+        out[c] = np.ascontiguousarray(np.frombuffer(blob, np.uint8, rows * size, at).reshape(size, rows).T).view(t).ravel()
+        at += rows * size
+    return out
+
+
+def _gathered(blobs: list[bytes], kinds: dict) -> dict[str, np.ndarray]:
+    each = [_unpacked(b, kinds) for b in blobs]
+    return {c: np.concatenate([np.zeros(0, t), *[x[c] for x in each]]) for c, t in kinds.items()}
+
+
+def _dealt(col: dict[str, np.ndarray], part: np.ndarray) -> Iterator[tuple[int, bytes]]:
+    order = np.lexsort((col["list"], part))
+    part = part[order]
+    first = np.flatnonzero(np.concatenate(([True], part[1:] != part[:-1]))) if len(part) else []
+    for a, z in zip(first, np.append(first[1:], len(part))):
+        yield int(part[a]), _packed({c: v[order[a:z]] for c, v in col.items()}, _POSTED)
+
+
+_BLOB = "part int, kind int, blob binary"
+
+
+def _blobs(rows: list[tuple[int, int, bytes]]) -> pa.RecordBatch:
+    part, kind, blob = zip(*rows) if rows else ((), (), ())
+    return pa.RecordBatch.from_arrays([pa.array(part, pa.int32()), pa.array(kind, pa.int32()), pa.array(blob, pa.binary())], names=["part", "kind", "blob"])
+
+
+def _again(col: dict[str, np.ndarray], same: np.ndarray) -> np.ndarray:
+    """Of rows in order of class, then line: those that repeat the class of the row before."""
+    out = np.zeros(len(same), bool)
+    for c in ("c", "n", "bits"):
+        same &= col[c] == np.roll(col[c], 1)
+    out[1:] = same[1:]
+    return out
+
+
+def _later(col: dict[str, np.ndarray], again: np.ndarray) -> np.ndarray:
+    """Of the rows that are ``again``, those that are not the first occurrence itself (rows may repeat)."""
+    lead = np.maximum.accumulate(np.where(again, 0, np.arange(len(again))))
+    return again & np.any([col[c] != col[c][lead] for c in _ROW], axis=0)
+
+
+def _postings(rarity: np.ndarray, hot: int, parts: int):
     # 1024 classes of frequency, finer for rare words, are enough to put rare words first
     rank = np.minimum(np.log2(rarity + 1.0) * 24, 1023).astype(np.uint64)
-    warm = rarity > hot
+    warm, last = rarity > hot, _U(len(rarity) - 1)
+
+    def made(held: list[tuple], spread: int) -> pa.RecordBatch:
+        names = ("o", "k", "line", "c", "n", "bits")
+        col = {c: np.concatenate([x[i] for x in held]) for i, c in enumerate(names)}
+        head, p = np.concatenate([x[-2] for x in held]), np.concatenate([x[-1] for x in held])
+        order = np.lexsort((col["line"], col["k"], col["o"], col["bits"], col["n"], col["c"]))
+        col = {c: v[order] for c, v in col.items()}
+        again = _again(col, np.ones(len(order), bool))
+        gone = _later(col, again)
+        rows = [(spread % parts, SAME, _packed({c: col[c][gone] for c in _ROW}, _ROW))] if gone.any() else []
+        own = np.flatnonzero(~again)
+        begin, size = (np.cumsum(p) - p)[order[own]], p[order[own]]
+        at = np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size)
+        h, own = head[np.repeat(begin, size) + at], np.repeat(own, size)
+        part = (h >> _U(32)) % _U(parts)
+        posted = {"list": part << _U(32) | h & _U(0xFFFFFFFF), **{c: v[own] for c, v in col.items()}, "at": at}
+        hottest = warm[(h & last).astype(np.int64)]
+        if hottest.any():
+            rows.append((spread % parts, WARM, _packed({c: v[hottest] for c, v in posted.items()}, _POSTED)))
+        rest = ~hottest
+        return _blobs(rows + [(x, DEALT, blob) for x, blob in _dealt({c: v[rest] for c, v in posted.items()}, part[rest].astype(np.int64))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        spread, held, count = TaskContext.get().partitionId(), [], 0
         for b in batches:
-            texts = b.column("text").to_pylist()
             o, k = (b.column(c).to_numpy(zero_copy_only=False) for c in ("o", "k"))
-            for at in range(0, len(texts), STEP):
-                h, line, owner, number = _words(texts[at : at + STEP])
+            for at, raw, starts in _texts(b.column("text")):
+                h, line, place = _words(raw, starts)
                 if not len(h):
                     continue
-                order = _ordered(h, rank[(h % _U(SKETCH)).astype(np.int64)], line)
-                h, line = h[order], line[order]
-                new = np.concatenate(([True], (h[1:] != h[:-1]) | (line[1:] != line[:-1])))
-                h, line = h[new], line[new]
-                begin = np.flatnonzero(np.concatenate(([True], line[1:] != line[:-1])))
-                own = line[begin]
-                n = np.diff(begin, append=len(h))
-                c, c2 = _named(h, begin, n)
+                h, begin, n = _distinct(h, line, rank[(h & last).astype(np.int64)])
+                text, number = _numbered(raw, starts, place)
                 bits = np.bitwise_xor.reduceat(_U(1) << (h >> _U(58)), begin)
                 p = n - needed(n) + 1
-                place = np.arange(len(h)) - np.repeat(begin, n)
-                head = h[place < np.repeat(p, n)]
-                hottest = np.add.reduceat(warm[(head % _U(SKETCH)).astype(np.int64)].astype(np.int64), np.cumsum(p) - p) > 0
-                cols = (o[at + owner[own]], k[at + owner[own]], number[own], c.view(np.int64), c2.view(np.int64), n, bits.view(np.int64))
-                heads = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(p))), pa.int32()), pa.array(head.astype(np.uint32).view(np.int32)))
-                yield pa.RecordBatch.from_arrays([*[pa.array(x, pa.int64()) for x in cols], pa.array(hottest), heads], names=_LINE)
+                head = h[np.arange(len(h)) - np.repeat(begin, n) < np.repeat(p, n)]
+                held.append((o[at + text], k[at + text], number.astype(np.int32), _named(h, begin, n), n.astype(np.int32), bits, head, p))
+                count += len(n)
+                if count >= LINES:
+                    yield made(held, spread)
+                    spread, held, count = spread + 1, [], 0
+        if held:
+            yield made(held, spread)
 
     return run
 
 
-_LINE = ["o", "k", "line", "c", "c2", "n", "bits", "warm", "head"]
-
+# --- lists -----------------------------------------------------------------------------------------
 
-def _named(h: np.ndarray, begin: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Two 64-bit names of each set of word hashes, whatever their order."""
-    return _mix(np.add.reduceat(_mix(h, 1), begin) + n.astype(np.uint64)), np.add.reduceat(_mix(h, 2), begin)
 
+def _met(lists: np.ndarray, n: np.ndarray, at: np.ndarray, bits: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """(i, j, differing bits) of the pairs of rows of a list that pass the filters; rows in order of list, then size.
 
-def keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(o, k, text): the order by id, nulls last, and a hash that names the row."""
-    text = F.col(text_col)
-    return docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(2**63 - 1)).alias("o"), row_key(id_col, text_col).alias("k"), text.alias("text"))
-
-
-def row_key(id_col: str, text_col: str):
-    return F.xxhash64(F.lit("lines"), F.col(id_col).cast("long"), F.col(text_col))
-
-
-def passes(n1, at1, bits1, n2, at2, bits2) -> np.ndarray:
-    """The length, position and bitmap filters for sets that share a word at places at1 and at2."""
-    least = -(-LEAST[0] * (n1 + n2) // (LEAST[0] + LEAST[1]))
-    bound = np.minimum(at1, at2) + np.minimum(n1 - at1, n2 - at2)
-    apart = np.bitwise_count((bits1 ^ bits2).view(np.uint64)).astype(np.int64)
-    return (LEAST[1] * np.minimum(n1, n2) >= LEAST[0] * np.maximum(n1, n2)) & (bound >= least) & ((n1 + n2 - apart) // 2 >= least)
-
-
-def _list_pairs(c: np.ndarray, n: np.ndarray, at: np.ndarray, bits: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """The earliest candidate of each row of lists of one word each: (row, candidate, whether rows between
-    them are left out).  ``first`` is the place where each row's list starts; lists are in order."""
-    left = np.arange(len(n))
-    later, earlier = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
-    step = 0
-    while len(left):
-        x = first[left] + step
-        left, x = left[x < left], x[x < left]
-        # two words of a class may share a list
-        hit = (c[left] != c[x]) & passes(n[left], at[left], bits[left], n[x], at[x], bits[x])
-        later.append(left[hit])
-        earlier.append(x[hit])
-        left = left[~hit]
+    A pair may be missed where it meets at a word that is not the first it shares: there it meets elsewhere.
+    """
+    i = np.arange(max(0, len(n) - 1))
+    step = 1
+    while len(i):
+        i = i[i + step < len(n)]
+        i = i[(lists[i] == lists[i + step]) & (LEAST[0] * n[i + step] <= LEAST[1] * n[i])]
+        both = n[i] + n[i + step]
+        least = -(-LEAST[0] * both // (LEAST[0] + LEAST[1]))
+        fits = np.flatnonzero(np.minimum(n[i] - at[i], n[i + step] - at[i + step]) >= least)
+        a = i[fits]
+        apart = np.bitwise_count(bits[a] ^ bits[a + step]).astype(np.int32)
+        close = (both[fits] - apart) // 2 >= least[fits]
+        yield a[close], a[close] + step, apart[close]
         step += 1
-    y, x = np.concatenate(later), np.concatenate(earlier)
-    return y, x, x + 1 < y
 
 
-_POSTED = ["o", "line", "c", "n", "bits"]
-_SORTED = ["part", "token", "at", *_POSTED]
-_FOUND = ["y", "yo", "yl", "x", "xo", "xl", "token", "more"]
-#: Posting rows compared at a time.
-GATHER = 1 << 17
+_FOUND = {"kind": np.int32, "yo": np.int64, "yk": np.int64, "yl": np.int32, "yc": np.uint64, "xo": np.int64, "xl": np.int32, "xc": np.uint64, "list": np.uint64}
+_FOUND_KIND = "kind int, yo long, yk long, yl int, yc long, xo long, xl int, xc long, list long, blob binary"
+_SIGNED = {np.uint64: np.int64}
+
+
+def _rows(kind: int, count: int, blobs: list | None = None, **cols: np.ndarray) -> pa.RecordBatch:
+    made = []
+    for c, t in _FOUND.items():
+        own = np.full(count, kind, t) if c == "kind" else np.ascontiguousarray(cols.get(c, np.zeros(count)), t)
+        made.append(pa.array(own.view(_SIGNED.get(t, t))))
+    return pa.RecordBatch.from_arrays([*made, pa.array(blobs or [None] * count, pa.binary())], names=[*_FOUND, "blob"])
+
+
+def _side(col: dict[str, np.ndarray], rows: np.ndarray, which: str) -> dict[str, np.ndarray]:
+    names = {"yo": "o", "yk": "k", "yl": "line", "yc": "c"} if which == "y" else {"xo": "o", "xl": "line", "xc": "c"}
+    return {c: col[own][rows] for c, own in names.items()}
+
+
+def _compared(col: dict[str, np.ndarray]) -> Iterator[pa.RecordBatch]:
+    """What the lists of a partition have to say of their lines."""
+    order = np.lexsort((col["line"], col["k"], col["o"], col["c"], col["n"], col["list"]))
+    col = {c: v[order] for c, v in col.items()}
+    again = _again(col, col["list"] == np.roll(col["list"], 1))
+    gone = np.flatnonzero(_later(col, again) & (col["at"] == 0))
+    if len(gone):
+        yield _rows(SAME, len(gone), **_side(col, gone, "y"))
+    col = {c: v[~again] for c, v in col.items()}
+    size = len(col["list"])
+    rank = np.empty(size, np.int64)
+    by_rank = np.lexsort((col["line"], col["k"], col["o"]))
+    rank[by_rank] = np.arange(size)
+    most = np.iinfo(np.int64).max
+    best, hits = np.full(size, most), np.zeros(size, np.int64)
+    for i, j, apart in _met(col["list"], col["n"], col["at"], col["bits"]):
+        key = (apart.astype(np.int64) * 1024 // (col["n"][i] + col["n"][j])) << 40
+        after = rank[j] > rank[i]
+        for y, x, own in ((j[after], i[after], key[after]), (i[~after], j[~after], key[~after])):  # no line twice in either
+            best[y] = np.minimum(best[y], own | rank[x])
+            hits[y] += 1
+    y = np.flatnonzero(hits)
+    if len(y):
+        x = by_rank[best[y] & ((1 << 40) - 1)]
+        yield _rows(PAIR, len(y), **_side(col, y, "y"), **_side(col, x, "x"))
+    y = np.flatnonzero(hits > 1)
+    if not len(y):
+        return
+    first = np.flatnonzero(np.concatenate(([True], col["list"][1:] != col["list"][:-1])))
+    stop = np.append(first[1:], size)
+    own = np.searchsorted(first, y, "right") - 1
+    yield _rows(MORE, len(y), **_side(col, y, "y"), xl=y - first[own], list=col["list"][y])
+    which = np.unique(own)
+    for at in range(0, len(which), 1024):
+        some = which[at : at + 1024]
+        yield _rows(LIST, len(some), [_packed({c: v[first[w] : stop[w]] for c, v in col.items()}, _POSTED) for w in some], list=col["list"][first[some]])
 
 
 def _candidates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows come sorted by list, then order; a list may span batches."""
-    held, size = [], 0
+    held = []
     for b in batches:
-        held.append({c: b.column(c).to_numpy(zero_copy_only=False) for c in _SORTED})
-        size += b.num_rows
-        if size < GATHER:
-            continue
-        col = {c: np.concatenate([x[c] for x in held]) for c in _SORTED}
-        start = _starts(col)
-        yield _emitted({c: v[: start[-1]] for c, v in col.items()})
-        held = [{c: v[start[-1] :] for c, v in col.items()}]
-        size = len(held[0]["token"])
-    if size:
-        yield _emitted({c: np.concatenate([x[c] for x in held]) for c in _SORTED})
-
-
-def _starts(col: dict[str, np.ndarray]) -> np.ndarray:
-    part, token = col["part"], col["token"]
-    return np.flatnonzero(np.concatenate(([True], (part[1:] != part[:-1]) | (token[1:] != token[:-1])))) if len(token) else np.zeros(0, np.int64)
-
-
-def _emitted(col: dict[str, np.ndarray]) -> pa.RecordBatch:
-    start = _starts(col)
-    held = np.diff(start, append=len(col["token"]))
-    # most lists have one row, which meets none
-    several = np.repeat(held > 1, held)
-    col = {c: v[several] for c, v in col.items()}
-    held = held[held > 1]
-    y, x, more = _list_pairs(col["c"], col["n"], col["at"], col["bits"], np.repeat(np.cumsum(held) - held, held))
-    cols = [col[c][i] for i in (y, x) for c in ("c", "o", "line")]
-    return pa.RecordBatch.from_arrays([*[pa.array(v, pa.int64()) for v in cols], pa.array(col["token"][y], pa.int32()), pa.array(more)], names=_FOUND)
-
+        for kind, blob in zip(b.column("kind").to_pylist(), b.column("blob")):
+            if kind == DEALT:
+                held.append(blob.as_py())
+            elif kind == SAME:
+                own = _unpacked(blob.as_py(), _ROW)
+                yield _rows(SAME, len(own["o"]), yo=own["o"], yk=own["k"], yl=own["line"])
+            else:
+                yield _rows(WARM, 1, [blob.as_py()])
+    if held:
+        yield from _compared(_gathered(held, _POSTED))
+
+
+def candidates(rows: DataFrame, hot: int) -> list[DataFrame]:
+    """Stored tables of what the lists say: equal lines, pairs, and lists that have more."""
+    spark = rows.sparkSession
+    parts = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    rarity = sketch(rows, _sized(4 * rows.count(), SKETCH))
+    dealt = rows.mapInArrow(_postings(rarity, hot, parts), _BLOB)
+    found = stored(dealt.repartitionById(parts, F.col("part")).mapInArrow(_candidates, _FOUND_KIND))
+    tidy(spark)
+    warm = found.where(F.col("kind") == WARM).select("blob")
+    slots = 1 << 16
+
+    def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for blob in b.column("blob"):
+                lists, n = np.unique(_unpacked(blob.as_py(), _POSTED)["list"], return_counts=True)
+                yield pa.RecordBatch.from_arrays([pa.array(lists.view(np.int64)), pa.array(n)], names=["list", "n"])
+
+    sizes = warm.mapInArrow(counted, "list long, n long").groupBy("list").agg(F.sum("n").alias("n"))
+    slot = F.pmod("list", F.lit(slots))
+    blocks = np.zeros(slots, np.int64)
+    for r in sizes.groupBy(slot.alias("slot")).agg(F.max("n").alias("n")).collect():  # at most ``slots`` rows
+        blocks[r.slot] = -(-r.n // hot)
+    if not blocks.any():
+        return [found]
+
+    def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for blob in b.column("blob"):
+                col = _unpacked(blob.as_py(), _POSTED)
+                many = blocks[col["list"].view(np.int64) % slots]
+                row = np.repeat(np.arange(len(many)), many)
+                other, own = np.arange(len(row)) - np.repeat(np.cumsum(many) - many, many), (col["c"] % many.astype(_U)).astype(np.int64)[row]
+                col = {c: v[row] for c, v in col.items()}
+                pair = np.minimum(own, other) << 32 | np.maximum(own, other)
+                # each two blocks of a list are a list, to which rows of either go
+                col["list"] = np.where(many[row] > 1, _mix(col["list"] + _mix(pair.astype(_U), 3)), col["list"])
+                part = (_mix(col["list"], 4) % _U(parts)).astype(np.int64)
+                yield _blobs([(x, DEALT, own) for x, own in _dealt(col, part)])
+
+    return [found, stored(warm.mapInArrow(split, _BLOB).repartitionById(parts, F.col("part")).mapInArrow(_candidates, _FOUND_KIND))]
+
+
+def _rest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """All candidates, in lists that were kept, of the lines at the places asked for."""
+    for b in batches:
+        for blob, places in zip(b.column("blob"), b.column("places").to_pylist()):
+            col = _unpacked(blob.as_py(), _POSTED)
+            size = len(col["o"])
+            asked, rank = np.zeros(size, bool), np.empty(size, np.int64)
+            asked[[p for p in places if p < size]] = True
+            rank[np.lexsort((col["line"], col["k"], col["o"]))] = np.arange(size)
+            for i, j, _ in _met(np.zeros(size, np.int8), col["n"], col["at"], col["bits"]):
+                after = rank[j] > rank[i]
+                y, x = np.where(after, j, i), np.where(after, i, j)
+                own = asked[y]
+                if own.any():
+                    yield _rows(PAIR, int(own.sum()), **_side(col, y[own], "y"), **_side(col, x[own], "x"))
 
-def postings(classes: DataFrame) -> DataFrame:
-    return classes.select(*_POSTED, F.posexplode("head").alias("at", "token")).withColumn("at", F.col("at").cast("long"))
 
+# --- verification ----------------------------------------------------------------------------------
 
-def postings_of(classes: DataFrame, tokens: DataFrame) -> DataFrame:
-    """The postings of the words in ``tokens`` (and of some that share their filter bit)."""
-    sc = classes.sparkSession.sparkContext
-    bits = sc.broadcast(wanted(tokens.select(F.col("token").cast("long").alias("o"), F.lit(0).cast("long").alias("line"))))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            heads = b.column("head")
-            size = heads.value_lengths().to_numpy()
-            token = heads.flatten().to_numpy()
-            slot = _slot(token.astype(np.int64), np.zeros(len(token)))
-            keep = np.flatnonzero(bits.value[slot >> 3] >> (slot & 7).astype(np.uint8) & 1)
-            row = np.repeat(np.arange(len(size)), size)[keep]
-            at = keep - (np.cumsum(size) - size)[row]
-            cols = [b.column(c).to_numpy(zero_copy_only=False)[row] for c in _POSTED]
-            yield pa.RecordBatch.from_arrays([*[pa.array(x, pa.int64()) for x in cols], pa.array(at, pa.int64()), pa.array(token[keep], pa.int32())], names=[*_POSTED, "at", "token"])
-
-    return classes.select(*_POSTED, "head").mapInArrow(run, ", ".join(f"{c} long" for c in (*_POSTED, "at")) + ", token int")
-
-
-def candidates(classes: DataFrame, hot: int = HOT) -> DataFrame:
-    """Of each class and prefix word, the earliest candidate, and whether there may be more (``more``)."""
-    posted = postings(classes)
-    # a list is no longer than its words' counter, so only classes with such a word are counted
-    sizes = cut(postings(classes.where("warm")).groupBy("token").agg(F.count("*").alias("held")).where(F.col("held") > hot))
-    if sizes.limit(1).count():
-        # block pairs (i, j) of hot lists: each row goes to every pair that has its block
-        blocks = F.ceil(F.col("held") / hot).cast("int")
-        own = F.pmod(F.xxhash64("c"), blocks).cast("int")
-        posted = posted.join(sizes, "token", "left").withColumn("blocks", F.coalesce(blocks, F.lit(1))).withColumn("own", F.coalesce(own, F.lit(0)))
-        pair = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda j: F.least(j, "own") * F.col("blocks") + F.greatest(j, "own"))
-        posted = posted.withColumn("part", F.explode(pair)).drop("held", "blocks", "own")
-    else:
-        posted = posted.withColumn("part", F.lit(0))
-    ready = posted.repartition("token", "part").sortWithinPartitions("part", "token", "o", "line", "c")
-    return ready.withColumn("part", F.col("part").cast("long")).mapInArrow(_candidates, "y long, yo long, yl long, x long, xo long, xl long, token int, more boolean")
-
-
-def _slot(o: np.ndarray, line: np.ndarray) -> np.ndarray:
-    return (_mix(o.view(np.uint64) + _mix(line.astype(np.int64).view(np.uint64), 3)) % _U(FILTER)).astype(np.int64)
+def _slot(o: np.ndarray, line: np.ndarray, bits: int) -> np.ndarray:
+    return (_mix(o.view(_U) + _mix(line.astype(np.int64).view(_U), 3)) & _U(bits - 1)).astype(np.int64)
 
 
 def wanted(places: DataFrame) -> np.ndarray:
-    """A filter of FILTER bits of the lines at ``places`` (o, line); its size does not grow with them."""
+    """A filter of the lines at ``places`` (o, line), of 16 bits to each of them within the bounds of FILTER."""
+    size = _sized(16 * places.count(), FILTER)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        held = np.zeros(FILTER // 8, np.uint8)
+        held = np.zeros(size // 8, np.uint8)
         for b in batches:
-            s = _slot(b["o"].to_numpy(np.int64), b["line"].to_numpy(np.int64))
+            s = _slot(b["o"].to_numpy(np.int64), b["line"].to_numpy(np.int64), size)
             np.bitwise_or.at(held, s >> 3, (1 << (s & 7)).astype(np.uint8))
         words = held.view(np.int64)
         own = np.flatnonzero(words)
         yield pd.DataFrame({"at": own, "word": words[own]})
 
-    out = np.zeros(FILTER // 64, np.int64)
-    for r in places.mapInPandas(run, "at long, word long").groupBy("at").agg(F.bit_or("word").alias("word")).collect():
-        out[r["at"]] = r["word"]
+    out = np.zeros(size // 64, np.int64)
+    found = places.mapInPandas(run, "at long, word long").groupBy("at").agg(F.bit_or("word").alias("word")).toArrow()
+    out[found["at"].to_numpy()] = found["word"].to_numpy()
     return out.view(np.uint8)
 
 
 def sets(rows: DataFrame, places: DataFrame) -> DataFrame:
     """(c, n, sig, words): the whole word sets, and their parity bitmaps of 64 * SIGNATURE bits, of the lines at ``places`` (and of some that share their filter bit)."""
-    sc = rows.sparkSession.sparkContext
-    bits = sc.broadcast(wanted(places))
+    bits = rows.sparkSession.sparkContext.broadcast(wanted(places))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        size = len(bits.value) * 8
         for b in batches:
-            texts, o = b.column("text").to_pylist(), b.column("o").to_numpy(zero_copy_only=False)
-            for at in range(0, len(texts), STEP):
-                lines, owner, number = [], [], []
-                for d, text in enumerate(texts[at : at + STEP]):
-                    if text is not None:
-                        own = text.split("\n")
-                        lines += own
-                        owner.append(np.full(len(own), o[at + d]))
-                        number.append(np.arange(len(own)))
-                if not lines:
-                    continue
-                s = _slot(np.concatenate(owner), np.concatenate(number))
+            o = b.column("o").to_numpy(zero_copy_only=False)
+            for at, raw, starts in _texts(b.column("text")):
+                ends = np.flatnonzero(raw == 10)
+                begin = np.sort(np.concatenate((starts, ends + 1)))
+                text = np.repeat(np.arange(len(starts)), np.diff(np.searchsorted(ends, starts), append=len(ends)) + 1)
+                number = np.arange(len(begin)) - np.searchsorted(text, text)
+                s = _slot(o[at + text], number, size)
                 picked = np.flatnonzero(bits.value[s >> 3] >> (s & 7).astype(np.uint8) & 1)
-                h, line, *_ = _words([lines[i] for i in picked])
+                stop = np.append(begin[1:], len(raw))
+                long = stop[picked] - begin[picked]
+                if not long.sum():
+                    continue
+                own = np.arange(long.sum()) + np.repeat(begin[picked] - (np.cumsum(long) - long), long)
+                h, line, _ = _words(raw[own], (np.cumsum(long) - long)[long > 0])
                 if not len(h):
                     continue
-                order = np.lexsort((h, line))
-                h, line = h[order], line[order]
-                new = np.concatenate(([True], (h[1:] != h[:-1]) | (line[1:] != line[:-1])))
-                h, line = h[new], line[new]
-                begin = np.flatnonzero(np.concatenate(([True], line[1:] != line[:-1])))
-                n = np.diff(begin, append=len(h))
-                words = pa.ListArray.from_arrays(pa.array(np.append(begin, len(h)), pa.int32()), pa.array(h.view(np.int64)))
-                wide = np.zeros((len(begin), SIGNATURE), np.uint64)
-                np.bitwise_xor.at(wide, (np.repeat(np.arange(len(begin)), n), (h >> _U(8)) % _U(SIGNATURE)), _U(1) << (h & _U(63)))
-                sigs = pa.ListArray.from_arrays(pa.array(np.arange(len(begin) + 1) * SIGNATURE, pa.int32()), pa.array(wide.ravel().view(np.int64)))
-                yield pa.RecordBatch.from_arrays([pa.array(_named(h, begin, n)[0].view(np.int64)), pa.array(n, pa.int64()), sigs, words], names=["c", "n", "sig", "words"])
+                h, first, n = _distinct(h, line, np.zeros(len(h), _U))
+                words = pa.ListArray.from_arrays(pa.array(np.append(first, len(h)), pa.int32()), pa.array(h.view(np.int64)))
+                wide = np.zeros((len(first), SIGNATURE), _U)
+                np.bitwise_xor.at(wide, (np.repeat(np.arange(len(first)), n), (h >> _U(8)) % _U(SIGNATURE)), _U(1) << (h & _U(63)))
+                sigs = pa.ListArray.from_arrays(pa.array(np.arange(len(first) + 1) * SIGNATURE, pa.int32()), pa.array(wide.ravel().view(np.int64)))
+                yield pa.RecordBatch.from_arrays([pa.array(_named(h, first, n).view(np.int64)), pa.array(n, pa.int64()), sigs, words], names=["c", "n", "sig", "words"])
 
     return rows.select("o", "text").mapInArrow(run, "c long, n long, sig array<long>, words array<long>")
 
 
 def verified(pairs: DataFrame, rows: DataFrame) -> DataFrame:
-    """Those of the distinct ``pairs`` whose whole sets are similar, as (y, x).
+    """Those of the ``pairs`` whose whole sets are similar, as (yo, yk, yl).
 
     Wide bitmaps go first: two sets share at most half of what their sizes exceed their bitmaps'
     difference by.  That leaves few pairs that are not similar, so few sets are moved in vain.
     """
-    pairs = cut(pairs.select("y", "yo", "yl", "x", "xo", "xl"))
-    places = pairs.select(F.col("yo").alias("o"), F.col("yl").alias("line")).unionByName(pairs.select(F.col("xo").alias("o"), F.col("xl").alias("line")))
-    have = stored(sets(rows, places))
+    pairs = cut(pairs.select("yo", "yk", "yl", F.col("yc").alias("y"), "xo", "xl", F.col("xc").alias("x")).distinct())
+    places = pairs.select(F.col("yo").alias("o"), F.col("yl").alias("line")).union(pairs.select("xo", "xl")).distinct()
+    # lines of one set are named alike: one of them is enough
+    have = stored(sets(rows, places).dropDuplicates(["c"]))
     side = lambda k, *cols: have.select(F.col("c").alias(k), *[F.col(c).alias(f"{k}_{c}") for c in cols])
-    slim = pairs.select("y", "x").join(side("y", "n", "sig"), "y").join(side("x", "n", "sig"), "x")
+    slim = pairs.select("y", "x").distinct().join(side("y", "n", "sig"), "y").join(side("x", "n", "sig"), "x")
     apart = F.aggregate(F.zip_with("y_sig", "x_sig", lambda a, b: F.bit_count(a.bitwiseXOR(b))), F.lit(0), lambda t, d: t + d)
     total = F.col("y_n") + F.col("x_n")
-    close = cut(slim.where(F.floor((total - apart) / 2) * (LEAST[0] + LEAST[1]) >= total * LEAST[0]).select("y", "x").distinct())
+    close = cut(slim.where(F.floor((total - apart) / 2) * (LEAST[0] + LEAST[1]) >= total * LEAST[0]).select("y", "x"))
     need = lambda k: side(k, "words").join(close.select(k).distinct(), k, "left_semi")
     both = close.join(need("y"), "y").join(need("x"), "x")
     common = F.size(F.array_intersect("y_words", "x_words"))
-    out = cut(both.where(common * (LEAST[0] + LEAST[1]) >= LEAST[0] * (F.size("y_words") + F.size("x_words"))).select("y", "x").distinct())
+    alike = cut(both.where(common * (LEAST[0] + LEAST[1]) >= LEAST[0] * (F.size("y_words") + F.size("x_words"))).select("y", "x"))
+    out = cut(pairs.join(alike, ["y", "x"], "left_semi").select("yo", "yk", "yl").distinct())
     discard(have)
     tidy(rows.sparkSession)
     return out
 
 
-def later(classes: DataFrame, rows: DataFrame, hot: int = HOT) -> DataFrame:
-    """(c) of the classes whose first occurrence has an earlier match.
-
-    The earliest candidate of each class is verified first; that decides most.  Those of its other
-    words are verified for the classes left, and then, for those still left, all that was left out.
-    """
-    found = stored(candidates(classes, hot))
+def keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(o, k, text): the order by id, nulls last, and what tells rows of one id apart."""
+    o, k = row_key(docs, id_col, text_col)
+    return docs.select(o.alias("o"), k.alias("k"), F.col(text_col).alias("text"))
+
+
+def row_key(docs: DataFrame, id_col: str, text_col: str) -> tuple:
+    """The names (o, k) of a row: where no id repeats, the id says all; else a hash of the text goes with it."""
+    o = F.coalesce(F.col(id_col).cast("long"), F.lit(2**63 - 1))
+    repeated = docs.groupBy(o.alias("o")).count().where("count > 1").limit(1).count()
+    return o, F.xxhash64(F.lit("lines"), F.col(id_col).cast("long"), F.col(text_col)) if repeated else F.lit(0).cast("long")
+
+
+def removed(rows: DataFrame, hot: int = HOT) -> DataFrame:
+    """(o, k, line) of the lines that are removed."""
+    made = candidates(rows, hot)
+    found = made[0]
+    for more in made[1:]:
+        found = found.unionByName(more)
+    of = lambda kind: found.where(F.col("kind") == kind)
+    name = ["yo", "yk", "yl"]
+    gone = of(SAME).select(*name).unionByName(verified(of(PAIR), rows))
+    open_ = of(MORE).select(*name, "list", F.col("xl").alias("place")).join(gone, name, "left_anti")
+    places = cut(open_.groupBy("list").agg(F.collect_set("place").alias("places")))
+    if places.limit(1).count():
+        # the rest: lines whose likeliest candidates are not similar, compared with all others
+        rest = of(LIST).select("list", "blob").join(places, "list").select("blob", "places").mapInArrow(_rest, _FOUND_KIND)
+        gone = gone.unionByName(verified(rest, rows))
+    gone = cut(gone.select(F.col("yo").alias("o"), F.col("yk").alias("k"), F.col("yl").alias("line")).distinct())
+    for table in made:
+        discard(table)
     tidy(rows.sparkSession)
-    pairs = found.select("y", "yo", "yl", "x", "xo", "xl").distinct()
-    best = pairs.groupBy("y").agg(F.min(F.struct("xo", "xl", "x", "yo", "yl")).alias("b")).select("y", "b.yo", "b.yl", "b.x", "b.xo", "b.xl")
-    gone = cut(verified(best, rows).select(F.col("y").alias("c")))
-    rest = cut(pairs.join(gone.select(F.col("c").alias("y")), "y", "left_anti").join(best.select("y", "x"), ["y", "x"], "left_anti"))
-    if rest.limit(1).count():
-        gone = cut(gone.unionByName(verified(rest, rows).select(F.col("y").alias("c")).distinct()))
-    open_ = cut(found.where("more").select(F.col("y").alias("c"), "token").distinct().join(gone, "c", "left_anti"))
-    if not open_.limit(1).count():
-        return gone
-    # the rare rest: compared with the whole of the lists that they were cut off in
-    posted = stored(postings_of(classes, open_.select("token").distinct()))
-    mine = posted.join(open_, ["c", "token"], "left_semi")
-    y, x = (d.select("token", *[F.col(c).alias(p + c) for c in (*_POSTED, "at")]) for d, p in ((mine, "y_"), (posted, "x_")))
-    n = F.col("y_n") + F.col("x_n")
-    least = F.ceil(n * LEAST[0] / (LEAST[0] + LEAST[1]))
-    fits = (
-        (F.struct("x_o", "x_line", "x_c") < F.struct("y_o", "y_line", "y_c")) & (F.least("y_n", "x_n") * LEAST[1] >= F.greatest("y_n", "x_n") * LEAST[0])
-        & (F.floor((n - F.bit_count(F.col("y_bits").bitwiseXOR(F.col("x_bits")))) / 2) >= least)
-    )
-    pairs = y.join(x, "token").where(fits).select(
-        F.col("y_c").alias("y"), F.col("y_o").alias("yo"), F.col("y_line").alias("yl"), F.col("x_c").alias("x"), F.col("x_o").alias("xo"), F.col("x_line").alias("xl")
-    )
-    return gone.unionByName(verified(pairs.distinct(), rows).select(F.col("y").alias("c")).distinct()).distinct()
+    return gone
 
 
 def removals(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", hot: int = HOT) -> DataFrame:
-    """(k, removed): the row's name and the numbers of its removed lines, for rows that lose any."""
-    rows = keyed(docs, id_col, text_col)
-    made = rows.mapInArrow(_lines(sketch(rows), hot), "o long, k long, line long, c long, c2 long, n long, bits long, warm boolean, head array<int>")
-    # prefixes hold 32 bits of each word's hash: enough to meet, and what meets by chance is verified
-    lines = stored(made)
-    first = F.min(F.struct("o", "line", "k")).alias("first")
-    classes = stored(lines.groupBy("c", "c2").agg(first, *[F.any_value(c).alias(c) for c in ("n", "bits", "warm", "head")]).select("c", "c2", "first.*", "n", "bits", "warm", "head"))
-    tidy(docs.sparkSession)
-    gone = later(classes, rows, hot).withColumn("gone", F.lit(True))
-    named = classes.select("c", "c2", F.col("k").alias("fk"), F.col("line").alias("fl")).join(gone, "c", "left")
-    held = lines.select("k", "line", "c", "c2").join(cut(named), ["c", "c2"])
-    lost = held.where("gone OR k <> fk OR line <> fl").select("k", "line").distinct()
-    return lost.groupBy("k").agg(F.array_sort(F.collect_list("line")).alias("removed"))
+    """(o, k, removed): the row's name and the numbers of its removed lines, for rows that lose any."""
+    return removed(keyed(docs, id_col, text_col), hot).groupBy("o", "k").agg(F.array_sort(F.collect_list(F.col("line").cast("long"))).alias("removed"))
 
 
 def marked(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", hot: int = HOT) -> DataFrame:
     """(id, n_lines, removed) for each row."""
-    slim = docs.select(F.col(id_col).alias(id_col), F.size(F.split(F.coalesce(F.col(text_col), F.lit("")), "\n", -1)).alias("n_lines"), F.col(text_col).isNull().alias("none"), row_key(id_col, text_col).alias("k"))
-    out = slim.join(removals(docs, id_col, text_col, hot), "k", "left")
-    none = F.array().cast("array<bigint>")
-    return out.select(id_col, F.when(F.col("none"), 0).otherwise(F.col("n_lines")).alias("n_lines"), F.coalesce("removed", none).alias("removed"))
+    text = F.col(text_col)
+    lines = F.length(text) - F.length(F.replace(text, F.lit("\n"), F.lit(""))) + 1
+    o, k = row_key(docs, id_col, text_col)
+    slim = docs.select(F.col(id_col).alias(id_col), F.coalesce(lines, F.lit(0)).alias("n_lines"), o.alias("o"), k.alias("k"))
+    out = slim.join(removals(docs, id_col, text_col, hot), ["o", "k"], "left")
+    return out.select(id_col, "n_lines", F.coalesce("removed", F.array().cast("array<bigint>")).alias("removed"))
 
 
 def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", hot: int = HOT) -> DataFrame:
     """``docs`` with the removed lines taken out of their texts; rows that lose all lines with words are left out."""
-    whole = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc"), row_key(id_col, text_col).alias("k"))
-    joined = whole.join(removals(docs, id_col, text_col, hot), "k", "left")
+    o, k = row_key(docs, id_col, text_col)
+    whole = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc"), o.alias("o"), k.alias("k"))
+    joined = whole.join(removals(docs, id_col, text_col, hot), ["o", "k"], "left")
     text = F.col("doc").getField(text_col)
     kept = F.array_join(F.filter(F.split(text, "\n", -1), lambda x, i: ~F.array_contains("removed", i.cast("long"))), "\n")
     joined = joined.withColumn("kept", F.when(F.col("removed").isNull(), text).otherwise(kept))
