@@ -28,119 +28,41 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
-import pyarrow.compute as pc
-import xxhash
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from stratalens.llm import words as W
 from stratalens.llm.common import cut, discard, stored, tidy
+from stratalens.llm.filters import passing, sized, wanted
+from stratalens.llm.words import mix, texts
 
 #: Similarity as a fraction of small integers.
 LEAST = (4, 5)
 #: Longest list that is not cut, 64-bit words of the bitmaps for verification, blobs of a sketch.
 HOT, SIGNATURE, PIECES = 8192, 8, 16
-#: Bytes hashed and lines gathered at a time.
-SLICE, LINES = 1 << 18, 1 << 17
-#: Bounds of sizes that follow the input: counters of the sketch, bits of the filter of lines to verify.
-SKETCH, FILTER = (1 << 14, 1 << 20), (1 << 16, 1 << 28)
+#: Lines gathered at a time.
+LINES = 1 << 17
+#: Bounds of the counters of the sketch, which follow the number of rows.
+SKETCH = (1 << 14, 1 << 20)
 
 _U = np.uint64
-_SPACE = np.zeros(256, bool)
-_SPACE[[9, 10, 11, 12, 13, 32]] = True
-
-
-def _mix(x: np.ndarray, salt: int = 0) -> np.ndarray:
-    """A bijective scrambling of 64-bit words (the splitmix64 finaliser, public domain)."""
-    x = x + _U(salt * 0x9E3779B97F4A7C15 & 0xFFFFFFFFFFFFFFFF)
-    x = (x ^ (x >> _U(30))) * _U(0xBF58476D1CE4E5B9)
-    x = (x ^ (x >> _U(27))) * _U(0x94D049BB133111EB)
-    return x ^ (x >> _U(31))
 
 
 # --- words -----------------------------------------------------------------------------------------
 
-#: A word's hash is a polynomial over its bytes' random values, so running sums give it without a loop.
-_VALUE, _BASE, _LONG = _mix(np.arange(256, dtype=_U), 5), 0x9E3779B97F4A7C13, 256
-_powers: list[np.ndarray] = []
-
-
-def _table(n: int) -> list[np.ndarray]:
-    """Powers of the base and of its inverse, at least ``n`` of each."""
-    if not _powers or len(_powers[0]) < n:
-        _powers[:] = []
-        for base in (_BASE, pow(_BASE, -1, 1 << 64)):
-            row = np.full(max(n, SLICE), base, _U)
-            row[0] = 1
-            _powers.append(np.multiply.accumulate(row))
-    return _powers
-
-
-def _hashed(raw: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(place, hash, line) of each word of a piece; texts begin at ``starts``; lines count breaks so far."""
-    space = _SPACE[raw]
-    at = np.zeros(len(raw) + 1, bool)
-    at[starts] = True
-    at[-1] = True
-    begin, end = ~space, ~space
-    begin[1:] &= space[:-1] | at[1:-1]
-    end[:-1] &= space[1:] | at[1:-1]
-    begin, end = np.flatnonzero(begin), np.flatnonzero(end) + 1
-    power, inverse = _table(len(raw))
-    total = np.zeros(len(raw) + 1, _U)
-    np.cumsum(_VALUE[raw] * power[: len(raw)], out=total[1:])
-    size = end - begin
-    h = _mix((total[end] - total[begin]) * inverse[begin] + size.astype(_U))
-    for i in np.flatnonzero(size > _LONG):  # where sums of powers would no longer tell words apart
-        h[i] = xxhash.xxh64_intdigest(raw[begin[i] : end[i]].tobytes(), 1)
-    breaks = (raw == 10).astype(np.int32)
-    np.add.at(breaks, starts[starts < len(raw)], 1)
-    return begin, h, np.cumsum(breaks)[begin]
-
 
 def _words(raw: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(hash and line of each word, place of each line's first word), for texts that begin at ``starts``.
 
-    Lines are numbered by the breaks before them.  Long texts are hashed in pieces cut at white space.
+    Lines are numbered by the breaks before them.
     """
-    hashes, lines, places, a, base = [], [], [], 0, 0
-    while a < len(raw):
-        b = a + SLICE
-        if b < len(raw):
-            own = np.flatnonzero(_SPACE[raw[a:b]])
-            if len(own):
-                b = a + int(own[-1]) + 1
-            else:
-                while b < len(raw) and not _SPACE[raw[b]]:
-                    b += 1
-        b = min(b, len(raw))
-        inside = starts[np.searchsorted(starts, a) : np.searchsorted(starts, b)] - a
-        at, h, line = _hashed(raw[a:b], inside)
-        hashes.append(h)
-        lines.append(line + base)
-        places.append(at + a)
-        base += int(np.count_nonzero(raw[a:b] == 10)) + len(inside)
-        a = b
-    none = np.zeros(0, np.int64)
-    line, place = np.concatenate([none, *lines]), np.concatenate([none, *places])
-    first = np.flatnonzero(np.concatenate(([True], line[1:] != line[:-1]))) if len(line) else none
-    return np.concatenate([none.astype(_U), *hashes]), line, place[first]
-
-
-def _texts(column: pa.Array) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-    """(first row, bytes, where each text begins) for groups of whole texts of about ``SLICE`` bytes."""
-    column = pc.fill_null(column, "") if column.null_count else column
-    column = column.cast(pa.large_string())
-    off = np.frombuffer(column.buffers()[1], np.int64)[column.offset : column.offset + len(column) + 1] if len(column) else np.zeros(1, np.int64)
-    raw = np.frombuffer(column.buffers()[2] or b"", np.uint8)
-    i = 0
-    while i < len(column):
-        j = max(i + 1, int(np.searchsorted(off, off[i] + SLICE, "right")) - 1)
-        if off[j] > off[i]:
-            yield i, raw[off[i] : off[j]], off[i:j] - off[i]
-        i = j
+    place, h = W.words(raw, starts)
+    breaks = (raw == 10).astype(np.int32)
+    np.add.at(breaks, starts[starts < len(raw)], 1)
+    line = np.cumsum(breaks)[place]
+    return h, line, place[np.flatnonzero(np.concatenate(([True], line[1:] != line[:-1])))] if len(line) else place
 
 
 def _numbered(raw: np.ndarray, starts: np.ndarray, place: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -153,11 +75,6 @@ def _numbered(raw: np.ndarray, starts: np.ndarray, place: np.ndarray) -> tuple[n
 # --- rarity ----------------------------------------------------------------------------------------
 
 
-def _sized(n: int, bounds: tuple[int, int]) -> int:
-    """The power of two from ``n``, within ``bounds``."""
-    return min(max(1 << max(0, n - 1).bit_length(), bounds[0]), bounds[1])
-
-
 def sketch(docs: DataFrame, slots: int) -> np.ndarray:
     """How often the words of each of ``slots`` hash slots occur in all lines."""
     part = slots // PIECES
@@ -165,7 +82,7 @@ def sketch(docs: DataFrame, slots: int) -> np.ndarray:
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = np.zeros(slots, np.int64)
         for b in batches:
-            for _, raw, starts in _texts(b.column("text")):
+            for _, raw, starts in texts(b.column("text")):
                 h, *_ = _words(raw, starts)
                 counts += np.bincount((h & _U(slots - 1)).astype(np.int64), minlength=slots)
         yield pa.RecordBatch.from_arrays([pa.array(range(PIECES), pa.int32()), pa.array([counts[i * part : (i + 1) * part].tobytes() for i in range(PIECES)])], names=["piece", "n"])
@@ -212,7 +129,7 @@ def _distinct(h: np.ndarray, line: np.ndarray, rank: np.ndarray) -> tuple[np.nda
 
 def _named(h: np.ndarray, begin: np.ndarray, n: np.ndarray) -> np.ndarray:
     """A 64-bit name of each set of word hashes, whatever their order."""
-    return _mix(np.add.reduceat(_mix(h, 1), begin) + n.astype(_U))
+    return mix(np.add.reduceat(mix(h, 1), begin) + n.astype(_U))
 
 
 # --- postings --------------------------------------------------------------------------------------
@@ -308,7 +225,7 @@ def _postings(rarity: np.ndarray, hot: int, parts: int):
         spread, held, count = TaskContext.get().partitionId(), [], 0
         for b in batches:
             o, k = (b.column(c).to_numpy(zero_copy_only=False) for c in ("o", "k"))
-            for at, raw, starts in _texts(b.column("text")):
+            for at, raw, starts in texts(b.column("text")):
                 h, line, place = _words(raw, starts)
                 if not len(h):
                     continue
@@ -426,7 +343,7 @@ def candidates(rows: DataFrame, hot: int) -> list[DataFrame]:
     """Stored tables of what the lists say: equal lines, pairs, and lists that have more."""
     spark = rows.sparkSession
     parts = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    rarity = sketch(rows, _sized(4 * rows.count(), SKETCH))
+    rarity = sketch(rows, sized(4 * rows.count(), SKETCH))
     dealt = rows.mapInArrow(_postings(rarity, hot, parts), _BLOB)
     found = stored(dealt.repartitionById(parts, F.col("part")).mapInArrow(_candidates, _FOUND_KIND))
     tidy(spark)
@@ -457,8 +374,8 @@ def candidates(rows: DataFrame, hot: int) -> list[DataFrame]:
                 col = {c: v[row] for c, v in col.items()}
                 pair = np.minimum(own, other) << 32 | np.maximum(own, other)
                 # each two blocks of a list are a list, to which rows of either go
-                col["list"] = np.where(many[row] > 1, _mix(col["list"] + _mix(pair.astype(_U), 3)), col["list"])
-                part = (_mix(col["list"], 4) % _U(parts)).astype(np.int64)
+                col["list"] = np.where(many[row] > 1, mix(col["list"] + mix(pair.astype(_U), 3)), col["list"])
+                part = (mix(col["list"], 4) % _U(parts)).astype(np.int64)
                 yield _blobs([(x, DEALT, own) for x, own in _dealt(col, part)])
 
     return [found, stored(warm.mapInArrow(split, _BLOB).repartitionById(parts, F.col("part")).mapInArrow(_candidates, _FOUND_KIND))]
@@ -484,44 +401,19 @@ def _rest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 # --- verification ----------------------------------------------------------------------------------
 
 
-def _slot(o: np.ndarray, line: np.ndarray, bits: int) -> np.ndarray:
-    return (_mix(o.view(_U) + _mix(line.astype(np.int64).view(_U), 3)) & _U(bits - 1)).astype(np.int64)
-
-
-def wanted(places: DataFrame) -> np.ndarray:
-    """A filter of the lines at ``places`` (o, line), of 16 bits to each of them within the bounds of FILTER."""
-    size = _sized(16 * places.count(), FILTER)
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        held = np.zeros(size // 8, np.uint8)
-        for b in batches:
-            s = _slot(b["o"].to_numpy(np.int64), b["line"].to_numpy(np.int64), size)
-            np.bitwise_or.at(held, s >> 3, (1 << (s & 7)).astype(np.uint8))
-        words = held.view(np.int64)
-        own = np.flatnonzero(words)
-        yield pd.DataFrame({"at": own, "word": words[own]})
-
-    out = np.zeros(size // 64, np.int64)
-    found = places.mapInPandas(run, "at long, word long").groupBy("at").agg(F.bit_or("word").alias("word")).toArrow()
-    out[found["at"].to_numpy()] = found["word"].to_numpy()
-    return out.view(np.uint8)
-
-
 def sets(rows: DataFrame, places: DataFrame) -> DataFrame:
     """(c, n, sig, words): the whole word sets, and their parity bitmaps of 64 * SIGNATURE bits, of the lines at ``places`` (and of some that share their filter bit)."""
     bits = rows.sparkSession.sparkContext.broadcast(wanted(places))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        size = len(bits.value) * 8
         for b in batches:
             o = b.column("o").to_numpy(zero_copy_only=False)
-            for at, raw, starts in _texts(b.column("text")):
+            for at, raw, starts in texts(b.column("text")):
                 ends = np.flatnonzero(raw == 10)
                 begin = np.sort(np.concatenate((starts, ends + 1)))
                 text = np.repeat(np.arange(len(starts)), np.diff(np.searchsorted(ends, starts), append=len(ends)) + 1)
                 number = np.arange(len(begin)) - np.searchsorted(text, text)
-                s = _slot(o[at + text], number, size)
-                picked = np.flatnonzero(bits.value[s >> 3] >> (s & 7).astype(np.uint8) & 1)
+                picked = passing(bits.value, o[at + text], number)
                 stop = np.append(begin[1:], len(raw))
                 long = stop[picked] - begin[picked]
                 if not long.sum():

@@ -15,9 +15,10 @@ are the groups.
 ``representatives``, the pipeline's stage, links documents whose sets of five-word shingles have a
 Jaccard similarity of at least 0.8; at 0.8 fingerprints differ in about 10 bits, beyond what their keys
 meet.  So candidates share the group of their fingerprints or one of ``BANDS`` min-hash keys of ``ROWS``
-minima each (a pair at 0.8 misses all with chance (1 - 0.8^4)^24, about 3 in a million, and less above),
-and every candidate pair is verified on its whole shingle sets.  First each key's documents meet its
-smallest one; then all pairs of a key that are not yet in one group meet.
+minima each (a pair at 0.8 misses all with chance (1 - 0.8^4)^24, about 3 in a million, and less above).
+First each key's documents meet its smallest one; then, in keys that are not yet one group, those outside
+the smallest one's group meet all others.  Parity bitmaps of the sets, whose size follows them, drop
+only pairs that cannot be similar; the rest are verified on their whole sets of shingles.
 
 Defined cases: null text and text without words have fingerprint zero, linked like any other; equal
 fingerprints are one node whatever the number of rows; a null id never becomes a component's id
@@ -32,11 +33,14 @@ from itertools import combinations
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from stratalens.llm.common import components, cut, discard, stored
+from stratalens.llm.common import components, cut, discard, stored, tidy
+from stratalens.llm.filters import passing, wanted
+from stratalens.llm.words import mix, texts, words
 
 SEED = 42
 #: Shingles hashed at a time, so that a very long text needs no more memory.
@@ -49,11 +53,12 @@ SEGMENTS = ((0, 23), (23, 23), (46, 18))
 PAIRS = ((0, 1, True), (0, 2, False), (1, 2, False))
 #: The stage's words in a shingle and least similarity of a link.
 WIDTH, LEAST = 5, 0.8
-#: Min-hash keys of a document, minima in each, shingles hashed at a time.
-BANDS, ROWS, STRIP = 24, 4, 1 << 10
-#: Sets of shingles handed on at a time.
-STEP = 64
-_ODD, _PLUS, _BAND = (np.random.default_rng(SEED + k).integers(0, 1 << 63, BANDS * ROWS, np.uint64) * np.uint64(2) + np.uint64(1) for k in range(3))
+#: Min-hash keys of a document, minima in each, shingles hashed at a time, most bits of a set's bitmap.
+BANDS, ROWS, STRIP, BITMAP = 24, 4, 1 << 9, 1 << 16
+_LOWER = np.arange(256, dtype=np.uint8)
+_LOWER[65:91] += 32
+_ODD, _PLUS = (np.random.default_rng(SEED + k).integers(0, 1 << 31, BANDS * ROWS, np.uint32) * np.uint32(2) + np.uint32(1) for k in range(2))
+_BAND, _PLACE = (np.random.default_rng(SEED + k).integers(0, 1 << 63, BANDS * ROWS, np.uint64) * np.uint64(2) + np.uint64(1) for k in (2, 3))
 
 
 def _hashes(text: str | None, width: int) -> Iterator[np.ndarray]:
@@ -84,19 +89,51 @@ def fingerprint(text: str | None, width: int = 3) -> int:
     return _bits(list(_hashes(text, width)))
 
 
+def _grouped(raw: np.ndarray, starts: np.ndarray, width: int) -> list[np.ndarray]:
+    """The hashes of each text's shingles of ``width`` lower-cased words, repeats included."""
+    place, h = words(_LOWER[raw], starts)
+    bounds = np.searchsorted(place, np.append(starts, len(raw)))
+    whole = np.zeros(max(0, len(h) - width + 1), np.uint64)
+    for j in range(width):
+        whole += h[j : len(h) - width + 1 + j] * _PLACE[j]
+    whole = mix(whole)
+    out = []
+    for a, z in zip(bounds[:-1], bounds[1:]):
+        if 0 < z - a < width:  # fewer words: the whole sequence, marked by its length
+            out.append(mix((h[a:z] * _PLACE[: z - a]).sum(dtype=np.uint64, keepdims=True), width - int(z - a)))
+        else:
+            out.append(whole[a : max(a, z - width + 1)])
+    return out
+
+
+def _sets(column: pa.Array, width: int) -> Iterator[tuple[int, np.ndarray]]:
+    """(row, hashes of its shingles) of each row of a column of texts that holds any bytes."""
+    for at, raw, starts in texts(column):
+        for i, found in enumerate(_grouped(raw, starts, width)):
+            yield at + i, found
+
+
 def shingles(text: str | None, width: int = WIDTH) -> np.ndarray:
     """The set of the text's shingles, as sorted hashes."""
-    return np.unique(np.concatenate([np.zeros(0, np.uint64), *_hashes(text, width)]))
+    return np.unique(np.concatenate([np.zeros(0, np.uint64), *[found for _, found in _sets(pa.array([text], pa.string()), width)]]))
 
 
 def band_keys(held: np.ndarray) -> np.ndarray:
     """The min-hash keys of a set of shingles; the empty set has none."""
     if not len(held):
         return np.zeros(0, np.int64)
-    least = np.full(BANDS * ROWS, np.iinfo(np.uint64).max, np.uint64)
+    held = (held >> np.uint64(32)).astype(np.uint32)
+    least = np.full(BANDS * ROWS, np.iinfo(np.uint32).max, np.uint32)
     for at in range(0, len(held), STRIP):
         np.minimum(least, (held[at : at + STRIP, None] * _ODD + _PLUS).min(axis=0), out=least)
-    return ((least ^ (least >> np.uint64(29))) * _BAND).reshape(BANDS, ROWS).sum(axis=1, dtype=np.uint64).view(np.int64)
+    return mix((least * _BAND).reshape(BANDS, ROWS).sum(axis=1, dtype=np.uint64), 1).view(np.int64)
+
+
+def bitmap(held: np.ndarray) -> np.ndarray:
+    """The parity bitmap of a set, as words of 64 bits: four bits or more for each shingle, BITMAP at most."""
+    bits = min(BITMAP, 1 << max(6, (4 * len(held) - 1).bit_length()))
+    counts = np.bincount((held & np.uint64(bits - 1)).astype(np.int64), minlength=bits) & 1
+    return np.packbits(counts.astype(np.uint8), bitorder="little").view(np.int64)
 
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 3) -> DataFrame:
@@ -210,40 +247,75 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return rows.join(named, "fp", "left").select("id", "fp", "component")
 
 
+def _named(held: np.ndarray) -> int:
+    return xxhash.xxh64_intdigest(held.tobytes(), SEED)
+
+
 def _sketched(docs: DataFrame, width: int) -> DataFrame:
-    """(id, node, size, fp, keys) for each row (id, text); rows of one set of shingles are one node."""
+    """(id, node, size, fp, bits, keys) for each row (id, text); rows of one set of shingles are one node,
+    of which a task gives bits and keys once."""
+    names = ["id", "node", "size", "fp", "bits", "keys"]
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        none, seen = np.zeros(0, np.uint64), set()
+        empty = (_named(none), 0, 0, bitmap(none), band_keys(none))
         for b in batches:
-            out = []
-            for t in b["text"]:
-                pieces = list(_hashes(t, width))
-                held = np.unique(np.concatenate([np.zeros(0, np.uint64), *pieces]))
-                out.append((xxhash.xxh64_intdigest(held.tobytes(), SEED), len(held), _bits(pieces), band_keys(held)))
-            node, size, fp, keys = zip(*out) if out else ((), (), (), ())
-            signed = lambda x: np.array(x, np.uint64).view(np.int64)
-            yield pd.DataFrame({"id": b["id"], "node": signed(node), "size": np.array(size, np.int64), "fp": signed(fp), "keys": list(keys)})
+            made = [empty] * b.num_rows
+            for row, found in _sets(b.column("text"), width):
+                held = np.unique(found)
+                name = _named(held)
+                again = name in seen
+                seen.add(name)
+                made[row] = (name, len(held), _bits([found]), held[:0].view(np.int64) if again else bitmap(held), held[:0].view(np.int64) if again else band_keys(held))
+            node, size, fp, bits, keys = zip(*made) if made else [()] * 5
+            signed = lambda x: pa.array(np.array(x, np.uint64).view(np.int64))
+            lists = [pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, x)]), pa.int32()), pa.array(np.concatenate([none.view(np.int64), *x]))) for x in (bits, keys)]
+            yield pa.RecordBatch.from_arrays([b.column("id"), signed(node), pa.array(size, pa.int64()), signed(fp), *lists], names=names)
 
-    return docs.select("id", "text").mapInPandas(run, "id long, node long, size long, fp long, keys array<long>")
+    return docs.select("id", "text").mapInArrow(run, "id long, node long, size long, fp long, bits array<long>, keys array<long>")
 
 
-def _verified(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, width: int, least: float) -> DataFrame:
-    """Those of the pairs (u, v) of nodes whose sets of shingles are similar."""
+def _alike(a: Column, b: Column, m: Column, n: Column, least: float) -> Column:
+    """Whether sets of sizes m and n with the bitmaps a and b may be similar.
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    Bitmaps differ in no more places than their sets do; the longer one is folded to the shorter one's size.
+    """
+    def fold(x: Column) -> Column:
+        half = F.size(x) / 2
+        return F.zip_with(F.slice(x, F.lit(1), half.cast("int")), F.slice(x, (half + 1).cast("int"), half.cast("int")), lambda p, q: p.bitwiseXOR(q))
+
+    # sizes within 0.5 of each other, so a fold is enough
+    x, y = F.when(F.size(a) > F.size(b), fold(a)).otherwise(a), F.when(F.size(b) > F.size(a), fold(b)).otherwise(b)
+    apart = F.aggregate(F.zip_with(x, y, lambda p, q: F.bit_count(p.bitwiseXOR(q))), F.lit(0), lambda t, d: t + d)
+    return (F.least(m, n) >= F.greatest(m, n) * least - 1e-6) & (apart <= (m + n) * ((1 - least) / (1 + least)) + 1e-6)
+
+
+def _held(docs: DataFrame, ids: DataFrame, width: int) -> DataFrame:
+    """(node, held): the sets of shingles of the rows with these ``ids`` (and of some that share their filter bit)."""
+    bits = docs.sparkSession.sparkContext.broadcast(wanted(ids.select(F.col("id").alias("o"), F.lit(0).alias("line"))))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen = set()
         for b in batches:
-            for at in range(0, len(b), STEP):
-                own = b.iloc[at : at + STEP]
-                yield pd.DataFrame({"node": own["node"], "held": [shingles(t, width).view(np.int64) for t in own["text"]]})
+            own = passing(bits.value, np.ascontiguousarray(b.column("id").to_numpy(zero_copy_only=False)), np.zeros(b.num_rows, np.int64))
+            text = b.column("text").take(pa.array(own))
+            made = {i: np.unique(found) for i, found in _sets(text, width)}
+            some = {_named(h): h for h in (made.get(i, np.zeros(0, np.uint64)) for i in range(len(own)))}
+            for at in [x for x in some if x not in seen]:
+                yield pa.RecordBatch.from_arrays([pa.array(np.array([at], np.uint64).view(np.int64)), pa.array([some[at].view(np.int64)], pa.list_(pa.int64()))], names=["node", "held"])
+            seen |= some.keys()
 
+    return docs.select("id", "text").mapInArrow(run, "node long, held array<long>").dropDuplicates(["node"])
+
+
+def _verified(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, width: int, least: float) -> DataFrame:
+    """Those of the pairs (u, v) of nodes whose sets of shingles are similar."""
     asked = pairs.select(F.col("u").alias("node")).union(pairs.select(F.col("v").alias("node"))).distinct()
-    named = nodes.join(asked, "node").select("node", "id")
-    texts = docs.select("id", "text").join(named, "id").dropDuplicates(["node"]).select("node", "text")
-    have = stored(texts.mapInPandas(run, "node long, held array<long>"))
+    have = stored(_held(docs, nodes.join(asked, "node").select("id"), width))
     # the sets meet row by row, so that long texts in many pairs need no more memory
     first, second = have.select(F.col("node").alias("u"), F.col("held").alias("a")), have.select(F.col("node").alias("v"), F.col("held").alias("b"))
     both = F.size(F.array_intersect("a", "b"))
-    out = cut(pairs.join(first, "u").join(second, "v").where(both >= (F.size("a") + F.size("b") - both) * least - 1e-6).select("u", "v"))
+    out = cut(pairs.join(first, "u").join(second, "v").where(both >= (F.size("a") + F.size("b") - both) * least - 1e-6).select("u", "v").distinct())
     discard(have)
     return out
 
@@ -252,28 +324,36 @@ def similar(docs: DataFrame, width: int = WIDTH, least: float = LEAST) -> DataFr
     """(id, component) for each row (id, text) of ``docs``: components of the links between all rows
     whose sets of shingles have a Jaccard similarity of at least ``least``."""
     rows = stored(_sketched(docs, width))
-    nodes = cut(rows.groupBy("node").agg(F.min("id").alias("id"), F.min("size").alias("size"), F.min("fp").alias("fp")))
+    nodes = cut(rows.groupBy("node").agg(F.min("id").alias("id"), F.min("fp").alias("fp")))
     near = components(links(nodes.select("fp").distinct())).select(F.col("node").alias("fp"), F.col("root").alias("key"))
-    coarse = nodes.join(near, "fp", "left").select(F.coalesce("key", "fp").alias("key"), "node", "size")
-    keyed = rows.dropDuplicates(["node"]).select(F.explode("keys").alias("key"), "node", "size").unionByName(coarse)
-    met = stored(keyed.join(keyed.groupBy("key").agg(F.min("node").alias("hub"), F.max("node").alias("last")).where("hub < last"), "key").drop("last"))
-    sizes = lambda a, b: F.least(a, b) >= F.greatest(a, b) * least - 1e-6
-
-    starred = cut(met.where("node <> hub").select(F.col("hub").alias("u"), F.col("node").alias("v")).distinct())
-    linked = _verified(starred, nodes, docs, width, least)
+    coarse = nodes.join(near, "fp", "left").select(F.coalesce("key", "fp").alias("key"), "node")
+    keyed = rows.select(F.explode("keys").alias("key"), "node").unionByName(coarse)
+    several = keyed.groupBy("key").agg(F.min("node").alias("hub"), F.max("node").alias("last")).where("hub < last").drop("last")
+    met = stored(keyed.join(several, "key").distinct())
+    held = rows.where(F.size("bits") > 0).join(met.select("node").distinct(), "node", "left_semi")
+    sizes = cut(held.dropDuplicates(["node"]).select("node", "size", "bits"))
+    tidy(docs.sparkSession)
+
+    def side(at: DataFrame, k: str) -> DataFrame:
+        return at.join(sizes.select(F.col("node").alias(k), F.col("size").alias(f"{k}_size"), F.col("bits").alias(f"{k}_bits")), k)
+
+    close = _alike(F.col("u_bits"), F.col("v_bits"), F.col("u_size"), F.col("v_size"), least)
+    starred = met.where("node <> hub").select(F.col("hub").alias("u"), F.col("node").alias("v")).distinct()
+    linked = _verified(cut(side(side(starred, "u"), "v").where(close).select("u", "v")), nodes, docs, width, least)
     roots = components(linked)
-    own = met.join(roots, "node", "left").select("key", "node", "size", F.coalesce("root", "node").alias("root"))
-    own = own.join(own.groupBy("key").agg(F.min("root").alias("a"), F.max("root").alias("b")).where("a < b"), "key").select("key", "node", "size", "root")
-    own = stored(own)
-    x, y = own.alias("x"), own.alias("y")
-    apart = (F.col("x.key") == F.col("y.key")) & (F.col("x.node") < F.col("y.node")) & (F.col("x.root") != F.col("y.root"))
-    others = x.join(y, apart & sizes(F.col("x.size"), F.col("y.size"))).select(F.col("x.node").alias("u"), F.col("y.node").alias("v")).distinct()
-    others = cut(others.join(starred, ["u", "v"], "left_anti"))
+    own = met.join(roots, "node", "left").select("key", "node", F.coalesce("root", "node").alias("root"))
+    first = own.groupBy("key").agg(F.min("root").alias("a"), F.max("root").alias("b"), F.min_by("root", "node").alias("lead")).where("a < b")
+    own = stored(own.join(first.select("key", "lead"), "key").select("key", "node", "root", (F.col("root") == F.col("lead")).alias("leads")))
+    x, y = ((side(own.where(of).withColumnRenamed("node", k), k).select("key", k, f"{k}_size", f"{k}_bits", *[F.col(c).alias(f"{k}_{c}") for c in ("root", "leads")])) for k, of in (("u", "true"), ("v", "NOT leads")))
+    apart = (F.col("u_root") != F.col("v_root")) & (F.col("u_leads") | (F.col("u") < F.col("v")))
+    others = x.withColumnRenamed("key", "other").join(y, (F.col("other") == F.col("key")) & apart & close).select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct()
+    others = cut(others.join(starred.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")), ["u", "v"], "left_anti"))
     linked = linked.unionByName(_verified(others, nodes, docs, width, least))
     roots = cut(components(linked))
     named = cut(rows.select("id", "node").join(roots, "node", "left").select("id", F.coalesce("root", "node").alias("component")))
     for done in (rows, met, own):
         discard(done)
+    tidy(docs.sparkSession)
     return named
 
 

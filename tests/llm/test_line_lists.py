@@ -1,6 +1,7 @@
 import numpy as np
 import pyarrow as pa
 from stratalens.llm import line_dedup as L
+from stratalens.llm import words as W
 
 
 def test_a_class_never_meets_itself():
@@ -16,8 +17,8 @@ def test_a_class_never_meets_itself():
 def test_words_in_pieces(monkeypatch):
     texts = ["a bb  ccc\n\nbb", "", "\n", "x" * 700 + " y\n" + "z" * 300, "é \x0b\x1c u\u2003v"]
     whole = _sets(texts)
-    monkeypatch.setattr(L, "SLICE", 5)
-    L._powers.clear()
+    monkeypatch.setattr(W, "SLICE", 5)
+    W._powers.clear()
     assert _sets(texts) == whole
     for d, text in enumerate(texts):
         for i, line in enumerate(text.encode().split(b"\n")):
@@ -26,7 +27,7 @@ def test_words_in_pieces(monkeypatch):
 
 def _sets(texts):
     out = {}
-    for at, raw, starts in L._texts(pa.array(texts)):
+    for at, raw, starts in W.texts(pa.array(texts)):
         h, line, place = L._words(raw, starts)
         if len(h):
             h, begin, n = L._distinct(h, line, np.zeros(len(h), np.uint64))
