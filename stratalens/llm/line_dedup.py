@@ -59,10 +59,10 @@ def _words(raw: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray,
     Lines are numbered by the breaks before them.
     """
     place, h = W.words(raw, starts)
-    breaks = (raw == 10).astype(np.int32)
-    np.add.at(breaks, starts[starts < len(raw)], 1)
-    line = np.cumsum(breaks)[place]
-    return h, line, place[np.flatnonzero(np.concatenate(([True], line[1:] != line[:-1])))] if len(line) else place
+    bounds = np.sort(np.concatenate((starts, np.flatnonzero(raw == 10) + 1)))
+    first = np.searchsorted(place, bounds)
+    n = np.diff(first, append=len(place))
+    return h, np.repeat(np.arange(len(bounds)), n), place[first[n > 0]]
 
 
 def _numbered(raw: np.ndarray, starts: np.ndarray, place: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -83,7 +83,7 @@ def sketch(docs: DataFrame, slots: int) -> np.ndarray:
         counts = np.zeros(slots, np.int64)
         for b in batches:
             for _, raw, starts in texts(b.column("text")):
-                h, *_ = _words(raw, starts)
+                _, h = W.words(raw, starts)
                 counts += np.bincount((h & _U(slots - 1)).astype(np.int64), minlength=slots)
         yield pa.RecordBatch.from_arrays([pa.array(range(PIECES), pa.int32()), pa.array([counts[i * part : (i + 1) * part].tobytes() for i in range(PIECES)])], names=["piece", "n"])
 
@@ -382,20 +382,27 @@ def candidates(rows: DataFrame, hot: int) -> list[DataFrame]:
 
 
 def _rest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """All candidates, in lists that were kept, of the lines at the places asked for."""
+    """All candidates, in lists that were kept, of the lines at the places asked for; many lists at once."""
     for b in batches:
-        for blob, places in zip(b.column("blob"), b.column("places").to_pylist()):
-            col = _unpacked(blob.as_py(), _POSTED)
-            size = len(col["o"])
-            asked, rank = np.zeros(size, bool), np.empty(size, np.int64)
-            asked[[p for p in places if p < size]] = True
-            rank[np.lexsort((col["line"], col["k"], col["o"]))] = np.arange(size)
-            for i, j, _ in _met(np.zeros(size, np.int8), col["n"], col["at"], col["bits"]):
+        each = [_unpacked(x.as_py(), _POSTED) for x in b.column("blob")]
+        sizes = np.array([len(x["o"]) for x in each], np.int64)
+        done = 0
+        while done < len(each):
+            upto = max(done + 1, int(np.searchsorted(np.cumsum(sizes[done:]), 1 << 18)) + done)
+            some, size = each[done:upto], sizes[done:upto]
+            col = {c: np.concatenate([x[c] for x in some]) for c in _POSTED}
+            asked, rank = np.zeros(size.sum(), bool), np.empty(size.sum(), np.int64)
+            for first, held, places in zip(np.cumsum(size) - size, size, b.column("places").slice(done, upto - done)):
+                places = places.values.to_numpy()
+                asked[first + places[places < held]] = True
+            rank[np.lexsort((col["line"], col["k"], col["o"]))] = np.arange(len(rank))
+            for i, j, _ in _met(np.repeat(np.arange(len(size)), size), col["n"], col["at"], col["bits"]):
                 after = rank[j] > rank[i]
                 y, x = np.where(after, j, i), np.where(after, i, j)
                 own = asked[y]
                 if own.any():
                     yield _rows(PAIR, int(own.sum()), **_side(col, y[own], "y"), **_side(col, x[own], "x"))
+            done = upto
 
 
 # --- verification ----------------------------------------------------------------------------------

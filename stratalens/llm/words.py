@@ -25,8 +25,8 @@ def mix(x: np.ndarray, salt: int = 0) -> np.ndarray:
     return x ^ (x >> _U(31))
 
 
-#: A word's hash is a polynomial over its bytes' random values, so running sums give it without a loop.
-_VALUE, _BASE, _LONG = mix(np.arange(256, dtype=_U), 5), 0x9E3779B97F4A7C13, 256
+#: A word's hash is a polynomial over its bytes, so running sums give it without a loop.
+_BASE, _LONG = 0x9E3779B97F4A7C13, 256
 _powers: list[np.ndarray] = []
 
 
@@ -43,17 +43,15 @@ def _table(n: int) -> list[np.ndarray]:
 
 def hashed(raw: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(place, hash) of each word of ``raw``; words end at white space and where texts start."""
-    space = SPACE[raw]
-    at = np.zeros(len(raw) + 1, bool)
-    at[starts] = True
-    at[-1] = True
-    begin, end = ~space, ~space
-    begin[1:] &= space[:-1] | at[1:-1]
-    end[:-1] &= space[1:] | at[1:-1]
-    begin, end = np.flatnonzero(begin), np.flatnonzero(end) + 1
+    space = np.flatnonzero(SPACE[raw])
+    # what lies between two breaks, of which white space is one byte wide and a text's start none
+    begin = np.sort(np.concatenate(([0], starts, space + 1)), kind="stable")
+    end = np.sort(np.concatenate((starts, space, [len(raw)])), kind="stable")
+    whole = np.flatnonzero(end > begin)
+    begin, end = begin[whole], end[whole]
     power, inverse = _table(len(raw))
     total = np.zeros(len(raw) + 1, _U)
-    np.cumsum(_VALUE[raw] * power[: len(raw)], out=total[1:])
+    np.cumsum((raw.astype(_U) + _U(1)) * power[: len(raw)], out=total[1:])
     size = end - begin
     h = mix((total[end] - total[begin]) * inverse[begin] + size.astype(_U))
     for i in np.flatnonzero(size > _LONG):  # where sums of powers would no longer tell words apart
