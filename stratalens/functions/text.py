@@ -11,13 +11,15 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 SPACE = r"[\s\x1c-\x1f]"
-#: Family, release number and suffix of a document's stem.
+#: The same characters one by one, for trimming without a regular expression.
+SPACES = "".join(map(chr, [*range(0x09, 0x0E), *range(0x1C, 0x21), 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]))
+# Family, release number and suffix of a document's stem; a line of a table of contents.
 NAME = r"(?iUd)^(FS_[^\s]+?)_R(\d+)(_.+)?$"
 TOC_LINE = r"(?Ud)^(\d+(\.\d+)*)\.?[\s\x1c-\x1f]+.+\t\d+$"
 
 
 def strip(x: Column) -> Column:
-    return F.regexp_replace(x, rf"(?U)^{SPACE}+|{SPACE}+$", "")
+    return F.btrim(x, F.lit(SPACES))
 
 
 def collapse(x: Column) -> Column:
@@ -89,10 +91,14 @@ def is_toc_line(x: Column) -> Column:
 
 
 def is_noise(x: Column, rules: NoiseRules = DEFAULT_NOISE) -> Column:
-    """Whether a paragraph is blank or boilerplate; cheap tests come first."""
-    bare = strip(x)
-    tests = [bare == "", bare.isin(*rules.exact), is_heading(bare, rules), bare.rlike(TOC_LINE)]
-    tests += [bare.startswith(p) for p in rules.prefixes] + [bare.contains(p) for p in rules.parts]
+    """Whether a paragraph is blank or boilerplate."""
+    return is_bare_noise(strip(x), rules)
+
+
+def is_bare_noise(bare: Column, rules: NoiseRules = DEFAULT_NOISE) -> Column:
+    """As ``is_noise``, of a paragraph that is stripped already; cheap tests come first."""
+    tests = [bare == "", bare.isin(*rules.exact), is_heading(bare, rules)]
+    tests += [bare.startswith(p) for p in rules.prefixes] + [bare.contains(p) for p in rules.parts] + [bare.rlike(TOC_LINE)]
     out = tests[0]
     for t in tests[1:]:
         out = out | t

@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from stratalens.functions.text import DEFAULT_NOISE, NoiseRules, collapse, is_noise, strip
+from stratalens.functions.text import DEFAULT_NOISE, NoiseRules, collapse, is_bare_noise, strip
 
 NAMES = ("document_name", "document_family", "release_label")
 
@@ -43,9 +43,9 @@ def described_tables(docs: DataFrame) -> DataFrame:
 
 def normalized(docs: DataFrame, rules: NoiseRules = DEFAULT_NOISE) -> DataFrame:
     """Adds the paragraphs that are no boilerplate, their text, and counts (blank ones never count as removed)."""
-    clean = F.transform(F.filter("paragraphs", lambda p: ~is_noise(p, rules)), strip)
-    full = F.size(F.filter("paragraphs", lambda p: strip(p) != ""))
-    out = docs.withColumn("cleaned_paragraphs", clean).withColumn("original_non_empty_paragraph_count", full)
+    # stripped once: every test below looks at bare paragraphs only
+    out = docs.withColumn("_bare", F.filter(F.transform("paragraphs", strip), lambda p: p != ""))
+    out = out.withColumn("cleaned_paragraphs", F.filter("_bare", lambda p: ~is_bare_noise(p, rules))).withColumn("original_non_empty_paragraph_count", F.size("_bare")).drop("_bare")
     return out.withColumns({
         "cleaned_paragraph_count": F.size("cleaned_paragraphs"), "cleaned_full_text": F.array_join("cleaned_paragraphs", "\n"),
         "removed_paragraph_count": F.col("original_non_empty_paragraph_count") - F.size("cleaned_paragraphs"),

@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 from typing import Protocol
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -19,7 +20,11 @@ NO_VECTOR = "array<double>"
 
 
 class Provider(Protocol):
-    """Adds the embedding of column ``text`` as column ``vector``; rows stay as they are otherwise."""
+    """Adds the embedding of column ``text`` as column ``vector``; rows stay as they are otherwise.
+
+    A provider may also have ``fill(rows, text, vector, missing)``, which embeds only the rows where the
+    boolean column ``missing`` holds; the others keep their vector.
+    """
 
     def embed(self, rows: DataFrame, text: str, vector: str) -> DataFrame: ...
 
@@ -36,12 +41,18 @@ class HashProvider:
         return F.transform(words, lambda w: F.conv(F.substring(F.sha2(w, 256), 1, 2), 16, 10).cast("int") % self.size)
 
     def embed(self, rows: DataFrame, text: str, vector: str) -> DataFrame:
+        return rows.withColumn(vector, self.of(F.col(text)))
+
+    def fill(self, rows: DataFrame, text: str, vector: str, missing: str) -> DataFrame:
+        return rows.withColumn(vector, F.when(F.col(missing), self.of(F.col(text))).otherwise(F.col(vector)))
+
+    def of(self, text: Column) -> Column:
         each = F.sequence(F.lit(0), F.lit(self.size - 1))
 
         def counts(slots: Column) -> Column:
-            return F.transform(each, lambda i: F.size(F.filter(slots, lambda s: s == i)).cast("double"))
+            return F.transform(each, lambda i: (F.size(slots) - F.size(F.array_remove(slots, i))).cast("double"))
 
-        return rows.withColumn(vector, unit(bound(self.slots(F.col(text)), counts)))
+        return unit(bound(self.slots(text), counts))
 
 
 class ClientProvider:
@@ -51,18 +62,24 @@ class ClientProvider:
         self.connect = connect
 
     def embed(self, rows: DataFrame, text: str, vector: str) -> DataFrame:
+        return self.fill(rows, text, vector, None)
+
+    def fill(self, rows: DataFrame, text: str, vector: str, missing: str | None) -> DataFrame:
         connect, schema = self.connect, [f for f in rows.schema.fields if f.name != vector]
 
         def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             client = connect()
             for b in batches:
-                made = client(b[text].tolist()) if len(b) else []
-                if len(made) != len(b):
-                    raise RuntimeError(f"Embedding response count mismatch: expected {len(b)}, got {len(made)}")
-                yield b.assign(**{vector: [[float(v) for v in m] for m in made]})
+                own = b[missing].to_numpy(bool) if missing else np.ones(len(b), bool)
+                made = client(b[text][own].tolist()) if own.any() else []
+                if len(made) != own.sum():
+                    raise RuntimeError(f"Embedding response count mismatch: expected {own.sum()}, got {len(made)}")
+                fresh = iter([[float(v) for v in m] for m in made])
+                old = b[vector] if missing else [None] * len(b)
+                yield b.assign(**{vector: pd.Series([next(fresh) if new else kept for new, kept in zip(own, old)], dtype=object, index=b.index)})
 
         ddl = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in schema)
-        return rows.drop(vector).mapInPandas(run, f"{ddl}, `{vector}` {NO_VECTOR}")
+        return (rows if missing else rows.drop(vector)).mapInPandas(run, f"{ddl}, `{vector}` {NO_VECTOR}")
 
 
 def bound(value: Column, body: Callable[[Column], Column]) -> Column:
@@ -127,10 +144,14 @@ def with_cache(records: DataFrame, cache: DataFrame) -> DataFrame:
 
 def embed(records: DataFrame, provider: Provider, cache: DataFrame | None = None) -> DataFrame:
     """All records with vectors: cached ones from ``cache``, the others from the provider only."""
-    looked = with_cache(records, cache) if cache is not None else records
-    hit = F.col("embedding_status") == CACHED
-    made = provider.embed(looked.where(~hit), "text", "vector").withColumn("embedding_status", F.lit(EMBEDDED))
-    return looked.where(hit).unionByName(made.select(*looked.columns)) if cache is not None else made.select(*looked.columns)
+    if cache is None:
+        return provider.embed(records, "text", "vector").withColumn("embedding_status", F.lit(EMBEDDED)).select(*records.columns)
+    looked = with_cache(records, cache).withColumn("_miss", F.col("embedding_status") != CACHED)
+    if hasattr(provider, "fill"):  # one pass: neither the records nor the join are evaluated twice
+        made = provider.fill(looked, "text", "vector", "_miss")
+    else:
+        made = looked.where("NOT _miss").unionByName(provider.embed(looked.where("_miss"), "text", "vector").select(*looked.columns))
+    return made.withColumn("embedding_status", F.when(F.col("_miss"), EMBEDDED).otherwise(F.col("embedding_status"))).select(*records.columns)
 
 
 def embed_query(queries: DataFrame, provider: Provider, text: str = "query", vector: str = "query_vector") -> DataFrame:
@@ -140,23 +161,21 @@ def embed_query(queries: DataFrame, provider: Provider, text: str = "query", vec
     return provider.embed(queries.withColumn("_bare", checked), "_bare", vector).drop("_bare")
 
 
-def metrics(records: DataFrame, by: list[str] | None = None) -> DataFrame:
-    """Counts of records, hits, embedded and misses, and the hit rate (0 of no records)."""
+def metrics(records: DataFrame, by: list[str] | None = None, *more: Column) -> DataFrame:
+    """Counts of records, hits, embedded and misses, the hit rate (0 of no records), and ``more`` aggregates."""
     status = lambda s: F.count_if(F.col("embedding_status") == s)
     total = F.count("*")
     return records.groupBy(*(by or [])).agg(
         total.alias("total_records"), status(CACHED).alias("cached_count"), status(EMBEDDED).alias("embedded_count"),
         F.count_if(F.col("embedding_status") != CACHED).alias("cache_miss_count"),
-        F.coalesce(F.try_divide(status(CACHED).cast("double"), total.cast("double")), F.lit(0.0)).alias("cache_hit_rate"),
+        F.coalesce(F.try_divide(status(CACHED).cast("double"), total.cast("double")), F.lit(0.0)).alias("cache_hit_rate"), *more,
     )
 
 
 def run_summary(records: DataFrame) -> DataFrame:
     """Metrics of each document with the distinct models and versions, sorted."""
-    names = records.groupBy("document_name").agg(
-        F.sort_array(F.collect_set("embedding_model")).alias("embedding_models"), F.sort_array(F.collect_set("artifact_version")).alias("artifact_versions")
-    )
-    return metrics(records, ["document_name"]).join(names, "document_name")
+    sets = {"embedding_models": "embedding_model", "artifact_versions": "artifact_version"}
+    return metrics(records, ["document_name"], *[F.sort_array(F.collect_set(c)).alias(name) for name, c in sets.items()])
 
 
 def first_units(records: DataFrame, limit: int) -> DataFrame:

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -11,6 +9,9 @@ from stratalens.functions.hashing import point_id
 from stratalens.operators.embedding import last_wins, unit, usable
 from stratalens.schemas import PAYLOAD, POINT
 
+#: Prefix of the generations' folders.
+GENERATION = "generation-"
+
 
 def points(records: DataFrame, strict: bool = True) -> DataFrame:
     """(point_id, vector, unit_vector, payload): vectors are kept as given and at unit length.
@@ -42,8 +43,9 @@ def batch_from_cache(records: DataFrame, order: list[str]) -> DataFrame:
 class Collection:
     """Points in a folder of Parquet generations, partitioned by release and kind.
 
-    An upsert writes a new generation beside the current one and then names it current, so readers
-    never see a half-written state and a failed write leaves the old one in place.
+    Generations are numbered; the current one is the highest that is complete (its committer's mark is
+    written last).  So there is no moment without a current generation, a failed write leaves the old one in
+    place, and readers of the generations that ``vacuum`` keeps are not disturbed.  One writer at a time.
     """
 
     def __init__(self, spark: SparkSession, path: str, name: str = "functional_specs", size: int = 3072) -> None:
@@ -54,38 +56,48 @@ class Collection:
         p = jvm.org.apache.hadoop.fs.Path(path)
         return p.getFileSystem(self.spark._jsc.hadoopConfiguration()), p
 
+    def generations(self, complete: bool = True) -> list[int]:
+        """Numbers of the generations, lowest first."""
+        fs, p = self._fs(f"{self.path}/{self.name}")
+        if not fs.exists(p):
+            return []
+        found = [s.getPath().getName() for s in fs.listStatus(p) if s.isDirectory()]
+        own = sorted(int(n[len(GENERATION):]) for n in found if n.startswith(GENERATION) and n[len(GENERATION):].isdigit())
+        return [n for n in own if not complete or fs.exists(self._fs(f"{self._folder(n)}/_SUCCESS")[1])]
+
+    def _folder(self, generation: int) -> str:
+        return f"{self.path}/{self.name}/{GENERATION}{generation:012d}"
+
     def exists(self) -> bool:
-        fs, p = self._fs(f"{self.path}/{self.name}/CURRENT")
-        return fs.exists(p)
+        return bool(self.generations())
 
     def ensure(self) -> None:
-        """Create the collection if it is absent; an existing one is left as it is, whatever its size."""
+        """Create the collection if it has no complete generation; an existing one is left as it is, whatever its size."""
         if not self.exists():
             self._write(self.spark.createDataFrame([], POINT))
 
     def _write(self, rows: DataFrame) -> None:
-        generation = uuid.uuid4().hex
         flat = rows.select("*", F.col("payload.release_label").alias("_release"), F.col("payload.source_kind").alias("_kind"))
-        flat.write.partitionBy("_release", "_kind").parquet(f"{self.path}/{self.name}/{generation}")
-        old = self._current() if self.exists() else None
-        fs, p = self._fs(f"{self.path}/{self.name}/CURRENT.new")
-        out = fs.create(p, True)
-        out.writeBytes(generation)
-        out.close()
-        _, current = self._fs(f"{self.path}/{self.name}/CURRENT")
-        fs.delete(current, False)
-        fs.rename(p, current)
-        if old:
-            fs.delete(self._fs(f"{self.path}/{self.name}/{old}")[1], True)
-
-    def _current(self) -> str:
-        return self.spark.read.text(f"{self.path}/{self.name}/CURRENT").first()[0]
+        # above all others, failed ones too: their numbers are never used again
+        flat.write.partitionBy("_release", "_kind").parquet(self._folder(max(self.generations(complete=False), default=0) + 1))
+
+    def vacuum(self, keep: int = 2) -> list[int]:
+        """Delete all generations below the last ``keep`` complete ones; returns their numbers."""
+        if keep < 1:
+            raise ValueError("keep must be at least 1")
+        kept = self.generations()[-keep:]
+        gone = [n for n in self.generations(complete=False) if kept and n < kept[0]]
+        for n in gone:
+            fs, p = self._fs(self._folder(n))
+            fs.delete(p, True)
+        return gone
 
     def read(self, release_label: str | None = None, source_kind: str | None = None) -> DataFrame:
         """The points; partition filters are pruned."""
-        if not self.exists():
+        found = self.generations()
+        if not found:
             raise RuntimeError(f"Collection does not exist: {self.name}")
-        rows = self.spark.read.schema(f"{POINT}, _release string, _kind string").parquet(f"{self.path}/{self.name}/{self._current()}")
+        rows = self.spark.read.schema(f"{POINT}, _release string, _kind string").parquet(self._folder(found[-1]))
         if release_label is not None:
             rows = rows.where(F.col("_release") == release_label)
         if source_kind is not None:

@@ -2,15 +2,19 @@
 
 from __future__ import annotations
 
+import heapq
+from collections.abc import Iterator
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from stratalens.operators.embedding import Provider, embed_query, unit
 
 FILTERS = ("document_family", "release_label", "source_kind")
-#: Queries broadcast at a time.
+#: Queries sent out at a time, on average.
 BLOCK = 1024
 
 
@@ -46,28 +50,76 @@ def search(points: DataFrame, query_vector: list[float], limit: int = 5, **filte
     return top.select(F.row_number().over(Window.orderBy(F.desc("score"), "point_id")).alias("rank"), "point_id", "score", "payload")
 
 
+def _best(queries: pa.Table, limit: int):
+    """The ``limit`` best points of each query in a task: (query_id, point_id, score)."""
+    flat = queries["_q"].combine_chunks()
+    sizes = flat.value_lengths().to_numpy()
+    vectors = np.split(flat.flatten().to_numpy(), np.cumsum(sizes)[:-1])
+    asked = {f: queries[f"_{f}"].to_pylist() for f in FILTERS}
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[list[tuple[float, str]]] = [[] for _ in vectors]
+        for b in batches:
+            lengths = b.column("unit_vector").value_lengths().to_numpy()
+            flat, ends = b.column("unit_vector").flatten().to_numpy(), np.cumsum(lengths)
+            ids, given = b.column("point_id"), {f: b.column(f).to_numpy(zero_copy_only=False) for f in FILTERS}
+            for size in set(sizes) & set(lengths):
+                rows, which = np.flatnonzero(lengths == size), np.flatnonzero(sizes == size)
+                points = flat[(ends - lengths)[rows][:, None] + np.arange(size)]
+                scores = np.round(points @ np.stack([vectors[q] for q in which]).T, 12)
+                for q, score in zip(which, scores.T):
+                    fits = np.ones(len(rows), bool)
+                    for f in FILTERS:
+                        if asked[f][q] is not None:
+                            fits &= given[f][rows] == asked[f][q]
+                    own = np.flatnonzero(fits)
+                    if len(own) > limit:  # with all ties of the last
+                        own = own[score[own] >= np.partition(score[own], -limit)[-limit]]
+                    found = zip((-score[own]).tolist(), ids.take(pa.array(rows[own])).to_pylist())
+                    held[q] = heapq.nsmallest(limit, [*held[q], *found])
+        which = np.repeat(np.arange(len(held)), [len(h) for h in held])
+        every = [x for h in held for x in h]
+        yield pa.RecordBatch.from_arrays(
+            [queries["query_id"].take(pa.array(which)).combine_chunks(), pa.array([x[1] for x in every], pa.string()), pa.array([-x[0] for x in every], pa.float64())],
+            names=["query_id", "point_id", "score"],
+        )
+
+    return run
+
+
 def search_many(points: DataFrame, queries: DataFrame, limit: int = 5) -> DataFrame:
     """(query_id, rank, point_id, score, payload): top ``limit`` of each query.
 
     ``queries`` has query_id, query_vector and may have the three filters; a null filter is no
-    condition.  Queries are broadcast in blocks of about BLOCK, however many there are, and each
-    block's candidates are cut to ``limit`` before the shuffle.
+    condition.  Queries go out in blocks of about BLOCK, however many there are.  A task multiplies its
+    points with a block and keeps ``limit`` of each query, so no pair of a point and a query is a row; only
+    ids and scores meet in the merge, and the winners' payloads are joined afterwards.  Where all
+    queries of a block filter by a field, so does the scan.  Vectors of another length have no score.
     """
     if limit <= 0:
         raise ValueError("limit must be greater than 0")
     queries = queries.select(
         "query_id", unit(F.col("query_vector")).alias("_q"), *[(F.col(f) if f in queries.columns else F.lit(None).cast("string")).alias(f"_{f}") for f in FILTERS]
     ).where("_q IS NOT NULL")
+    kind = queries.schema["query_id"].dataType.simpleString()
     blocks = max(1, -(-queries.count() // BLOCK))
-    wanted = reduce(lambda a, b: a & b, [F.col(f"_{f}").isNull() | (F.col(f"_{f}") == F.col(f"payload.{f}")) for f in FILTERS])
-    rows = points.where("unit_vector IS NOT NULL")
     parts = []
     for i in range(blocks):
-        block = queries.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == i)
-        parts.append(rows.join(F.broadcast(block), wanted).select("query_id", "point_id", cosine(F.col("unit_vector"), F.col("_q")).alias("score"), "payload"))
+        block = queries.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == i).toArrow()  # BLOCK rows on average
+        rows = points.where("unit_vector IS NOT NULL")
+        for f in FILTERS:
+            if block.num_rows and not block[f"_{f}"].null_count:
+                rows = rows.where(F.col(f"payload.{f}").isin(*block[f"_{f}"].unique().to_pylist()))
+        rows = rows.select("point_id", "unit_vector", *[F.col(f"payload.{f}").cast("string").alias(f) for f in FILTERS])
+        if block.num_rows or i == 0:
+            parts.append(rows.mapInArrow(_best(block, limit) if block.num_rows else _none, f"query_id {kind}, point_id string, score double"))
     best = Window.partitionBy("query_id").orderBy(F.desc("score"), "point_id")
     ranked = reduce(DataFrame.unionByName, parts).withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= limit)
-    return ranked.select("query_id", "rank", "point_id", "score", "payload")
+    return ranked.join(points.select("point_id", "payload"), "point_id").select("query_id", "rank", "point_id", "score", "payload")
+
+
+def _none(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    yield from ()
 
 
 def search_texts(points: DataFrame, queries: DataFrame, provider: Provider, limit: int = 5) -> DataFrame:
