@@ -58,6 +58,38 @@ def test_recall_at_the_limit():
     assert not len(C.compare(a, below)[0])
 
 
+def test_plan_and_cells():
+    assert C.plan(10) == (0, 1) and C.plan(C.CELL) == (0, 1)
+    for n in (10**3, 10**5, 10**7):
+        folds, tables = C.plan(n)
+        assert n * C.shared(math.sqrt(2)) ** folds <= C.CELL and 1 - (1 - C.shared(C.distance(C.LEAST)) ** folds) ** tables >= C.RECALL
+    rng = np.random.default_rng(8)
+    a = C.units(rng.standard_normal((2000, 48)))
+    b = C.units(rng.standard_normal((2000, 48)))
+    b = C.units(b - (a * b).sum(axis=1, keepdims=True) * a)
+    near = 0.98 * a + math.sqrt(1 - 0.98**2) * b
+    folds, tables = C.plan(10**5)
+    met = (C.cells(a, folds, tables) == C.cells(near, folds, tables)).any(axis=1)
+    assert met.mean() >= 0.98
+
+
+def test_recall_over_cells(spark):
+    """Of one label large enough for several tables: all found links are links, and nearly all links at the limit are found."""
+    rng = np.random.default_rng(9)
+    n, dim = 1500, 24
+    a = C.units(rng.standard_normal((n, dim)))
+    b = C.units(rng.standard_normal((n, dim)))
+    b = C.units(b - (a * b).sum(axis=1, keepdims=True) * a)
+    every = np.concatenate((a, 0.9801 * a + math.sqrt(1 - 0.9801**2) * b))
+    df = spark.createDataFrame([(i, v.tolist(), 0) for i, v in enumerate(every)], "vec_id long, embedding array<double>, label int")
+    assert C.plan(2 * n)[1] > 1
+    got = {r.id: (r.n_links, r.component) for r in C.near_duplicates(df, block=40).collect()}
+    sims = every @ every.T >= 0.98
+    true = sims.sum(axis=1) - 1
+    assert all(got[i][0] <= true[i] for i in range(2 * n))
+    assert sum(v for v, _ in got.values()) >= 0.97 * true.sum()
+
+
 def test_whole_table(spark):
     rows = [(r.vec_id, r.embedding, r.label) for r in spark.read.parquet(f"{SF}/embeddings.parquet").collect()]
     got = op9_embedding_near_dedup(spark, SF).collect()
