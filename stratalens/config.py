@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import logging
 import os
 from dataclasses import dataclass, fields
 from pathlib import Path
@@ -34,3 +35,16 @@ def load_settings(env_file: str | Path = ".env") -> Settings:
     given |= {k.lower(): v for k, v in os.environ.items()}
     kinds = {"int": int, "float": float, "str": str}
     return Settings(**{f.name: kinds[f.type](given[f.name]) for f in fields(Settings) if f.name in given})
+
+
+# Fixed value: the format of log lines.
+LOG_FORMAT = "%(asctime)s | %(levelname)s | %(name)s | %(message)s"
+
+
+def configure_logging(level: str = "INFO") -> None:
+    """One format for all loggers; an unknown level is INFO."""
+    logging.basicConfig(level=getattr(logging, level.upper(), logging.INFO), format=LOG_FORMAT)
+
+
+def get_logger(name: str | None = None) -> logging.Logger:
+    return logging.getLogger(name or "stratalens")

@@ -170,6 +170,11 @@ class ChatClient:
         return keyed.join(replies, "_key").drop("_key")
 
 
+def completed_text(rows: DataFrame, chat: ChatProvider) -> DataFrame:
+    """Rows with the completion's text only, in ``content``."""
+    return chat.complete(rows).drop("usage")
+
+
 def grounded_answers(queries: DataFrame, hits: DataFrame, chat: ChatProvider | None = None, settings: Settings = Settings(), **rules) -> DataFrame:
     """One answer for each query (query_id, query): a refusal without any completion if its evidence is
     insufficient, else the completion, or a refusal if its citations are invalid."""

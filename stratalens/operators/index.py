@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -122,3 +124,26 @@ class Collection:
 
     def sample(self, n: int = 1) -> DataFrame:
         return self.read().drop("vector", "unit_vector").limit(n)
+
+
+class MemoryCollection(Collection):
+    """The same without a folder, for trials and tests: its points are held by the driver."""
+
+    def __init__(self, spark: SparkSession, name: str = "functional_specs", size: int = 3072) -> None:
+        super().__init__(spark, "", name, size)
+        self.rows: DataFrame | None = None
+
+    def exists(self) -> bool:
+        return self.rows is not None
+
+    def _write(self, rows: DataFrame) -> None:
+        self.rows = self.spark.createDataFrame(rows.collect(), POINT)
+
+    def read(self, release_label: str | None = None, source_kind: str | None = None) -> DataFrame:
+        if self.rows is None:
+            raise RuntimeError(f"Collection does not exist: {self.name}")
+        given = {"release_label": release_label, "source_kind": source_kind}
+        return reduce(lambda rows, k: rows.where(F.col(f"payload.{k}") == given[k]), [k for k in given if given[k] is not None], self.rows)
+
+    def vacuum(self, keep: int = 2) -> list[int]:
+        return []

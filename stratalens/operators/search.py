@@ -91,7 +91,7 @@ def search_many(points: DataFrame, queries: DataFrame, limit: int = 5) -> DataFr
     """(query_id, rank, point_id, score, payload): top ``limit`` of each query.
 
     ``queries`` has query_id, query_vector and may have the three filters; a null filter is no
-    condition.  Queries go out in blocks of about BLOCK, however many there are.  A task multiplies its
+    condition.  Queries go by way of the driver, as the small side, in blocks of about BLOCK.  A task multiplies its
     points with a block and keeps ``limit`` of each query, so no pair of a point and a query is a row; only
     ids and scores meet in the merge, and the winners' payloads are joined afterwards.  Where all
     queries of a block filter by a field, so does the scan.  Vectors of another length have no score.
@@ -102,6 +102,7 @@ def search_many(points: DataFrame, queries: DataFrame, limit: int = 5) -> DataFr
         "query_id", unit(F.col("query_vector")).alias("_q"), *[(F.col(f) if f in queries.columns else F.lit(None).cast("string")).alias(f"_{f}") for f in FILTERS]
     ).where("_q IS NOT NULL")
     kind = queries.schema["query_id"].dataType.simpleString()
+    queries = queries.persist()  # a remote model is asked once, although blocks are read one by one
     blocks = max(1, -(-queries.count() // BLOCK))
     parts = []
     for i in range(blocks):
@@ -113,6 +114,7 @@ def search_many(points: DataFrame, queries: DataFrame, limit: int = 5) -> DataFr
         rows = rows.select("point_id", "unit_vector", *[F.col(f"payload.{f}").cast("string").alias(f) for f in FILTERS])
         if block.num_rows or i == 0:
             parts.append(rows.mapInArrow(_best(block, limit) if block.num_rows else _none, f"query_id {kind}, point_id string, score double"))
+    queries.unpersist()
     best = Window.partitionBy("query_id").orderBy(F.desc("score"), "point_id")
     ranked = reduce(DataFrame.unionByName, parts).withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= limit)
     return ranked.join(points.select("point_id", "payload"), "point_id").select("query_id", "rank", "point_id", "score", "payload")

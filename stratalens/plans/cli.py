@@ -4,19 +4,20 @@ from __future__ import annotations
 
 import argparse
 import json
-import logging
+import uuid
 from dataclasses import replace
 
 from pyspark.sql import SparkSession
 
-from stratalens.config import Settings, load_settings
-from stratalens.operators.embedding import HashProvider, of_kind, run_summary
+from stratalens.config import Settings, configure_logging, get_logger, load_settings
+from stratalens.operators.answer import ChatClient
+from stratalens.operators.embedding import ClientProvider, HashProvider, of_kind, run_summary
 from stratalens.operators.index import Collection
 from stratalens.operators.search import preview, search_texts
 from stratalens.plans import pipelines
-from stratalens.sources import artifacts
+from stratalens.sources import artifacts, clients
 
-log = logging.getLogger("stratalens")
+log = get_logger()
 
 
 def parser() -> argparse.ArgumentParser:
@@ -30,17 +31,18 @@ def parser() -> argparse.ArgumentParser:
             "store": dict(required=True, help="folder of the collection"), "query": dict(required=True), "limit": dict(type=int, default=5), "document": dict(), "cases": dict(required=True),
             "source-kind": dict(choices=["paragraph", "table"]) if name == "embed" else dict(), "document-family": dict(), "release-label": dict(),
             "min-top-score": dict(type=float), "units": dict(type=int, default=2), "report": dict(required=True), "trace-dir": dict(),
+            "provider": dict(choices=["hash", "remote"], default="hash", help="offline hash vectors and extractive answers, or the models of the settings"),
         }
         for o in options:
             p.add_argument(f"--{o}", **known[o])
 
     filters = ("document-family", "release-label", "source-kind")
     command("ingest", "write raw, chunk and unit artifacts", "source", "out")
-    command("embed", "embed units through the cache", "source", "cache", "document", "source-kind", "units")
+    command("embed", "embed units through the cache", "source", "cache", "document", "source-kind", "units", "provider")
     command("index", "upsert the cache into the collection", "cache", "store")
-    command("search", "best units for a query", "store", "query", "limit", *filters)
-    command("answer", "grounded answer for a query", "store", "query", "limit", "min-top-score", "trace-dir", *filters)
-    command("evaluate", "run evaluation cases", "store", "cases", "report", "limit")
+    command("search", "best units for a query", "store", "query", "limit", "provider", *filters)
+    command("answer", "grounded answer for a query", "store", "query", "limit", "min-top-score", "trace-dir", "provider", *filters)
+    command("evaluate", "run evaluation cases", "store", "cases", "report", "limit", "provider")
     command("inspect", "describe the collection", "store")
     command("check-setup", "print settings and whether folders exist", "out")
     return top
@@ -49,10 +51,13 @@ def parser() -> argparse.ArgumentParser:
 def main(argv: list[str] | None = None) -> int:
     args = parser().parse_args(argv)
     settings = load_settings()
-    logging.basicConfig(level=settings.log_level)
+    configure_logging(settings.log_level)
     spark = SparkSession.builder.appName("stratalens").getOrCreate()
-    provider = HashProvider()
-    settings = replace(settings, vector_size=provider.size)
+    if getattr(args, "provider", "hash") == "remote":
+        provider = ClientProvider(clients.embeddings(settings))
+    else:
+        provider = HashProvider()
+        settings = replace(settings, vector_size=provider.size)
     return globals()[f"run_{args.command.replace('-', '_')}"](spark, args, settings, provider) or 0
 
 
@@ -76,18 +81,25 @@ def run_ingest(spark, args, settings, provider) -> None:
 
 def run_embed(spark, args, settings, provider) -> None:
     records = of_kind(pipelines.embed_folder(spark, args.source, args.cache, provider, args.document, args.source_kind, args.units, settings), args.source_kind)
+    # embedded once: the artifacts and the summary read what this has written
+    work = f"{args.cache.rstrip('/')}/_records-{uuid.uuid4().hex}"
+    records.write.parquet(work)
+    records = spark.read.parquet(work)
     suffix = f".{args.source_kind}" if args.source_kind else ""
     artifacts.export_records(records, args.cache, suffix)
     artifacts.export(run_summary(records), args.cache, "document_name", f"{suffix}{artifacts.SUMMARY}")
+    artifacts.delete(spark, work)
 
 
 def run_index(spark, args, settings, provider) -> None:
-    pipelines.index_cache(spark, args.cache, _collection(spark, args, settings)).show(truncate=False)
+    store = _collection(spark, args, settings)
+    pipelines.index_cache(spark, args.cache, store).show(truncate=False)
+    store.vacuum()
 
 
 def run_search(spark, args, settings, provider) -> None:
-    questions, _ = _question(spark, args)
-    hits = search_texts(_collection(spark, args, settings).read(), questions, provider, args.limit)
+    questions, given = _question(spark, args)
+    hits = search_texts(_collection(spark, args, settings).read(given["release_label"], given["source_kind"]), questions, provider, args.limit)
     hits.select("rank", "score", "payload.unit_id", preview(hits["payload.text"]).alias("text")).orderBy("rank").show(args.limit, truncate=False)
 
 
@@ -95,7 +107,12 @@ def run_answer(spark, args, settings, provider) -> None:
     questions, given = _question(spark, args)
     if args.min_top_score is not None:
         settings = replace(settings, retrieval_min_top_score=args.min_top_score)
-    answers, hits = pipelines.ask(_collection(spark, args, settings), questions, provider, limit=args.limit, settings=settings)
+    chat = ChatClient(clients.chat(settings), settings.chat_model) if args.provider == "remote" else None
+    answers, hits = pipelines.ask(
+        _collection(spark, args, settings), questions, provider, chat, args.limit, settings, release_label=given["release_label"], source_kind=given["source_kind"]
+    )
+    # one question, asked once: what is printed is what is traced
+    answers, hits = (spark.createDataFrame(x.collect(), x.schema) for x in (answers, hits))
     print(json.dumps(json.loads(answers.select(artifacts.as_json(*answers.columns).alias("b")).first().b), indent=2, ensure_ascii=False))
     if args.trace_dir:
         print(*pipelines.traced(answers, hits, args.trace_dir, filters=given))

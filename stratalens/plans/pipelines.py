@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from stratalens.config import Settings
-from stratalens.operators import answer, chunking, embedding, evaluation, evidence, index, search, trace
+from stratalens.operators import answer, chunking, embedding, evaluation, index, search, trace
 from stratalens.sources import artifacts, docx
 
 
@@ -39,17 +39,13 @@ def index_cache(spark: SparkSession, cache: str, collection: index.Collection) -
 
 def ask(
     collection: index.Collection, questions: DataFrame, provider: embedding.Provider, chat: answer.ChatProvider | None = None, limit: int = 5,
-    settings: Settings = Settings(), **rules,
+    settings: Settings = Settings(), release_label: str | None = None, source_kind: str | None = None, **rules,
 ) -> tuple[DataFrame, DataFrame]:
-    """(answers, hits) of questions (query_id, query, filters)."""
-    hits = search.search_texts(collection.read(), questions, provider, limit)
+    """(answers, hits) of questions (query_id, query, filters); ``release_label`` and ``source_kind`` prune what is read."""
+    hits = search.search_texts(collection.read(release_label, source_kind), questions, provider, limit)
     return answer.grounded_answers(questions, hits, chat, settings, **rules), hits
 
 
-def gate(questions: DataFrame, hits: DataFrame, settings: Settings = Settings()) -> DataFrame:
-    return evidence.assess(questions, hits, min_top_score=settings.retrieval_min_top_score)
-
-
 def evaluate(collection: index.Collection, cases: DataFrame, provider: embedding.Provider, limit: int = 5) -> tuple[DataFrame, DataFrame]:
     """(totals, cases) of evaluation cases against the collection."""
     asked = cases.select(F.col("case_id").alias("query_id"), "query", "filters.*")

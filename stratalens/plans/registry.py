@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from stratalens.functions import hashing, text
 from stratalens.operators import answer, chunking, embedding, evaluation, evidence, index, search, trace
 from stratalens.plans import testdata as T
+from stratalens.sources import artifacts
 from stratalens.sources.docx import base_name, is_document
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -155,9 +156,9 @@ def run_summary(spark, sf):
     return out.withColumn("models", F.array_join("embedding_models", ",")).withColumn("versions", F.array_join("artifact_versions", ",")).drop("embedding_models", "artifact_versions")
 
 
-@query(f"WITH {T.UNIT_SQL} SELECT unit_id, unit_index FROM units WHERE document_family = 'FS_src1' ORDER BY unit_index, unit_id LIMIT 40")
+@query(f"WITH {T.UNIT_SQL} SELECT unit_id, unit_index FROM units ORDER BY unit_index, unit_id LIMIT 40")
 def first_units(spark, sf):
-    return embedding.first_units(T.records(spark, sf).where("document_family = 'FS_src1'"), 40).select("unit_id", F.col("unit_index").cast("long").alias("unit_index"))
+    return embedding.first_units(T.records(spark, sf), 40).select("unit_id", F.col("unit_index").cast("long").alias("unit_index"))
 
 
 @query(f"WITH {T.UNIT_SQL} SELECT unit_id FROM units WHERE source_kind = 'table'")
@@ -181,13 +182,13 @@ def points(spark, sf):
     return out.select("point_id", F.col("vector")[0].alias("vector"), F.col("unit_vector")[0].alias("unit"), "payload.unit_id", "payload.source_kind")
 
 
-@query(f"""WITH {T.DOCS_SQL}, p AS (SELECT 'p' || lpad(vec_id::VARCHAR, 9, '0') AS point_id, vec_id FROM embeddings JOIN docs ON vec_id = doc_id)
-  SELECT point_id, CASE WHEN vec_id % 3 = 0 THEN 'new' ELSE 'old' END AS version FROM p WHERE vec_id % 3 = 0 OR vec_id % 2 = 0""")
+@query(f"""WITH {T.DOCS_SQL}, p AS (SELECT 'p' || lpad(vec_id::VARCHAR, 9, '0') AS point_id, vec_id FROM embeddings)
+  SELECT point_id, CASE WHEN vec_id % 3 = 0 THEN 'new' ELSE 'old' END AS version FROM p""")
 def upsert_merge(spark, sf):
     every = T.vector_points(spark, sf)
     n = F.substring("point_id", 2, 9).cast("long")
     version = lambda v: F.col("payload").withField("text", F.lit(v))
-    old, new = every.where(n % 2 == 0).withColumn("payload", version("old")), every.where(n % 3 == 0).withColumn("payload", version("new"))
+    old, new = every.withColumn("payload", version("old")), every.where(n % 3 == 0).withColumn("payload", version("new"))
     return index.upserted(old, new).select("point_id", F.col("payload.text").alias("version"))
 
 
@@ -201,6 +202,39 @@ def index_info(spark, sf):
     return T.vector_points(spark, sf).agg(F.count("*").alias("points_count"), F.countDistinct("payload.release_label").alias("releases"))
 
 
+def _store(spark, sf) -> index.Collection:
+    """A collection into which the test cache has been upserted twice, so that the second replaces the first."""
+    store = index.Collection(spark, T.scratch(spark), size=1)
+    store.ensure()
+    cached = T.cache(spark, sf)
+    store.upsert(cached.where("source_kind = 'table'").withColumn("vector", F.array(F.lit(7.0))))
+    store.upsert(cached)
+    return store
+
+
+@query(f"""WITH {T.CACHE_SQL} SELECT {T.POINT_ID_SQL} AS point_id, v AS vector, unit_id, source_kind, release_label FROM cache""")
+def collection_points(spark, sf):
+    return _store(spark, sf).read().select("point_id", F.col("vector")[0].alias("vector"), "payload.unit_id", "payload.source_kind", "payload.release_label")
+
+
+@query(f"WITH {T.CACHE_SQL} SELECT 'functional_specs' AS collection_name, 1 AS vector_size, 'cosine' AS distance, count(*) AS points_count FROM cache")
+def collection_info(spark, sf):
+    return _store(spark, sf).info()
+
+
+@query(f"WITH {T.CACHE_SQL} SELECT {T.POINT_ID_SQL} AS point_id, unit_id FROM cache WHERE source_kind = 'table' AND release_label = 'R4'")
+def collection_pruned(spark, sf):
+    return _store(spark, sf).read("R4", "table").select("point_id", "payload.unit_id")
+
+
+@query(f"WITH {T.CACHE_SQL} SELECT cache_key, unit_id, text, v AS vector FROM cache")
+def cache_files(spark, sf):
+    """The test cache written as embedding artifacts and read back."""
+    folder = T.scratch(spark)
+    artifacts.export_records(T.cache(spark, sf), folder)
+    return artifacts.read_cache(spark, folder).select("cache_key", "unit_id", "text", F.col("vector")[0].alias("vector"))
+
+
 def _vector(spark, sf) -> list[float]:
     return list(T.table(spark, sf, "embeddings").where("vec_id = 3").select(F.col("embedding").cast("array<double>")).first()[0])
 
@@ -332,8 +366,8 @@ def grounded_answers(spark, sf):
 
 
 _CASE = T.HIT_SQL + """, e AS (
-  SELECT query_id, count(point_id) AS n, query_id % 7 AS least, CASE WHEN query_id % 4 <> 0 THEN true WHEN query_id % 8 = 0 THEN false ELSE true END AS expect,
-    CASE WHEN query_id % 3 = 2 THEN 'R' || (query_id % 25) WHEN query_id % 5 = 0 THEN 'R1' END AS want_release, CASE WHEN query_id % 2 = 0 THEN 'paragraph' END AS want_kind,
+  SELECT query_id, count(point_id) AS n, query_id // 100 % 7 AS least, CASE WHEN query_id // 100 % 4 <> 0 THEN true WHEN query_id // 100 % 8 = 0 THEN false ELSE true END AS expect,
+    CASE WHEN query_id // 100 % 3 = 2 THEN 'R' || (query_id // 100 % 25) WHEN query_id // 100 % 5 = 0 THEN 'R1' END AS want_release, CASE WHEN query_id // 100 % 2 = 0 THEN 'paragraph' END AS want_kind,
     string_agg(text, chr(10) ORDER BY rank) AS t, max(CASE WHEN rank = 1 THEN text END) AS t1, list(release_label ORDER BY rank) AS rel, list(source_kind ORDER BY rank) AS kinds
   FROM qs LEFT JOIN hits USING (query_id) GROUP BY query_id
 ), f AS (SELECT *, list_filter(CASE WHEN n = 0 THEN [] ELSE rel END, lambda x: x IS DISTINCT FROM want_release) AS other_rel, list_filter(CASE WHEN n = 0 THEN [] ELSE kinds END, lambda x: x IS DISTINCT FROM want_kind) AS other_kind FROM e),
@@ -341,9 +375,9 @@ g AS (SELECT *, list_filter([
     CASE WHEN n < least THEN 'Expected at least ' || least || ' results, got ' || n END,
     CASE WHEN want_release IS NOT NULL AND len(other_rel) > 0 THEN 'Found results with unexpected release_label values: [''' || array_to_string(other_rel, ''', ''') || ''']' END,
     CASE WHEN want_kind IS NOT NULL AND len(other_kind) > 0 THEN 'Found results with unexpected source_kind values: [''' || array_to_string(other_kind, ''', ''') || ''']' END,
-    CASE WHEN query_id % 2 = 1 AND NOT (contains(coalesce(t, ''), 'the ') OR contains(coalesce(t, ''), 'der ')) THEN 'None of the expected text markers were found: [''the '', ''der '']' END,
-    CASE WHEN query_id % 6 = 0 AND n = 0 THEN 'Top-1 expectation could not be checked because no results were returned.'
-         WHEN query_id % 6 = 0 AND NOT (contains(t1, 'zzz') OR contains(t1, 'it''s')) THEN 'Top-1 result did not contain expected text markers: [''zzz'', "it''s"]' END
+    CASE WHEN query_id // 100 % 2 = 1 AND NOT (contains(coalesce(t, ''), 'the ') OR contains(coalesce(t, ''), 'der ')) THEN 'None of the expected text markers were found: [''the '', ''der '']' END,
+    CASE WHEN query_id // 100 % 6 = 0 AND n = 0 THEN 'Top-1 expectation could not be checked because no results were returned.'
+         WHEN query_id // 100 % 6 = 0 AND NOT (contains(t1, 'zzz') OR contains(t1, 'it''s')) THEN 'Top-1 result did not contain expected text markers: [''zzz'', "it''s"]' END
   ], lambda x: x IS NOT NULL) AS failures FROM f)"""
 
 

@@ -5,6 +5,9 @@ Each adapter has a DataFrame form and the same rows as a SQL common table expres
 
 from __future__ import annotations
 
+import tempfile
+import uuid
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -13,6 +16,14 @@ from stratalens.operators import chunking, embedding, search
 from stratalens.schemas import PAYLOAD, TABLES
 
 
+def scratch(spark: SparkSession) -> str:
+    """A fresh folder that driver and executors share: below ``spark.checkpoint.dir``, or on a local master of this machine."""
+    at = spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if at is None and not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
+    return f"{at}/{uuid.uuid4().hex}" if at else tempfile.mkdtemp(prefix="stratalens-")
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -59,22 +70,31 @@ def cache(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def vector_points(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Points of the embeddings table, with the document of the same number as payload."""
+    """A point for each row of the embeddings table, with the document of the same number, where there is one, as payload."""
+    v = F.col("vec_id")
     kind = F.when(F.col("label") % 2 == 0, "paragraph").otherwise("table")
     docs = documents(spark, sf_dir).select("doc_id", "document_name", "document_family", "release_label", "text")
-    own = table(spark, sf_dir, "embeddings").join(docs, F.col("vec_id") == F.col("doc_id"))
-    given = {"unit_id": F.col("document_name"), "unit_index": F.lit(0), "source_kind": kind, **{c: F.col(c) for c in ("document_family", "release_label", "text")}}
+    own = table(spark, sf_dir, "embeddings").join(docs, v == F.col("doc_id"), "left")
+    given = {
+        "unit_id": F.coalesce("document_name", F.concat(F.lit("vec_"), v)), "unit_index": F.lit(0), "source_kind": kind, "document_family": F.coalesce("document_family", F.lit("FS_none")),
+        "release_label": F.coalesce("release_label", F.concat(F.lit("R"), v % 25)), "text": F.coalesce("text", F.lit("")),
+    }
     payload = F.struct(*[given.get(c, F.lit(None).cast("string")).alias(c) for c in PAYLOAD])
     vector = F.col("embedding").cast("array<double>")
-    return own.select(F.concat(F.lit("p"), F.lpad(F.col("vec_id").cast("string"), 9, "0")).alias("point_id"), vector.alias("vector"), embedding.unit(vector).alias("unit_vector"), payload.alias("payload"))
+    return own.select(F.concat(F.lit("p"), F.lpad(v.cast("string"), 9, "0")).alias("point_id"), vector.alias("vector"), embedding.unit(vector).alias("unit_vector"), payload.alias("payload"))
+
+
+def number(query_id: Column) -> Column:
+    """The running number of a query."""
+    return F.floor(query_id / 100)
 
 
 def vector_queries(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The first 20 vectors as queries; a third filter by kind, a third by release."""
-    q = F.col("vec_id")
-    return table(spark, sf_dir, "embeddings").where("vec_id < 20").select(
+    """All vectors whose id is divisible by 100 as queries; a third filter by kind, a third by release."""
+    q, n = F.col("vec_id"), number(F.col("vec_id"))
+    return table(spark, sf_dir, "embeddings").where("vec_id % 100 = 0").select(
         q.alias("query_id"), F.concat(F.lit("What is said in note "), q, F.lit("?")).alias("query"), F.col("embedding").cast("array<double>").alias("query_vector"),
-        F.when(q % 3 == 1, "paragraph").alias("source_kind"), F.when(q % 3 == 2, F.concat(F.lit("R"), q % 25)).alias("release_label"),
+        F.when(n % 3 == 1, "paragraph").alias("source_kind"), F.when(n % 3 == 2, F.concat(F.lit("R"), n % 25)).alias("release_label"),
     )
 
 
@@ -84,11 +104,11 @@ def hits(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def cases(spark: SparkSession, sf_dir: str) -> DataFrame:
     """An evaluation case for each query, of several kinds by its number."""
-    q = F.col("query_id")
+    q, n = F.col("query_id"), number(F.col("query_id"))
     expect = F.struct(
-        F.when(q % 4 != 0, True).when(q % 8 == 0, False).alias("expected_to_pass"), (q % 7).cast("int").alias("min_results"),
-        F.when(q % 3 == 2, F.concat(F.lit("R"), q % 25)).when(q % 5 == 0, "R1").alias("expected_release_label"), F.when(q % 2 == 0, "paragraph").alias("expected_source_kind"),
-        F.when(q % 6 == 0, F.array(F.lit("zzz"), F.lit("it's"))).alias("expected_top1_contains_any"), F.when(q % 2 == 1, F.array(F.lit("the "), F.lit("der "))).alias("expected_text_contains_any"),
+        F.when(n % 4 != 0, True).when(n % 8 == 0, False).alias("expected_to_pass"), (n % 7).cast("int").alias("min_results"),
+        F.when(n % 3 == 2, F.concat(F.lit("R"), n % 25)).when(n % 5 == 0, "R1").alias("expected_release_label"), F.when(n % 2 == 0, "paragraph").alias("expected_source_kind"),
+        F.when(n % 6 == 0, F.array(F.lit("zzz"), F.lit("it's"))).alias("expected_top1_contains_any"), F.when(n % 2 == 1, F.array(F.lit("the "), F.lit("der "))).alias("expected_text_contains_any"),
     )
     return vector_queries(spark, sf_dir).select(q.cast("string").alias("case_id"), "query", expect.alias("expectation"))
 
@@ -143,13 +163,13 @@ CACHE_SQL = UNIT_SQL + """, cache AS (
 POINT_ID_SQL = """(SELECT substr(h, 1, 8) || '-' || substr(h, 9, 4) || '-5' || substr(h, 14, 3) || '-' || substr('89ab', ('0x' || substr(h, 17, 1))::INT % 4 + 1, 1)
   || substr(h, 18, 3) || '-' || substr(h, 21, 12) FROM (SELECT sha1(unhex('6ba7b8119dad11d180b400c04fd430c8') || cache_key::BLOB) AS h))"""
 HIT_SQL = DOCS_SQL + """, pts AS (
-  SELECT 'p' || lpad(vec_id::VARCHAR, 9, '0') AS point_id, embedding::DOUBLE[] AS v, document_name AS unit_id, document_family, release_label,
-         CASE WHEN label % 2 = 0 THEN 'paragraph' ELSE 'table' END AS source_kind, text
-  FROM embeddings JOIN docs ON vec_id = doc_id
+  SELECT 'p' || lpad(vec_id::VARCHAR, 9, '0') AS point_id, embedding::DOUBLE[] AS v, coalesce(document_name, 'vec_' || vec_id) AS unit_id, coalesce(document_family, 'FS_none') AS document_family,
+         coalesce(release_label, 'R' || (vec_id % 25)) AS release_label, CASE WHEN label % 2 = 0 THEN 'paragraph' ELSE 'table' END AS source_kind, coalesce(text, '') AS text
+  FROM embeddings LEFT JOIN docs ON vec_id = doc_id
 ), qs AS (
-  SELECT vec_id AS query_id, 'What is said in note ' || vec_id || '?' AS query, embedding::DOUBLE[] AS q, CASE WHEN vec_id % 3 = 1 THEN 'paragraph' END AS f_kind,
-         CASE WHEN vec_id % 3 = 2 THEN 'R' || (vec_id % 25) END AS f_release
-  FROM embeddings WHERE vec_id < 20
+  SELECT vec_id AS query_id, 'What is said in note ' || vec_id || '?' AS query, embedding::DOUBLE[] AS q, CASE WHEN vec_id // 100 % 3 = 1 THEN 'paragraph' END AS f_kind,
+         CASE WHEN vec_id // 100 % 3 = 2 THEN 'R' || (vec_id // 100 % 25) END AS f_release
+  FROM embeddings WHERE vec_id % 100 = 0
 ), scored AS (
   SELECT query_id, point_id, round(list_cosine_similarity(v, q), 12) AS score, unit_id, document_family, release_label, source_kind, text
   FROM pts JOIN qs ON (f_kind IS NULL OR f_kind = source_kind) AND (f_release IS NULL OR f_release = release_label)

@@ -6,8 +6,10 @@ The canonical store between stages is Parquet; these files are for import and ex
 from __future__ import annotations
 
 import json
+import uuid
 from collections.abc import Iterator
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -23,21 +25,40 @@ def as_json(*cols: str | Column) -> Column:
     return F.to_json(F.struct(*cols), {"ignoreNullFields": "false"})
 
 
+def _indented(bodies: pd.Series) -> pd.Series:
+    return bodies.map(lambda x: json.dumps(json.loads(x), indent=2, ensure_ascii=False))
+
+
 def export(rows: DataFrame, directory: str, stem: str, suffix: str) -> list[str]:
-    """Write each row as ``directory/<stem><suffix>``, indented, UTF-8; returns the paths.
+    """Write each row as ``directory/<stem><suffix>``, indented, UTF-8; returns the paths, in order.
 
-    Files go through Hadoop's file system one row at a time, so the driver holds one document.
+    The executors make and write the files, in a folder beside; the driver only gives them their names.
+    Stems name one row each.
     """
-    jvm, conf = rows.sparkSession._jvm, rows.sparkSession._jsc.hadoopConfiguration()
+    spark = rows.sparkSession
     kept = [c for c in rows.columns if c != "_stem"]
+    work = f"{directory.rstrip('/')}/_export-{uuid.uuid4().hex}"
+    body = F.pandas_udf(_indented, "string")(as_json(*kept))
+    rows.select(F.col(stem).cast("string").alias("_stem"), body.alias("value")).write.partitionBy("_stem").text(work)
+    hadoop, plain = spark._jvm.org.apache.hadoop.fs, spark._jvm.org.apache.spark.sql.catalyst.catalog.ExternalCatalogUtils.unescapePathName
+    fs = hadoop.Path(work).getFileSystem(spark._jsc.hadoopConfiguration())
     paths = []
-    for r in rows.select(F.col(stem).alias("_stem"), as_json(*kept).alias("body")).toLocalIterator():
-        path = jvm.org.apache.hadoop.fs.Path(f"{directory.rstrip('/')}/{r['_stem']}{suffix}")
-        out = path.getFileSystem(conf).create(path, True)
-        out.write(bytearray(json.dumps(json.loads(r.body), indent=2, ensure_ascii=False).encode("utf-8")))
-        out.close()
+    for folder in fs.listStatus(hadoop.Path(work)):
+        if not folder.isDirectory():
+            continue
+        name = plain(folder.getPath().getName().removeprefix("_stem="))
+        path = hadoop.Path(f"{directory.rstrip('/')}/{name}{suffix}")
+        for part in fs.listStatus(folder.getPath()):
+            fs.delete(path, False)
+            fs.rename(part.getPath(), path)
         paths.append(path.toString())
-    return paths
+    delete(spark, work)
+    return sorted(paths)
+
+
+def delete(spark: SparkSession, path: str) -> None:
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
 
 
 def export_units(units: DataFrame, directory: str) -> list[str]:

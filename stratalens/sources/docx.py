@@ -29,24 +29,31 @@ def is_document(name: Column) -> Column:
 
 
 def discover(spark: SparkSession, directory: str) -> DataFrame:
-    """(path, file_name, content) of the folder's DOCX files, not of its subfolders, in order of path.
+    """(path, file_name) of the folder's DOCX files, not of its subfolders, in order of path.
 
-    Listed through Hadoop so that names starting with ``_`` or ``.`` count too.
+    Listed through Hadoop, so names starting with ``_`` or ``.`` count too; no file is opened.
     """
     jvm = spark._jvm
     p = jvm.org.apache.hadoop.fs.Path(directory)
     fs = p.getFileSystem(spark._jsc.hadoopConfiguration())
     if not fs.exists(p):
         raise FileNotFoundError(f"Directory does not exist: {directory}")
-    names = [s.getPath() for s in fs.listStatus(p) if s.isFile()]
-    hidden = [str(x.toString()) for x in names if x.getName().startswith(("_", "."))]
-    rows = spark.read.format("binaryFile").load(directory)
-    if hidden:
-        rows = rows.unionByName(spark.read.format("binaryFile").load(hidden))
-    rows = rows.select("path", base_name(F.col("path")).alias("file_name"), "content")
+    names = [(s.getPath().toString(), s.getPath().getName()) for s in fs.listStatus(p) if s.isFile()]
+    rows = spark.createDataFrame(names, "path string, file_name string")
     return rows.where(is_document(F.col("file_name"))).orderBy("path")
 
 
+def loaded(files: DataFrame) -> DataFrame:
+    """(path, file_name, content) of discovered files: only these are opened, on the executors."""
+    spark, found = files.sparkSession, [(r.path, r.file_name, None) for r in files.select("path", "file_name").collect()]
+    # Spark passes over names that start like this; none is a valid document name, so they need no content to be refused
+    hidden = [x for x in found if x[1].startswith(("_", "."))]
+    out = spark.createDataFrame(hidden, "path string, file_name string, content binary")
+    if paths := [x[0] for x in found if x not in hidden]:
+        out = out.unionByName(spark.read.format("binaryFile").load(paths).select("path", base_name(F.col("path")).alias("file_name"), "content"))
+    return out
+
+
 def _text(node: ElementTree.Element) -> str:
     """Text of a paragraph, with tabs and line breaks."""
     marks = {f"{W}tab": "\t", f"{W}br": "\n", f"{W}cr": "\n", f"{W}noBreakHyphen": "-"}
@@ -56,13 +63,23 @@ def _text(node: ElementTree.Element) -> str:
     return "".join(out)
 
 
-def _cells(row: ElementTree.Element) -> list[str]:
-    """Cell texts of a table row; a cell that spans columns counts for each of them."""
+def _cells(row: ElementTree.Element, above: list[str]) -> list[str]:
+    """Cell texts of a table row: a cell that spans columns counts for each of them, and one that continues the cell above repeats its text."""
     out = []
     for cell in row.findall(f"{W}tc"):
-        span = cell.find(f"{W}tcPr/{W}gridSpan")
+        span, merge = cell.find(f"{W}tcPr/{W}gridSpan"), cell.find(f"{W}tcPr/{W}vMerge")
         wide = int(span.get(f"{W}val", "1")) if span is not None else 1
-        out += ["\n".join(_text(p) for p in cell.findall(f"{W}p"))] * wide
+        if merge is not None and merge.get(f"{W}val", "continue") == "continue" and len(out) < len(above):
+            out += [above[len(out)]] * wide
+        else:
+            out += ["\n".join(_text(p) for p in cell.findall(f"{W}p"))] * wide
+    return out
+
+
+def _rows(table: ElementTree.Element) -> list[list[str]]:
+    out: list[list[str]] = []
+    for row in table.findall(f"{W}tr"):
+        out.append(_cells(row, out[-1] if out else []))
     return out
 
 
@@ -72,17 +89,18 @@ def parse(content: bytes) -> tuple[list[str], list[list[list[str]]]]:
         body = ElementTree.fromstring(z.read("word/document.xml")).find(f"{W}body")
     if body is None:
         return [], []
-    return [_text(p) for p in body.findall(f"{W}p")], [[_cells(r) for r in t.findall(f"{W}tr")] for t in body.findall(f"{W}tbl")]
+    return [_text(p) for p in body.findall(f"{W}p")], [_rows(t) for t in body.findall(f"{W}tbl")]
 
 
 def _parsed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for b in batches:
-        found = [parse(c) for c in b["content"]]
+        found = [parse(c) if c is not None else ([], []) for c in b["content"]]
         yield pd.DataFrame({"file_name": b["file_name"], "paragraphs": pd.Series([f[0] for f in found], dtype=object), "tables": pd.Series([f[1] for f in found], dtype=object)})
 
 
 def read(files: DataFrame) -> DataFrame:
     """Documents of discovered files: names, extracted paragraphs and described tables, one pass over each."""
+    files = files if "content" in files.columns else loaded(files)
     raw = files.select("file_name", "content").mapInPandas(_parsed, f"file_name string, paragraphs array<string>, tables {TABLES}")
     named = raw.select("file_name", parsed_name(F.col("file_name")).alias("n"), "paragraphs", "tables").select("file_name", "n.*", "paragraphs", "tables")
     return described_tables(extracted(named))

@@ -1,3 +1,4 @@
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 from stratalens.operators import answer, chunking, embedding, evaluation, evidence, index, search
@@ -95,6 +96,65 @@ def test_collection(spark, tmp_path):
         index.points(records(spark, record("b", vector=None))).collect()
 
 
+def test_generations(spark, tmp_path):
+    c = index.Collection(spark, str(tmp_path), size=2)
+    c.upsert(records(spark, record("a")))
+    old = c.read()
+    c.upsert(records(spark, record("b")))
+    # a reader of the generation before is not disturbed
+    assert {r.payload.unit_id for r in old.collect()} == {"a"} and {r.payload.unit_id for r in c.read().collect()} == {"a", "b"}
+    # a write that stops halfway is not current, and nothing is emptied after it
+    broken = tmp_path / c.name / f"{index.GENERATION}{99:012d}"
+    broken.mkdir()
+    c.ensure()
+    assert c.read().count() == 2
+    c.upsert(records(spark, record("d")))
+    assert c.generations()[-1] == 100 and c.read().count() == 3
+    assert c.vacuum(keep=1) == [n for n in range(1, c.generations()[0]) if n in (1, 2, 3, 99)] and c.read().count() == 3
+    with pytest.raises(ValueError):
+        c.vacuum(0)
+
+
+def test_memory_collection(spark):
+    c = index.MemoryCollection(spark, size=2)
+    with pytest.raises(RuntimeError, match="does not exist"):
+        c.read()
+    assert c.upsert(records(spark, record("a"), record("t", kind="table"), record("n", vector=None))).first().upserted_points == 2
+    c.upsert(records(spark, record("z", key="key-a", release="R2")))
+    assert {r.payload.unit_id for r in c.read().collect()} == {"t", "z"} and c.read(source_kind="table").count() == 1 and c.info().first().points_count == 2
+
+
+def test_one_pass(spark):
+    """Neither embedding through a cache nor the summary reads its records twice."""
+    rows = records(spark, record("a", "pending", None))
+    plan = lambda df: df._jdf.queryExecution().optimizedPlan().toString()
+    scans = plan(rows).count("LogicalRDD") + plan(rows).count("LocalRelation")
+    cache = embedding.last_wins(records(spark, record("b")), ["unit_index"])
+    made = plan(embedding.embed(rows, embedding.HashProvider(), cache))
+    assert made.count("LogicalRDD") + made.count("LocalRelation") == 2 * scans
+    told = plan(embedding.run_summary(rows.withColumn("document_name", F.lit("d"))))
+    assert told.count("LogicalRDD") + told.count("LocalRelation") == scans
+
+
+def test_search_many_against_all_pairs(spark):
+    rng = np.random.default_rng(3)
+    vectors = [tuple(rng.integers(-2, 3, 3).tolist()) for _ in range(60)]
+    pts = index.points(records(spark, *[record(f"u{i}", vector=v, release=f"R{i % 3}") for i, v in enumerate(vectors)]), strict=False)
+    asked = [(q, [float(x) for x in rng.integers(-2, 3, 3)], None if q % 2 else f"R{q % 3}") for q in range(12)]
+    df = spark.createDataFrame(asked, "query_id long, query_vector array<double>, release_label string")
+    got = {}
+    for r in search.search_many(pts, df, 4).collect():
+        got.setdefault(r.query_id, []).append((r["rank"], r.point_id, r.score))
+    held = pts.collect()
+    for q, v, release in asked:
+        if not any(v):
+            assert q not in got
+            continue
+        u = np.array(v) / np.linalg.norm(v)
+        every = sorted((-round(float(np.dot(u, p.unit_vector)), 12) + 0.0, p.point_id) for p in held if p.unit_vector and release in (None, p.payload.release_label))[:4]
+        assert [(p, round(s, 9)) for _, p, s in sorted(got[q])] == [(p, round(-s, 9)) for s, p in every]
+
+
 def test_search(spark):
     pts = index.points(records(spark, record("close", vector=(1, 0)), record("far", vector=(0, 1)), record("zero", vector=(0, 0)), record("r2", vector=(1, 0), release="R2", kind="table")))
     top = search.search(pts, [2.0, 0.0], 1, release_label="R1").first()

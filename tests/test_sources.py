@@ -1,12 +1,15 @@
+import http.server
 import json
 import subprocess
 import sys
+import threading
+import zipfile
 
 import pytest
 from pyspark.sql import functions as F
 from stratalens.config import load_settings
 from stratalens.operators import embedding, index
-from stratalens.plans import pipelines
+from stratalens.plans import cli, pipelines
 from stratalens.sources import artifacts, docx
 
 
@@ -86,3 +89,75 @@ def test_settings(tmp_path, monkeypatch):
 def test_help(command):
     done = subprocess.run([sys.executable, "-m", "stratalens.plans.cli", command, "--help"], capture_output=True, text=True, timeout=120)
     assert done.returncode == 0 and "usage" in done.stdout
+
+
+def test_merged_cells(spark, tmp_path):
+    cell = lambda text, props="": f"<w:tc><w:tcPr>{props}</w:tcPr><w:p><w:r><w:t>{text}</w:t></w:r></w:p></w:tc>"
+    rows = [cell("a", '<w:vMerge w:val="restart"/>') + cell("b"), cell("", "<w:vMerge/>") + cell("c"), cell("d", '<w:gridSpan w:val="2"/>'), cell("", '<w:vMerge w:val="continue"/>') + cell("e")]
+    body = "".join(f"<w:tr>{r}</w:tr>" for r in rows)
+    path = tmp_path / "FS_M_R1.docx"
+    with zipfile.ZipFile(path, "w") as z:
+        z.writestr("word/document.xml", f'<w:document xmlns:w="{docx.W[1:-1]}"><w:body><w:tbl>{body}</w:tbl></w:body></w:document>')
+    assert docx.parse(path.read_bytes())[1] == [[["a", "b"], ["a", "c"], ["d", "d"], ["d", "e"]]]
+
+
+def test_only_documents_are_opened(spark, folder):
+    (folder / "_FS_Hid_R1.docx").write_bytes(docx.to_docx(["x"], []))
+    assert sorted(r.file_name for r in docx.loaded(docx.discover(spark, str(folder))).collect()) == ["FS_Loan_R10_Draft.DOCX", "FS_Pay_R2.docx", "_FS_Hid_R1.docx"]
+    with pytest.raises(Exception, match="Unsupported document filename"):
+        docx.read(docx.discover(spark, str(folder))).collect()
+    (folder / "empty").mkdir()
+    assert docx.read(docx.discover(spark, str(folder / "empty"))).count() == 0
+
+
+def test_export_names(spark, tmp_path):
+    rows = spark.createDataFrame([("a b=c%", 1), ("é x", 2)], "name string, n int")
+    paths = artifacts.export(rows, str(tmp_path / "out"), "name", ".json")
+    artifacts.export(rows.withColumn("n", F.col("n") + 1), str(tmp_path / "out"), "name", ".json")
+    assert [json.loads(open(p.removeprefix("file:"), encoding="utf-8").read()) for p in paths] == [{"name": "a b=c%", "n": 2}, {"name": "é x", "n": 3}]
+    assert sorted(p.name for p in (tmp_path / "out").iterdir() if p.suffix != ".crc") == ["a b=c%.json", "é x.json"]
+
+
+class Model(http.server.BaseHTTPRequestHandler):
+    """A remote model that counts its calls."""
+
+    calls: list = []
+
+    def do_POST(self):
+        asked = json.loads(self.rfile.read(int(self.headers["Content-Length"])))
+        Model.calls.append((self.path, self.headers["Authorization"], asked))
+        if self.path.endswith("/embeddings"):
+            out = {"data": [{"index": i, "embedding": [float(len(t)), 1.0]} for i, t in enumerate(asked["input"])][::-1]}
+        else:
+            out = {"choices": [{"message": {"content": f" reply {len(Model.calls)} [C1] "}}], "usage": {"prompt_tokens": 5, "completion_tokens": 2}}
+        body = json.dumps(out).encode()
+        self.send_response(200)
+        self.send_header("Content-Length", str(len(body)))
+        self.end_headers()
+        self.wfile.write(body)
+
+    def log_message(self, *args):
+        pass
+
+
+def test_remote_models_are_called_once(spark, folder, tmp_path, monkeypatch, capsys):
+    server = http.server.ThreadingHTTPServer(("127.0.0.1", 0), Model)
+    threading.Thread(target=server.serve_forever, daemon=True).start()
+    monkeypatch.setenv("BASE_URL", f"http://127.0.0.1:{server.server_port}/v1")
+    monkeypatch.setenv("API_KEY", "k")
+    monkeypatch.setenv("VECTOR_SIZE", "2")
+    cache, store, traces = (str(tmp_path / n) for n in ("cache", "store", "traces"))
+    cli.main(["embed", "--source", str(folder), "--cache", cache, "--units", "9", "--provider", "remote"])
+    texts = [t for path, _, asked in Model.calls for t in asked["input"]]
+    assert len(texts) == len(set(texts)) == 3 and {key for _, key, _ in Model.calls} == {"Bearer k"}
+    Model.calls.clear()
+    cli.main(["embed", "--source", str(folder), "--cache", cache, "--units", "9", "--provider", "remote"])
+    assert not Model.calls
+    cli.main(["index", "--cache", cache, "--store", store])
+    capsys.readouterr()
+    cli.main(["answer", "--store", store, "--query", "what limit", "--trace-dir", traces, "--provider", "remote"])
+    assert sorted(path for path, *_ in Model.calls) == ["/v1/chat/completions", "/v1/embeddings"]
+    (path,) = [p for p in (tmp_path / "traces").iterdir() if p.suffix == ".json"]
+    said, traced = capsys.readouterr().out, json.loads(path.read_text(encoding="utf-8"))
+    assert traced["answer_response"]["answer"] in said and traced["answer_response"]["answer"].startswith("reply ")
+    server.shutdown()
