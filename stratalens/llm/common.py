@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import gc
+import re
 import tempfile
 import uuid
 
@@ -20,11 +21,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shared_folder(spark: SparkSession) -> str:
     """The folder that driver and executors share, named by the cluster in ``spark.checkpoint.dir``.
 
-    Only where that is unset (tests, local use) a folder of this machine is set.
+    Only where that is unset and all runs on this machine (tests, local use) a folder of this machine is set.
     """
     sc = spark.sparkContext
     if not sc._jsc.sc().getCheckpointDir().isDefined():
-        sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="checkpoints-"))
+        given = sc.getConf().get("spark.checkpoint.dir")
+        if not given and not re.match(r"local(\[|$)", sc.master):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
+        sc.setCheckpointDir(given or tempfile.mkdtemp(prefix="checkpoints-"))
     return sc._jsc.sc().getCheckpointDir().get()
 
 
@@ -128,14 +132,16 @@ def match_spans(text: Column, pattern: str, kind: str, groups: tuple[int, ...] =
         )
         return F.struct((start + x["len"]).alias("at"), F.concat(done["spans"], F.array(span)).alias("spans"))
 
-    def chunk(s: Column, c: Column) -> Column:
-        before = F.aggregate(F.slice(s, 1, c * CHUNK), F.lit(0), lambda a, x: a + x["gap"] + x["len"])
+    def chunk(s: Column, c: Column, before: Column) -> Column:
         start = F.struct(before.alias("at"), F.array().cast(f"array<struct<{fields}>>").alias("spans"))
         return F.aggregate(F.slice(s, c * CHUNK + 1, F.lit(CHUNK)), start, place, lambda a: a["spans"])
 
     def every(s: Column) -> Column:
-        last = F.floor((F.size(s) - 1) / CHUNK).cast("int")
-        return F.flatten(F.transform(F.sequence(F.lit(0), F.greatest(last, F.lit(0))), lambda c: chunk(s, c)))
+        chunks = F.sequence(F.lit(0), F.greatest(F.floor((F.size(s) - 1) / CHUNK).cast("int"), F.lit(0)))
+        sums = F.transform(chunks, lambda c: F.aggregate(F.slice(s, c * CHUNK + 1, F.lit(CHUNK)), F.lit(0), lambda a, x: a + x["gap"] + x["len"]))
+        # where each chunk starts: one running sum over the chunks
+        starts = F.aggregate(sums, F.array(F.lit(0)), lambda a, n: F.concat(a, F.array(F.element_at(a, -1) + n)))
+        return F.flatten(F.flatten(F.transform(F.array(starts), lambda at: F.transform(chunks, lambda c: chunk(s, c, F.get(at, c))))))
 
     return F.transform(F.array(sized), every)[0]
 

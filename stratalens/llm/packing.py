@@ -13,7 +13,8 @@ Pieces are dealt to shards by hash, ``SHARD`` to each on average, and shards are
 source or cluster, however large, meets in one task; a shard's last bins are the only cost.
 
 Defined cases: null text and text without words make one piece of 0 words, which is packed like any
-other; a null source is a source of its own; rows that repeat are separate pieces of one cluster; the
+other; a null source is a source of its own; rows that repeat are separate pieces of one cluster, spread over
+the shards if they are many; a very long text gives as many full pieces as it needs; ties in size go by hash; the
 empty table gives no bins; columns besides the id, text and source columns are ignored.
 """
 
@@ -23,11 +24,13 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from stratalens.llm.common import word_count
+from stratalens.llm.common import stored, word_count
 from stratalens.llm.simhash import similar
 
 #: Words that a bin holds, pieces of one source that it takes, pieces of a shard on average.
 CAPACITY, PER_SOURCE, SHARD = 2048, 4, 4096
+#: Copies of a row that may be dealt to one shard.
+REPEATS = 64
 
 
 class Bins:
@@ -85,9 +88,16 @@ def text_name(text_col: str) -> Column:
 
 
 def near_clusters(docs: DataFrame, text_col: str = "text") -> DataFrame:
-    """(cluster, component) for each text's name: the near-duplicates that it belongs to."""
-    found = similar(docs.select(text_name(text_col).alias("id"), F.lower(F.col(text_col)).alias("text")))
-    return found.groupBy(F.col("id").alias("cluster")).agg(F.min("component").alias("component"))
+    """(name, component) for each text's hash: the near-duplicates that it belongs to.
+
+    Texts equal up to case and white space have equal shingles, so they are of one component already.
+    """
+    found = similar(docs.select(raw_name(text_col).alias("id"), F.lower(F.col(text_col)).alias("text")))
+    return found.groupBy(F.col("id").alias("name")).agg(F.min("component").alias("component"))
+
+
+def raw_name(text_col: str) -> Column:
+    return F.xxhash64(F.coalesce(F.col(text_col), F.lit("")))
 
 
 def pieces(
@@ -95,15 +105,19 @@ def pieces(
 ) -> DataFrame:
     """(doc_id, piece, start, words, source, cluster, deal) for each piece of each document.
 
-    A text that ``clusters`` (cluster, component) does not name is a cluster of its own.
+    A text that ``clusters`` (name, component) does not name is a cluster of its own.  ``deal`` is a hash of
+    the row, but rows that repeat more than ``REPEATS`` times are dealt one by one.
     """
     text = F.coalesce(F.col(text_col), F.lit(""))
     slim = docs.select(
         F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), word_count(F.col(text_col)).alias("size"),
-        text_name(text_col).alias("cluster"), F.xxhash64(F.lit("deal"), F.col(id_col), text).alias("deal"),
+        (text_name(text_col) if clusters is None else raw_name(text_col)).alias("cluster"), F.xxhash64(F.lit("deal"), F.col(id_col), F.col(source_col), text).alias("deal"),
     )
+    slim = stored(slim.withColumn("row", F.monotonically_increasing_id()))  # its numbers stay
+    often = slim.groupBy("deal").count().where(F.col("count") > REPEATS).select("deal", F.lit(True).alias("often"))
+    slim = slim.join(often, "deal", "left").withColumn("deal", F.when(F.col("often"), F.xxhash64("deal", "row")).otherwise(F.col("deal"))).drop("often", "row")
     if clusters is not None:
-        slim = slim.join(clusters, "cluster", "left").withColumn("cluster", F.coalesce("component", "cluster")).drop("component")
+        slim = slim.join(clusters.withColumnRenamed("name", "cluster"), "cluster", "left").withColumn("cluster", F.coalesce("component", "cluster")).drop("component")
     last = F.greatest(F.ceil(F.col("size") / capacity) - 1, F.lit(0))
     slim = slim.withColumn("piece", F.explode(F.sequence(F.lit(0).cast("long"), last.cast("long"))))
     slim = slim.withColumn("start", F.col("piece") * capacity)
