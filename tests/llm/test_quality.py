@@ -1,4 +1,5 @@
 import numpy as np
+import pandas as pd
 from brute import SF
 from pyspark.sql import functions as F
 from stratalens.llm import quality as Q
@@ -75,3 +76,47 @@ def test_few_labels_of_a_kind():
     for y in ([0, 1, 1, 0, 1, 1, 1], [1, 1, 0, 0, 1, 1, 1]):
         x = np.array(y)[:, None] + rng.normal(0, 0.1, (7, 2))
         assert Q.cotrain(x, x, np.array(y)) is not None
+
+
+def test_rounds_help():
+    """On two views that are independent given the label, with few labels."""
+    gain = []
+    for seed in range(6):
+        rng = np.random.default_rng(seed)
+        y = rng.integers(0, 2, 3000)
+        a, b = [(2 * y[:, None] - 1) * 0.5 + rng.standard_normal((3000, 60)) * 1.3 for _ in range(2)]
+        few = np.where(np.arange(3000) < 240, y, -1)
+        right = [np.mean((Q.cotrain(a, b, few, rounds).text.chance(a)[240:] > 0.5) == y[240:]) for rounds in (0, 3)]
+        gain.append(right[1] - right[0])
+    assert np.mean(gain) > 0.0005 and min(gain) > -0.001
+
+
+def test_a_view_of_noise_teaches_nothing():
+    rng = np.random.default_rng(1)
+    y = rng.integers(0, 2, 2000)
+    a, b = (2 * y[:, None] - 1) + rng.standard_normal((2000, 8)) * 0.5, rng.standard_normal((2000, 60))
+    few = np.where(np.arange(2000) < 200, y, -1)
+    assert np.mean((Q.cotrain(a, b, few).score(a, b) > 0.5) == y) > 0.99
+    assert Q.trusted(np.array([0.99] * 9), np.ones(9)) == (False, False) and Q.trusted(np.array([0.99] * 10 + [0.01] * 12), np.array([1] * 10 + [0] * 12)) == (True, True)
+
+
+def test_exchange_against_a_plain_loop():
+    rng = np.random.default_rng(5)
+    free, chances = rng.permutation(500)[:300], np.round(rng.random(300), 3)
+    known = rng.permutation(500)[:100]
+    rows, labels = Q.exchanged(chances, free, known)
+    want = []
+    for i, p in sorted(zip(free.tolist(), chances.tolist()), key=lambda x: -abs(x[1] - 0.5)):
+        if i not in known and (p >= Q.SURE or p <= 1 - Q.SURE):
+            want.append((abs(p - 0.5), i, int(p > 0.5)))
+    most = int(Q.GIVEN * 300) + 1
+    got = list(zip(rows.tolist(), labels.tolist()))
+    assert len(got) == min(most, len(want)) and {x[1:] for x in want} >= set(got)
+    assert sorted(abs(chances[list(free).index(i)] - 0.5) for i, _ in got) == sorted(w[0] for w in want[:most])
+
+
+def test_views_are_separate():
+    assert Q.metadata_view("en", "s", 5).shape == (Q.META,) and Q.text_view("one two").shape == (Q.TEXT,)
+    texts = ["a b\nc", None, "", "x " * 300, "\n\n", "é!! É$$ 1"]
+    both = Q.text_views(pd.Series(texts, dtype=object))
+    assert all((both[i] == Q.text_view(t)).all() for i, t in enumerate(texts))
