@@ -12,12 +12,13 @@
    block; the stream is taken again from its start when it has ended, up to ``most`` times.
 
 A document's ``taken`` is the number of its words in the blocks that slots take.  Positions come from
-running sums in two levels (within hash buckets of a source, and over its buckets), so a source that
-holds a third of all rows is spread over ``BUCKETS`` groups.
+running sums in two levels (within hash buckets of a source, whose number follows the rows, and over its
+buckets), so a source that holds a third of all rows is spread over many groups; rows that repeat whole
+are one item there.  Blocks grow with the corpus; their number, and so the schedule, does not.
 
 Defined cases: null text has size 0; a null source is a source of its own, last in order; documents of
-size 0 are taken 0 times; rows that repeat are mixed as separate documents; the empty table gives an
-empty mix; other columns are ignored.  Reruns agree: nothing depends on partitioning.
+size 0 are taken 0 times; rows that repeat are mixed as separate documents; a very long text is cut by
+blocks like any other; ties of the hash go by id and size; the empty table gives an empty mix; other columns are ignored.  Reruns agree: nothing depends on partitioning.
 """
 
 from __future__ import annotations
@@ -28,8 +29,8 @@ from pyspark.sql import functions as F
 from stratalens.llm.common import cut, word_count
 
 GOLDEN = 0.6180339887498949
-#: Hash buckets of each source's shuffled order.
-BUCKETS = 1024
+#: Hash buckets of each source's shuffled order, at least; copies of a row that are dealt together.
+BUCKETS, COPIES = 1024, 1024
 #: Slots of the schedule for each source, on average.
 SLOTS = 4096
 # The contract's repeating weights, its share of the corpus and the most passes.
@@ -135,21 +136,38 @@ def block_of(place: Column) -> Column:
     return F.when(place < head, F.floor(place / (small + 1))).otherwise(more + F.floor((place - head) / F.greatest(small, F.lit(1))))
 
 
-def streams(sizes: DataFrame, of: DataFrame) -> DataFrame:
-    """Each document with its source's row (with its ``goal`` and ``held`` blocks) and its words' place [start, start + size) in the source's stream."""
-    rows = sizes.withColumn("bucket", F.pmod("row", F.lit(BUCKETS)))
+def streams(sizes: DataFrame, of: DataFrame, copies: int = COPIES) -> DataFrame:
+    """Each document with its source's row (with its ``goal`` and ``held`` blocks) and its words' place [start, start + size) in the source's stream.
+
+    Rows that repeat whole stand one after another: they are one item in the running sums, and its
+    copies are told apart afterwards, in runs of ``copies`` dealt evenly, so no window holds them.
+    """
+    items = sizes.groupBy("source", "row", "doc_id", "size").agg(F.count("*").alias("n")).withColumn("words", F.col("size") * F.col("n"))
+    buckets = F.pmod("row", F.lit(sized_buckets(sizes.count())))
+    rows = items.withColumn("bucket", buckets)
     order = Window.partitionBy("source", "bucket").orderBy("row", "doc_id", "size")
     rows = rows.withColumn("at", F.row_number().over(order))
-    rows = rows.withColumn("start", F.sum("size").over(order.rowsBetween(Window.unboundedPreceding, 0)) - F.col("size"))
+    rows = rows.withColumn("start", F.sum("words").over(order.rowsBetween(Window.unboundedPreceding, 0)) - F.col("words"))
     before = Window.partitionBy("source").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
-    buckets = sizes.groupBy("source", F.pmod("row", F.lit(BUCKETS)).alias("bucket")).agg(F.sum("size").alias("filled"))
-    buckets = buckets.withColumn("before", F.coalesce(F.sum("filled").over(before), F.lit(0)))
+    filled = items.groupBy("source", buckets.alias("bucket")).agg(F.sum("words").alias("filled"))
+    filled = filled.withColumn("before", F.coalesce(F.sum("filled").over(before), F.lit(0)))
     same = lambda a, b: a.eqNullSafe(b)
-    buckets = buckets.join(of, same(buckets["source"], of["source"])).drop(of["source"])
-    joined = rows.join(buckets, same(rows["source"], buckets["source"]) & (rows["bucket"] == buckets["bucket"]))
-    return joined.select(
-        "doc_id", "row", "size", rows["bucket"], "at", "rank", "source_size", "target", "goal", "held", (F.col("start") + F.col("before")).alias("start"),
+    filled = filled.join(of, same(filled["source"], of["source"])).drop(of["source"])
+    joined = rows.join(filled, same(rows["source"], filled["source"]) & (rows["bucket"] == filled["bucket"]))
+    slim = joined.select(
+        "doc_id", "row", "size", rows["bucket"], "at", "n", "rank", "source_size", "target", "goal", "held", (F.col("start") + F.col("before")).alias("first"),
     )
+    whole = [c for c in slim.columns if c not in ("n", "first")]
+    start = (F.col("first") + F.col("copy") * F.col("size")).alias("start")
+    single = slim.where("n = 1").withColumn("copy", F.lit(0).cast("long"))
+    many = slim.where("n > 1").withColumn("run", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("n") - 1) / copies))))
+    many = many.repartition("rank", "bucket", "at", "run").withColumn("copy", F.explode(F.sequence(F.col("run") * copies, F.least(F.col("n"), (F.col("run") + 1) * copies) - 1)))
+    return single.select(*whole, "copy", start).unionByName(many.select(*whole, "copy", start))
+
+
+def sized_buckets(rows: int) -> int:
+    """Hash buckets of each source's order: a power of two, of some 4,096 rows each in a source that holds all."""
+    return max(BUCKETS, 1 << max(0, rows // 4096).bit_length())
 
 
 def mix(docs: DataFrame, id_col: str = "doc_id", source_col: str = "source", text_col: str = "text", most: int = MOST) -> DataFrame:
@@ -165,9 +183,9 @@ def mix(docs: DataFrame, id_col: str = "doc_id", source_col: str = "source", tex
     pieces = pieces.withColumn("high", F.least(F.col("low") + F.col("size"), "goal"))
     pieces = pieces.withColumn("block", F.explode(F.sequence(block_of(F.col("low")), block_of(F.col("high") - 1))))
     held = F.least("high", block_end(F.col("block"))) - F.greatest("low", block_start(F.col("block")))
-    pieces = pieces.select("rank", "bucket", "at", "block", held.alias("held"))
-    taken = pieces.join(slots.select("rank", "block"), ["rank", "block"]).groupBy("rank", "bucket", "at").agg(F.sum("held").alias("taken"))
-    return placed.join(taken, ["rank", "bucket", "at"], "left").select("doc_id", "row", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"))
+    pieces = pieces.select("rank", "bucket", "at", "copy", "block", held.alias("held"))
+    taken = pieces.join(slots.select("rank", "block"), ["rank", "block"]).groupBy("rank", "bucket", "at", "copy").agg(F.sum("held").alias("taken"))
+    return placed.join(taken, ["rank", "bucket", "at", "copy"], "left").select("doc_id", "row", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"))
 
 
 def digest(docs: DataFrame) -> DataFrame:
