@@ -16,8 +16,8 @@ are the groups.
 Jaccard similarity of at least 0.8; at 0.8 fingerprints differ in about 10 bits, beyond what their keys
 meet.  So candidates share the group of their fingerprints or one of ``BANDS`` min-hash keys of ``ROWS``
 minima each (a pair at 0.8 misses all with chance (1 - 0.8^4)^24, about 3 in a million, and less above).
-First each key's documents meet its smallest one; then, in keys that are not yet one group, those outside
-the smallest one's group meet all others.  Parity bitmaps of the sets, whose size follows them, drop
+First, ``STARS`` times, documents meet one of their key, by another hash each time, if they are not of its
+group yet; then, in keys that are still not one group, those outside its group meet all others.  Parity bitmaps of the sets, whose size follows them, drop
 only pairs that cannot be similar; the rest are verified on their whole sets of shingles.
 
 Defined cases: null text and text without words have fingerprint zero, linked like any other; equal
@@ -55,6 +55,8 @@ PAIRS = ((0, 1, True), (0, 2, False), (1, 2, False))
 WIDTH, LEAST = 5, 0.8
 #: Min-hash keys of a document, minima in each, shingles hashed at a time, most bits of a set's bitmap.
 BANDS, ROWS, STRIP, BITMAP = 24, 4, 1 << 9, 1 << 16
+#: Rounds in which each key's documents meet one of them.
+STARS = 3
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 _ODD, _PLUS = (np.random.default_rng(SEED + k).integers(0, 1 << 31, BANDS * ROWS, np.uint32) * np.uint32(2) + np.uint32(1) for k in range(2))
@@ -308,16 +310,12 @@ def _held(docs: DataFrame, ids: DataFrame, width: int) -> DataFrame:
     return docs.select("id", "text").mapInArrow(run, "node long, held array<long>").dropDuplicates(["node"])
 
 
-def _verified(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, width: int, least: float) -> DataFrame:
-    """Those of the pairs (u, v) of nodes whose sets of shingles are similar."""
-    asked = pairs.select(F.col("u").alias("node")).union(pairs.select(F.col("v").alias("node"))).distinct()
-    have = stored(_held(docs, nodes.join(asked, "node").select("id"), width))
+def _verified(pairs: DataFrame, have: DataFrame, least: float) -> DataFrame:
+    """Those of the pairs (u, v) of nodes whose sets of shingles ``have`` (node, held) are similar."""
     # the sets meet row by row, so that long texts in many pairs need no more memory
     first, second = have.select(F.col("node").alias("u"), F.col("held").alias("a")), have.select(F.col("node").alias("v"), F.col("held").alias("b"))
     both = F.size(F.array_intersect("a", "b"))
-    out = cut(pairs.join(first, "u").join(second, "v").where(both >= (F.size("a") + F.size("b") - both) * least - 1e-6).select("u", "v").distinct())
-    discard(have)
-    return out
+    return pairs.join(first, "u").join(second, "v").where(both >= (F.size("a") + F.size("b") - both) * least - 1e-6).select("u", "v")
 
 
 def similar(docs: DataFrame, width: int = WIDTH, least: float = LEAST) -> DataFrame:
@@ -330,28 +328,39 @@ def similar(docs: DataFrame, width: int = WIDTH, least: float = LEAST) -> DataFr
     keyed = rows.select(F.explode("keys").alias("key"), "node").unionByName(coarse)
     several = keyed.groupBy("key").agg(F.min("node").alias("hub"), F.max("node").alias("last")).where("hub < last").drop("last")
     met = stored(keyed.join(several, "key").distinct())
-    held = rows.where(F.size("bits") > 0).join(met.select("node").distinct(), "node", "left_semi")
-    sizes = cut(held.dropDuplicates(["node"]).select("node", "size", "bits"))
+    asked = cut(met.select("node").distinct())
+    sizes = cut(rows.where(F.size("bits") > 0).join(asked, "node", "left_semi").dropDuplicates(["node"]).select("node", "size", "bits"))
+    have = stored(_held(docs, nodes.join(asked, "node").select("id"), width))
     tidy(docs.sparkSession)
 
     def side(at: DataFrame, k: str) -> DataFrame:
         return at.join(sizes.select(F.col("node").alias(k), F.col("size").alias(f"{k}_size"), F.col("bits").alias(f"{k}_bits")), k)
 
+    def grouped(linked: DataFrame, star: int) -> DataFrame:
+        """(key, node, root, hub, lead) in the keys that are not one group yet; ``lead`` is the group of the ``hub``."""
+        own = met.join(components(linked), "node", "left").select("key", "node", F.coalesce("root", "node").alias("root"))
+        first = F.xxhash64("node", F.lit(star))
+        leads = own.groupBy("key").agg(F.min("root").alias("a"), F.max("root").alias("b"), F.min_by("node", first).alias("hub"), F.min_by("root", first).alias("lead"))
+        return cut(own.join(leads.where("a < b").drop("a", "b"), "key"))
+
     close = _alike(F.col("u_bits"), F.col("v_bits"), F.col("u_size"), F.col("v_size"), least)
-    starred = met.where("node <> hub").select(F.col("hub").alias("u"), F.col("node").alias("v")).distinct()
-    linked = _verified(cut(side(side(starred, "u"), "v").where(close).select("u", "v")), nodes, docs, width, least)
-    roots = components(linked)
-    own = met.join(roots, "node", "left").select("key", "node", F.coalesce("root", "node").alias("root"))
-    first = own.groupBy("key").agg(F.min("root").alias("a"), F.max("root").alias("b"), F.min_by("root", "node").alias("lead")).where("a < b")
-    own = stored(own.join(first.select("key", "lead"), "key").select("key", "node", "root", (F.col("root") == F.col("lead")).alias("leads")))
-    x, y = ((side(own.where(of).withColumnRenamed("node", k), k).select("key", k, f"{k}_size", f"{k}_bits", *[F.col(c).alias(f"{k}_{c}") for c in ("root", "leads")])) for k, of in (("u", "true"), ("v", "NOT leads")))
+    linked = docs.sparkSession.createDataFrame([], "u long, v long")
+    for star in range(STARS):
+        own = grouped(linked, star)
+        pairs = own.where("root <> lead").select(F.least("hub", "node").alias("u"), F.greatest("hub", "node").alias("v")).distinct()
+        pairs = cut(side(side(pairs, "u"), "v").where(close).select("u", "v"))
+        linked = cut(linked.unionByName(_verified(pairs, have, least)))
+    own = grouped(linked, STARS)
+    x, y = (
+        side(own.where(of).withColumnRenamed("node", k), k).select("key", k, f"{k}_size", f"{k}_bits", F.col("root").alias(f"{k}_root"), (F.col("root") == F.col("lead")).alias(f"{k}_leads"))
+        for k, of in (("u", "true"), ("v", "root <> lead"))
+    )
     apart = (F.col("u_root") != F.col("v_root")) & (F.col("u_leads") | (F.col("u") < F.col("v")))
-    others = x.withColumnRenamed("key", "other").join(y, (F.col("other") == F.col("key")) & apart & close).select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct()
-    others = cut(others.join(starred.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")), ["u", "v"], "left_anti"))
-    linked = linked.unionByName(_verified(others, nodes, docs, width, least))
+    others = x.withColumnRenamed("key", "other").join(y, (F.col("other") == F.col("key")) & apart & close).select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v"))
+    linked = cut(linked.unionByName(_verified(cut(others.distinct()), have, least)))
     roots = cut(components(linked))
     named = cut(rows.select("id", "node").join(roots, "node", "left").select("id", F.coalesce("root", "node").alias("component")))
-    for done in (rows, met, own):
+    for done in (rows, met, have):
         discard(done)
     tidy(docs.sparkSession)
     return named
