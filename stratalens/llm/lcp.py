@@ -12,9 +12,9 @@ share of equal values among the bins that either of them fills; two without phra
 
 Texts are compared with their neighbour in descending id order.  Rows are dealt to ranges of ids of
 about ``RANGE`` rows, and each range also gets the first row of the range after it, so the order needs
-no single task.
+no single task.  An id that many rows share is cut into ranges of its own, by their texts' hashes.
 
-Defined cases: null text is the empty text, whose fingerprint has no filled bin; null ids come last in
+Defined cases: a very long text is parsed alone, in memory in proportion to it; the empty table gives no rows; null text is the empty text, whose fingerprint has no filled bin; null ids come last in
 the order, in order of their texts' hashes, as rows with equal ids do; repeated rows are all returned;
 columns besides the id and text columns are ignored; a table of one row has itself as neighbour.
 """
@@ -24,6 +24,7 @@ from __future__ import annotations
 import hashlib
 import math
 from collections.abc import Iterator
+from itertools import accumulate
 
 import numpy as np
 import pandas as pd
@@ -31,7 +32,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 BINS = 64
-#: Rows of an id range on average; the most ranges, so that the driver holds a bounded list of them.
+#: Rows of an id range on average; the most ranges (and ids cut apart), so that the driver holds a bounded list of them.
 RANGE, RANGES = 1024, 20_000
 #: Characters parsed at a time (a longer text is parsed alone).
 SLICE = 1 << 20
@@ -154,12 +155,17 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     return slim.mapInPandas(run, "id string, fingerprint string").withColumn("id", F.col("id").cast(dict(docs.dtypes)[id_col]))
 
 
+def _longs(values: list[int]) -> Column:
+    """A constant array, which takes no node of the plan for each value."""
+    return F.split(F.lit(",".join(map(str, values))), ",").cast("array<long>")
+
+
 def _count_upto(x: Column, cuts: list[int]) -> Column:
     """How many of the sorted ``cuts`` are at most ``x``, in two steps of about sqrt(len(cuts)) each."""
     if not cuts:
         return F.lit(0)
     step = math.isqrt(len(cuts)) + 1
-    every, coarse = F.array(*[F.lit(c).cast("long") for c in cuts]), F.array(*[F.lit(c).cast("long") for c in cuts[::step]])
+    every, coarse = _longs(cuts), _longs(cuts[::step])
     whole = F.size(F.filter(coarse, lambda c: c <= x))
     return F.transform(F.array(whole), lambda k: F.when(k == 0, 0).otherwise(
         (k - 1) * step + F.size(F.filter(F.slice(every, (k - 1) * step + 1, F.lit(step)), lambda c: c <= x))
@@ -171,12 +177,23 @@ def in_ranges(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", r
     rows comes a guest, the row that follows them (after the last range, the very first row).  None if
     there are no rows."""
     ids = docs.select(F.col(id_col).cast("long").alias("id"))
-    n = max(1, min(RANGES, -(-ids.count() // rows)))
-    cuts = sorted({int(c) for c in ids.na.drop().approxQuantile("id", [i / n for i in range(1, n)], 1 / (4 * n))}) if n > 1 else []
-    # ranges count from the highest ids; null ids follow, dealt by hash to as many ranges again
+    total = ids.count()
+    n = max(1, min(RANGES, -(-total // rows)))
+    cuts = {int(c) for c in ids.na.drop().approxQuantile("id", [i / n for i in range(1, n)], 1 / (4 * n))} if n > 1 else set()
+    # an id that many rows share is a stretch by itself; there are at most RANGES of them
+    often = max(2 * rows, -(-total // RANGES))
+    many = {r["id"]: -(-r["count"] // rows) for r in ids.na.drop().groupBy("id").count().where(F.col("count") > often).collect()}
+    cuts = sorted(cuts | many.keys() | {c + 1 for c in many if c + 1 < 2**63})
+    # stretches count from the highest ids, each of one range or, for such an id, of several, by its texts' hashes
+    held = [1] + [many.get(c, 1) for c in cuts]
+    held = held[::-1]
+    first = list(accumulate([0, *held[:-1]]))
     tie = F.shiftrightunsigned(F.xxhash64("text"), 1)
-    nulls = len(cuts) + 1 + F.least(F.floor(tie / F.lit(2.0**63) * n), F.lit(n - 1))
-    at = F.when(F.col("id").isNull(), nulls).otherwise(len(cuts) - _count_upto(F.col("id"), cuts)).cast("int")
+    share = lambda k: F.least(F.floor(tie / F.lit(2.0**63) * k), k - 1)
+    stretch = (F.lit(len(cuts)) - _count_upto(F.col("id"), cuts)).cast("int")
+    own = F.get(_longs(first), stretch) + share(F.get(_longs(held), stretch)) if many else stretch
+    # null ids follow, dealt by hash to as many ranges again
+    at = F.when(F.col("id").isNull(), F.lit(sum(held)) + share(F.lit(n))).otherwise(own).cast("int")
     placed = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     placed = placed.select("id", "text", at.alias("range"), F.col("id").isNull().alias("last"), F.bitwise_not("id").alias("down"), tie.alias("tie"))
     head = F.min(F.struct("last", "down", "tie")).alias("head")
@@ -184,7 +201,7 @@ def in_ranges(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", r
     if not heads:
         return None
     follow = [(heads[i - 1][0], *row) for i, (_, row) in enumerate(heads)]
-    # at most 2 * RANGES rows of four numbers
+    # at most 5 * RANGES rows of four numbers
     to = F.broadcast(docs.sparkSession.createDataFrame(follow, "to int, last boolean, down long, tie long"))
     same = (placed["last"] == to["last"]) & placed["down"].eqNullSafe(to["down"]) & (placed["tie"] == to["tie"])
     guests = placed.join(to, same).select("id", "text", F.col("to").alias("range"), placed["last"], placed["down"], placed["tie"], F.lit(True).alias("guest"))

@@ -11,7 +11,9 @@ put through the same generators and features; part of them is held out to calibr
 Fitted trees are plain CASE expressions, so scoring runs inside Spark's own operators.
 
 Defined cases: null text is the empty text and has no spans; repeated rows are all returned; columns
-besides the id and text columns are ignored; matches may lie anywhere in texts of any length.
+besides the id and text columns are ignored; matches may lie anywhere in texts of any length; of
+spans that start together (a tie) the order is that of the kinds, and added ones may overlap one another; the
+empty table gives no rows.
 """
 
 from __future__ import annotations

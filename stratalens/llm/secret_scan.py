@@ -4,8 +4,10 @@ Every version of a text is addressed by its SHA-256.  The ledger holds, for each
 versions that have seen it and what they found.  A run scans only the (blob, rule version) pairs
 that the ledger lacks, and joins findings back to all paths that hold the blob.
 
-Defined cases: null text is the empty text; the empty text has a blob and no findings; repeated
-rows each get their findings; columns besides the id and text columns are ignored.
+Defined cases: null text is the empty text; the empty text has a blob and no findings; a very long text is
+scanned whole, in time in proportion to its length and matches; of spans that start together (a tie) the order
+is that of the rules; the empty table gives no rows; repeated rows each get their findings; columns besides
+the id and text columns are ignored.
 """
 
 from __future__ import annotations

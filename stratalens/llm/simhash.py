@@ -20,7 +20,8 @@ First, ``STARS`` times, documents meet one of their key, by another hash each ti
 group yet; then, in keys that are still not one group, those outside its group meet all others.  Parity bitmaps of the sets, whose size follows them, drop
 only pairs that cannot be similar; the rest are verified on their whole sets of shingles.
 
-Defined cases: null text and text without words have fingerprint zero, linked like any other; equal
+Defined cases: a very long text is hashed in pieces, in memory in proportion to its words; the empty table
+gives no rows; ties among a group's documents go to the smallest id; null text and text without words have fingerprint zero, linked like any other; equal
 fingerprints are one node whatever the number of rows; a null id never becomes a component's id
 (a component of null ids only has a null one); repeated rows are all returned; columns besides the
 id and text columns are ignored.

@@ -10,7 +10,8 @@ the canonical host makes it fit the host and all its subdomains, and since ``*``
 fits nothing in the path.
 
 Defined cases: a null url, or one without ``://``, has an empty host and path and no domain rule;
-repeated rows are judged alike; of rules that fit, the longest decides (the first listed if two are
+an empty url likewise; a very long url is read whole, in memory in proportion to its batch; the empty table
+gives no rows; repeated rows are judged alike; of rules that fit, the longest decides (the first listed if two are
 equally long); columns besides the id and url columns are ignored.
 """
 

@@ -7,6 +7,70 @@ from stratalens.llm import lcp as L
 from stratalens.llm.queries import op8_document_fingerprints
 
 
+M = (1 << 64) - 1
+
+
+def mixed(x):
+    x &= M
+    x = (x ^ (x >> 30)) * 0xBF58476D1CE4E5B9 & M
+    x = (x ^ (x >> 27)) * 0x94D049BB133111EB & M
+    return x ^ (x >> 31)
+
+
+def plain_level(names):
+    """One level of the parsing of one text, symbol by symbol."""
+    runs = []
+    for x in names:
+        if runs and runs[-1][0] == x:
+            runs[-1][1] += 1
+        else:
+            runs.append([x, 1])
+    x = [a if n == 1 else mixed(a + mixed(n)) for a, n in runs]
+    bit = lambda d: (d & -d).bit_length() - 1
+    label = []
+    for i, v in enumerate(x):
+        low = bit(v ^ x[i - 1]) if i and v != x[i - 1] else 0
+        label.append(2 * low + (v >> low & 1))
+    for _ in range(3):
+        before = [label[0] ^ 1, *label[:-1]]
+        low = [bit(p ^ o) if p != o else 0 for p, o in zip(before, label)]
+        label = [2 * k + (o >> k & 1) for k, o in zip(low, label)]
+    start = [i for i in range(len(x)) if i == 0 or i < len(x) - 1 and label[i - 1] < label[i] > label[i + 1]]
+    return [mixed(sum(mixed(v) * int(L._PLACES[j & 63]) for j, v in enumerate(x[a:z])) + z - a) for a, z in zip(start, [*start[1:], len(x)])]
+
+
+def plain_sketch(text):
+    out = [0xFFFF] * L.BINS
+    names = [ord(c) for c in text]
+    for level in range(1, 4):
+        names = plain_level(names) if names else []
+        if level in L.LEVELS:
+            for name in names:
+                out[name % L.BINS] = min(out[name % L.BINS], min(name >> 48, 0xFFFE))
+    return out
+
+
+def test_against_a_plain_parser(spark):
+    rng = random.Random(2)
+    made = ["", "a", "aa", "ab", "aaaa bbbb", "é\U0001f600" * 9, "".join(rng.choice("ab") for _ in range(500)), "x" * 300 + "y" * 50 + "xy" * 40]
+    texts = made + [r.text or "" for r in spark.read.parquet(f"{SF}/documents.parquet").limit(60).collect()]
+    assert [r.tolist() for r in L.sketches(texts)] == [plain_sketch(t) for t in texts]
+
+
+def test_an_id_of_many_rows(spark):
+    rng = random.Random(7)
+    texts = [f"t{i} " + "".join(rng.choice("abc ") for _ in range(60)) for i in range(400)]
+    rows = [(i, t) for i, t in enumerate(texts[:100])] + [(50, t) for t in texts[100:]]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    parts = L.in_ranges(df, rows=20).rdd.glom().collect()
+    assert max(map(len, parts)) < 100 and len(parts) > 15
+    order = [(r.id, r.text) for p in parts for r in p if not r.guest]
+    assert [i for i, _ in order] == sorted((i for i, _ in rows), reverse=True) and sorted(order) == sorted(rows)
+    after = {a: b for a, b in zip(order, order[1:] + order[:1])}
+    got = L.compared(df, rows=20).collect()
+    assert sorted((r.doc_id, r.edited_sha256) for r in got) == sorted((a[0], hashlib.sha256(edited(a[1], b[1]).encode()).hexdigest()) for a, b in after.items())
+
+
 def edited(t, after):
     k = len(t) // 3
     return t[: len(t) - k] + after[:k]
