@@ -85,6 +85,7 @@ def components(edges: DataFrame) -> DataFrame:
         joined = large.join(low, "u")
         small = joined.where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
         at = cut(small.unionByName(low.select("u", F.col("m").alias("v"))).distinct())
+        tidy(at.sparkSession)  # of many small shuffles, only the last round's are needed
         mark, before = _mark(at), mark
         if mark == before:
             break

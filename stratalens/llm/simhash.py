@@ -116,9 +116,15 @@ def _sets(column: pa.Array, width: int) -> Iterator[tuple[int, np.ndarray]]:
             yield at + i, found
 
 
+def _set(hashes: np.ndarray) -> np.ndarray:
+    """The distinct hashes, in order."""
+    held = np.sort(hashes)
+    return held[np.concatenate(([True], held[1:] != held[:-1]))] if len(held) else held
+
+
 def shingles(text: str | None, width: int = WIDTH) -> np.ndarray:
     """The set of the text's shingles, as sorted hashes."""
-    return np.unique(np.concatenate([np.zeros(0, np.uint64), *[found for _, found in _sets(pa.array([text], pa.string()), width)]]))
+    return _set(np.concatenate([np.zeros(0, np.uint64), *[found for _, found in _sets(pa.array([text], pa.string()), width)]]))
 
 
 def band_keys(held: np.ndarray) -> np.ndarray:
@@ -128,7 +134,9 @@ def band_keys(held: np.ndarray) -> np.ndarray:
     held = (held >> np.uint64(32)).astype(np.uint32)
     least = np.full(BANDS * ROWS, np.iinfo(np.uint32).max, np.uint32)
     for at in range(0, len(held), STRIP):
-        np.minimum(least, (held[at : at + STRIP, None] * _ODD + _PLUS).min(axis=0), out=least)
+        made = held[at : at + STRIP, None] * _ODD
+        made += _PLUS
+        np.minimum(least, made.min(axis=0), out=least)
     return mix((least * _BAND).reshape(BANDS, ROWS).sum(axis=1, dtype=np.uint64), 1).view(np.int64)
 
 
@@ -265,7 +273,7 @@ def _sketched(docs: DataFrame, width: int) -> DataFrame:
         for b in batches:
             made = [empty] * b.num_rows
             for row, found in _sets(b.column("text"), width):
-                held = np.unique(found)
+                held = _set(found)
                 name = _named(held)
                 again = name in seen
                 seen.add(name)
@@ -302,7 +310,7 @@ def _held(docs: DataFrame, ids: DataFrame, width: int) -> DataFrame:
         for b in batches:
             own = passing(bits.value, np.ascontiguousarray(b.column("id").to_numpy(zero_copy_only=False)), np.zeros(b.num_rows, np.int64))
             text = b.column("text").take(pa.array(own))
-            made = {i: np.unique(found) for i, found in _sets(text, width)}
+            made = {i: _set(found) for i, found in _sets(text, width)}
             some = {_named(h): h for h in (made.get(i, np.zeros(0, np.uint64)) for i in range(len(own)))}
             for at in [x for x in some if x not in seen]:
                 yield pa.RecordBatch.from_arrays([pa.array(np.array([at], np.uint64).view(np.int64)), pa.array([some[at].view(np.int64)], pa.list_(pa.int64()))], names=["node", "held"])
@@ -351,6 +359,7 @@ def similar(docs: DataFrame, width: int = WIDTH, least: float = LEAST) -> DataFr
         pairs = own.where("root <> lead").select(F.least("hub", "node").alias("u"), F.greatest("hub", "node").alias("v")).distinct()
         pairs = cut(side(side(pairs, "u"), "v").where(close).select("u", "v"))
         linked = cut(linked.unionByName(_verified(pairs, have, least)))
+        tidy(docs.sparkSession)
     own = grouped(linked, STARS)
     x, y = (
         side(own.where(of).withColumnRenamed("node", k), k).select("key", k, f"{k}_size", f"{k}_bits", F.col("root").alias(f"{k}_root"), (F.col("root") == F.col("lead")).alias(f"{k}_leads"))
