@@ -397,10 +397,35 @@ def eval_report(spark, sf):
     return evaluation.report(_evaluated(spark, sf))
 
 
-@query()
+@query(f"""WITH {T.HIT_SQL}, t AS (SELECT query_id, any_value(query) AS query, count(point_id) AS n, max(score) AS top, string_agg(point_id, ',' ORDER BY rank) AS ids FROM qs LEFT JOIN hits USING (query_id) GROUP BY query_id)
+  SELECT query, 'release_label=-,source_kind=table' AS filters, n >= 1 AND top >= 0.3 AS is_answered, CASE WHEN n >= 1 AND top >= 0.3 THEN first || ' [C1]' ELSE '{answer.REFUSAL}' END AS answer,
+    CASE WHEN n < 1 THEN 'Expected at least 1 results, got 0.' WHEN top < 0.3 THEN 'Top score ' || top || ' is below required threshold 0.3.' END AS refusal_reason,
+    n AS result_count, coalesce(ids, '') AS point_ids, true AS has_id, true AS has_time
+  FROM t LEFT JOIN cited USING (query_id)""")
 def answer_trace(spark, sf):
+    """The traces but for their random ids and the time, of which only the form is told."""
     answers = answer.grounded_answers(T.vector_queries(spark, sf), T.hits(spark, sf))
-    return trace.traces(answers, T.hits(spark, sf), filters={"release_label": None, "source_kind": "table"})
+    rows = trace.traces(answers, T.hits(spark, sf), filters={"release_label": None, "source_kind": "table"})
+    told = F.transform(F.map_entries("filters"), lambda e: F.concat(e["key"], F.lit("="), F.coalesce(e["value"], F.lit("-"))))
+    reply = F.col("answer_response")
+    return rows.select(
+        "query", F.array_join(told, ",").alias("filters"), reply["is_answered"].alias("is_answered"), reply["answer"].alias("answer"), reply["refusal_reason"].alias("refusal_reason"),
+        F.size("retrieval_results").cast("long").alias("result_count"), F.array_join(F.transform("retrieval_results", lambda r: r["point_id"]), ",").alias("point_ids"),
+        F.col("request_id").rlike("^[0-9a-f]{8}(-[0-9a-f]{4}){3}-[0-9a-f]{12}$").alias("has_id"), F.col("created_at_utc").rlike(r"^\d{4}-\d\d-\d\dT[\d:.]+\+00:00$").alias("has_time"),
+    )
+
+
+@query("SELECT 'case-' || item_id AS case_id, text AS query, item_id % 3 = 0 AS expected_to_pass, 1 AS min_results, 'R' || (item_id % 25) AS release_label FROM benchmark")
+def cases_file(spark, sf):
+    """Evaluation cases written as a file and read back by the strict reader."""
+    folder = T.scratch(spark)
+    row = F.struct(
+        F.concat(F.lit("case-"), "item_id").alias("case_id"), F.col("text").alias("query"), F.struct(F.concat(F.lit("R"), F.col("item_id") % 25).alias("release_label")).alias("filters"),
+        F.struct((F.col("item_id") % 3 == 0).alias("expected_to_pass")).alias("expectation"),
+    )
+    T.table(spark, sf, "benchmark").agg(F.to_json(F.collect_list(row)).alias("value")).write.text(folder + "/cases")
+    cases = artifacts.read_cases(spark, folder + "/cases")
+    return cases.select("case_id", "query", "expectation.expected_to_pass", "expectation.min_results", "filters.release_label")
 
 
 def entry(spark: SparkSession, sf_dir: str) -> DataFrame:
