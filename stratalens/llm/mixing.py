@@ -161,7 +161,9 @@ def streams(sizes: DataFrame, of: DataFrame, copies: int = COPIES) -> DataFrame:
     start = (F.col("first") + F.col("copy") * F.col("size")).alias("start")
     single = slim.where("n = 1").withColumn("copy", F.lit(0).cast("long"))
     many = slim.where("n > 1").withColumn("run", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("n") - 1) / copies))))
-    many = many.repartition("rank", "bucket", "at", "run").withColumn("copy", F.explode(F.sequence(F.col("run") * copies, F.least(F.col("n"), (F.col("run") + 1) * copies) - 1)))
+    # a given number of partitions, which are not merged for being small before the copies are made
+    parts = int(sizes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    many = many.repartition(parts, "rank", "bucket", "at", "run").withColumn("copy", F.explode(F.sequence(F.col("run") * copies, F.least(F.col("n"), (F.col("run") + 1) * copies) - 1)))
     return single.select(*whole, "copy", start).unionByName(many.select(*whole, "copy", start))
 
 

@@ -104,3 +104,16 @@ def test_every_source_to_its_target(spark):
         taken[source[r.doc_id]] += r.taken
         goal[source[r.doc_id]] = r.target
     assert dict(taken) == {s: round(g) for s, g in goal.items()}
+
+
+def test_a_row_of_many_copies(spark):
+    docs = [(5, "a b c", "hot")] * 20_000 + [(100 + i, "w " * (i % 50), f"s{i % 3}") for i in range(300)]
+    df = spark.createDataFrame(docs, "doc_id long, text string, source string")
+    check(M.digest(df).collect(), docs)
+    sizes = M.sized(df).cache()
+    of = M.targets(sizes)
+    goals = of.join(M.schedule(of).groupBy("rank").agg(F.count("*").alias("held")), "rank").withColumn("goal", M.whole_target())
+    placed = M.streams(sizes, goals).where("doc_id = 5")
+    # the copies fill their stretch without gaps, and no partition holds them all
+    assert sorted(r.start for r in placed.collect()) == list(range(0, 60_000, 3))
+    assert max(map(len, placed.rdd.glom().collect())) < 15_000

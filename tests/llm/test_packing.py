@@ -97,3 +97,11 @@ def test_near_copies_do_not_share_a_bin(spark, tmp_path):
     got = op5_best_fit_packing(spark, str(tmp_path)).collect()
     bins = check(got, docs, P.CAPACITY, P.PER_SOURCE)
     assert all(max(Counter(group[r.doc_id] for r in b).values()) == 1 for b in bins.values())
+
+
+def test_a_row_of_many_copies_is_spread(spark):
+    docs = [(5, "a b c", "hot")] * 3000 + [(100 + i, "w " * (i % 50), "s") for i in range(300)]
+    df = spark.createDataFrame(docs, "doc_id long, text string, source string")
+    got = P.pack(df, 60, 4, 300).collect()
+    check(got, docs, 60, 4)
+    assert max(Counter(r.bin.split("-")[0] for r in got).values()) < 600
