@@ -29,6 +29,7 @@ from dataclasses import dataclass
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -36,6 +37,8 @@ from stratalens.llm.common import cut
 from stratalens.llm.words import mix, texts, words
 
 SAMPLE, ROUNDS, SPARE = 8_000, 3, 0.001
+#: Rows whose features are worked on at a time in a fit.
+STRIP = 512
 #: Pseudo-labels that a view gives in a round, as a share of the unlabelled sample, and how sure it must be.
 GIVEN, SURE = 0.1, 0.97
 #: Hash buckets of sources and languages in the metadata view, and of words and of word pairs in the text view.
@@ -115,25 +118,31 @@ class Logistic:
 
     @staticmethod
     def fit(x: np.ndarray, y: np.ndarray, ridge: float = 1.0, steps: int = 8) -> Logistic:
-        """Newton steps; the two classes weigh the same."""
-        mean, scale = x.mean(axis=0), x.std(axis=0)
-        scale[scale < 1e-9] = 1
-        z = np.hstack(((x - mean) / scale, np.ones((len(x), 1)))).astype(np.float64)
+        """Newton steps; the two classes weigh the same.  Sums go over ``STRIP`` rows at a time, so the driver needs no copy of ``x``."""
+        mean, scale = x.mean(axis=0, dtype=np.float64), np.sqrt(np.maximum(np.square(x).mean(axis=0, dtype=np.float64) - x.mean(axis=0, dtype=np.float64) ** 2, 0))
+        scale[scale < 1e-6] = 1
         heavy = np.where(y == 1, 0.5 / max(1, y.sum()), 0.5 / max(1, (1 - y).sum())) * len(y)
-        w = np.zeros(z.shape[1])
+        w = np.zeros(x.shape[1] + 1)
         hold = np.eye(len(w)) * ridge
         hold[-1, -1] = 1e-6
         for _ in range(steps):
-            p = 1 / (1 + np.exp(-np.clip(z @ w, -30, 30)))
-            grad = z.T @ (heavy * (p - y)) + hold @ w
-            step = np.linalg.solve((z * (heavy * p * (1 - p))[:, None]).T @ z + hold, grad)
+            grad, curve = hold @ w, hold.copy()
+            for at in range(0, len(x), STRIP):
+                own = slice(at, at + STRIP)
+                z = np.hstack(((x[own] - mean) / scale, np.ones((len(x[own]), 1))))
+                p = 1 / (1 + np.exp(-np.clip(z @ w, -30, 30)))
+                grad += z.T @ (heavy[own] * (p - y[own]))
+                curve += (z * (heavy[own] * p * (1 - p))[:, None]).T @ z
+            step = np.linalg.solve(curve, grad)
             w -= step
             if np.abs(step).max() < 1e-3:
                 break
         return Logistic(mean, scale, w)
 
     def margin(self, x: np.ndarray) -> np.ndarray:
-        return np.clip(((x - self.mean) / self.scale) @ self.weights[:-1] + self.weights[-1], -30, 30)
+        w = self.weights[:-1] / self.scale
+        parts = [x[at : at + STRIP].astype(np.float64) @ w for at in range(0, len(x), STRIP)]
+        return np.clip(np.concatenate([np.zeros(0), *parts]) - self.mean @ w + self.weights[-1], -30, 30)
 
     def chance(self, x: np.ndarray) -> np.ndarray:
         return 1 / (1 + np.exp(-self.margin(x)))
@@ -242,11 +251,13 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, id_col: str =
             yield pd.DataFrame({"key": b["key"], "y": b["y"], "a": [r.tobytes() for r in x], "b": [r.tobytes() for r in z]})
 
     keyed = own.select(F.xxhash64("id", F.coalesce("text", F.lit(""))).alias("key"), "y", "text", "lang", "source", "n_chars")
-    rows = sorted((r.key, r.y, bytes(r.a), bytes(r.b)) for r in keyed.mapInPandas(run, "key long, y int, a binary, b binary").collect())
-    if not rows:
+    rows = keyed.mapInPandas(run, "key long, y int, a binary, b binary").toArrow()
+    if not rows.num_rows:
         return None
-    a, b = (np.frombuffer(b"".join(r[k] for r in rows), np.float32).reshape(len(rows), -1).astype(np.float64) for k in (2, 3))
-    return cotrain(a, b, np.array([r[1] for r in rows]))
+    # in an order that has nothing to do with partitions; equal keys are equal rows
+    rows = rows.take(pc.sort_indices(rows, [("key", "ascending"), ("y", "ascending")]))
+    flat = lambda c: np.frombuffer(b"".join(x.as_py() for x in rows[c]), np.float32).reshape(rows.num_rows, -1)
+    return cotrain(flat("a"), flat("b"), rows["y"].to_numpy().astype(np.int64))
 
 
 def judged(docs: DataFrame, model: Model | None) -> Column:
