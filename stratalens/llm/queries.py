@@ -35,6 +35,27 @@ SELECT page_id, host, path, rule,
 FROM ruled
 """
 
+#: CRC-32 by a table of 256 made from its polynomial: common table expressions, and the value of a text's bytes.
+_HALVED = "CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END"
+CRC_TABLE_SQL = (
+    "crc0 AS (SELECT range::BIGINT AS i, range::BIGINT AS c FROM range(256)), "
+    + ", ".join(f"crc{k + 1} AS (SELECT i, {_HALVED} AS c FROM crc{k})" for k in range(8))
+    + ", crcs AS (SELECT list(c ORDER BY i) AS tab FROM crc8)"
+)
+CRC_SQL = """xor(4294967295::BIGINT, list_reduce(list_prepend(4294967295::BIGINT, list_transform(regexp_extract_all(hex(encode({0})), '..'), lambda x: ('0x' || x)::BIGINT)),
+  lambda c, x: xor(c >> 8, tab[xor(c & 255, x) + 1])))"""
+
+OP11_SQL = f"""
+WITH {CRC_TABLE_SQL}, sized AS (
+  SELECT doc_id, octet_length(encode(coalesce(text, '')))::BIGINT + 1 AS size, {CRC_SQL.format("coalesce(text, '')")} AS text_crc32 FROM documents, crcs
+), summed AS (
+  SELECT *, sum(size) OVER (ORDER BY doc_id, text_crc32 ROWS UNBOUNDED PRECEDING) - size + size // 2 AS middle, sum(size) OVER () // 16 AS q, sum(size) OVER () % 16 AS r FROM sized
+), cut AS (
+  SELECT *, (CASE WHEN middle < r * (q + 1) THEN middle // (q + 1) ELSE r + (middle - r * (q + 1)) // greatest(q, 1) END)::INT AS shard FROM summed
+)
+SELECT doc_id, size, text_crc32, 'bytes' AS law, shard, row_number() OVER (PARTITION BY shard ORDER BY doc_id, text_crc32) - 1 AS slot, NULL::INT AS grown_shard FROM cut
+"""
+
 
 def op1_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from stratalens.llm.simhash import digest
@@ -97,6 +118,12 @@ def op10_private_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     return digest(table(spark, sf_dir, "documents"))
 
 
+def op11_global_byte_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from stratalens.llm.sharding import digest
+
+    return digest(table(spark, sf_dir, "documents"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     from corpus_pipeline import run
 
@@ -104,8 +131,8 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_simhash_near_dedup, op2_quality_classifier, op3_source_mix, op4_secret_scan, op5_best_fit_packing, op6_line_dedup, op7_url_filter, op8_document_fingerprints, op9_embedding_near_dedup, op10_private_data, pipeline)}
+    return {f.__name__: f for f in (op1_simhash_near_dedup, op2_quality_classifier, op3_source_mix, op4_secret_scan, op5_best_fit_packing, op6_line_dedup, op7_url_filter, op8_document_fingerprints, op9_embedding_near_dedup, op10_private_data, op11_global_byte_shards, pipeline)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op7_url_filter": OP7_SQL}
+    return {"op7_url_filter": OP7_SQL, "op11_global_byte_shards": OP11_SQL}
