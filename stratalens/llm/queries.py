@@ -56,6 +56,20 @@ WITH {CRC_TABLE_SQL}, sized AS (
 SELECT doc_id, size, text_crc32, 'bytes' AS law, shard, row_number() OVER (PARTITION BY shard ORDER BY doc_id, text_crc32) - 1 AS slot, NULL::INT AS grown_shard FROM cut
 """
 
+OP13_SQL = """
+WITH e AS (
+  SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS v, row_number() OVER () AS uid
+  FROM embeddings WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+), pairs AS (
+  SELECT a.uid, a.vec_id AS anchor_id, b.vec_id, a.label = b.label AS same, list_dot_product(a.v, b.v)::BIGINT AS score
+  FROM e a JOIN e b ON a.vec_id % 100 = 0 AND a.uid <> b.uid AND len(a.v) = len(b.v)
+), positives AS (
+  SELECT uid, anchor_id, vec_id AS positive_id, score AS positive_score, row_number() OVER (PARTITION BY uid ORDER BY score DESC, vec_id) AS positive_rank FROM pairs WHERE same QUALIFY positive_rank <= 5
+)
+SELECT p.anchor_id, positive_id, (row_number() OVER (PARTITION BY uid, positive_rank ORDER BY score DESC, vec_id))::INT AS rank, vec_id AS negative_id, positive_score, score AS negative_score, positive_rank::INT AS positive_rank
+FROM positives p JOIN pairs n USING (uid) WHERE NOT same AND 80 * positive_score <= 100 * score AND score <= positive_score QUALIFY rank <= 5
+"""
+
 
 def op1_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from stratalens.llm.simhash import digest
@@ -124,6 +138,12 @@ def op11_global_byte_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return digest(table(spark, sf_dir, "documents"))
 
 
+def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from stratalens.llm.negatives import digest
+
+    return digest(table(spark, sf_dir, "embeddings"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     from corpus_pipeline import run
 
@@ -131,8 +151,8 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_simhash_near_dedup, op2_quality_classifier, op3_source_mix, op4_secret_scan, op5_best_fit_packing, op6_line_dedup, op7_url_filter, op8_document_fingerprints, op9_embedding_near_dedup, op10_private_data, op11_global_byte_shards, pipeline)}
+    return {f.__name__: f for f in (op1_simhash_near_dedup, op2_quality_classifier, op3_source_mix, op4_secret_scan, op5_best_fit_packing, op6_line_dedup, op7_url_filter, op8_document_fingerprints, op9_embedding_near_dedup, op10_private_data, op11_global_byte_shards, op13_hard_negatives, pipeline)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op7_url_filter": OP7_SQL, "op11_global_byte_shards": OP11_SQL}
+    return {"op7_url_filter": OP7_SQL, "op11_global_byte_shards": OP11_SQL, "op13_hard_negatives": OP13_SQL}
