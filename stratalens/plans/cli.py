@@ -99,7 +99,7 @@ def run_index(spark, args, settings, provider) -> None:
 
 def run_search(spark, args, settings, provider) -> None:
     questions, given = _question(spark, args)
-    hits = search_texts(_collection(spark, args, settings).read(given["release_label"], given["source_kind"]), questions, provider, args.limit)
+    hits = search_texts(_collection(spark, args, settings).read(given["release_label"], given["source_kind"]), questions, provider, args.limit, few=True)
     hits.select("rank", "score", "payload.unit_id", preview(hits["payload.text"]).alias("text")).orderBy("rank").show(args.limit, truncate=False)
 
 

@@ -42,14 +42,14 @@ def ask(
     settings: Settings = Settings(), release_label: str | None = None, source_kind: str | None = None, **rules,
 ) -> tuple[DataFrame, DataFrame]:
     """(answers, hits) of questions (query_id, query, filters); ``release_label`` and ``source_kind`` prune what is read."""
-    hits = search.search_texts(collection.read(release_label, source_kind), questions, provider, limit)
+    hits = search.search_texts(collection.read(release_label, source_kind), questions, provider, limit, few=True)
     return answer.grounded_answers(questions, hits, chat, settings, **rules), hits
 
 
 def evaluate(collection: index.Collection, cases: DataFrame, provider: embedding.Provider, limit: int = 5) -> tuple[DataFrame, DataFrame]:
     """(totals, cases) of evaluation cases against the collection."""
     asked = cases.select(F.col("case_id").alias("query_id"), "query", "filters.*")
-    hits = search.search_texts(collection.read(), asked, provider, limit).withColumnRenamed("query_id", "case_id")
+    hits = search.search_texts(collection.read(), asked, provider, limit, few=True).withColumnRenamed("query_id", "case_id")
     done = evaluation.evaluated(cases, hits)
     return evaluation.report(done), done
 

@@ -5,25 +5,15 @@ Each adapter has a DataFrame form and the same rows as a SQL common table expres
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from stratalens.functions.text import DEFAULT_NOISE
 from stratalens.operators import chunking, embedding, search
+from stratalens.operators.shared import folder as scratch  # noqa: F401
 from stratalens.schemas import PAYLOAD, TABLES
 
 
-def scratch(spark: SparkSession) -> str:
-    """A fresh folder that driver and executors share: below ``spark.checkpoint.dir``, or on a local master of this machine."""
-    at = spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if at is None and not spark.sparkContext.master.startswith("local"):
-        raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
-    return f"{at}/{uuid.uuid4().hex}" if at else tempfile.mkdtemp(prefix="stratalens-")
-
-
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

@@ -136,14 +136,15 @@ def test_one_pass(spark):
     assert told.count("LogicalRDD") + told.count("LocalRelation") == scans
 
 
-def test_search_many_against_all_pairs(spark):
+@pytest.mark.parametrize("how", [{}, {"block_bytes": 200}, {"few": True}])
+def test_search_many_against_all_pairs(spark, how):
     rng = np.random.default_rng(3)
     vectors = [tuple(rng.integers(-2, 3, 3).tolist()) for _ in range(60)]
     pts = index.points(records(spark, *[record(f"u{i}", vector=v, release=f"R{i % 3}") for i, v in enumerate(vectors)]), strict=False)
     asked = [(q, [float(x) for x in rng.integers(-2, 3, 3)], None if q % 2 else f"R{q % 3}") for q in range(12)]
     df = spark.createDataFrame(asked, "query_id long, query_vector array<double>, release_label string")
     got = {}
-    for r in search.search_many(pts, df, 4).collect():
+    for r in search.search_many(pts, df, 4, **how).collect():
         got.setdefault(r.query_id, []).append((r["rank"], r.point_id, r.score))
     held = pts.collect()
     for q, v, release in asked:
@@ -155,6 +156,34 @@ def test_search_many_against_all_pairs(spark):
         assert [(p, round(s, 9)) for _, p, s in sorted(got[q])] == [(p, round(-s, 9)) for s, p in every]
 
 
+def test_search_many_leaves_queries_on_the_executors(spark):
+    """The plan is the same for 3 and 3,000 queries, and holds no vector."""
+    pts = index.points(records(spark, *[record(f"u{i}", vector=(i, 1)) for i in range(9)]))
+    plans = []
+    for n in (3, 3000):
+        asked = spark.range(n).select(F.col("id").alias("query_id"), F.array((F.col("id") + 1).cast("double"), F.lit(2.0)).alias("query_vector"))
+        out = search.search_many(pts, asked, 2)
+        plans.append(out._jdf.queryExecution().optimizedPlan().toString())
+        assert out.count() == 2 * n
+    assert plans[0].count("\n") == plans[1].count("\n") and plans[0].count("FlatMapCoGroupsInArrow") == 1
+
+
+def test_search_many_filters_before_it_moves(spark):
+    pts = index.points(records(spark, record("a", release="R1"), record("b", release="R2")))
+    asked = spark.createDataFrame([("q", [1.0, 2.0], "R2")], "query_id string, query_vector array<double>, release_label string")
+    out = search.search_many(pts, asked, 5)
+    assert "LeftSemi" in out._jdf.queryExecution().optimizedPlan().toString() and [r.payload.unit_id for r in out.collect()] == ["b"]
+
+
+def test_search_without_queries_or_points(spark):
+    pts = index.points(records(spark, record("a")))
+    asked = spark.createDataFrame([("q", [1.0, 2.0])], "query_id string, query_vector array<double>")
+    for few in (False, True):
+        assert search.search_many(pts.limit(0), asked, few=few).count() == 0
+        assert search.search_many(pts, asked.limit(0), few=few).count() == 0
+        assert search.search_many(pts, asked.withColumn("query_vector", F.array(F.lit(1.0))), few=few).count() == 0
+
+
 def test_search(spark):
     pts = index.points(records(spark, record("close", vector=(1, 0)), record("far", vector=(0, 1)), record("zero", vector=(0, 0)), record("r2", vector=(1, 0), release="R2", kind="table")))
     top = search.search(pts, [2.0, 0.0], 1, release_label="R1").first()
