@@ -35,17 +35,24 @@ def shape(spark: SparkSession, left: int, right: int, width: int, block_bytes: i
     return blocks(left), max(blocks(right), min(int(spark.conf.get("spark.sql.shuffle.partitions")), right // SMALL))
 
 
-def met(left: DataFrame, right: DataFrame, left_key: Column, right_key: Column, rows: int, columns: int, kernel: Callable[[pa.Table, pa.Table], pa.Table], schema: str) -> DataFrame:
+def met(
+    left: DataFrame, right: DataFrame, left_key: Column, right_key: Column, rows: int | str, columns: int | str, kernel: Callable[[pa.Table, pa.Table], pa.Table], schema: str,
+    on: tuple[str, ...] = (), cells: int | None = None,
+) -> DataFrame:
     """``kernel(left block, right block)`` of each cell of a grid of ``rows`` by ``columns``.
 
-    Keys deal rows to blocks by hash and should be unique; equal keys share a block.
+    Keys deal rows to blocks by hash and should be unique; equal keys share a block.  With ``on``, rows meet only
+    those with equal values there, in a grid of their own, whose size is in columns named by ``rows`` and ``columns`` on
+    both sides; ``cells`` is then the number of all cells.
     """
-    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
-    block = lambda key, n: F.pmod(F.xxhash64(key), F.lit(n)).cast("int")
-    cells = min(rows * columns, TASKS)
+    size = lambda n: F.col(n) if isinstance(n, str) else F.lit(n)
+    every = lambda n: F.explode(F.sequence(F.lit(0), size(n).cast("int") - 1))
+    block = lambda key, n: F.pmod(F.xxhash64(key), size(n)).cast("int")
+    tasks = min(cells or rows * columns, TASKS)
+    keys = [*on, "_row", "_column"]
 
     def dealt(df: DataFrame, row: Column, column: Column) -> DataFrame:
-        named = df.withColumn("_row", row).withColumn("_column", column).repartition(cells, "_row", "_column")
+        named = df.withColumn("_row", row).withColumn("_column", column).repartition(tasks, *keys)
         return named.select(*[F.col(f"`{c}`").alias(c) for c in named.columns])  # both sides may come from one table
 
     a = dealt(left, block(left_key, rows), every(columns))
@@ -54,7 +61,7 @@ def met(left: DataFrame, right: DataFrame, left_key: Column, right_key: Column,
     def cell(x: pa.Table, y: pa.Table) -> pa.Table:
         return kernel(x, y)
 
-    return a.groupBy("_row", "_column").cogroup(b.groupBy("_row", "_column")).applyInArrow(cell, schema)
+    return a.groupBy(*keys).cogroup(b.groupBy(*keys)).applyInArrow(cell, schema)
 
 
 def by_length(arrays: pa.ChunkedArray | pa.Array) -> dict[int, tuple[np.ndarray, np.ndarray]]:

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from stratalens.functions import hashing, text
-from stratalens.operators import answer, chunking, embedding, evaluation, evidence, index, search, trace
+from stratalens.operators import answer, cells, chunking, embedding, evaluation, evidence, index, search, trace
 from stratalens.plans import testdata as T
 from stratalens.sources import artifacts
 from stratalens.sources.docx import base_name, is_document
@@ -260,6 +260,14 @@ def vector_topk_batch(spark, sf):
     return out.select("query_id", F.col("rank").cast("long").alias("rank"), "point_id", F.round("score", 6).alias("score"), "payload.source_kind", "payload.release_label")
 
 
+@query(SQL["vector_topk_batch"])
+def vector_topk_pruned(spark, sf):
+    """The same from a layout by centroids, of which only cells that may hold a result are read."""
+    laid = cells.CellIndex.build(T.vector_points(spark, sf), T.scratch(spark))
+    out = laid.search_many(T.vector_queries(spark, sf))
+    return out.select("query_id", F.col("rank").cast("long").alias("rank"), "point_id", F.round("score", 6).alias("score"), "payload.source_kind", "payload.release_label")
+
+
 _BAG = "unnest(regexp_split_to_array(lower({0}), '[^a-z]+')) AS word"
 _SLOTS = "('0x' || left(sha256(word), 2))::INT % 64 AS slot, count(*)::DOUBLE AS c"
 
