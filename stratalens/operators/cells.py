@@ -47,6 +47,8 @@ def fitted(points: DataFrame, cells: int | None = None) -> np.ndarray:
     sample = shared.kept(points.where((F.size("unit_vector") == size) & chosen).select("point_id", "unit_vector"))
     if not sample.limit(1).count():
         sample = points.where(F.size("unit_vector") == size).limit(1)
+    if k < 2:
+        return np.array([sample.select("unit_vector").first()[0]])
     model = KMeans(k=k, seed=SEED, maxIter=10, initSteps=2, distanceMeasure="cosine").fit(sample.select(array_to_vector("unit_vector").alias("features")))
     centers = np.array(model.clusterCenters())
     lengths = np.linalg.norm(centers, axis=1, keepdims=True)

@@ -13,7 +13,7 @@ from stratalens.config import Settings, configure_logging, get_logger, load_sett
 from stratalens.operators.answer import ChatClient
 from stratalens.operators.embedding import ClientProvider, HashProvider, of_kind, run_summary
 from stratalens.operators.index import Collection
-from stratalens.operators.search import preview, search_texts
+from stratalens.operators.search import preview
 from stratalens.plans import pipelines
 from stratalens.sources import artifacts, clients
 
@@ -31,6 +31,7 @@ def parser() -> argparse.ArgumentParser:
             "store": dict(required=True, help="folder of the collection"), "query": dict(required=True), "limit": dict(type=int, default=5), "document": dict(), "cases": dict(required=True),
             "source-kind": dict(choices=["paragraph", "table"]) if name == "embed" else dict(), "document-family": dict(), "release-label": dict(),
             "min-top-score": dict(type=float), "units": dict(type=int, default=2), "report": dict(required=True), "trace-dir": dict(),
+            "cells": dict(type=int, help="also lay the points out in so many cells for pruned search (0: by their number)"),
             "provider": dict(choices=["hash", "remote"], default="hash", help="offline hash vectors and extractive answers, or the models of the settings"),
         }
         for o in options:
@@ -39,7 +40,7 @@ def parser() -> argparse.ArgumentParser:
     filters = ("document-family", "release-label", "source-kind")
     command("ingest", "write raw, chunk and unit artifacts", "source", "out")
     command("embed", "embed units through the cache", "source", "cache", "document", "source-kind", "units", "provider")
-    command("index", "upsert the cache into the collection", "cache", "store")
+    command("index", "upsert the cache into the collection", "cache", "store", "cells")
     command("search", "best units for a query", "store", "query", "limit", "provider", *filters)
     command("answer", "grounded answer for a query", "store", "query", "limit", "min-top-score", "trace-dir", "provider", *filters)
     command("evaluate", "run evaluation cases", "store", "cases", "report", "limit", "provider")
@@ -95,11 +96,13 @@ def run_index(spark, args, settings, provider) -> None:
     store = _collection(spark, args, settings)
     pipelines.index_cache(spark, args.cache, store).show(truncate=False)
     store.vacuum()
+    if args.cells is not None:
+        store.build_cells(args.cells or None)
 
 
 def run_search(spark, args, settings, provider) -> None:
     questions, given = _question(spark, args)
-    hits = search_texts(_collection(spark, args, settings).read(given["release_label"], given["source_kind"]), questions, provider, args.limit, few=True)
+    hits = pipelines.hits(_collection(spark, args, settings), questions, provider, args.limit, given["release_label"], given["source_kind"])
     hits.select("rank", "score", "payload.unit_id", preview(hits["payload.text"]).alias("text")).orderBy("rank").show(args.limit, truncate=False)
 
 

@@ -37,20 +37,33 @@ def index_cache(spark: SparkSession, cache: str, collection: index.Collection) -
     return collection.upsert(index.batch_from_cache(artifacts.read_cache(spark, cache), ["file_path", "position"]))
 
 
+def hits(collection: index.Collection, questions: DataFrame, provider: embedding.Provider, limit: int = 5, release_label: str | None = None, source_kind: str | None = None) -> DataFrame:
+    """Best points for questions (query_id, query, filters): from the collection's cells where they are laid out, else from
+    all points of the release and kind."""
+    laid = collection.cells()
+    if laid is not None:
+        for field, value in (("release_label", release_label), ("source_kind", source_kind)):
+            if value is not None:  # as where only such points are read: a question that asks for another value finds nothing
+                own = F.col(field) if field in questions.columns else F.lit(None)
+                questions = questions.where(own.isNull() | (own == value)).withColumn(field, F.lit(value))
+        return laid.search_many(embedding.embed_query(questions, provider), limit)
+    return search.search_texts(collection.read(release_label, source_kind), questions, provider, limit, few=True)
+
+
 def ask(
     collection: index.Collection, questions: DataFrame, provider: embedding.Provider, chat: answer.ChatProvider | None = None, limit: int = 5,
     settings: Settings = Settings(), release_label: str | None = None, source_kind: str | None = None, **rules,
 ) -> tuple[DataFrame, DataFrame]:
     """(answers, hits) of questions (query_id, query, filters); ``release_label`` and ``source_kind`` prune what is read."""
-    hits = search.search_texts(collection.read(release_label, source_kind), questions, provider, limit, few=True)
-    return answer.grounded_answers(questions, hits, chat, settings, **rules), hits
+    found = hits(collection, questions, provider, limit, release_label, source_kind)
+    return answer.grounded_answers(questions, found, chat, settings, **rules), found
 
 
 def evaluate(collection: index.Collection, cases: DataFrame, provider: embedding.Provider, limit: int = 5) -> tuple[DataFrame, DataFrame]:
     """(totals, cases) of evaluation cases against the collection."""
     asked = cases.select(F.col("case_id").alias("query_id"), "query", "filters.*")
-    hits = search.search_texts(collection.read(), asked, provider, limit, few=True).withColumnRenamed("query_id", "case_id")
-    done = evaluation.evaluated(cases, hits)
+    found = hits(collection, asked, provider, limit).withColumnRenamed("query_id", "case_id")
+    done = evaluation.evaluated(cases, found)
     return evaluation.report(done), done
 
 

@@ -204,7 +204,7 @@ def index_info(spark, sf):
 
 def _store(spark, sf) -> index.Collection:
     """A collection into which the test cache has been upserted twice, so that the second replaces the first."""
-    store = index.Collection(spark, T.scratch(spark), size=1)
+    store = index.Collection(spark, T.scratch(spark), size=1, buckets=4)
     store.ensure()
     cached = T.cache(spark, sf)
     store.upsert(cached.where("source_kind = 'table'").withColumn("vector", F.array(F.lit(7.0))))

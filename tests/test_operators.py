@@ -96,23 +96,94 @@ def test_collection(spark, tmp_path):
         index.points(records(spark, record("b", vector=None))).collect()
 
 
-def test_generations(spark, tmp_path):
-    c = index.Collection(spark, str(tmp_path), size=2)
+def _bytes(folder):
+    return sum(f.stat().st_size for f in folder.rglob("*.parquet"))
+
+
+def test_steps(spark, tmp_path):
+    c = index.Collection(spark, str(tmp_path), size=2, buckets=4)
     c.upsert(records(spark, record("a")))
     old = c.read()
     c.upsert(records(spark, record("b")))
-    # a reader of the generation before is not disturbed
+    # a reader of the state before is not disturbed
     assert {r.payload.unit_id for r in old.collect()} == {"a"} and {r.payload.unit_id for r in c.read().collect()} == {"a", "b"}
     # a write that stops halfway is not current, and nothing is emptied after it
-    broken = tmp_path / c.name / f"{index.GENERATION}{99:012d}"
-    broken.mkdir()
+    (tmp_path / c.name / f"step-{99:012d}-delta" / "_bucket=1").mkdir(parents=True)
     c.ensure()
     assert c.read().count() == 2
     c.upsert(records(spark, record("d")))
-    assert c.generations()[-1] == 100 and c.read().count() == 3
-    assert c.vacuum(keep=1) == [n for n in range(1, c.generations()[0]) if n in (1, 2, 3, 99)] and c.read().count() == 3
+    assert c.version() > 99 and c.read().count() == 3
+    before = c.steps(complete=False)
+    gone = c.vacuum(keep=1)
+    assert 99 in gone and set(c.steps()) == set(before) - set(gone) and c.read().count() == 3
     with pytest.raises(ValueError):
         c.vacuum(0)
+    with pytest.raises(ValueError):
+        index.Collection(spark, str(tmp_path), buckets=0)
+
+
+def test_upsert_writes_only_what_changes(spark, tmp_path):
+    def made(ids, text):
+        n = F.col("id").cast("string")
+        return spark.range(*ids).select(
+            F.concat(F.lit("u"), n).alias("unit_id"), F.lit(0).alias("unit_index"), F.lit("table").alias("source_kind"), F.lit("FS_A").alias("document_family"), F.concat(F.lit("R"), F.col("id") % 7).alias("release_label"),
+            F.lit("h").alias("content_hash"), F.lit("v1").alias("artifact_version"), F.concat(F.lit("key-"), n).alias("cache_key"), F.concat(F.lit(text), F.sha2(n, 512)).alias("text"), F.lit("m").alias("embedding_model"),
+            F.lit("embedded").alias("embedding_status"), F.transform(F.sequence(F.lit(0), F.lit(31)), lambda i: F.hash("id", i).cast("double")).alias("vector"),
+        )
+
+    c = index.Collection(spark, str(tmp_path), size=32, buckets=8, compact_at=None)
+    c.upsert(made((0, 20_000), "old "))
+    whole = _bytes(tmp_path)
+    c.upsert(made((19_900, 20_100), "new "))
+    assert _bytes(tmp_path) - whole < 0.03 * whole
+    assert c.read().count() == 20_100
+    assert {r[0]: r[1] for r in c.read().groupBy(F.substring("payload.text", 1, 3)).count().collect()} == {"old": 19_900, "new": 200}
+    assert c.read(release_label="R3").count() == sum(i % 7 == 3 for i in range(20_100)) and c.read(upto=c.version() - 1).count() == 20_000
+    # only buckets whose deltas are large are written anew
+    assert c.layout()[0] == (2, [3]) and c.compact() == list(range(8)) and c.layout()[0] == (4, [])
+    c.upsert(made((0, 5), "newer "))
+    told = sorted((r.point_id, r.payload.text) for r in c.read().collect())
+    before = _bytes(tmp_path)
+    touched = {b for b, (_, after) in c.layout().items() if after}
+    assert c.compact(share=10.0) == [] and set(c.compact()) == touched and len(touched) <= 5
+    assert _bytes(tmp_path) - before < (len(touched) + 1) / 8 * whole
+    assert sorted((r.point_id, r.payload.text) for r in c.read().collect()) == told
+    c.vacuum(keep=1)
+    assert sorted((r.point_id, r.payload.text) for r in c.read().collect()) == told
+
+
+def test_many_small_upserts_are_compacted(spark, tmp_path):
+    c = index.Collection(spark, str(tmp_path), size=2, buckets=1, compact_at=100.0)
+    c.upsert(records(spark, record("a")))
+    for i in range(index.DELTAS + 2):
+        c.upsert(records(spark, record(f"a{i}", key="key-a", vector=(i + 1, 1))))
+    (full, after), = c.layout().values()
+    assert full > 2 and len(after) < index.DELTAS
+    (only,) = c.read().collect()
+    assert only.payload.unit_id == f"a{index.DELTAS + 1}"
+
+
+def test_a_failed_upsert_leaves_readers_whole(spark, tmp_path):
+    c = index.Collection(spark, str(tmp_path), size=2)
+    c.upsert(records(spark, record("a"), record("b")))
+    fails = records(spark, record("a", vector=(9, 9))).withColumn("vector", F.when(F.col("unit_id") == "a", F.raise_error(F.lit("lost")).cast("array<double>")))
+    with pytest.raises(Exception, match="lost"):
+        c._write(index.points(fails), index.DELTA)
+    assert sorted(tuple(r.vector) for r in c.read().collect()) == [(0.1, 0.2)] * 2
+    c.upsert(records(spark, record("a", vector=(3, 4))))
+    assert sorted(tuple(r.vector) for r in c.read().collect()) == [(0.1, 0.2), (3.0, 4.0)]
+
+
+def test_cells_of_a_collection(spark, tmp_path):
+    c = index.Collection(spark, str(tmp_path), size=2)
+    c.upsert(records(spark, *[record(f"u{i}", vector=(i + 1, 20 - i)) for i in range(20)]))
+    assert c.cells() is None
+    c.build_cells(3)
+    asked = spark.createDataFrame([("q", [1.0, 1.0])], "query_id string, query_vector array<double>")
+    rows = lambda df: [(r["rank"], r.point_id, r.score) for r in df.orderBy("rank").collect()]
+    assert rows(c.cells().search_many(asked)) == rows(search.search_many(c.read(), asked))
+    c.upsert(records(spark, record("new")))
+    assert c.cells() is None
 
 
 def test_memory_collection(spark):

@@ -58,6 +58,10 @@ def test_whole_path(spark, folder, tmp_path):
     answers, hits = pipelines.ask(store, asked, provider)
     r = answers.first()
     assert r.is_answered and "[C1]" in r.answer and {h.payload.release_label for h in hits.collect()} == {"R2"}
+    store.build_cells()
+    again = pipelines.ask(store, asked, provider, release_label="R2")[1]
+    assert sorted((h["rank"], h.point_id, h.score) for h in again.collect()) == sorted((h["rank"], h.point_id, h.score) for h in hits.collect())
+    assert pipelines.hits(store, asked, provider, source_kind="paragraph").count() == 1 and pipelines.hits(store, asked, provider, release_label="R1").count() == 0
     (path,) = pipelines.traced(answers, hits, str(tmp_path / "traces"), "req-1", {"release_label": "R2"})
     trace = json.loads(open(path.removeprefix("file:"), encoding="utf-8").read())
     assert path.endswith("req-1.json") and trace["filters"] == {"release_label": "R2"} and trace["answer_response"]["is_answered"]
