@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from stratalens.config import Settings
 from stratalens.operators import answer, chunking, embedding, evaluation, index, search, trace
 from stratalens.sources import artifacts, docx
+from stratalens.sources.files import Exported
 
 
 def ingest(spark: SparkSession, source: str, size: int = 5) -> tuple[DataFrame, DataFrame]:
@@ -67,6 +68,6 @@ def evaluate(collection: index.Collection, cases: DataFrame, provider: embedding
     return evaluation.report(done), done
 
 
-def traced(answers: DataFrame, hits: DataFrame, directory: str, request_id: str | None = None, filters: dict | None = None) -> list[str]:
+def traced(answers: DataFrame, hits: DataFrame, directory: str, request_id: str | None = None, filters: dict | None = None) -> Exported:
     rows = trace.traces(answers, hits, request_id, filters)
     return artifacts.export(rows, directory, "request_id", ".json")

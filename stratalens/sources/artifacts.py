@@ -6,7 +6,6 @@ The canonical store between stages is Parquet; these files are for import and ex
 from __future__ import annotations
 
 import json
-import uuid
 from collections.abc import Iterator
 
 import pandas as pd
@@ -15,6 +14,7 @@ from pyspark.sql import functions as F
 
 from stratalens.operators.embedding import usable
 from stratalens.schemas import EVAL_CASE, RECORD_ARTIFACT
+from stratalens.sources.files import Exported, write_files
 
 #: Suffixes of the artifacts' file names.
 RAW, CHUNKS, UNITS, EMBEDDINGS, SUMMARY = ".json", ".chunks.json", ".retrieval_ready.json", ".embeddings.json", ".embedding_summary.json"
@@ -29,31 +29,15 @@ def _indented(bodies: pd.Series) -> pd.Series:
     return bodies.map(lambda x: json.dumps(json.loads(x), indent=2, ensure_ascii=False))
 
 
-def export(rows: DataFrame, directory: str, stem: str, suffix: str) -> list[str]:
+def export(rows: DataFrame, directory: str, stem: str, suffix: str) -> Exported:
     """Write each row as ``directory/<stem><suffix>``, indented, UTF-8; returns the paths, in order.
 
-    The executors make and write the files, in a folder beside; the driver only gives them their names.
-    Stems name one row each.
+    The executors write the files under their names.  Stems name one row each.
     """
-    spark = rows.sparkSession
     kept = [c for c in rows.columns if c != "_stem"]
-    work = f"{directory.rstrip('/')}/_export-{uuid.uuid4().hex}"
     body = F.pandas_udf(_indented, "string")(as_json(*kept))
-    rows.select(F.col(stem).cast("string").alias("_stem"), body.alias("value")).write.partitionBy("_stem").text(work)
-    hadoop, plain = spark._jvm.org.apache.hadoop.fs, spark._jvm.org.apache.spark.sql.catalyst.catalog.ExternalCatalogUtils.unescapePathName
-    fs = hadoop.Path(work).getFileSystem(spark._jsc.hadoopConfiguration())
-    paths = []
-    for folder in fs.listStatus(hadoop.Path(work)):
-        if not folder.isDirectory():
-            continue
-        name = plain(folder.getPath().getName().removeprefix("_stem="))
-        path = hadoop.Path(f"{directory.rstrip('/')}/{name}{suffix}")
-        for part in fs.listStatus(folder.getPath()):
-            fs.delete(path, False)
-            fs.rename(part.getPath(), path)
-        paths.append(path.toString())
-    delete(spark, work)
-    return sorted(paths)
+    named = rows.select(F.concat(F.col(stem).cast("string"), F.lit(suffix)).alias("_name"), body.alias("_body"))
+    return write_files(named, directory, "_name", "_body")
 
 
 def delete(spark: SparkSession, path: str) -> None:
@@ -61,21 +45,21 @@ def delete(spark: SparkSession, path: str) -> None:
     p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
 
 
-def export_units(units: DataFrame, directory: str) -> list[str]:
+def export_units(units: DataFrame, directory: str) -> Exported:
     names = ["document_name", "document_family", "release_label"]
     unit = F.struct("unit_index", "unit_id", "source_kind", "text", "document_family", "release_label")
     by = units.groupBy(*names).agg(F.sort_array(F.collect_list(unit)).alias("units")).withColumn("total_units", F.size("units"))
     return export(by.select(*names, "total_units", "units"), directory, "document_name", UNITS)
 
 
-def export_chunks(chunks: DataFrame, directory: str) -> list[str]:
+def export_chunks(chunks: DataFrame, directory: str) -> Exported:
     names = ["document_name", "document_family", "release_label"]
     rest = [c for c in chunks.columns if c not in (*names, "chunk_index")]
     by = chunks.groupBy(*names).agg(F.sort_array(F.collect_list(F.struct("chunk_index", *rest))).alias("chunks")).withColumn("total_chunks", F.size("chunks"))
     return export(by.select(*names, "total_chunks", "chunks"), directory, "document_name", CHUNKS)
 
 
-def export_records(records: DataFrame, directory: str, stem_suffix: str = "") -> list[str]:
+def export_records(records: DataFrame, directory: str, stem_suffix: str = "") -> Exported:
     """Embedding records of each document with their counts."""
     fields = [c for c in records.columns if c not in ("document_name", "unit_index")]
     status = lambda s: F.count_if(F.col("embedding_status") == s).cast("int")
