@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import logging
 import os
-from dataclasses import dataclass, fields
+from dataclasses import dataclass, field, fields
 from pathlib import Path
 
 
@@ -14,7 +14,7 @@ class Settings:
     index_version: str = "v1"
     embedding_model: str = "text-embedding-3-large"
     chat_model: str = "gpt-4.1-mini"
-    api_key: str = ""
+    api_key: str = field(default="", repr=False)
     base_url: str = ""
     collection_name: str = "functional_specs"
     vector_size: int = 3072
@@ -24,15 +24,29 @@ class Settings:
     log_level: str = "INFO"
 
 
+#: Prefix of the environment's variables, which these settings need and others may have.
+PREFIX, OWN = "stratalens_", ("api_key", "base_url")
+
+
+def shown(settings: Settings) -> str:
+    """The settings as text; of the key only whether there is one."""
+    return f"{settings} api_key={'(set)' if settings.api_key else '(not set)'}"
+
+
 def load_settings(env_file: str | Path = ".env") -> Settings:
-    """Settings from defaults, then ``env_file``, then the environment; unknown keys are ignored."""
+    """Settings from defaults, then ``env_file``, then the environment; unknown keys are ignored.
+
+    The service's key and address are taken from the environment under PREFIX only, so that a key meant for
+    another program is never sent; the file may name them either way.
+    """
     given: dict[str, str] = {}
     if Path(env_file).is_file():
         for line in Path(env_file).read_text(encoding="utf-8").splitlines():
             key, eq, value = line.partition("=")
             if eq and not key.lstrip().startswith("#"):
                 given[key.strip().lower()] = value.strip().strip("\"'")
-    given |= {k.lower(): v for k, v in os.environ.items()}
+    given |= {k.lower(): v for k, v in os.environ.items() if k.lower() not in OWN}
+    given |= {k.removeprefix(PREFIX): v for k, v in [*given.items()] if k.startswith(PREFIX)}
     kinds = {"int": int, "float": float, "str": str}
     return Settings(**{f.name: kinds[f.type](given[f.name]) for f in fields(Settings) if f.name in given})
 

@@ -9,7 +9,7 @@ from dataclasses import replace
 
 from pyspark.sql import SparkSession
 
-from stratalens.config import Settings, configure_logging, get_logger, load_settings
+from stratalens.config import Settings, configure_logging, get_logger, load_settings, shown
 from stratalens.operators.answer import ChatClient
 from stratalens.operators.embedding import ClientProvider, HashProvider, of_kind, run_summary
 from stratalens.operators.index import Collection
@@ -31,6 +31,7 @@ def parser() -> argparse.ArgumentParser:
             "store": dict(required=True, help="folder of the collection"), "query": dict(required=True), "limit": dict(type=int, default=5), "document": dict(), "cases": dict(required=True),
             "source-kind": dict(choices=["paragraph", "table"]) if name == "embed" else dict(), "document-family": dict(), "release-label": dict(),
             "min-top-score": dict(type=float), "units": dict(type=int, default=2), "report": dict(required=True), "trace-dir": dict(),
+            "root": dict(required=True, help="folder of the tables"), "tables": dict(action="store_true", help="the folder holds Parquet tables, not JSON files"),
             "cells": dict(type=int, help="also lay the points out in so many cells for pruned search (0: by their number)"),
             "provider": dict(choices=["hash", "remote"], default="hash", help="offline hash vectors and extractive answers, or the models of the settings"),
         }
@@ -38,9 +39,10 @@ def parser() -> argparse.ArgumentParser:
             p.add_argument(f"--{o}", **known[o])
 
     filters = ("document-family", "release-label", "source-kind")
-    command("ingest", "write raw, chunk and unit artifacts", "source", "out")
+    command("ingest", "write raw, chunk and unit artifacts, or the tables", "source", "out", "tables")
     command("embed", "embed units through the cache", "source", "cache", "document", "source-kind", "units", "provider")
-    command("index", "upsert the cache into the collection", "cache", "store", "cells")
+    command("embed-tables", "embed the table of units through that of records", "root", "provider")
+    command("index", "upsert the cache into the collection", "cache", "store", "cells", "tables")
     command("search", "best units for a query", "store", "query", "limit", "provider", *filters)
     command("answer", "grounded answer for a query", "store", "query", "limit", "min-top-score", "trace-dir", "provider", *filters)
     command("evaluate", "run evaluation cases", "store", "cases", "report", "limit", "provider")
@@ -74,6 +76,9 @@ def _collection(spark: SparkSession, args, settings: Settings) -> Collection:
 def run_ingest(spark, args, settings, provider) -> None:
     from stratalens.operators.chunking import chunk_paragraphs
 
+    if args.tables:
+        pipelines.ingest_tables(spark, args.source, args.out)
+        return
     docs, units = pipelines.ingest(spark, args.source)
     artifacts.export(docs, args.out, "document_name", artifacts.RAW)
     artifacts.export_chunks(chunk_paragraphs(docs), args.out)
@@ -92,9 +97,13 @@ def run_embed(spark, args, settings, provider) -> None:
     artifacts.delete(spark, work)
 
 
+def run_embed_tables(spark, args, settings, provider) -> None:
+    pipelines.embed_tables(spark, args.root, provider, settings).show(truncate=False)
+
+
 def run_index(spark, args, settings, provider) -> None:
     store = _collection(spark, args, settings)
-    pipelines.index_cache(spark, args.cache, store).show(truncate=False)
+    (pipelines.index_tables if args.tables else pipelines.index_cache)(spark, args.cache, store).show(truncate=False)
     store.vacuum()
     if args.cells is not None:
         store.build_cells(args.cells or None)
@@ -134,7 +143,7 @@ def run_inspect(spark, args, settings, provider) -> None:
 
 
 def run_check_setup(spark, args, settings, provider) -> None:
-    print(settings)
+    print(shown(settings))
     p = spark._jvm.org.apache.hadoop.fs.Path(args.out)
     print(args.out, p.getFileSystem(spark._jsc.hadoopConfiguration()).exists(p))
 

@@ -6,9 +6,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from stratalens.config import Settings
-from stratalens.operators import answer, chunking, embedding, evaluation, index, search, trace
-from stratalens.sources import artifacts, docx
+from stratalens.operators import answer, chunking, embedding, evaluation, index, search, shared, trace
+from stratalens.sources import artifacts, docx, tables
 from stratalens.sources.files import Exported
+from stratalens.sources.tables import Table
 
 
 def ingest(spark: SparkSession, source: str, size: int = 5) -> tuple[DataFrame, DataFrame]:
@@ -32,6 +33,35 @@ def embed_folder(
     return embedding.embed(records, provider, embedding.last_wins(known, ["file_path", "position"]))
 
 
+def ingest_tables(spark: SparkSession, source: str, root: str, size: int = 5) -> None:
+    """The tables of documents, chunks and units below ``root`` from a folder of DOCX files: its documents are replaced, others stay."""
+    docs = Table(spark, root, tables.DOCUMENTS)
+    fresh = shared.kept(chunking.normalized(docx.read(docx.discover(spark, source))))
+    docs.write(fresh)
+    names = fresh.select("document_name")
+    docs = docs.read().join(names.distinct(), "document_name", "left_semi")
+    Table(spark, root, tables.CHUNKS).write(chunking.chunk_paragraphs(docs, size), names)
+    Table(spark, root, tables.UNITS).write(chunking.retrieval_units(docs, size), names)
+
+
+def embed_tables(spark: SparkSession, root: str, provider: embedding.Provider, settings: Settings = Settings()) -> DataFrame:
+    """The tables of records and their summaries from that of units; vectors of known cache keys are not made again.  Returns the summaries written."""
+    held = Table(spark, root, tables.RECORDS)
+    records = embedding.contract(Table(spark, root, tables.UNITS).read(), settings=settings)
+    known = embedding.last_wins(embedding.usable(held.read()), ["document_name", "unit_index"]) if held.exists() else None
+    records = shared.kept(embedding.embed(records, provider, known))
+    summary = embedding.run_summary(records)
+    held.write(records)
+    Table(spark, root, tables.SUMMARIES).write(summary)
+    return Table(spark, root, tables.SUMMARIES).read()
+
+
+def index_tables(spark: SparkSession, root: str, collection: index.Collection) -> DataFrame:
+    """Upsert the usable records of the table; returns the summary."""
+    collection.ensure()
+    return collection.upsert(index.batch_from_cache(Table(spark, root, tables.RECORDS).read(), ["document_name", "unit_index"]))
+
+
 def index_cache(spark: SparkSession, cache: str, collection: index.Collection) -> DataFrame:
     """Upsert all cached records; returns the summary."""
     collection.ensure()

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from stratalens.functions import hashing, text
 from stratalens.operators import answer, cells, chunking, embedding, evaluation, evidence, index, search, trace
 from stratalens.plans import testdata as T
-from stratalens.sources import artifacts
+from stratalens.sources import artifacts, tables
 from stratalens.sources.docx import base_name, is_document
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -235,6 +235,16 @@ def cache_files(spark, sf):
     return artifacts.read_cache(spark, folder).select("cache_key", "unit_id", "text", F.col("vector")[0].alias("vector"))
 
 
+@query(f"""WITH {T.UNIT_SQL} SELECT document_name, unit_id, unit_index, source_kind, CASE WHEN regexp_extract(document_name, '_d([0-9]+)$', 1)::BIGINT % 2 = 0 THEN text ELSE 'old ' || text END AS text,
+  document_family, release_label FROM units""")
+def table_rerun(spark, sf):
+    """The table of units written whole with other texts, then by a rerun over the even documents, and read back."""
+    units, table = T.units(spark, sf), tables.Table(spark, T.scratch(spark), tables.UNITS)
+    table.write(units.withColumn("text", F.concat(F.lit("old "), "text")))
+    table.write(units.where(T.is_even(F.col("document_name"))))
+    return table.read().select("document_name", "unit_id", F.col("unit_index").cast("long").alias("unit_index"), "source_kind", "text", "document_family", "release_label")
+
+
 def _vector(spark, sf) -> list[float]:
     return list(T.table(spark, sf, "embeddings").where("vec_id = 3").select(F.col("embedding").cast("array<double>")).first()[0])
 

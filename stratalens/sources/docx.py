@@ -54,12 +54,20 @@ def loaded(files: DataFrame) -> DataFrame:
     return out
 
 
+# What stands for a run's children; a break of another type than a line's has no text.
+MARKS = {f"{W}tab": "\t", f"{W}ptab": "\t", f"{W}br": "\n", f"{W}cr": "\n", f"{W}noBreakHyphen": "-"}
+
+
 def _text(node: ElementTree.Element) -> str:
-    """Text of a paragraph, with tabs and line breaks."""
-    marks = {f"{W}tab": "\t", f"{W}br": "\n", f"{W}cr": "\n", f"{W}noBreakHyphen": "-"}
+    """Text of a paragraph's own runs and hyperlinks, with tabs and line breaks; not of text boxes, or of insertions under review."""
     out = []
-    for run in node.iter(f"{W}r"):
-        out += [(x.text or "") if x.tag == f"{W}t" else marks.get(x.tag, "") for x in run]
+    for child in node:
+        for run in [child] if child.tag == f"{W}r" else child.findall(f"{W}r") if child.tag == f"{W}hyperlink" else ():
+            for x in run:
+                if x.tag == f"{W}t":
+                    out.append(x.text or "")
+                elif x.get(f"{W}type", "textWrapping") == "textWrapping":
+                    out.append(MARKS.get(x.tag, ""))
     return "".join(out)
 
 

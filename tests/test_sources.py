@@ -7,7 +7,7 @@ import zipfile
 
 import pytest
 from pyspark.sql import functions as F
-from stratalens.config import load_settings
+from stratalens.config import load_settings, shown
 from stratalens.operators import embedding, index
 from stratalens.plans import cli, pipelines
 from stratalens.sources import artifacts, docx
@@ -89,6 +89,15 @@ def test_settings(tmp_path, monkeypatch):
     assert (got.vector_size, got.chat_model, got.retrieval_min_top_score) == (32, "m", 0.30)
 
 
+def test_the_key_is_neither_shown_nor_taken_from_others(tmp_path, monkeypatch):
+    monkeypatch.setenv("API_KEY", "another program's")
+    monkeypatch.setenv("BASE_URL", "http://another")
+    assert (load_settings(tmp_path / "none").api_key, load_settings(tmp_path / "none").base_url) == ("", "")
+    monkeypatch.setenv("STRATALENS_API_KEY", "secret-key")
+    got = load_settings(tmp_path / "none")
+    assert got.api_key == "secret-key" and "secret-key" not in f"{got!r}{got}{shown(got)}" and "(set)" in shown(got)
+
+
 @pytest.mark.parametrize("command", ["ingest", "embed", "index", "search", "answer", "evaluate", "inspect", "check-setup"])
 def test_help(command):
     done = subprocess.run([sys.executable, "-m", "stratalens.plans.cli", command, "--help"], capture_output=True, text=True, timeout=120)
@@ -105,6 +114,17 @@ def test_merged_cells(spark, tmp_path):
     assert docx.parse(path.read_bytes())[1] == [[["a", "b"], ["a", "c"], ["d", "d"], ["d", "e"]]]
 
 
+def test_a_paragraph_has_the_text_of_its_own_runs(tmp_path):
+    run = lambda x: f"<w:r>{x}</w:r>"
+    t = lambda x: f"<w:t>{x}</w:t>"
+    box = f"<w:pict><w:txbxContent><w:p>{run(t('BOX'))}</w:p></w:txbxContent></w:pict>"
+    body = run(t("outer") + box + t(" x")) + '<w:r><w:br w:type="page"/><w:t>y</w:t><w:br/><w:tab/><w:noBreakHyphen/></w:r>' + f"<w:ins>{run(t('INS'))}</w:ins><w:hyperlink>{run(t('link'))}</w:hyperlink>{run(t('.'))}"
+    path = tmp_path / "FS_P_R1.docx"
+    with zipfile.ZipFile(path, "w") as z:
+        z.writestr("word/document.xml", f'<w:document xmlns:w="{docx.W[1:-1]}"><w:body><w:p>{body}</w:p></w:body></w:document>')
+    assert docx.parse(path.read_bytes())[0] == ["outer xy\n\t-link."]
+
+
 def test_only_documents_are_opened(spark, folder):
     (folder / "_FS_Hid_R1.docx").write_bytes(docx.to_docx(["x"], []))
     assert sorted(r.file_name for r in docx.loaded(docx.discover(spark, str(folder))).collect()) == ["FS_Loan_R10_Draft.DOCX", "FS_Pay_R2.docx", "_FS_Hid_R1.docx"]
@@ -147,8 +167,8 @@ class Model(http.server.BaseHTTPRequestHandler):
 def test_remote_models_are_called_once(spark, folder, tmp_path, monkeypatch, capsys):
     server = http.server.ThreadingHTTPServer(("127.0.0.1", 0), Model)
     threading.Thread(target=server.serve_forever, daemon=True).start()
-    monkeypatch.setenv("BASE_URL", f"http://127.0.0.1:{server.server_port}/v1")
-    monkeypatch.setenv("API_KEY", "k")
+    monkeypatch.setenv("STRATALENS_BASE_URL", f"http://127.0.0.1:{server.server_port}/v1")
+    monkeypatch.setenv("STRATALENS_API_KEY", "k")
     monkeypatch.setenv("VECTOR_SIZE", "2")
     cache, store, traces = (str(tmp_path / n) for n in ("cache", "store", "traces"))
     cli.main(["embed", "--source", str(folder), "--cache", cache, "--units", "9", "--provider", "remote"])
