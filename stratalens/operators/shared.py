@@ -21,4 +21,12 @@ def kept(df: DataFrame) -> DataFrame:
     """``df`` written once and read back: what made it is not asked again, whatever executor is lost."""
     path = f"{folder(df.sparkSession)}/kept"
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out.kept_at = path
+    return out
+
+
+def discard(df: DataFrame) -> None:
+    """Delete what ``kept`` has written, once nothing will read it again."""
+    path = df.sparkSession._jvm.org.apache.hadoop.fs.Path(df.kept_at)
+    path.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(path, True)

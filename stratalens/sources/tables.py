@@ -61,19 +61,20 @@ class Table:
 
         Rows that were of these documents go wherever they lie, so a document that changes its family or release is moved.
         """
-        new = shared.kept(self._partitioned(rows))  # the stages before it run once
         if not self.exists():
-            self._put(new, "static")  # in place of what a failed first write has left; it leaves a mark at its end
+            self._put(self._partitioned(rows), "static")  # in place of what a failed first write has left; it leaves a mark at its end
             return
+        new = shared.kept(self._partitioned(rows))  # the stages before it run once
         old = self._whole()
         names = new.select("document_name")
         names = (names if documents is None else names.unionByName(documents.select("document_name"))).distinct()
         # partitions that hold or will hold one of these documents: at most as many rows as the table has partitions
         touched = old.join(names, "document_name", "left_semi").select(FAMILY, RELEASE).unionByName(new.select(FAMILY, RELEASE)).distinct()
         others = old.join(touched, [FAMILY, RELEASE], "left_semi").join(names, "document_name", "left_anti")
-        both = shared.kept(others.select(*new.columns).unionByName(new))
+        both = others.select(*new.columns).unionByName(new)
         emptied = touched.join(both.select(FAMILY, RELEASE).distinct(), [FAMILY, RELEASE], "left_anti").collect()  # names of partitions
-        self._put(both, "dynamic")
+        self._put(both, "dynamic")  # staged beside the files that it reads
+        shared.discard(new)
         for r in emptied:
             self._drop(r[FAMILY], r[RELEASE])
 
