@@ -70,19 +70,13 @@ def export_records(records: DataFrame, directory: str, stem_suffix: str = "") ->
     return export(by, directory, "document_name", f"{stem_suffix}{EMBEDDINGS}")
 
 
-def _files(spark: SparkSession, directory: str, suffix: str) -> list[str]:
-    p = spark._jvm.org.apache.hadoop.fs.Path(directory)
-    fs = p.getFileSystem(spark._jsc.hadoopConfiguration())
-    if not fs.exists(p):
-        return []
-    return sorted(s.getPath().toString() for s in fs.listStatus(p) if s.isFile() and s.getPath().getName().endswith(suffix))
-
-
 def read_cache(spark: SparkSession, directory: str) -> DataFrame:
     """Usable records of all embedding artifacts with (file_path, position); none if the folder is absent."""
-    files = _files(spark, directory, EMBEDDINGS)
-    rows = spark.read.schema(RECORD_ARTIFACT).option("multiLine", True).json(files) if files else spark.createDataFrame([], RECORD_ARTIFACT)
-    path = F.url_decode(F.replace(F.col("_metadata.file_path"), F.lit("+"), F.lit("%2B"))) if files else F.lit("")
+    p = spark._jvm.org.apache.hadoop.fs.Path(directory)
+    there = p.getFileSystem(spark._jsc.hadoopConfiguration()).exists(p)
+    reader = spark.read.schema(RECORD_ARTIFACT).option("multiLine", True).option("pathGlobFilter", f"*{EMBEDDINGS}")
+    rows = reader.json(directory) if there else spark.createDataFrame([], RECORD_ARTIFACT)
+    path = F.url_decode(F.replace(F.col("_metadata.file_path"), F.lit("+"), F.lit("%2B"))) if there else F.lit("")
     rows = rows.select(path.alias("file_path"), F.posexplode("records").alias("position", "r")).select("file_path", "position", "r.*")
     return usable(rows)
 
