@@ -9,6 +9,8 @@ leaves the table as it was.  One writer at a time.
 
 from __future__ import annotations
 
+import gc
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructType
@@ -82,6 +84,8 @@ class Table:
         columns = [c for c in rows.columns if c not in (FAMILY, RELEASE)]
         dealt = rows.select(*columns, FAMILY, RELEASE).hint("rebalance", FAMILY, RELEASE)  # a large partition is several tasks'
         dealt.write.mode("overwrite").option("partitionOverwriteMode", replaced).partitionBy(FAMILY, RELEASE).parquet(self.path)
+        gc.collect()  # else the shuffle files of this write stay until the driver happens to collect its garbage
+        self.spark._jvm.System.gc()
 
     def _drop(self, family: str, release: str) -> None:
         """Delete a partition that has no rows any more."""
