@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable, Iterator
 from typing import Protocol
 
@@ -10,6 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from stratalens.config import Settings
+from stratalens.operators import shared
 from stratalens.operators.evidence import gathered, sufficiency
 from stratalens.schemas import CITATION
 
@@ -139,11 +141,18 @@ class ExtractiveStub:
         return out.withColumn("usage", F.struct(F.lit("extractive-stub").alias("model"), a.alias("prompt_tokens"), b.alias("completion_tokens"), (a + b).alias("total_tokens")))
 
 
+#: Prompts whose completions are written down together in a ledger, and the fields of one.
+GROUP, REPLY = 4, ("content", "prompt_tokens", "completion_tokens")
+
+
 class ChatClient:
-    """A remote model: ``connect`` makes, on the executor, a function from (system, user) to (content, prompt tokens, completion tokens)."""
+    """A remote model: ``connect`` makes, on the executor, a function from (system, user) to (content, prompt tokens, completion tokens).
 
-    def __init__(self, connect: Callable[[], Callable], model: str = Settings.chat_model) -> None:
-        self.connect, self.model = connect, model
+    With a ``ledger`` (of responses by key, see ``sources.ledger``) a prompt is sent once, whatever is run again, when ``complete`` is called.
+    """
+
+    def __init__(self, connect: Callable[[], Callable], model: str = Settings.chat_model, ledger=None) -> None:
+        self.connect, self.model, self.ledger = connect, model, ledger
 
     def complete(self, rows: DataFrame) -> DataFrame:
         connect, model = self.connect, self.model
@@ -157,6 +166,9 @@ class ChatClient:
                 raise RuntimeError("LLM response content was empty")
             return content.strip(), *tokens
 
+        if self.ledger is not None:
+            return self._once(rows, one)
+
         def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             client = connect()
             for b in batches:
@@ -169,6 +181,23 @@ class ChatClient:
         replies = keyed.select("_key", "system_prompt", "user_prompt").dropDuplicates(["_key"]).mapInPandas(run, f"_key string, content string, usage {USAGE}")
         return keyed.join(replies, "_key").drop("_key")
 
+    def _once(self, rows: DataFrame, one: Callable) -> DataFrame:
+        connect, model = self.connect, self.model
+
+        def asking() -> Callable[[list[str]], list[str]]:
+            client = connect()
+            return lambda prompts: [json.dumps(dict(zip(REPLY, one(client, *json.loads(p))))) for p in prompts]
+
+        prompt = [F.col("system_prompt"), F.col("user_prompt")]
+        keyed = shared.kept(rows.withColumn("_key", self.ledger.key(*prompt)))
+        answers = self.ledger.answered(keyed.select(F.col("_key").alias("key"), F.to_json(F.array(*prompt)).alias("request")), asking, GROUP)
+        said = F.from_json("response", "content string, prompt_tokens bigint, completion_tokens bigint").alias("r")
+        tokens = [F.col("r.prompt_tokens").alias("prompt_tokens"), F.col("r.completion_tokens").alias("completion_tokens")]
+        usage = F.struct(F.lit(model).alias("model"), *tokens, (F.col("r.prompt_tokens") + F.col("r.completion_tokens")).alias("total_tokens")).cast(USAGE)
+        content = F.coalesce("r.content", F.raise_error(F.lit("The ledger has lost a response")).cast("string")).alias("content")
+        joined = keyed.join(answers.select(F.col("key").alias("_key"), said), "_key", "left")
+        return joined.select(*rows.columns, content, usage.alias("usage"))
+
 
 def completed_text(rows: DataFrame, chat: ChatProvider) -> DataFrame:
     """Rows with the completion's text only, in ``content``."""

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable, Iterator
 from typing import Protocol
 
@@ -13,6 +14,7 @@ from pyspark.sql import functions as F
 from stratalens.config import Settings
 from stratalens.functions.hashing import cache_key, content_hash
 from stratalens.functions.text import strip
+from stratalens.operators import shared
 
 PENDING, EMBEDDED, CACHED = "pending", "embedded", "cached"
 KINDS = ("paragraph", "table")
@@ -55,32 +57,68 @@ class HashProvider:
         return unit(bound(self.slots(text), counts))
 
 
+#: Texts whose vectors are written down together in a ledger.
+GROUP = 64
+
+
+def _client(connect: Callable[[], Callable[[list[str]], list[list[float]]]]) -> Callable[[list[str]], list[list[float]]]:
+    """A client that fails if it brings another number of vectors than texts."""
+    client = connect()
+
+    def checked(texts: list[str]) -> list[list[float]]:
+        made = client(texts) if texts else []
+        if len(made) != len(texts):
+            raise RuntimeError(f"Embedding response count mismatch: expected {len(texts)}, got {len(made)}")
+        return [[float(v) for v in m] for m in made]
+
+    return checked
+
+
 class ClientProvider:
-    """A remote model: ``connect`` makes a client on the executor, which embeds a list of texts at a time."""
+    """A remote model: ``connect`` makes a client on the executor, which embeds a list of texts at a time.
+
+    With a ``ledger`` (of responses by key, see ``sources.ledger``) a text is sent once, whatever is run again: its
+    rows are written to the shared folder, and what they lack is asked for, when the vectors are put in, not when they are read.
+    """
 
-    def __init__(self, connect: Callable[[], Callable[[list[str]], list[list[float]]]]) -> None:
-        self.connect = connect
+    def __init__(self, connect: Callable[[], Callable[[list[str]], list[list[float]]]], ledger=None) -> None:
+        self.connect, self.ledger = connect, ledger
 
     def embed(self, rows: DataFrame, text: str, vector: str) -> DataFrame:
         return self.fill(rows, text, vector, None)
 
     def fill(self, rows: DataFrame, text: str, vector: str, missing: str | None) -> DataFrame:
+        if self.ledger is not None:
+            return self._once(rows, text, vector, missing)
         connect, schema = self.connect, [f for f in rows.schema.fields if f.name != vector]
 
         def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            client = connect()
+            client = _client(connect)
             for b in batches:
                 own = b[missing].to_numpy(bool) if missing else np.ones(len(b), bool)
-                made = client(b[text][own].tolist()) if own.any() else []
-                if len(made) != own.sum():
-                    raise RuntimeError(f"Embedding response count mismatch: expected {own.sum()}, got {len(made)}")
-                fresh = iter([[float(v) for v in m] for m in made])
+                fresh = iter(client(b[text][own].tolist()))
                 old = b[vector] if missing else [None] * len(b)
                 yield b.assign(**{vector: pd.Series([next(fresh) if new else kept for new, kept in zip(own, old)], dtype=object, index=b.index)})
 
         ddl = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in schema)
         return (rows if missing else rows.drop(vector)).mapInPandas(run, f"{ddl}, `{vector}` {NO_VECTOR}")
 
+    def _once(self, rows: DataFrame, text: str, vector: str, missing: str | None) -> DataFrame:
+        connect, ledger = self.connect, self.ledger
+
+        def asking() -> Callable[[list[str]], list[str]]:
+            client = _client(connect)
+            return lambda texts: [json.dumps(v) for v in client(texts)]
+
+        names = [c for c in rows.columns if c != vector]
+        rows = shared.kept(rows if missing else rows.drop(vector))  # what is asked for is what gets the responses
+        lacking = rows.where(missing) if missing else rows
+        lacking = lacking.select(*names, ledger.key(F.col(text)).alias("_key"))
+        answers = ledger.answered(lacking.select(F.col("_key").alias("key"), F.col(text).alias("request")), asking, GROUP)
+        made = F.coalesce(F.from_json("response", NO_VECTOR), F.raise_error(F.lit("The ledger has lost a response")).cast(NO_VECTOR))
+        done = lacking.join(answers.withColumnRenamed("key", "_key"), "_key", "left").select(*names, made.alias(vector))
+        return done.unionByName(rows.where(~F.col(missing)).select(*names, vector)) if missing else done
+
 
 def bound(value: Column, body: Callable[[Column], Column]) -> Column:
     """``body`` of ``value``, which is evaluated once however often ``body`` names it."""

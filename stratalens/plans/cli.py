@@ -16,6 +16,7 @@ from stratalens.operators.index import Collection
 from stratalens.operators.search import preview
 from stratalens.plans import pipelines
 from stratalens.sources import artifacts, clients
+from stratalens.sources.ledger import Ledger
 
 log = get_logger()
 
@@ -34,18 +35,19 @@ def parser() -> argparse.ArgumentParser:
             "root": dict(required=True, help="folder of the tables"), "tables": dict(action="store_true", help="the folder holds Parquet tables, not JSON files"),
             "cells": dict(type=int, help="also lay the points out in so many cells for pruned search (0: by their number)"),
             "provider": dict(choices=["hash", "remote"], default="hash", help="offline hash vectors and extractive answers, or the models of the settings"),
+            "ledger": dict(help="folder of the remote models' responses, which are then asked for once (embed: _responses in the cache)"),
         }
         for o in options:
             p.add_argument(f"--{o}", **known[o])
 
     filters = ("document-family", "release-label", "source-kind")
     command("ingest", "write raw, chunk and unit artifacts, or the tables", "source", "out", "tables")
-    command("embed", "embed units through the cache", "source", "cache", "document", "source-kind", "units", "provider")
-    command("embed-tables", "embed the table of units through that of records", "root", "provider")
+    command("embed", "embed units through the cache", "source", "cache", "document", "source-kind", "units", "provider", "ledger")
+    command("embed-tables", "embed the table of units through that of records", "root", "provider", "ledger")
     command("index", "upsert the cache into the collection", "cache", "store", "cells", "tables")
-    command("search", "best units for a query", "store", "query", "limit", "provider", *filters)
-    command("answer", "grounded answer for a query", "store", "query", "limit", "min-top-score", "trace-dir", "provider", *filters)
-    command("evaluate", "run evaluation cases", "store", "cases", "report", "limit", "provider")
+    command("search", "best units for a query", "store", "query", "limit", "provider", "ledger", *filters)
+    command("answer", "grounded answer for a query", "store", "query", "limit", "min-top-score", "trace-dir", "provider", "ledger", *filters)
+    command("evaluate", "run evaluation cases", "store", "cases", "report", "limit", "provider", "ledger")
     command("inspect", "describe the collection", "store")
     command("check-setup", "print settings and whether folders exist", "out")
     return top
@@ -57,13 +59,20 @@ def main(argv: list[str] | None = None) -> int:
     configure_logging(settings.log_level)
     spark = SparkSession.builder.appName("stratalens").getOrCreate()
     if getattr(args, "provider", "hash") == "remote":
-        provider = ClientProvider(clients.embeddings(settings))
+        if args.command == "embed" and args.ledger is None:
+            args.ledger = f"{args.cache.rstrip('/')}/_responses"
+        provider = ClientProvider(clients.embeddings(settings), _ledger(spark, args, settings, settings.embedding_model))
     else:
         provider = HashProvider()
         settings = replace(settings, vector_size=provider.size)
     return globals()[f"run_{args.command.replace('-', '_')}"](spark, args, settings, provider) or 0
 
 
+def _ledger(spark: SparkSession, args, settings: Settings, model: str) -> Ledger | None:
+    """The ledger asked for; responses of another model or service are not taken for this one's."""
+    return Ledger(spark, args.ledger, f"{settings.base_url} {model}") if args.ledger else None
+
+
 def _question(spark: SparkSession, args):
     given = {k: getattr(args, k) for k in ("document_family", "release_label", "source_kind")}
     return spark.createDataFrame([("q", args.query, *given.values())], "query_id string, query string, document_family string, release_label string, source_kind string"), given
@@ -119,7 +128,7 @@ def run_answer(spark, args, settings, provider) -> None:
     questions, given = _question(spark, args)
     if args.min_top_score is not None:
         settings = replace(settings, retrieval_min_top_score=args.min_top_score)
-    chat = ChatClient(clients.chat(settings), settings.chat_model) if args.provider == "remote" else None
+    chat = ChatClient(clients.chat(settings), settings.chat_model, _ledger(spark, args, settings, settings.chat_model)) if args.provider == "remote" else None
     answers, hits = pipelines.ask(
         _collection(spark, args, settings), questions, provider, chat, args.limit, settings, release_label=given["release_label"], source_kind=given["source_kind"]
     )

@@ -12,6 +12,7 @@ from stratalens.operators import answer, cells, chunking, embedding, evaluation,
 from stratalens.plans import testdata as T
 from stratalens.sources import artifacts, tables
 from stratalens.sources.docx import base_name, is_document
+from stratalens.sources.ledger import Ledger
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -446,6 +447,22 @@ def cases_file(spark, sf):
     return cases.select("case_id", "query", "expectation.expected_to_pass", "expectation.min_results", "filters.release_label")
 
 
+def _counts():
+    """A client on the executor: code points and blanks of each text."""
+    return lambda texts: [[float(len(t)), float(t.count(" "))] for t in texts]
+
+
+@query("""SELECT doc_id, length(coalesce(text, ''))::DOUBLE AS chars, (length(coalesce(text, '')) - length(replace(coalesce(text, ''), ' ', '')))::DOUBLE AS blanks FROM documents""")
+def client_vectors(spark, sf):
+    """Whole texts embedded by a client through a ledger of its responses, those of one language in an earlier run."""
+    held = Ledger(spark, T.scratch(spark), "counts")
+    provider = embedding.ClientProvider(_counts, held)
+    docs = T.table(spark, sf, "documents").select("doc_id", "lang", F.coalesce("text", F.lit("")).alias("text"))
+    provider.embed(docs.where("lang = 'en'"), "text", "vector")
+    made = provider.embed(docs, "text", "vector")
+    return made.select("doc_id", F.col("vector")[0].alias("chars"), F.col("vector")[1].alias("blanks"))
+
+
 def entry(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents to cited decisions: units, keys, embedding, search for benchmark texts, sufficiency."""
     provider = embedding.HashProvider()
