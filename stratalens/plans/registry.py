@@ -436,13 +436,13 @@ def answer_trace(spark, sf):
 
 @query("SELECT 'case-' || item_id AS case_id, text AS query, item_id % 3 = 0 AS expected_to_pass, 1 AS min_results, 'R' || (item_id % 25) AS release_label FROM benchmark")
 def cases_file(spark, sf):
-    """Evaluation cases written as a file and read back by the strict reader."""
+    """Evaluation cases written one a line, by the tasks that have them, and read back by the strict reader."""
     folder = T.scratch(spark)
     row = F.struct(
         F.concat(F.lit("case-"), "item_id").alias("case_id"), F.col("text").alias("query"), F.struct(F.concat(F.lit("R"), F.col("item_id") % 25).alias("release_label")).alias("filters"),
         F.struct((F.col("item_id") % 3 == 0).alias("expected_to_pass")).alias("expectation"),
     )
-    T.table(spark, sf, "benchmark").agg(F.to_json(F.collect_list(row)).alias("value")).write.text(folder + "/cases")
+    T.table(spark, sf, "benchmark").select(F.to_json(row).alias("value")).write.text(folder + "/cases")
     cases = artifacts.read_cases(spark, folder + "/cases")
     return cases.select("case_id", "query", "expectation.expected_to_pass", "expectation.min_results", "filters.release_label")
 

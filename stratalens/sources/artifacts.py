@@ -11,10 +11,11 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import DataType, StructType
 
 from stratalens.operators.embedding import usable
 from stratalens.schemas import EVAL_CASE, RECORD_ARTIFACT
-from stratalens.sources.files import Exported, write_files
+from stratalens.sources.files import Exported, full_uri, put, write_files
 
 #: Suffixes of the artifacts' file names.
 RAW, CHUNKS, UNITS, EMBEDDINGS, SUMMARY = ".json", ".chunks.json", ".retrieval_ready.json", ".embeddings.json", ".embedding_summary.json"
@@ -81,38 +82,69 @@ def read_cache(spark: SparkSession, directory: str) -> DataFrame:
     return usable(rows)
 
 
-def _strict(items: list, path: str) -> Iterator[dict]:
-    """Cases with their defaults; missing ids and unknown keys fail."""
-    filters = {"document_family": None, "release_label": None, "source_kind": None}
-    expect = {
-        "expected_to_pass": True, "min_results": 1, "expected_release_label": None, "expected_source_kind": None,
-        "expected_top1_contains_any": None, "expected_text_contains_any": None,
-    }
-    for item in items:
-        out = {"case_id": item["case_id"], "query": item["query"], "notes": item.get("notes", "")}
-        for part, known in (("filters", filters), ("expectation", expect)):
-            given = item.get(part, {})
-            if unknown := sorted(set(given) - set(known)):
-                raise TypeError(f"Unexpected {part} keys in {path}: {unknown}")
-            out[part] = known | given
-        yield out
+# The defaults of a case's parts; other keys are refused.
+FILTERS = {"document_family": None, "release_label": None, "source_kind": None}
+EXPECTATION = {
+    "expected_to_pass": True, "min_results": 1, "expected_release_label": None, "expected_source_kind": None,
+    "expected_top1_contains_any": None, "expected_text_contains_any": None,
+}
+
+
+def _part(name: str, known: dict, kind: DataType) -> tuple[Column, Column]:
+    """A part of a case with its defaults for the keys that it lacks, and what is wrong with its keys, or null."""
+    held, given = F.from_json(name, kind, {"mode": "FAILFAST"}), F.coalesce(F.json_object_keys(name), F.array().cast("array<string>"))
+    values = [F.when(F.array_contains(given, k), held[k]).otherwise(F.lit(d).cast(kind[k].dataType)).alias(k) for k, d in known.items()]
+    unknown = F.array_sort(F.array_distinct(F.array_except(given, F.array(*map(F.lit, known)))))
+    return F.struct(*values).alias(name), F.when(F.size(unknown) > 0, F.concat(F.lit(f"Unexpected {name} keys: "), F.array_join(unknown, ", ")))
 
 
 def read_cases(spark: SparkSession, path: str) -> DataFrame:
-    """Evaluation cases of a JSON array: a driver-side file of hand-written cases, strictly checked."""
-    text = "\n".join(r.value for r in spark.read.option("wholetext", True).text(path).collect())
-    return spark.createDataFrame(list(_strict(json.loads(text), path)), EVAL_CASE)
+    """Evaluation cases of a JSON array (a file), or of one object a line (a folder, as Spark writes it).
+
+    Strictly checked where they lie, in one job: a missing or null ``case_id`` or ``query`` raises KeyError, an unknown key of
+    ``filters`` or ``expectation`` TypeError, each with the first fault found.  Values of another type fail when they are read.
+    """
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    one = p.getFileSystem(spark._jsc.hadoopConfiguration()).getFileStatus(p).isFile()
+    raw = "case_id string, query string, notes string, filters string, expectation string"  # an object is read as its text
+    rows = spark.read.schema(raw).option("multiLine", one).option("mode", "FAILFAST").json(path)
+    kinds = StructType.fromDDL(EVAL_CASE)
+    (filters, odd_filter), (expectation, odd_expectation) = _part("filters", FILTERS, kinds["filters"].dataType), _part("expectation", EXPECTATION, kinds["expectation"].dataType)
+    missing = F.coalesce(*[F.when(F.col(c).isNull(), c) for c in ("case_id", "query")])
+    told = rows.select(missing.alias("missing"), F.coalesce(odd_filter, odd_expectation).alias("unknown"))
+    if fault := told.where("missing IS NOT NULL OR unknown IS NOT NULL").first():
+        raise KeyError(f"{fault.missing} (in {path})") if fault.missing else TypeError(f"{fault.unknown} (in {path})")
+    return rows.select("case_id", "query", filters, expectation, F.coalesce("notes", F.lit("")).alias("notes"))
+
+
+def _report(uri: str):
+    """The function of the task that writes the report: its first row has the totals, the others a case each."""
+
+    def lines(rows: Iterator[str]) -> Iterator[str]:
+        totals = json.loads(next(rows))
+        yield "{\n" + "".join(f"  {json.dumps(k)}: {json.dumps(v)},\n" for k, v in totals.items()) + '  "cases": ['
+        between = "\n"
+        for row in rows:  # a line break within a text is escaped
+            yield between + "\n".join(f"    {x}" for x in json.dumps(json.loads(row), indent=2, ensure_ascii=False).split("\n"))
+            between = ",\n"
+        yield "]\n}" if between == "\n" else "\n  ]\n}"
+
+    def write(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        put(uri, lines(body for b in batches for body in b["body"]))
+        yield pd.DataFrame({"written": [1]})
+
+    return write
 
 
 def export_report(totals: DataFrame, cases: DataFrame, path: str) -> str:
-    """The evaluation report as one file; folders are made."""
+    """The evaluation report as one file, in order of case; folders are made.
+
+    One task writes it row by row, from a sort that may spill: a report of any number of cases passes neither the driver nor a task's memory as a whole.
+    """
     case = F.struct("case_id", "query", "filters", "expectation", "notes").alias("case")
     result = F.struct("case_id", "passed", "expected_to_pass", "outcome_as_expected", "result_count", "failures").alias("evaluation")
-    rows = cases.orderBy("case_id").select(as_json(case, result, F.col("hits").alias("top_results")).alias("body"))
-    body = totals.first().asDict() | {"cases": [json.loads(r.body) for r in rows.collect()]}
-    spark = totals.sparkSession
-    p = spark._jvm.org.apache.hadoop.fs.Path(path)
-    out = p.getFileSystem(spark._jsc.hadoopConfiguration()).create(p, True)
-    out.write(bytearray(json.dumps(body, indent=2, ensure_ascii=False).encode("utf-8")))
-    out.close()
+    head = totals.select(F.lit(0).alias("part"), F.lit(None).cast("string").alias("case_id"), as_json(*totals.columns).alias("body"))
+    rows = cases.select(F.lit(1).alias("part"), "case_id", as_json(case, result, F.col("hits").alias("top_results")).alias("body"))
+    every = head.unionByName(rows).repartition(1).sortWithinPartitions("part", "case_id", "body").select("body")
+    every.mapInPandas(_report(full_uri(totals.sparkSession, path)), "written int").write.format("noop").mode("overwrite").save()
     return path

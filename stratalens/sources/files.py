@@ -13,7 +13,7 @@ from __future__ import annotations
 
 import json
 import uuid
-from collections.abc import Iterator, Sequence
+from collections.abc import Iterable, Iterator, Sequence
 from dataclasses import dataclass
 from urllib.parse import quote
 
@@ -45,6 +45,28 @@ def full_uri(spark: SparkSession, path: str) -> str:
     return f"{uri.getScheme()}://{authority}{quote(uri.getPath())}"
 
 
+def _put(store: arrow_fs.FileSystem, folder: str, name: str, parts: Iterable[str]) -> None:
+    """The file ``name`` of the parts, which has its name once it is whole; no reader sees less of it."""
+    beside = f"{folder}/.{uuid.uuid4().hex}.part"
+    try:
+        with store.open_output_stream(beside) as out:
+            for part in parts:
+                out.write(part.encode("utf-8"))
+        store.move(beside, f"{folder}/{name}")
+    except BaseException:
+        if store.get_file_info(beside).type != arrow_fs.FileType.NotFound:
+            store.delete_file(beside)
+        raise
+
+
+def put(uri: str, parts: Iterable[str]) -> None:
+    """Write a text file, given in parts; its folder is made."""
+    store, at = opened(uri)
+    folder, _, name = at.rpartition("/")
+    store.create_dir(folder, recursive=True)
+    _put(store, folder, name, parts)
+
+
 @dataclass
 class Written(WriterCommitMessage):
     files: int
@@ -82,15 +104,7 @@ class FilesWriter(DataSourceWriter):
                 raise RuntimeError("The export was aborted")
             if name is None:
                 break
-            beside = f"{at}/.{uuid.uuid4().hex}.part"
-            try:
-                with store.open_output_stream(beside) as out:
-                    out.write(value.encode("utf-8"))
-                store.move(beside, f"{at}/{name}")
-            except BaseException:
-                if store.get_file_info(beside).type != arrow_fs.FileType.NotFound:
-                    store.delete_file(beside)
-                raise
+            _put(store, at, name, [value])
         return len(group)
 
     def _undo(self, store: arrow_fs.FileSystem, at: str, told: list[dict]) -> None:

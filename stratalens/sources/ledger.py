@@ -20,7 +20,7 @@ from pyarrow import fs as arrow_fs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stratalens.sources.files import full_uri, opened
+from stratalens.sources.files import full_uri, opened, put
 
 #: Requests of a bucket, about: a task holds the keys of one bucket at a time.
 BUCKET = 4096
@@ -42,12 +42,7 @@ def written(folder: str) -> set[str]:
 
 def write(folder: str, answers: list[tuple[str, str]]) -> None:
     """Put the responses into a file of the bucket's folder, which has its name once it is whole."""
-    store, at = opened(folder)
-    store.create_dir(at, recursive=True)
-    name = uuid.uuid4().hex
-    with store.open_output_stream(f"{at}/.{name}.part") as out:
-        out.write("".join(json.dumps({"key": k, "response": r}) + "\n" for k, r in answers).encode("utf-8"))
-    store.move(f"{at}/.{name}.part", f"{at}/{name}.json")
+    put(f"{folder}/{uuid.uuid4().hex}.json", (json.dumps({"key": k, "response": r}) + "\n" for k, r in answers))
 
 
 def asker(connect: Callable[[], Callable[[list[str]], list[str]]], run: str, group: int):

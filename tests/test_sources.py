@@ -185,3 +185,39 @@ def test_remote_models_are_called_once(spark, folder, tmp_path, monkeypatch, cap
     said, traced = capsys.readouterr().out, json.loads(path.read_text(encoding="utf-8"))
     assert traced["answer_response"]["answer"] in said and traced["answer_response"]["answer"].startswith("reply ")
     server.shutdown()
+
+
+def test_cases_of_both_forms(spark, tmp_path):
+    """An array in a file and lines in a folder are the same cases; defaults stand for keys that are absent, not for nulls."""
+    cases = [
+        {"case_id": "b", "query": "é\nq", "filters": {"release_label": "R1"}, "expectation": {"min_results": 3, "expected_text_contains_any": ["x", "y"]}, "notes": "n", "more": 1},
+        {"case_id": "a", "query": "", "expectation": {"expected_to_pass": None}},
+    ]
+    (tmp_path / "cases.json").write_text(json.dumps(cases, indent=1), encoding="utf-8")
+    (tmp_path / "lines").mkdir()
+    for i, c in enumerate(cases):
+        (tmp_path / "lines" / f"{i}.json").write_text(json.dumps(c), encoding="utf-8")
+    one, many = (artifacts.read_cases(spark, str(tmp_path / n)).orderBy("case_id").collect() for n in ("cases.json", "lines"))
+    assert one == many and [r.case_id for r in one] == ["a", "b"]
+    a, b = (r.asDict(recursive=True) for r in one)
+    assert a["expectation"] == artifacts.EXPECTATION | {"expected_to_pass": None} and a["filters"] == artifacts.FILTERS and a["notes"] == ""
+    assert b["expectation"] == artifacts.EXPECTATION | cases[0]["expectation"] and b["filters"]["release_label"] == "R1" and b["query"] == "é\nq"
+    (tmp_path / "cases.json").write_text("[]")
+    assert artifacts.read_cases(spark, str(tmp_path / "cases.json")).count() == 0
+    (tmp_path / "cases.json").write_text('[{"case_id": "c", "query": "q", "expectation": {"min_results": "many"}}]')
+    with pytest.raises(Exception, match="(?i)malformed|parse"):
+        artifacts.read_cases(spark, str(tmp_path / "cases.json")).collect()
+
+
+def test_report_is_one_indented_file(spark, tmp_path):
+    cases = spark.range(0, 3000, 1, 7).selectExpr(
+        "format_string('c%05d', 2999 - id) AS case_id", "concat('q\n', id) AS query", "CAST(NULL AS STRING) AS filters", "'e' AS expectation", "'' AS notes",
+        "true AS passed", "true AS expected_to_pass", "true AS outcome_as_expected", "0 AS result_count", "array('é') AS failures", "array() AS hits",
+    )
+    totals = spark.createDataFrame([(3000, 3000)], "total_cases long, passed_count long")
+    for rows, n in ((cases, 3000), (cases.limit(0), 0)):
+        text = open(artifacts.export_report(totals, rows, str(tmp_path / "a" / "r.json")), encoding="utf-8").read()
+        body = json.loads(text)
+        assert text == json.dumps(body, indent=2, ensure_ascii=False)
+        assert list(body) == ["total_cases", "passed_count", "cases"] and [c["case"]["case_id"] for c in body["cases"]] == [f"c{i:05d}" for i in range(n)]
+    assert [p.name for p in (tmp_path / "a").iterdir() if p.suffix != ".crc"] == ["r.json"]
