@@ -35,6 +35,7 @@ def parser() -> argparse.ArgumentParser:
             "root": dict(required=True, help="folder of the tables"), "tables": dict(action="store_true", help="the folder holds Parquet tables, not JSON files"),
             "cells": dict(type=int, help="also lay the points out in so many cells for pruned search (0: by their number)"),
             "provider": dict(choices=["hash", "remote"], default="hash", help="offline hash vectors and extractive answers, or the models of the settings"),
+            "checkpoint": dict(required=True, help="folder that tells which files were read"),
             "ledger": dict(help="folder of the remote models' responses, which are then asked for once (embed: _responses in the cache)"),
         }
         for o in options:
@@ -44,6 +45,7 @@ def parser() -> argparse.ArgumentParser:
     command("ingest", "write raw, chunk and unit artifacts, or the tables", "source", "out", "tables")
     command("embed", "embed units through the cache", "source", "cache", "document", "source-kind", "units", "provider", "ledger")
     command("embed-tables", "embed the table of units through that of records", "root", "provider", "ledger")
+    command("follow", "bring new files into the tables and the collection", "source", "root", "store", "checkpoint", "provider", "ledger")
     command("index", "upsert the cache into the collection", "cache", "store", "cells", "tables")
     command("search", "best units for a query", "store", "query", "limit", "provider", "ledger", *filters)
     command("answer", "grounded answer for a query", "store", "query", "limit", "min-top-score", "trace-dir", "provider", "ledger", *filters)
@@ -110,6 +112,10 @@ def run_embed_tables(spark, args, settings, provider) -> None:
     pipelines.embed_tables(spark, args.root, provider, settings).show(truncate=False)
 
 
+def run_follow(spark, args, settings, provider) -> None:
+    print(pipelines.follow(spark, args.source, args.root, args.checkpoint, provider, _collection(spark, args, settings), settings), "batches")
+
+
 def run_index(spark, args, settings, provider) -> None:
     store = _collection(spark, args, settings)
     (pipelines.index_tables if args.tables else pipelines.index_cache)(spark, args.cache, store).show(truncate=False)

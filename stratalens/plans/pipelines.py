@@ -14,7 +14,7 @@ from stratalens.sources.tables import Table
 
 def ingest(spark: SparkSession, source: str, size: int = 5) -> tuple[DataFrame, DataFrame]:
     """(documents, units) of a folder of DOCX files."""
-    docs = chunking.normalized(docx.read(docx.discover(spark, source)))
+    docs = chunking.normalized(docx.read(docx.listed(spark, source)))
     return docs, chunking.retrieval_units(docs, size)
 
 
@@ -23,10 +23,7 @@ def embed_folder(
     limit: int | None = None, settings: Settings = Settings(),
 ) -> DataFrame:
     """Records of a folder's units (of one document, kind or the first ``limit`` if asked), embedded through the cache."""
-    files = docx.discover(spark, source)
-    if document is not None:
-        files = files.where(F.col("file_name") == document).orderBy("path").limit(1)
-    docs = chunking.normalized(docx.read(files))
+    docs = chunking.normalized(docx.read(docx.listed(spark, source, document)))
     records = embedding.of_kind(embedding.contract(chunking.retrieval_units(docs), settings=settings), kind)
     records = embedding.first_units(records, limit) if limit is not None else records
     known = artifacts.read_cache(spark, cache)
@@ -36,7 +33,7 @@ def embed_folder(
 def ingest_tables(spark: SparkSession, source: str, root: str, size: int = 5) -> None:
     """The tables of documents, chunks and units below ``root`` from a folder of DOCX files: its documents are replaced, others stay."""
     docs = Table(spark, root, tables.DOCUMENTS)
-    fresh = shared.kept(chunking.normalized(docx.read(docx.discover(spark, source))))
+    fresh = shared.kept(chunking.normalized(docx.read(docx.listed(spark, source))))
     docs.write(fresh)
     names = fresh.select("document_name")
     docs = docs.read().join(names.distinct(), "document_name", "left_semi")
@@ -62,6 +59,46 @@ def index_tables(spark: SparkSession, root: str, collection: index.Collection) -
     return collection.upsert(index.batch_from_cache(Table(spark, root, tables.RECORDS).read(), ["document_name", "unit_index"]))
 
 
+#: Files of a batch of ``follow``.
+AT_ONCE = 10_000
+
+
+def follow(
+    spark: SparkSession, source: str, root: str, checkpoint: str, provider: embedding.Provider, collection: index.Collection, settings: Settings = Settings(),
+    size: int = 5, at_once: int = AT_ONCE,
+) -> int:
+    """Bring the files that are new in a folder of DOCX files into the tables below ``root`` and into the collection; returns the number of batches that had some.
+
+    A checkpointed file stream that ends when it has seen all: a file is read once by its path, so a run over an unchanged
+    folder opens none, and one over a few new files parses, embeds (what no record has) and upserts these only.  A file that changes
+    under its name is not seen; ``ingest_tables`` reads it.  A batch that failed is done again by the next run, and replaces its own
+    documents and points.  Records of all known keys are read for each batch.
+    """
+    collection.ensure()
+    done = []
+
+    def batch(new: DataFrame, number: int) -> None:
+        made = shared.kept(chunking.normalized(docx.read(new)))
+        docs = spark.read.schema(made.schema).parquet(made.kept_at)  # in the caller's session, which plans adaptively
+        if not docs.isEmpty():
+            names, units = docs.select("document_name"), chunking.retrieval_units(docs, size)
+            held = Table(spark, root, tables.RECORDS)
+            known = embedding.last_wins(embedding.usable(held.read()), ["document_name", "unit_index"]) if held.exists() else None
+            records = shared.kept(embedding.embed(embedding.contract(units, settings=settings), provider, known))
+            for name, rows in ((tables.DOCUMENTS, docs), (tables.CHUNKS, chunking.chunk_paragraphs(docs, size)), (tables.UNITS, units), (tables.RECORDS, records), (tables.SUMMARIES, embedding.run_summary(records))):
+                Table(spark, root, name).write(rows, names)
+            # a point is of all records of its key, as in ``index_tables``
+            own = held.read().join(records.select("cache_key").distinct(), "cache_key", "left_semi")
+            collection.upsert(index.batch_from_cache(own, ["document_name", "unit_index"]))
+            shared.discard(records)
+            done.append(number)
+        shared.discard(made)
+
+    stream = docx.arriving(spark, source, at_once).writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint)
+    stream.trigger(availableNow=True).start().awaitTermination()
+    return len(done)
+
+
 def index_cache(spark: SparkSession, cache: str, collection: index.Collection) -> DataFrame:
     """Upsert all cached records; returns the summary."""
     collection.ensure()

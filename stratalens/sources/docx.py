@@ -28,23 +28,69 @@ def is_document(name: Column) -> Column:
     return F.lower(name).rlike(r"(?s).\.docx$") & ~name.startswith("~$")
 
 
-def discover(spark: SparkSession, directory: str) -> DataFrame:
-    """(path, file_name) of the folder's DOCX files, not of its subfolders, in order of path.
+#: The suffix in either case, as a glob, and the columns of files as Spark reads them.
+SUFFIX, FILES = "*.[dD][oO][cC][xX]", "path string, modificationTime timestamp, length bigint, content binary"
 
-    Listed through Hadoop, so names starting with ``_`` or ``.`` count too; no file is opened.
-    """
-    jvm = spark._jvm
-    p = jvm.org.apache.hadoop.fs.Path(directory)
+
+def _literal(name: str) -> str:
+    """A glob that matches the name only."""
+    return re.sub(r"([\[\]{}*?\\])", r"\\\1", name)
+
+
+def _folder(spark: SparkSession, directory: str):
+    """The folder's full path and file system; fails if it isn't there."""
+    p = spark._jvm.org.apache.hadoop.fs.Path(directory)
     fs = p.getFileSystem(spark._jsc.hadoopConfiguration())
     if not fs.exists(p):
         raise FileNotFoundError(f"Directory does not exist: {directory}")
-    names = [(s.getPath().toString(), s.getPath().getName()) for s in fs.listStatus(p) if s.isFile()]
-    rows = spark.createDataFrame(names, "path string, file_name string")
-    return rows.where(is_document(F.col("file_name"))).orderBy("path")
+    return fs.makeQualified(p).toString(), fs
+
+
+def _own(files: DataFrame, folder: str) -> DataFrame:
+    """(path, file_name, content) of the DOCX files that lie in the folder itself; those of its subfolders are passed over unopened."""
+    names = len(re.sub("^[^:/]*:/*", "", folder).strip("/").split("/")) + 1
+    depth = F.size(F.split(F.regexp_replace(F.col("_metadata.file_path"), "^[^:/]*:/*", ""), "/"))
+    rows = files.where(depth == names).select("path", base_name(F.col("path")).alias("file_name"), "content")
+    return rows.where(is_document(F.col("file_name")) & ~F.col("file_name").rlike("^[_.]"))
+
+
+def listed(spark: SparkSession, directory: str, name: str | None = None) -> DataFrame:
+    """(path, file_name, content) of the folder's DOCX files, not of its subfolders, or of the one of that name.
+
+    Spark lists the folder and packs files into tasks by size; a file is opened only where its content is asked for.  Names starting with
+    ``_`` or ``.``, which Spark passes over, are added without content: none is a valid document name, so they need none to be refused.
+    """
+    folder, fs = _folder(spark, directory)
+    reader = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", SUFFIX if name is None else _literal(name))
+    out = _own(reader.load(_literal(folder)), folder)
+    hidden = fs.globStatus(spark._jvm.org.apache.hadoop.fs.Path(f"{_literal(folder)}/[_.]{SUFFIX}")) or []
+    names = [(s.getPath().toString(), s.getPath().getName(), None) for s in hidden if s.isFile() and name in (None, s.getPath().getName())]
+    rows = spark.createDataFrame(names, "path string, file_name string, content binary")
+    return out.unionByName(rows.where(is_document(F.col("file_name")))) if names else out
+
+
+def arriving(spark: SparkSession, directory: str, at_once: int) -> DataFrame:
+    """The stream of (path, file_name, content) of the folder's DOCX files, ``at_once`` in a batch; each path comes once.
+
+    Names are checked before: a name that is refused would stop the stream at its batch for good.
+    """
+    folder, _ = _folder(spark, directory)
+    names = listed(spark, directory).select(parsed_name(F.col("file_name")).alias("n")).select("n.*")
+    names.write.format("noop").mode("overwrite").save()
+    reader = spark.readStream.format("binaryFile").schema(FILES).option("recursiveFileLookup", True).option("pathGlobFilter", SUFFIX).option("maxFilesPerTrigger", at_once)
+    return _own(reader.load(_literal(folder)), folder)
+
+
+def discover(spark: SparkSession, directory: str) -> DataFrame:
+    """(path, file_name) of the folder's DOCX files, not of its subfolders, in order of path; no file is opened."""
+    return listed(spark, directory).select("path", "file_name").orderBy("path")
 
 
 def loaded(files: DataFrame) -> DataFrame:
-    """(path, file_name, content) of discovered files: only these are opened, on the executors."""
+    """(path, file_name, content) of a choice of discovered files: only these are opened, on the executors.
+
+    The choice passes the driver; whole folders and single documents are read from ``listed``, which does not.
+    """
     spark, found = files.sparkSession, [(r.path, r.file_name, None) for r in files.select("path", "file_name").collect()]
     # Spark passes over names that start like this; none is a valid document name, so they need no content to be refused
     hidden = [x for x in found if x[1].startswith(("_", "."))]
