@@ -98,7 +98,7 @@ def test_the_key_is_neither_shown_nor_taken_from_others(tmp_path, monkeypatch):
     assert got.api_key == "secret-key" and "secret-key" not in f"{got!r}{got}{shown(got)}" and "(set)" in shown(got)
 
 
-@pytest.mark.parametrize("command", ["ingest", "embed", "index", "search", "answer", "evaluate", "inspect", "check-setup"])
+@pytest.mark.parametrize("command", ["ingest", "embed", "embed-tables", "follow", "index", "search", "answer", "evaluate", "inspect", "check-setup"])
 def test_help(command):
     done = subprocess.run([sys.executable, "-m", "stratalens.plans.cli", command, "--help"], capture_output=True, text=True, timeout=120)
     assert done.returncode == 0 and "usage" in done.stdout
