@@ -25,7 +25,7 @@ empty table gives no rows; columns besides the id and text columns are ignored o
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -75,15 +75,20 @@ def _numbered(raw: np.ndarray, starts: np.ndarray, place: np.ndarray) -> tuple[n
 # --- rarity ----------------------------------------------------------------------------------------
 
 
-def sketch(docs: DataFrame, slots: int) -> np.ndarray:
-    """How often the words of each of ``slots`` hash slots occur in all lines."""
+def line_words(b: pa.RecordBatch) -> Iterator[np.ndarray]:
+    """Hashes of the words of the texts of a batch."""
+    for _, raw, starts in texts(b.column("text")):
+        yield W.words(raw, starts)[1]
+
+
+def sketch(rows: DataFrame, slots: int, hashes: Callable[[pa.RecordBatch], Iterable[np.ndarray]] = line_words) -> np.ndarray:
+    """How often the ``hashes`` of the batches of ``rows`` (words of their column text) fall into each of ``slots`` slots."""
     part = slots // PIECES
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = np.zeros(slots, np.int64)
         for b in batches:
-            for _, raw, starts in texts(b.column("text")):
-                _, h = W.words(raw, starts)
+            for h in hashes(b):
                 counts += np.bincount((h & _U(slots - 1)).astype(np.int64), minlength=slots)
         yield pa.RecordBatch.from_arrays([pa.array(range(PIECES), pa.int32()), pa.array([counts[i * part : (i + 1) * part].tobytes() for i in range(PIECES)])], names=["piece", "n"])
 
@@ -96,7 +101,7 @@ def sketch(docs: DataFrame, slots: int) -> np.ndarray:
 
     kind = "piece int, n binary"
     out = np.zeros(slots, np.int64)
-    for r in docs.select("text").mapInArrow(count, kind).repartitionById(PIECES, F.col("piece")).mapInArrow(add, kind).collect():
+    for r in rows.mapInArrow(count, kind).repartitionById(PIECES, F.col("piece")).mapInArrow(add, kind).collect():
         out[r.piece * part : (r.piece + 1) * part] = np.frombuffer(r.n, np.int64)
     return out
 
@@ -343,7 +348,7 @@ def candidates(rows: DataFrame, hot: int) -> list[DataFrame]:
     """Stored tables of what the lists say: equal lines, pairs, and lists that have more."""
     spark = rows.sparkSession
     parts = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    rarity = sketch(rows, sized(4 * rows.count(), SKETCH))
+    rarity = sketch(rows.select("text"), sized(4 * rows.count(), SKETCH))
     dealt = rows.mapInArrow(_postings(rarity, hot, parts), _BLOB)
     found = stored(dealt.repartitionById(parts, F.col("part")).mapInArrow(_candidates, _FOUND_KIND))
     tidy(spark)

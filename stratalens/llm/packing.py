@@ -9,7 +9,8 @@ a cluster, with a source at its limit) is a bitmap, so the search steps from one
 successor and masks out the bins in conflict until a bin is left.  Only if none is left is a new one
 opened.
 
-Pieces are dealt to shards by hash, ``SHARD`` to each on average, and shards are packed apart.  So no
+Full pieces need no search and no shard: columns name their bins.  The others, one of a document at most, are
+dealt to shards by hash, ``SHARD`` to each on average, and shards are packed apart.  So no
 source or cluster, however large, meets in one task; a shard's last bins are the only cost.
 
 Defined cases: null text and text without words make one piece of 0 words, which is packed like any
@@ -21,10 +22,10 @@ empty table gives no bins; columns besides the id, text and source columns are i
 from __future__ import annotations
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from stratalens.llm.common import stored, word_count
+from stratalens.llm.common import cut, discard, stored, word_count
 from stratalens.llm.simhash import similar
 
 #: Words that a bin holds, pieces of one source that it takes, pieces of a shard on average.
@@ -92,7 +93,7 @@ def near_clusters(docs: DataFrame, text_col: str = "text") -> DataFrame:
 
     Texts equal up to case and white space have equal shingles, so they are of one component already.
     """
-    found = similar(docs.select(raw_name(text_col).alias("id"), F.lower(F.col(text_col)).alias("text")))
+    found = similar(docs.select(raw_name(text_col).alias("id"), F.lower(F.col(text_col)).alias("text")), coarse=False)
     return found.groupBy(F.col("id").alias("name")).agg(F.min("component").alias("component"))
 
 
@@ -103,25 +104,29 @@ def raw_name(text_col: str) -> Column:
 def pieces(
     docs: DataFrame, capacity: int = CAPACITY, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", clusters: DataFrame | None = None
 ) -> DataFrame:
-    """(doc_id, piece, start, words, source, cluster, deal) for each piece of each document.
+    """(doc_id, piece, start, words, source, cluster, deal, copy) for each piece of each document.
 
     A text that ``clusters`` (name, component) does not name is a cluster of its own.  ``deal`` is a hash of
-    the row, but rows that repeat more than ``REPEATS`` times are dealt one by one.
+    the row, but rows that repeat more than ``REPEATS`` times are dealt one by one; ``copy`` tells rows of one ``deal`` apart.
     """
     text = F.coalesce(F.col(text_col), F.lit(""))
     slim = docs.select(
         F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), word_count(F.col(text_col)).alias("size"),
         (text_name(text_col) if clusters is None else raw_name(text_col)).alias("cluster"), F.xxhash64(F.lit("deal"), F.col(id_col), F.col(source_col), text).alias("deal"),
     )
-    slim = stored(slim.withColumn("row", F.monotonically_increasing_id()))  # its numbers stay
+    read = slim = stored(slim.withColumn("row", F.monotonically_increasing_id()))  # its numbers stay
     often = slim.groupBy("deal").count().where(F.col("count") > REPEATS).select("deal", F.lit(True).alias("often"))
-    slim = slim.join(often, "deal", "left").withColumn("deal", F.when(F.col("often"), F.xxhash64("deal", "row")).otherwise(F.col("deal"))).drop("often", "row")
+    slim = slim.join(often, "deal", "left").withColumn("deal", F.when(F.col("often"), F.xxhash64("deal", "row")).otherwise(F.col("deal")))
+    # at most REPEATS rows of one deal
+    slim = slim.withColumn("copy", F.row_number().over(Window.partitionBy("deal").orderBy("row")) - 1).drop("often", "row")
     if clusters is not None:
         slim = slim.join(clusters.withColumnRenamed("name", "cluster"), "cluster", "left").withColumn("cluster", F.coalesce("component", "cluster")).drop("component")
+    kept = cut(slim)
+    discard(read)
     last = F.greatest(F.ceil(F.col("size") / capacity) - 1, F.lit(0))
-    slim = slim.withColumn("piece", F.explode(F.sequence(F.lit(0).cast("long"), last.cast("long"))))
+    slim = kept.withColumn("piece", F.explode(F.sequence(F.lit(0).cast("long"), last.cast("long"))))
     slim = slim.withColumn("start", F.col("piece") * capacity)
-    return slim.select("doc_id", "piece", "start", F.least(F.col("size") - F.col("start"), F.lit(capacity)).cast("long").alias("words"), "source", "cluster", "deal")
+    return slim.select("doc_id", "piece", "start", F.least(F.col("size") - F.col("start"), F.lit(capacity)).cast("long").alias("words"), "source", "cluster", "deal", "copy")
 
 
 def pack(
@@ -136,8 +141,9 @@ def pack(
     # ids pass through pandas as strings, which keep nulls and large numbers as they are
     every = pieces(docs, capacity, id_col, text_col, source_col, clusters)
     kind = dict(every.dtypes)["doc_id"]
-    shards = max(1, -(-docs.count() // shard))
-    dealt = every.withColumn("doc_id", F.col("doc_id").cast("string")).withColumn("shard", F.pmod(F.xxhash64("deal", "piece"), F.lit(shards)).cast("int"))
+    full = F.col("words") == capacity
+    shards = max(1, -(-every.where(~full).count() // shard))
+    dealt = every.where(~full).withColumn("doc_id", F.col("doc_id").cast("string")).withColumn("shard", F.pmod(F.xxhash64("deal", "piece"), F.lit(shards)).cast("int"))
 
     def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(["words", "deal", "doc_id", "piece"], ascending=[False, True, True, True], kind="stable").reset_index(drop=True)
@@ -150,7 +156,10 @@ def pack(
         return pdf[["doc_id", "piece", "start", "words", "source", "cluster", "bin", "slot", "residual"]]
 
     schema = "doc_id string, piece long, start long, words long, source string, cluster long, bin string, slot int, residual int"
-    return dealt.groupBy("shard").applyInPandas(run, schema).withColumn("doc_id", F.col("doc_id").cast(kind))
+    packed = dealt.groupBy("shard").applyInPandas(run, schema).withColumn("doc_id", F.col("doc_id").cast(kind))
+    name = F.concat_ws("-", F.lit("full"), F.lower(F.hex("deal")), "copy", "piece")
+    alone = every.where(full).select(*packed.columns[:6], name.alias("bin"), F.lit(0).alias("slot"), F.lit(0).alias("residual"))
+    return packed.unionByName(alone)
 
 
 def assembled(packed: DataFrame, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", joint: str = "\n\n") -> DataFrame:

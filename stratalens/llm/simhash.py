@@ -16,9 +16,14 @@ are the groups.
 Jaccard similarity of at least 0.8; at 0.8 fingerprints differ in about 10 bits, beyond what their keys
 meet.  So candidates share the group of their fingerprints or one of ``BANDS`` min-hash keys of ``ROWS``
 minima each (a pair at 0.8 misses all with chance (1 - 0.8^4)^24, about 3 in a million, and less above).
-First, ``STARS`` times, documents meet one of their key, by another hash each time, if they are not of its
-group yet; then, in keys that are still not one group, those outside its group meet all others.  Parity bitmaps of the sets, whose size follows them, drop
-only pairs that cannot be similar; the rest are verified on their whole sets of shingles.
+First, ``STARS`` times at most, documents meet one of their key, by another hash each time, if they are not of its
+group yet; no more once that links nothing or no long key is left.  Of the keys that are still not one group, short ones (at most ``LIST`` documents) let those outside
+the group meet all others.  Documents of long ones, such as a template's, which share a band far below 0.8, go
+through an exact prefix join: shingles are put in order of rarity (a sketch of counters says how often they occur
+among these documents; any order is right), and similar sets of sizes m <= n share one among the first
+m - ceil(8m/9) + 1 of the smaller and the first n - ceil(4n/5) + 1 of the larger.  Only these meet, with
+filters by size and position, and lists of more than ``BLOCK`` are cut into blocks.  Parity bitmaps of the sets,
+whose size follows them, drop only pairs that cannot be similar; the rest are verified on their whole sets of shingles.
 
 Defined cases: a very long text is hashed in pieces, in memory in proportion to its words; the empty table
 gives no rows; ties among a group's documents go to the smallest id; null text and text without words have fingerprint zero, linked like any other; equal
@@ -40,7 +45,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from stratalens.llm.common import components, cut, discard, stored, tidy
-from stratalens.llm.filters import passing, wanted
+from stratalens.llm.filters import passing, sized, wanted
+from stratalens.llm.line_dedup import SKETCH, sketch
 from stratalens.llm.words import mix, texts, words
 
 SEED = 42
@@ -56,8 +62,12 @@ PAIRS = ((0, 1, True), (0, 2, False), (1, 2, False))
 WIDTH, LEAST = 5, 0.8
 #: Min-hash keys of a document, minima in each, shingles hashed at a time, most bits of a set's bitmap.
 BANDS, ROWS, STRIP, BITMAP = 24, 4, 1 << 9, 1 << 16
-#: Rounds in which each key's documents meet one of them.
+#: Most rounds in which each key's documents meet one of them.
 STARS = 3
+#: Longest key whose documents meet without the prefix join, rows of a block of a long list of that join.
+LIST, BLOCK = 64, 4096
+#: Names of sets that a task remembers, to make what goes with a set only once; others are made again.
+SEEN = 1 << 16
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 _ODD, _PLUS = (np.random.default_rng(SEED + k).integers(0, 1 << 31, BANDS * ROWS, np.uint32) * np.uint32(2) + np.uint32(1) for k in range(2))
@@ -264,7 +274,7 @@ def _named(held: np.ndarray) -> int:
 
 def _sketched(docs: DataFrame, width: int) -> DataFrame:
     """(id, node, size, fp, bits, keys) for each row (id, text); rows of one set of shingles are one node,
-    of which a task gives bits and keys once."""
+    of which a task gives bits and keys at least once."""
     names = ["id", "node", "size", "fp", "bits", "keys"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -276,7 +286,8 @@ def _sketched(docs: DataFrame, width: int) -> DataFrame:
                 held = _set(found)
                 name = _named(held)
                 again = name in seen
-                seen.add(name)
+                if len(seen) < SEEN:
+                    seen.add(name)
                 made[row] = (name, len(held), _bits([found]), held[:0].view(np.int64) if again else bitmap(held), held[:0].view(np.int64) if again else band_keys(held))
             node, size, fp, bits, keys = zip(*made) if made else [()] * 5
             signed = lambda x: pa.array(np.array(x, np.uint64).view(np.int64))
@@ -314,7 +325,8 @@ def _held(docs: DataFrame, ids: DataFrame, width: int) -> DataFrame:
             some = {_named(h): h for h in (made.get(i, np.zeros(0, np.uint64)) for i in range(len(own)))}
             for at in [x for x in some if x not in seen]:
                 yield pa.RecordBatch.from_arrays([pa.array(np.array([at], np.uint64).view(np.int64)), pa.array([some[at].view(np.int64)], pa.list_(pa.int64()))], names=["node", "held"])
-            seen |= some.keys()
+            if len(seen) < SEEN:
+                seen |= some.keys()
 
     return docs.select("id", "text").mapInArrow(run, "node long, held array<long>").dropDuplicates(["node"])
 
@@ -327,14 +339,70 @@ def _verified(pairs: DataFrame, have: DataFrame, least: float) -> DataFrame:
     return pairs.join(first, "u").join(second, "v").where(both >= (F.size("a") + F.size("b") - both) * least - 1e-6).select("u", "v")
 
 
-def similar(docs: DataFrame, width: int = WIDTH, least: float = LEAST) -> DataFrame:
+def _alpha(total: Column, least: float) -> Column:
+    """The least overlap of similar sets of ``total`` elements together."""
+    return F.ceil(total * (least / (1 + least)) - 1e-6)
+
+
+def _prefixes(have: DataFrame, least: float) -> DataFrame:
+    """(node, size, keys): the rarest shingles of each set (node, held), in order, as many as a larger set is looked up by."""
+    rarity = sketch(have.select("held"), sized(4 * have.count(), SKETCH), lambda b: [b.column("held").flatten().to_numpy(zero_copy_only=False).view(np.uint64)])
+    counts = have.sparkSession.sparkContext.broadcast(rarity)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last = np.uint64(len(counts.value) - 1)
+        for b in batches:
+            sizes, keys = [], [np.zeros(0, np.int64)]
+            for held in b.column("held"):
+                h = held.values.to_numpy(zero_copy_only=False)  # in order of the hash, which breaks ties
+                n = len(h)
+                first = np.argsort(counts.value[(h.view(np.uint64) & last).astype(np.int64)], kind="stable")
+                sizes.append(n)
+                keys.append(h[first[: n - int(np.ceil(least * n - 1e-6)) + 1]])
+            lists = pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, keys[1:])]), pa.int32()), pa.array(np.concatenate(keys)))
+            yield pa.RecordBatch.from_arrays([b.column("node"), pa.array(sizes, pa.int64()), lists], names=["node", "size", "keys"])
+
+    return have.where(F.size("held") > 0).select("node", "held").mapInArrow(run, "node long, size long, keys array<long>")
+
+
+def prefix_pairs(have: DataFrame, roots: DataFrame, least: float = LEAST, block: int = BLOCK) -> DataFrame:
+    """Pairs (u, v) of different roots, of the sets ``have`` (node, held) with ``roots`` (node, root), that may be similar: none that is is missing."""
+    posted = stored(_prefixes(have, least))
+    smaller = F.col("at") <= F.col("size") - _alpha(2 * F.col("size"), least)
+    every = posted.join(roots, "node").select("node", "root", "size", F.posexplode("keys").alias("at", "key")).withColumn("first", smaller)
+    lists = every.groupBy("key").agg(
+        F.min("root").alias("a"), F.max("root").alias("b"), F.max("first").alias("met"), F.min_by("root", F.xxhash64("node")).alias("lead"), F.count("*").alias("n")
+    )
+    lists = lists.where("a < b AND met").select("key", "lead", F.ceil(F.col("n") / block).alias("blocks"))
+    met = cut(every.join(lists, "key").withColumn("leads", F.col("root") == F.col("lead")).drop("lead"))
+    discard(posted)
+
+    def side(rows: DataFrame, k: str, part: Column) -> DataFrame:
+        return rows.withColumn("part", part).select("key", "part", F.col("node").alias(k), *[F.col(c).alias(f"{k}_{c}") for c in ("root", "size", "at")])
+
+    def pairs(small: DataFrame, large: DataFrame) -> DataFrame:
+        x = side(small.where("first"), "x", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
+        y = side(large, "y", F.pmod(F.xxhash64("node"), F.col("blocks")))
+        fits = (F.col("x_root") != F.col("y_root")) & (F.struct("x_size", "x") < F.struct("y_size", "y")) & (F.col("x_size") >= F.col("y_size") * least - 1e-6)
+        left = F.least(F.col("x_size") - F.col("x_at"), F.col("y_size") - F.col("y_at"))
+        return x.join(y, ["key", "part"]).where(fits & (left >= _alpha(F.col("x_size") + F.col("y_size"), least)))
+
+    both = pairs(met.where("NOT leads"), met).unionByName(pairs(met.where("leads"), met.where("NOT leads")))
+    return both.select(F.least("x", "y").alias("u"), F.greatest("x", "y").alias("v")).distinct()
+
+
+def similar(docs: DataFrame, width: int = WIDTH, least: float = LEAST, coarse: bool = True) -> DataFrame:
     """(id, component) for each row (id, text) of ``docs``: components of the links between all rows
-    whose sets of shingles have a Jaccard similarity of at least ``least``."""
+    whose sets of shingles have a Jaccard similarity of at least ``least``.
+
+    With ``coarse``, documents whose fingerprints are linked are candidates too, beside those of a band.
+    """
     rows = stored(_sketched(docs, width))
     nodes = cut(rows.groupBy("node").agg(F.min("id").alias("id"), F.min("fp").alias("fp")))
-    near = components(links(nodes.select("fp").distinct())).select(F.col("node").alias("fp"), F.col("root").alias("key"))
-    coarse = nodes.join(near, "fp", "left").select(F.coalesce("key", "fp").alias("key"), "node")
-    keyed = rows.select(F.explode("keys").alias("key"), "node").unionByName(coarse)
+    keyed = rows.select(F.explode("keys").alias("key"), "node")
+    if coarse:
+        near = components(links(nodes.select("fp").distinct())).select(F.col("node").alias("fp"), F.col("root").alias("key"))
+        keyed = keyed.unionByName(nodes.join(near, "fp", "left").select(F.coalesce("key", "fp").alias("key"), "node"))
     several = keyed.groupBy("key").agg(F.min("node").alias("hub"), F.max("node").alias("last")).where("hub < last").drop("last")
     met = stored(keyed.join(several, "key").distinct())
     asked = cut(met.select("node").distinct())
@@ -345,29 +413,40 @@ def similar(docs: DataFrame, width: int = WIDTH, least: float = LEAST) -> DataFr
     def side(at: DataFrame, k: str) -> DataFrame:
         return at.join(sizes.select(F.col("node").alias(k), F.col("size").alias(f"{k}_size"), F.col("bits").alias(f"{k}_bits")), k)
 
-    def grouped(linked: DataFrame, star: int) -> DataFrame:
-        """(key, node, root, hub, lead) in the keys that are not one group yet; ``lead`` is the group of the ``hub``."""
-        own = met.join(components(linked), "node", "left").select("key", "node", F.coalesce("root", "node").alias("root"))
+    def grouped(linked: DataFrame | None, star: int) -> DataFrame:
+        """(key, node, root, hub, lead, n) in the keys of ``n`` nodes that are not one group yet; ``lead`` is the group of the ``hub``."""
+        own = met.select("key", "node", F.col("node").alias("root")) if linked is None else met.join(components(linked), "node", "left").select("key", "node", F.coalesce("root", "node").alias("root"))
         first = F.xxhash64("node", F.lit(star))
-        leads = own.groupBy("key").agg(F.min("root").alias("a"), F.max("root").alias("b"), F.min_by("node", first).alias("hub"), F.min_by("root", first).alias("lead"))
+        leads = own.groupBy("key").agg(F.min("root").alias("a"), F.max("root").alias("b"), F.min_by("node", first).alias("hub"), F.min_by("root", first).alias("lead"), F.count("*").alias("n"))
         return cut(own.join(leads.where("a < b").drop("a", "b"), "key"))
 
     close = _alike(F.col("u_bits"), F.col("v_bits"), F.col("u_size"), F.col("v_size"), least)
-    linked = docs.sparkSession.createDataFrame([], "u long, v long")
+
+    def more(linked: DataFrame | None, pairs: DataFrame) -> DataFrame:
+        found = _verified(cut(pairs), have, least)
+        return cut(found if linked is None else linked.unionByName(found))
+
+    linked, known, own = None, 0, grouped(None, 0)
     for star in range(STARS):
-        own = grouped(linked, star)
         pairs = own.where("root <> lead").select(F.least("hub", "node").alias("u"), F.greatest("hub", "node").alias("v")).distinct()
-        pairs = cut(side(side(pairs, "u"), "v").where(close).select("u", "v"))
-        linked = cut(linked.unionByName(_verified(pairs, have, least)))
+        linked = more(linked, side(side(pairs, "u"), "v").where(close).select("u", "v"))
         tidy(docs.sparkSession)
-    own = grouped(linked, STARS)
+        own = grouped(linked, star + 1)
+        known, before = linked.count(), known
+        if known == before or own.where(F.col("n") > LIST).isEmpty():
+            break
+    short = own.where(F.col("n") <= LIST)
     x, y = (
-        side(own.where(of).withColumnRenamed("node", k), k).select("key", k, f"{k}_size", f"{k}_bits", F.col("root").alias(f"{k}_root"), (F.col("root") == F.col("lead")).alias(f"{k}_leads"))
+        side(short.where(of).withColumnRenamed("node", k), k).select("key", k, f"{k}_size", f"{k}_bits", F.col("root").alias(f"{k}_root"), (F.col("root") == F.col("lead")).alias(f"{k}_leads"))
         for k, of in (("u", "true"), ("v", "root <> lead"))
     )
     apart = (F.col("u_root") != F.col("v_root")) & (F.col("u_leads") | (F.col("u") < F.col("v")))
     others = x.withColumnRenamed("key", "other").join(y, (F.col("other") == F.col("key")) & apart & close).select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v"))
-    linked = cut(linked.unionByName(_verified(cut(others.distinct()), have, least)))
+    linked = more(linked, others.distinct())
+    # groups as they were: what short keys have linked since is met again, and found again
+    long = cut(own.where(F.col("n") > LIST).select("node", "root").distinct())
+    if not long.isEmpty():
+        linked = more(linked, side(side(prefix_pairs(have.join(long, "node", "left_semi"), long, least), "u"), "v").where(close).select("u", "v"))
     roots = cut(components(linked))
     named = cut(rows.select("id", "node").join(roots, "node", "left").select("id", F.coalesce("root", "node").alias("component")))
     for done in (rows, met, have):

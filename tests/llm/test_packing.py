@@ -105,3 +105,12 @@ def test_a_row_of_many_copies_is_spread(spark):
     got = P.pack(df, 60, 4, 300).collect()
     check(got, docs, 60, 4)
     assert max(Counter(r.bin.split("-")[0] for r in got).values()) < 600
+
+
+def test_long_documents_leave_shards_small(spark):
+    docs = [(i, "w " * (41 * 100 + i % 7), f"s{i % 3}") for i in range(300)] + [(7, "w " * 4100, "s1")] * 3
+    got = P.pack(spark.createDataFrame(docs, "doc_id long, text string, source string"), 100, 4, 50).collect()
+    check(got, docs, 100, 4)
+    sizes = Counter(r.bin.split("-")[0] for r in got)
+    full = sizes.pop("full")
+    assert full == 41 * 303 and max(sizes.values()) <= 2 * 50

@@ -134,3 +134,60 @@ def test_stage_verifies_candidates(spark):
     assert keys[0] & keys[1] and jaccard(texts[0], texts[1]) < 0.8
     df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     assert sorted(r.doc_id for r in S.representatives(df).collect()) == [0, 1]
+
+
+def similar_groups(texts):
+    """The component of each text, by comparing all."""
+    root = list(range(len(texts)))
+    for i in range(len(texts)):
+        for j in range(i):
+            if jaccard(texts[i], texts[j]) >= 0.8:
+                a, b = sorted((root[i], root[j]))
+                root = [a if r == b else r for r in root]
+    return root
+
+
+def family(rng, n, shared, changed):
+    """Texts of a template: ``shared`` words, then words of their own, of which some are near-copies of an earlier one."""
+    base, out = [f"t{i}" for i in range(shared)], []
+    for _ in range(n):
+        w = base + [f"w{rng.randrange(10**7)}" for _ in range(200 - shared)]
+        if out and rng.random() < 0.3:
+            w = rng.choice(out).split()
+            for at in rng.sample(range(200), rng.choice(changed)):
+                w[at] = f"c{rng.randrange(10**7)}"
+        out.append(" ".join(w))
+    return out
+
+
+def test_prefix_join_finds_what_brute_force_finds(spark):
+    rng = random.Random(8)
+    texts = family(rng, 90, 150, (1, 3, 4, 5, 6)) + [" ".join(f"s{i}" for i in range(n)) for n in (5, 6, 7, 8, 9, 30, 36, 37, 38, 45)] + ["one", "one"]
+    held = {i: S.shingles(t).view(np.int64).tolist() for i, t in enumerate(texts)}
+    have = spark.createDataFrame(list(held.items()), "node long, held array<long>")
+    roots = spark.createDataFrame([(i, i) for i in held], "node long, root long")
+    want = {(i, j) for j in held for i in range(j) if jaccard(texts[i], texts[j]) >= 0.8}
+    for block in (S.BLOCK, 7):
+        got = {(r.u, r.v) for r in S.prefix_pairs(have, roots, block=block).collect()}
+        assert want <= got and len(got) < len(held) ** 2 / 8
+    # pairs of one root are not asked for
+    merged = spark.createDataFrame([(i, i % 2) for i in held], "node long, root long")
+    got = {(r.u, r.v) for r in S.prefix_pairs(have, merged).collect()}
+    assert {(i, j) for i, j in want if (i + j) % 2} <= got and all((i + j) % 2 for i, j in got)
+
+
+def test_a_template_is_no_join_of_all_pairs(spark):
+    rng = random.Random(9)
+    texts = family(rng, 600, 140, (60,))
+    held = {i: S.shingles(t).view(np.int64).tolist() for i, t in enumerate(texts)}
+    have = spark.createDataFrame(list(held.items()), "node long, held array<long>")
+    assert S.prefix_pairs(have, spark.createDataFrame([(i, i) for i in held], "node long, root long")).count() < 600
+
+
+def test_long_keys_are_linked_whole(spark):
+    texts = family(random.Random(10), 150, 150, (1, 3, 4, 5, 6))
+    keys = [set(S.band_keys(S.shingles(t)).tolist()) for t in texts]
+    assert max(sum(k in own for own in keys) for k in keys[0]) > S.LIST
+    got = {r.id: r.component for r in S.similar(spark.createDataFrame(list(enumerate(texts)), "id long, text string"), coarse=False).collect()}
+    root = similar_groups(texts)
+    assert len({got[i] for i in got}) == len(set(root)) == len({(got[i], root[i]) for i in got})
