@@ -18,8 +18,9 @@ left undecided are compared with all candidates in it.  Postings of words that t
 by hash, each two blocks a list of their own.
 
 Defined cases: null text has no lines; a line without words is never removed and matches nothing; null
-ids are ordered like the largest long; rows that repeat whole (id and text) are one row and fare alike; ties
-(rows of one id) go by a hash of the text; a very long text needs memory in proportion to its words; the
+ids are ordered like the largest long; of rows that repeat whole (id and text), the first fares like a single row and
+all lines with words of the others are later matches and go; ties
+(rows of one id) go by a hash of the text (``deduplicated`` keeps the one whose other columns hash least); a very long text needs memory in proportion to its words; the
 empty table gives no rows; columns besides the id and text columns are ignored or kept as they are.
 """
 
@@ -30,7 +31,7 @@ from collections.abc import Callable, Iterable, Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from stratalens.llm import words as W
@@ -44,9 +45,14 @@ LEAST = (4, 5)
 HOT, SIGNATURE, PIECES = 8192, 8, 16
 #: Lines gathered at a time.
 LINES = 1 << 17
+#: Words whose postings go to one partition, postings of one of cut lists, copies of a row that are made together.
+SHARE, CUT, COPIES = 1 << 23, 1 << 22, 1024
 #: Bounds of the counters of the sketch, which follow the number of rows.
 SKETCH = (1 << 14, 1 << 20)
 
+#: What a line with words holds.
+WORDED = r"[^\x20\x09-\x0D]"
+
 _U = np.uint64
 
 
@@ -347,8 +353,9 @@ def _candidates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def candidates(rows: DataFrame, hot: int) -> list[DataFrame]:
     """Stored tables of what the lists say: equal lines, pairs, and lists that have more."""
     spark = rows.sparkSession
-    parts = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
     rarity = sketch(rows.select("text"), sized(4 * rows.count(), SKETCH))
+    # a task holds a partition's postings, so their number follows the words
+    parts = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")), -(-int(rarity.sum()) // SHARE))
     dealt = rows.mapInArrow(_postings(rarity, hot, parts), _BLOB)
     found = stored(dealt.repartitionById(parts, F.col("part")).mapInArrow(_candidates, _FOUND_KIND))
     tidy(spark)
@@ -363,11 +370,13 @@ def candidates(rows: DataFrame, hot: int) -> list[DataFrame]:
 
     sizes = warm.mapInArrow(counted, "list long, n long").groupBy("list").agg(F.sum("n").alias("n"))
     slot = F.pmod("list", F.lit(slots))
-    blocks = np.zeros(slots, np.int64)
-    for r in sizes.groupBy(slot.alias("slot")).agg(F.max("n").alias("n")).collect():  # at most ``slots`` rows
+    blocks, copied = np.zeros(slots, np.int64), 0
+    for r in sizes.groupBy(slot.alias("slot")).agg(F.max("n").alias("n"), F.sum("n").alias("all")).collect():  # at most ``slots`` rows
         blocks[r.slot] = -(-r.n // hot)
+        copied += r.all * int(blocks[r.slot])
     if not blocks.any():
         return [found]
+    parts = max(parts, -(-copied // CUT))
 
     def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -471,15 +480,15 @@ def verified(pairs: DataFrame, rows: DataFrame) -> DataFrame:
 
 def keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """(o, k, text): the order by id, nulls last, and what tells rows of one id apart."""
-    o, k = row_key(docs, id_col, text_col)
+    o, k, _ = row_key(docs, id_col, text_col)
     return docs.select(o.alias("o"), k.alias("k"), F.col(text_col).alias("text"))
 
 
-def row_key(docs: DataFrame, id_col: str, text_col: str) -> tuple:
-    """The names (o, k) of a row: where no id repeats, the id says all; else a hash of the text goes with it."""
+def row_key(docs: DataFrame, id_col: str, text_col: str) -> tuple[Column, Column, bool]:
+    """The names (o, k) of a row, and whether ids repeat: where none does, the id says all; else a hash of the text goes with it."""
     o = F.coalesce(F.col(id_col).cast("long"), F.lit(2**63 - 1))
     repeated = docs.groupBy(o.alias("o")).count().where("count > 1").limit(1).count()
-    return o, F.xxhash64(F.lit("lines"), F.col(id_col).cast("long"), F.col(text_col)) if repeated else F.lit(0).cast("long")
+    return o, F.xxhash64(F.lit("lines"), F.col(id_col).cast("long"), F.col(text_col)) if repeated else F.lit(0).cast("long"), bool(repeated)
 
 
 def removed(rows: DataFrame, hot: int = HOT) -> DataFrame:
@@ -513,21 +522,41 @@ def marked(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", hot:
     """(id, n_lines, removed) for each row."""
     text = F.col(text_col)
     lines = F.length(text) - F.length(F.replace(text, F.lit("\n"), F.lit(""))) + 1
-    o, k = row_key(docs, id_col, text_col)
+    o, k, repeated = row_key(docs, id_col, text_col)
     slim = docs.select(F.col(id_col).alias(id_col), F.coalesce(lines, F.lit(0)).alias("n_lines"), o.alias("o"), k.alias("k"))
-    out = slim.join(removals(docs, id_col, text_col, hot), ["o", "k"], "left")
-    return out.select(id_col, "n_lines", F.coalesce("removed", F.array().cast("array<bigint>")).alias("removed"))
+    first = slim.dropDuplicates(["o", "k"]) if repeated else slim
+    out = first.join(removals(docs, id_col, text_col, hot), ["o", "k"], "left")
+    out = out.select(id_col, "n_lines", F.coalesce("removed", F.array().cast("array<bigint>")).alias("removed"))
+    if not repeated:
+        return out
+    often = slim.groupBy("o", "k").agg(F.count("*").alias("n"), F.min(id_col).alias(id_col), F.min("n_lines").alias("n_lines")).where("n > 1")
+    worded = F.filter(F.transform(F.split("text", "\n", -1), lambda x, i: F.when(x.rlike(WORDED), i.cast("long"))), lambda i: i.isNotNull())
+    texts_of = docs.select(o.alias("o"), k.alias("k"), text.alias("text")).join(often.select("o", "k"), ["o", "k"], "left_semi").dropDuplicates(["o", "k"])
+    texts_of = texts_of.select("o", "k", F.coalesce(worded, F.array().cast("array<bigint>")).alias("removed"))
+    # copies are made in runs that are dealt evenly, however many there are
+    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    runs = often.join(texts_of, ["o", "k"]).withColumn("run", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("n") - 2) / COPIES))))
+    copies = F.sequence(F.col("run") * COPIES, F.least(F.col("n") - 1, (F.col("run") + 1) * COPIES) - 1)
+    later = runs.repartition(parts, "o", "k", "run").withColumn("copy", F.explode(copies))
+    return out.unionByName(later.select(id_col, "n_lines", "removed"))
 
 
 def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", hot: int = HOT) -> DataFrame:
     """``docs`` with the removed lines taken out of their texts; rows that lose all lines with words are left out."""
-    o, k = row_key(docs, id_col, text_col)
-    whole = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc"), o.alias("o"), k.alias("k"))
+    o, k, repeated = row_key(docs, id_col, text_col)
+    own = [F.col(f"`{c}`") for c in docs.columns]
+    whole = docs.select(F.struct(*own).alias("doc"), o.alias("o"), k.alias("k"))
+    if repeated:
+        # later copies lose all lines with words, and so go
+        named = docs.select(F.struct(*own).alias("doc"), o.alias("o"), k.alias("k"), F.xxhash64(*own).alias("name"), F.coalesce(F.col(text_col).rlike(WORDED), F.lit(False)).alias("worded"))
+        first = named.where("worded").groupBy("o", "k").agg(F.min("name").alias("name"))
+        once = named.where("worded").join(first, ["o", "k", "name"]).dropDuplicates(["o", "k"])
+        whole = once.select("doc", "o", "k").unionByName(named.where("NOT worded").select("doc", "o", "k"))
     joined = whole.join(removals(docs, id_col, text_col, hot), ["o", "k"], "left")
     text = F.col("doc").getField(text_col)
     kept = F.array_join(F.filter(F.split(text, "\n", -1), lambda x, i: ~F.array_contains("removed", i.cast("long"))), "\n")
     joined = joined.withColumn("kept", F.when(F.col("removed").isNull(), text).otherwise(kept))
-    joined = joined.where(F.col("removed").isNull() | F.col("kept").rlike(r"[^\x20\x09-\x0D]"))
+    joined = joined.where(F.col("removed").isNull() | F.col("kept").rlike(WORDED))
     return joined.select(*[F.col("kept").alias(c) if c == text_col else F.col("doc").getField(c).alias(c) for c in docs.columns])
 
 

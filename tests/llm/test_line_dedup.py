@@ -6,22 +6,23 @@ from stratalens.llm.queries import op6_line_dedup
 
 
 def brute(docs):
-    """docs: (id, text) distinct rows.  The removed line numbers of each row."""
-    order = sorted({d for d in docs if d[1] is not None}, key=lambda d: (d[0] is None, d[0] or 0))
+    """docs: (id, text) rows, each an occurrence of its own.  The removed line numbers of each place."""
+    order = sorted((i for i, d in enumerate(docs) if d[1] is not None), key=lambda i: (docs[i][0] is None, docs[i][0] or 0, docs[i][1]))
     before, out = [], {}
-    for row in order:
+    for place in order:
+        row = docs[place]
         for i, line in enumerate(row[1].split("\n")):
             w = frozenset(line.encode().split())
             if w:
                 if any(9 * len(w & v) >= 4 * (len(w) + len(v)) for v in before):
-                    out.setdefault(row, []).append(i)
+                    out.setdefault(place, []).append(i)
                 before.append(w)
     return out
 
 
 def check(got, docs):
     want = brute(docs)
-    expect = sorted(str((d, 0 if t is None else len(t.split("\n")), want.get((d, t), []))) for d, t in docs)
+    expect = sorted(str((d, 0 if t is None else len(t.split("\n")), want.get(i, []))) for i, (d, t) in enumerate(docs))
     assert sorted(str((r.doc_id, r.n_lines, list(r.removed))) for r in got) == expect
 
 
@@ -78,4 +79,15 @@ def test_whole_table(spark):
     docs = [(r.doc_id, r.text) for r in spark.read.parquet(f"{SF}/documents.parquet").collect()]
     want = brute(docs)
     got = op6_line_dedup(spark, SF).collect()
-    assert {r.doc_id: r.removed for r in got if r.n_removed} == {d: ",".join(map(str, v)) for (d, _), v in want.items()}
+    assert {r.doc_id: r.removed for r in got if r.n_removed} == {d: ",".join(map(str, v)) for d, v in ((docs[i][0], v) for i, v in want.items())}
+
+
+def test_rows_that_repeat_lose_their_lines(spark, monkeypatch):
+    monkeypatch.setattr(L, "COPIES", 3)
+    monkeypatch.setattr(L, "SHARE", 16)
+    docs = [(1, "one two three\n\nfour")] * 9 + [(None, "a b")] * 3 + [(2, "one two three"), (3, None), (3, None), (4, " \n"), (4, " \n"), (5, "x"), (5, "y")]
+    df = spark.createDataFrame([(*d, i % 2) for i, d in enumerate(docs)], "doc_id long, text string, n int")
+    check(L.marked(df).collect(), docs)
+    out = [(r.doc_id, r.text) for r in L.deduplicated(df).collect()]
+    key = lambda d: (d[0] or 0, d[1] or "")
+    assert sorted(out, key=key) == sorted([docs[0], (None, "a b"), (3, None), (3, None), (4, " \n"), (4, " \n"), (5, "x"), (5, "y")], key=key)
