@@ -422,9 +422,9 @@ def _rest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 # --- verification ----------------------------------------------------------------------------------
 
 
-def sets(rows: DataFrame, places: DataFrame) -> DataFrame:
+def sets(rows: DataFrame, places: DataFrame, count: int | None = None) -> DataFrame:
     """(c, n, sig, words): the whole word sets, and their parity bitmaps of 64 * SIGNATURE bits, of the lines at ``places`` (and of some that share their filter bit)."""
-    bits = rows.sparkSession.sparkContext.broadcast(wanted(places))
+    bits = rows.sparkSession.sparkContext.broadcast(wanted(places, count))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -460,9 +460,10 @@ def verified(pairs: DataFrame, rows: DataFrame) -> DataFrame:
     difference by.  That leaves few pairs that are not similar, so few sets are moved in vain.
     """
     pairs = cut(pairs.select("yo", "yk", "yl", F.col("yc").alias("y"), "xo", "xl", F.col("xc").alias("x")).distinct())
-    places = pairs.select(F.col("yo").alias("o"), F.col("yl").alias("line")).union(pairs.select("xo", "xl")).distinct()
+    places = pairs.select(F.explode(F.array(F.struct(F.col("yo").alias("o"), F.col("yl").alias("line")), F.struct(F.col("xo").alias("o"), F.col("xl").alias("line")))).alias("at")).select("at.*")
+    count = places.agg(F.approx_count_distinct(F.struct("o", "line"))).first()[0]  # sizes the filter only
     # lines of one set are named alike: one of them is enough
-    have = stored(sets(rows, places).dropDuplicates(["c"]))
+    have = stored(sets(rows, places, count).dropDuplicates(["c"]))
     side = lambda k, *cols: have.select(F.col("c").alias(k), *[F.col(c).alias(f"{k}_{c}") for c in cols])
     slim = pairs.select("y", "x").distinct().join(side("y", "n", "sig"), "y").join(side("x", "n", "sig"), "x")
     apart = F.aggregate(F.zip_with("y_sig", "x_sig", lambda a, b: F.bit_count(a.bitwiseXOR(b))), F.lit(0), lambda t, d: t + d)
