@@ -10,6 +10,8 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+#: Edges of a graph that are put together by one task; of a larger one they are dealt out.
+FEW = 1 << 18
 #: One word: a run without ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -64,27 +66,33 @@ def tidy(spark: SparkSession) -> None:
 
 def word_count(text: Column) -> Column:
     """Number of words as a long; null text has none."""
-    return F.regexp_count(F.coalesce(text, F.lit("")), F.lit(WORD)).cast("long")
+    # a letter for each word: a count of matches would make a list of all words
+    letters = F.regexp_replace(F.coalesce(text, F.lit("")), r"\s*+\S++", "x")
+    return F.length(F.rtrim(letters, F.lit(" \t\n\x0b\f\r"))).cast("long")
 
 
-def components(edges: DataFrame) -> DataFrame:
+def components(edges: DataFrame, few: int = FEW) -> DataFrame:
     """Connected components of the long edges (u, v): one row (node, root) for each node that is not
     the smallest of its component.
 
     Alternates the large-star and small-star steps until no edge changes.  A hub's rows meet only in
     aggregates with map-side combine and in joins that adaptive execution can split, never in one
-    task's memory; each round is cut, so a lost executor does not restart the loop.
+    task's memory; each round is cut, so a lost executor does not restart the loop.  A round of at most ``few`` edges, whatever the
+    graph was before, is one task's without any exchange, instead of hundreds of tasks and files for a few rows each.
     """
     at = cut(edges.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
     mark = _mark(at)
     while mark[0]:
-        both = at.unionByName(at.select(F.col("v").alias("u"), F.col("u").alias("v")))
+        alone = mark[0] <= few
+        put = (lambda df: df.coalesce(1)) if alone else (lambda df: df)
+        beside = (lambda df: df.hint("merge")) if alone else (lambda df: df)  # a broadcast would be a job of its own
+        both = put(at.unionByName(at.select(F.col("v").alias("u"), F.col("u").alias("v"))))
         low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        large = both.join(beside(low), "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         low = large.groupBy("u").agg(F.min("v").alias("m"))
-        joined = large.join(low, "u")
+        joined = large.join(beside(low), "u")
         small = joined.where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        at = cut(small.unionByName(low.select("u", F.col("m").alias("v"))).distinct())
+        at = cut(put(small.unionByName(low.select("u", F.col("m").alias("v")))).distinct())
         tidy(at.sparkSession)  # of many small shuffles, only the last round's are needed
         mark, before = _mark(at), mark
         if mark == before:

@@ -256,7 +256,13 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, id_col: str =
         return None
     # in an order that has nothing to do with partitions; equal keys are equal rows
     rows = rows.take(pc.sort_indices(rows, [("key", "ascending"), ("y", "ascending")]))
-    flat = lambda c: np.frombuffer(b"".join(x.as_py() for x in rows[c]), np.float32).reshape(rows.num_rows, -1)
+
+    def flat(c: str) -> np.ndarray:
+        """The values of all rows, as a view of Arrow's bytes: no object for each row stays with the driver."""
+        own = pa.concat_arrays(rows[c].cast(pa.large_binary()).chunks)
+        ends = np.frombuffer(own.buffers()[1], np.int64)[[own.offset, own.offset + len(own)]]
+        return np.frombuffer(own.buffers()[2], np.uint8)[ends[0] : ends[1]].view(np.float32).reshape(len(own), -1)
+
     return cotrain(flat("a"), flat("b"), rows["y"].to_numpy().astype(np.int64))
 
 

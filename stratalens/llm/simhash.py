@@ -66,6 +66,8 @@ BANDS, ROWS, STRIP, BITMAP = 24, 4, 1 << 9, 1 << 16
 STARS = 3
 #: Longest key whose documents meet without the prefix join, rows of a block of a long list of that join.
 LIST, BLOCK = 64, 4096
+#: Pairs of which the nodes are sent to all tasks.
+SENT = 1 << 15
 #: Names of sets that a task remembers, to make what goes with a set only once; others are made again.
 SEEN = 1 << 16
 _LOWER = np.arange(256, dtype=np.uint8)
@@ -312,9 +314,9 @@ def _alike(a: Column, b: Column, m: Column, n: Column, least: float) -> Column:
     return (F.least(m, n) >= F.greatest(m, n) * least - 1e-6) & (apart <= (m + n) * ((1 - least) / (1 + least)) + 1e-6)
 
 
-def _held(docs: DataFrame, ids: DataFrame, width: int) -> DataFrame:
-    """(node, held): the sets of shingles of the rows with these ``ids`` (and of some that share their filter bit)."""
-    bits = docs.sparkSession.sparkContext.broadcast(wanted(ids.select(F.col("id").alias("o"), F.lit(0).alias("line"))))
+def _held(docs: DataFrame, ids: DataFrame, width: int, count: int) -> DataFrame:
+    """(node, held): the sets of shingles of the rows with these ``count`` ``ids`` (and of some that share their filter bit)."""
+    bits = docs.sparkSession.sparkContext.broadcast(wanted(ids.select(F.col("id").alias("o"), F.lit(0).alias("line")), count))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen = set()
@@ -333,6 +335,11 @@ def _held(docs: DataFrame, ids: DataFrame, width: int) -> DataFrame:
 
 def _verified(pairs: DataFrame, have: DataFrame, least: float) -> DataFrame:
     """Those of the pairs (u, v) of nodes whose sets of shingles ``have`` (node, held) are similar."""
+    some = pairs.count()
+    if not some:
+        return pairs.select("u", "v")
+    if some <= SENT:  # few pairs: their nodes are sent to where the sets lie, and no others move
+        have = have.join(F.broadcast(pairs.select(F.explode(F.array("u", "v")).alias("node"))), "node", "left_semi")
     # the sets meet row by row, so that long texts in many pairs need no more memory
     first, second = have.select(F.col("node").alias("u"), F.col("held").alias("a")), have.select(F.col("node").alias("v"), F.col("held").alias("b"))
     both = F.size(F.array_intersect("a", "b"))
@@ -407,7 +414,7 @@ def similar(docs: DataFrame, width: int = WIDTH, least: float = LEAST, coarse: b
     met = stored(keyed.join(several, "key").distinct())
     asked = cut(met.select("node").distinct())
     sizes = cut(rows.where(F.size("bits") > 0).join(asked, "node", "left_semi").dropDuplicates(["node"]).select("node", "size", "bits"))
-    have = stored(_held(docs, nodes.join(asked, "node").select("id"), width))
+    have = stored(_held(docs, nodes.join(asked, "node").select("id"), width, asked.count()))
     tidy(docs.sparkSession)
 
     def side(at: DataFrame, k: str) -> DataFrame:
