@@ -176,7 +176,7 @@ def mix(docs: DataFrame, id_col: str = "doc_id", source_col: str = "source", tex
     """(doc_id, row, size, source_size, target, taken) for each row of ``docs``."""
     sizes = cut(sized(docs, source_col, text_col, id_col))
     of = cut(targets(sizes, most=most))
-    slots = schedule(of)
+    slots = cut(schedule(of).select("rank", "block"))  # used twice: else both plans below hold the whole schedule
     goals = of.join(slots.groupBy("rank").agg(F.count("*").alias("held")), "rank", "left").withColumn("goal", whole_target())
     placed = cut(streams(sizes, goals))
     pieces = placed.where("size > 0 AND held > 0")
@@ -186,7 +186,7 @@ def mix(docs: DataFrame, id_col: str = "doc_id", source_col: str = "source", tex
     pieces = pieces.withColumn("block", F.explode(F.sequence(block_of(F.col("low")), block_of(F.col("high") - 1))))
     held = F.least("high", block_end(F.col("block"))) - F.greatest("low", block_start(F.col("block")))
     pieces = pieces.select("rank", "bucket", "at", "copy", "block", held.alias("held"))
-    taken = pieces.join(slots.select("rank", "block"), ["rank", "block"]).groupBy("rank", "bucket", "at", "copy").agg(F.sum("held").alias("taken"))
+    taken = pieces.join(slots, ["rank", "block"]).groupBy("rank", "bucket", "at", "copy").agg(F.sum("held").alias("taken"))
     return placed.join(taken, ["rank", "bucket", "at", "copy"], "left").select("doc_id", "row", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"))
 
 

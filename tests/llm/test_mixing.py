@@ -117,3 +117,9 @@ def test_a_row_of_many_copies(spark):
     # the copies fill their stretch without gaps, and no partition holds them all
     assert sorted(r.start for r in placed.collect()) == list(range(0, 60_000, 3))
     assert max(map(len, placed.rdd.glom().collect())) < 15_000
+
+
+def test_schedule_is_planned_once(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    plan = M.mix(docs)._jdf.queryExecution().optimizedPlan().toString()
+    assert "Window" not in plan and "Aggregate" in plan

@@ -120,3 +120,23 @@ def test_views_are_separate():
     texts = ["a b\nc", None, "", "x " * 300, "\n\n", "é!! É$$ 1"]
     both = Q.text_views(pd.Series(texts, dtype=object))
     assert all((both[i] == Q.text_view(t)).all() for i, t in enumerate(texts))
+
+
+def test_features_pass_the_driver_by_partition(spark, monkeypatch):
+    docs, labels = (spark.read.parquet(f"{WIDE}/{t}.parquet") for t in ("documents", "labels"))
+    kind, sent, given = type(docs), [], []
+    to_arrow = kind.toArrow
+    monkeypatch.setattr(kind, "toArrow", lambda self: sent.append(to_arrow(self)) or sent[-1])
+    monkeypatch.setattr(Q, "cotrain", lambda a, b, y: given.append((a, b, y)))
+    Q.fit(docs, labels)
+    a, b, y = given[0]
+    assert 0 < sum(t.nbytes for t in sent) < a.nbytes / 20
+    # all rows, in the order of their keys, each with its own features
+    known = labels.groupBy("doc_id").agg(F.min("quality").alias("low"), F.max("quality").alias("high")).where("low = high").collect()
+    known = {r.doc_id: r.low for r in known}
+    key = F.xxhash64("doc_id", F.coalesce("text", F.lit("")))
+    rows = docs.select("*", key.alias("key")).dropDuplicates().collect()
+    rows = sorted(rows, key=lambda r: (r.key, known.get(r.doc_id, -1)))
+    assert len(rows) == len(a) == len(b) and [known.get(r.doc_id, -1) for r in rows] == y.tolist()
+    assert np.array_equal(a, Q.text_views(pd.Series([r.text for r in rows], dtype=object)))
+    assert np.array_equal(b, np.stack([Q.metadata_view(r.lang, r.source, r.n_chars) for r in rows]))
