@@ -59,22 +59,22 @@ _U = np.uint64
 # --- words -----------------------------------------------------------------------------------------
 
 
-def _words(raw: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(hash and line of each word, place of each line's first word), for texts that begin at ``starts``.
+def _words(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(hash and line of each word, place of each line's first word), for texts that begin at ``starts``; ``ends`` are the places of breaks, if known.
 
     Lines are numbered by the breaks before them.
     """
     place, h = W.words(raw, starts)
-    bounds = np.sort(np.concatenate((starts, np.flatnonzero(raw == 10) + 1)))
+    bounds = np.sort(np.concatenate((starts, (np.flatnonzero(raw == 10) if ends is None else ends) + 1)), kind="stable")
     first = np.searchsorted(place, bounds)
     n = np.diff(first, append=len(place))
     return h, np.repeat(np.arange(len(bounds)), n), place[first[n > 0]]
 
 
-def _numbered(raw: np.ndarray, starts: np.ndarray, place: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def _numbered(raw: np.ndarray, starts: np.ndarray, place: np.ndarray, ends: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
     """(text, number in its text) of the lines that hold the bytes at ``place``."""
     text = np.searchsorted(starts, place, "right") - 1
-    ends = np.flatnonzero(raw == 10)
+    ends = np.flatnonzero(raw == 10) if ends is None else ends
     return text, np.searchsorted(ends, place) - np.searchsorted(ends, starts[text])
 
 
@@ -87,22 +87,36 @@ def line_words(b: pa.RecordBatch) -> Iterator[np.ndarray]:
         yield W.words(raw, starts)[1]
 
 
+def gathered(arrays: Iterable[np.ndarray], size: int) -> Iterator[np.ndarray]:
+    """The same numbers in arrays of ``size`` at least, but for the last."""
+    held, count = [], 0
+    for x in arrays:
+        held.append(x)
+        count += len(x)
+        if count >= size:
+            yield np.concatenate(held)
+            held, count = [], 0
+    if held:
+        yield np.concatenate(held)
+
+
 def sketch(rows: DataFrame, slots: int, hashes: Callable[[pa.RecordBatch], Iterable[np.ndarray]] = line_words) -> np.ndarray:
     """How often the ``hashes`` of the batches of ``rows`` (words of their column text) fall into each of ``slots`` slots."""
     part = slots // PIECES
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = np.zeros(slots, np.int64)
-        for b in batches:
-            for h in hashes(b):
-                counts += np.bincount((h & _U(slots - 1)).astype(np.int64), minlength=slots)
+        for h in gathered((h & _U(slots - 1) for b in batches for h in hashes(b)), slots):
+            counts += np.bincount(h.view(np.int64), minlength=slots)
+        counts = counts.astype(np.min_scalar_type(counts.max()))
         yield pa.RecordBatch.from_arrays([pa.array(range(PIECES), pa.int32()), pa.array([counts[i * part : (i + 1) * part].tobytes() for i in range(PIECES)])], names=["piece", "n"])
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own: dict[int, np.ndarray] = {}
         for b in batches:
             for piece, n in zip(b.column("piece").to_pylist(), b.column("n")):
-                own[piece] = own.get(piece, 0) + np.frombuffer(n.as_buffer(), np.int64)
+                n = n.as_buffer()
+                own[piece] = own.get(piece, 0) + np.frombuffer(n, f"u{n.size // part}").astype(np.int64)
         yield pa.RecordBatch.from_arrays([pa.array(own.keys(), pa.int32()), pa.array([v.tobytes() for v in own.values()], pa.binary())], names=["piece", "n"])
 
     kind = "piece int, n binary"
@@ -117,15 +131,41 @@ def needed(n: np.ndarray) -> np.ndarray:
     return (LEAST[0] * n + LEAST[1] - 1) // LEAST[1]
 
 
+def _order(*cols: np.ndarray) -> tuple[np.ndarray, np.ndarray | None]:
+    """(stable order by ``cols``, the first before the others; what it was sorted by, in order).
+
+    Keys of 64 bits that end in the place are sorted as numbers, several times as fast as places are.  Hashes come last: of
+    them there is what has room, if only some bits are left over.  Where the others have no room, there is no key.
+    """
+    rows = len(cols[0])
+    room = 64 - max(0, rows - 1).bit_length()
+    key, left = np.zeros(rows, _U), room
+    for c in cols if rows else ():
+        rise = (c if c.dtype == _U else c.astype(np.int64).view(_U)) - _U(int(c.min()) & 0xFFFFFFFFFFFFFFFF)
+        size = int(rise.max()).bit_length()
+        if size > left:
+            if c is not cols[-1] or c.dtype != _U or left < 8:
+                return np.lexsort(cols[::-1]), None
+            rise, size = rise >> _U(size - left), left
+        if size:
+            key, left = key << _U(size) | rise, left - size
+    place = _U(64 - room)
+    key = np.sort(key << place | np.arange(rows, dtype=_U))
+    return (key & ((_U(1) << place) - _U(1))).view(np.int64), key >> place
+
+
+def _exact(*cols: np.ndarray) -> np.ndarray:
+    """Order by ``cols`` where the last are hashes that must not be mixed up."""
+    order, k = _order(*cols)
+    own = cols[-1][order]
+    if k is not None and ((k[1:] == k[:-1]) & (own[1:] != own[:-1])).any():
+        return np.lexsort(cols[::-1])
+    return order
+
+
 def _ordered(h: np.ndarray, rank: np.ndarray, line: np.ndarray) -> np.ndarray:
-    """Order by line, rank, hash.  Packed in one key of 64 bits where that tells all words apart."""
-    if len(line) and line[-1] < 1 << 18:
-        key = (line.astype(np.uint64) << _U(46)) | (rank << _U(36)) | (h >> _U(28))
-        order = np.argsort(key)
-        k, own = key[order], h[order]
-        if not ((k[1:] == k[:-1]) & (own[1:] != own[:-1])).any():
-            return order
-    return np.lexsort((h, rank, line))
+    """Order by line, rank, hash."""
+    return _exact(line, rank, h)
 
 
 def _distinct(h: np.ndarray, line: np.ndarray, rank: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -148,24 +188,60 @@ def _named(h: np.ndarray, begin: np.ndarray, n: np.ndarray) -> np.ndarray:
 #: Columns of a posting: its list; the line's order (id, row's name, number), class, size and bitmap; the word's place.
 _POSTED = {"list": np.uint64, "o": np.int64, "k": np.int64, "line": np.int32, "c": np.uint64, "n": np.int32, "bits": np.uint64, "at": np.int32}
 _ROW = {c: _POSTED[c] for c in ("o", "k", "line")}
+#: A row of a list that is kept.
+_HELD = np.dtype([(c, t) for c, t in _POSTED.items() if c != "list"])
 #: Rows between stages: lines that equal an earlier one, postings dealt to their partition, and postings of frequent words.
 SAME, DEALT, WARM = 0, 1, 2
 #: And after lists are compared: candidates, lists that have more of them, and the lines that these may help.
 PAIR, LIST, MORE = 3, 4, 5
 
 
-def _packed(col: dict[str, np.ndarray], kinds: dict) -> bytes:
-    """Columns of one length as bytes, equal places of their values together, so that they compress."""
+#: Columns of random bytes, which no arrangement compresses.
+_RANDOM = ("c", "bits")
+
+
+def _packs(col: dict[str, np.ndarray], kinds: dict, first: np.ndarray) -> Iterator[bytes]:
+    """For each run of rows that begins at ``first``, its columns as bytes.
+
+    Of a value goes what it exceeds the least of its run by, in as few bytes as any run needs, equal
+    places of these bytes together, so that they compress.
+    """
     rows = len(next(iter(col.values())))
-    flat = [np.ascontiguousarray(col[c], t).view(np.uint8).reshape(rows, -1).T.tobytes() for c, t in kinds.items()]
-    return b"".join([rows.to_bytes(8, "little"), *flat])
+    n = np.diff(first, append=rows)
+    lows, flat = np.zeros((len(first), len(kinds)), _U), []
+    for i, (c, t) in enumerate(kinds.items()):
+        v = np.ascontiguousarray(col[c], t)
+        low = np.minimum.reduceat(v, first).astype(np.int64 if np.issubdtype(t, np.signedinteger) else _U).view(_U)
+        rise = v.astype(np.int64 if np.issubdtype(t, np.signedinteger) else _U).view(_U) - np.repeat(low, n)
+        size = (int(rise.max()).bit_length() + 7) // 8
+        lows[:, i] = low
+        if size == 8 and c in _RANDOM:
+            flat.append(rise.view(np.uint8).reshape(1, -1))
+            continue
+        flat.append(np.empty((size, rows), np.uint8))
+        for at in range(size):
+            flat[-1][at] = rise >> _U(8 * at)
+    sizes = bytes(8 if c in _RANDOM and len(x) == 1 and x.size > rows else len(x) for c, x in zip(kinds, flat))
+    for low, a, m in zip(lows, first.tolist(), n.tolist()):
+        yield b"".join([m.to_bytes(8, "little"), sizes, low.tobytes(), *[x[:, a * (w := x.shape[1] // rows) : (a + m) * w].tobytes() for x in flat]])
+
+
+def _packed(col: dict[str, np.ndarray], kinds: dict) -> bytes:
+    """All rows (one at least) as one run."""
+    return next(_packs(col, kinds, np.zeros(1, np.int64)))
 
 
 def _unpacked(blob: bytes, kinds: dict) -> dict[str, np.ndarray]:
-    rows, at, out = int.from_bytes(blob[:8], "little"), 8, {}
-    for c, t in kinds.items():
-        size = np.dtype(t).itemsize
-        out[c] = np.ascontiguousarray(np.frombuffer(blob, np.uint8, rows * size, at).reshape(size, rows).T).view(t).ravel()
+    rows, sizes, at, out = int.from_bytes(blob[:8], "little"), blob[8 : 8 + len(kinds)], 8 + 9 * len(kinds), {}
+    for (c, t), size, low in zip(kinds.items(), sizes, np.frombuffer(blob, _U, len(kinds), 8 + len(kinds))):
+        x = np.frombuffer(blob, np.uint8, rows * size, at)
+        if size == 8 and c in _RANDOM:
+            v = x.view(_U) + low
+        else:
+            v = np.full(rows, low)
+            for i in range(size):
+                v += x[i * rows : (i + 1) * rows].astype(_U) << _U(8 * i)
+        out[c] = v.astype(t)
         at += rows * size
     return out
 
@@ -175,12 +251,19 @@ def _gathered(blobs: list[bytes], kinds: dict) -> dict[str, np.ndarray]:
     return {c: np.concatenate([np.zeros(0, t), *[x[c] for x in each]]) for c, t in kinds.items()}
 
 
-def _dealt(col: dict[str, np.ndarray], part: np.ndarray) -> Iterator[tuple[int, bytes]]:
-    order = np.lexsort((col["list"], part))
+def _dealt(col: dict[str, np.ndarray], part: np.ndarray, own: np.ndarray | None = None) -> Iterator[tuple[int, bytes]]:
+    """(partition, its postings).  With ``own``, other columns than list and at are those of the lines that ``own`` places postings at."""
+    if not len(part):
+        return
+    order = _order(col["list"])[0]
     part = part[order]
-    first = np.flatnonzero(np.concatenate(([True], part[1:] != part[:-1]))) if len(part) else []
-    for a, z in zip(first, np.append(first[1:], len(part))):
-        yield int(part[a]), _packed({c: v[order[a:z]] for c, v in col.items()}, _POSTED)
+    if (part[1:] < part[:-1]).any():
+        again = np.argsort(part, kind="stable")
+        order, part = order[again], part[again]
+    first = np.flatnonzero(np.concatenate(([True], part[1:] != part[:-1])))
+    line = order if own is None else own[order]
+    col = {c: v[order if c in ("list", "at") else line] for c, v in col.items()}
+    yield from zip(part[first].tolist(), _packs(col, _POSTED, first))
 
 
 _BLOB = "part int, kind int, blob binary"
@@ -191,6 +274,12 @@ def _blobs(rows: list[tuple[int, int, bytes]]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(part, pa.int32()), pa.array(kind, pa.int32()), pa.array(blob, pa.binary())], names=["part", "kind", "blob"])
 
 
+def _tied(x: np.ndarray) -> np.ndarray:
+    """Places of what is not the only one of its value in the sorted ``x``."""
+    same = x[1:] == x[:-1]
+    return np.flatnonzero(np.concatenate(([False], same)) | np.concatenate((same, [False]))) if len(x) else np.zeros(0, np.int64)
+
+
 def _again(col: dict[str, np.ndarray], same: np.ndarray) -> np.ndarray:
     """Of rows in order of class, then line: those that repeat the class of the row before."""
     out = np.zeros(len(same), bool)
@@ -215,7 +304,8 @@ def _postings(rarity: np.ndarray, hot: int, parts: int):
         names = ("o", "k", "line", "c", "n", "bits")
         col = {c: np.concatenate([x[i] for x in held]) for i, c in enumerate(names)}
         head, p = np.concatenate([x[-2] for x in held]), np.concatenate([x[-1] for x in held])
-        order = np.lexsort((col["line"], col["k"], col["o"], col["bits"], col["n"], col["c"]))
+        order = _order(col["o"], col["k"], col["line"])[0]
+        order = order[_order(col["c"][order])[0]]
         col = {c: v[order] for c, v in col.items()}
         again = _again(col, np.ones(len(order), bool))
         gone = _later(col, again)
@@ -225,26 +315,29 @@ def _postings(rarity: np.ndarray, hot: int, parts: int):
         at = np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size)
         h, own = head[np.repeat(begin, size) + at], np.repeat(own, size)
         part = (h >> _U(32)) % _U(parts)
-        posted = {"list": part << _U(32) | h & _U(0xFFFFFFFF), **{c: v[own] for c, v in col.items()}, "at": at}
+        lists, at = part << _U(32) | h & _U(0xFFFFFFFF), at.astype(np.int32)
         hottest = warm[(h & last).astype(np.int64)]
         if hottest.any():
-            rows.append((spread % parts, WARM, _packed({c: v[hottest] for c, v in posted.items()}, _POSTED)))
-        rest = ~hottest
-        return _blobs(rows + [(x, DEALT, blob) for x, blob in _dealt({c: v[rest] for c, v in posted.items()}, part[rest].astype(np.int64))])
+            w = own[hottest]
+            rows.append((spread % parts, WARM, _packed({"list": lists[hottest], **{c: v[w] for c, v in col.items()}, "at": at[hottest]}, _POSTED)))
+            rest = ~hottest
+            lists, at, part, own = lists[rest], at[rest], part[rest], own[rest]
+        return _blobs(rows + [(x, DEALT, blob) for x, blob in _dealt({"list": lists, **col, "at": at}, part, own)])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         spread, held, count = TaskContext.get().partitionId(), [], 0
         for b in batches:
             o, k = (b.column(c).to_numpy(zero_copy_only=False) for c in ("o", "k"))
             for at, raw, starts in texts(b.column("text")):
-                h, line, place = _words(raw, starts)
+                ends = np.flatnonzero(raw == 10)
+                h, line, place = _words(raw, starts, ends)
                 if not len(h):
                     continue
                 h, begin, n = _distinct(h, line, rank[(h & last).astype(np.int64)])
-                text, number = _numbered(raw, starts, place)
+                text, number = _numbered(raw, starts, place, ends)
                 bits = np.bitwise_xor.reduceat(_U(1) << (h >> _U(58)), begin)
                 p = n - needed(n) + 1
-                head = h[np.arange(len(h)) - np.repeat(begin, n) < np.repeat(p, n)]
+                head = h[np.arange(p.sum()) + np.repeat(begin - (np.cumsum(p) - p), p)]
                 held.append((o[at + text], k[at + text], number.astype(np.int32), _named(h, begin, n), n.astype(np.int32), bits, head, p))
                 count += len(n)
                 if count >= LINES:
@@ -299,17 +392,26 @@ def _side(col: dict[str, np.ndarray], rows: np.ndarray, which: str) -> dict[str,
 
 def _compared(col: dict[str, np.ndarray]) -> Iterator[pa.RecordBatch]:
     """What the lists of a partition have to say of their lines."""
-    order = np.lexsort((col["line"], col["k"], col["o"], col["c"], col["n"], col["list"]))
+    order = _exact(col["list"])
+    lists = col["list"][order]
+    which = np.cumsum(np.concatenate(([False], lists[1:] != lists[:-1]))) if len(lists) else order
+    tied = _tied(lists)  # what is alone in its list meets nothing
+    if not len(tied):
+        return
+    order, which = order[tied], which[tied]
+    by = _order(*[col[c][order] for c in ("o", "k", "line")])[0]
+    order, which = order[by], which[by]
+    rank = _order(which, col["n"][order], col["c"][order])[0]
+    order = order[rank]
     col = {c: v[order] for c, v in col.items()}
     again = _again(col, col["list"] == np.roll(col["list"], 1))
     gone = np.flatnonzero(_later(col, again) & (col["at"] == 0))
     if len(gone):
         yield _rows(SAME, len(gone), **_side(col, gone, "y"))
-    col = {c: v[~again] for c, v in col.items()}
-    size = len(col["list"])
-    rank = np.empty(size, np.int64)
-    by_rank = np.lexsort((col["line"], col["k"], col["o"]))
-    rank[by_rank] = np.arange(size)
+    col, rank = {c: v[~again] for c, v in col.items()}, rank[~again]
+    size = len(rank)
+    by_rank = np.empty(len(order), np.int64)
+    by_rank[rank] = np.arange(size)
     most = np.iinfo(np.int64).max
     best, hits = np.full(size, most), np.zeros(size, np.int64)
     for i, j, apart in _met(col["list"], col["n"], col["at"], col["bits"]):
@@ -330,9 +432,12 @@ def _compared(col: dict[str, np.ndarray]) -> Iterator[pa.RecordBatch]:
     own = np.searchsorted(first, y, "right") - 1
     yield _rows(MORE, len(y), **_side(col, y, "y"), xl=y - first[own], list=col["list"][y])
     which = np.unique(own)
+    held = np.empty(size, _HELD)
+    for c in _HELD.names:
+        held[c] = col[c]
     for at in range(0, len(which), 1024):
         some = which[at : at + 1024]
-        yield _rows(LIST, len(some), [_packed({c: v[first[w] : stop[w]] for c, v in col.items()}, _POSTED) for w in some], list=col["list"][first[some]])
+        yield _rows(LIST, len(some), [held[a:z].tobytes() for a, z in zip(first[some], stop[some])], list=col["list"][first[some]])
 
 
 def _candidates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -398,13 +503,14 @@ def candidates(rows: DataFrame, hot: int) -> list[DataFrame]:
 def _rest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """All candidates, in lists that were kept, of the lines at the places asked for; many lists at once."""
     for b in batches:
-        each = [_unpacked(x.as_py(), _POSTED) for x in b.column("blob")]
-        sizes = np.array([len(x["o"]) for x in each], np.int64)
+        each = [np.frombuffer(x.as_buffer(), _HELD) for x in b.column("blob")]
+        sizes = np.array([len(x) for x in each], np.int64)
         done = 0
         while done < len(each):
             upto = max(done + 1, int(np.searchsorted(np.cumsum(sizes[done:]), 1 << 18)) + done)
             some, size = each[done:upto], sizes[done:upto]
-            col = {c: np.concatenate([x[c] for x in some]) for c in _POSTED}
+            joined = np.concatenate(some)
+            col = {c: np.ascontiguousarray(joined[c]) for c in _HELD.names}
             asked, rank = np.zeros(size.sum(), bool), np.empty(size.sum(), np.int64)
             for first, held, places in zip(np.cumsum(size) - size, size, b.column("places").slice(done, upto - done)):
                 places = places.values.to_numpy()
@@ -479,9 +585,9 @@ def verified(pairs: DataFrame, rows: DataFrame) -> DataFrame:
     return out
 
 
-def keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(o, k, text): the order by id, nulls last, and what tells rows of one id apart."""
-    o, k, _ = row_key(docs, id_col, text_col)
+def keyed(docs: DataFrame, id_col: str, text_col: str, key: tuple[Column, Column, bool] | None = None) -> DataFrame:
+    """(o, k, text): the order by id, nulls last, and what tells rows of one id apart; ``key`` is their ``row_key``, if known."""
+    o, k, _ = key or row_key(docs, id_col, text_col)
     return docs.select(o.alias("o"), k.alias("k"), F.col(text_col).alias("text"))
 
 
@@ -514,19 +620,19 @@ def removed(rows: DataFrame, hot: int = HOT) -> DataFrame:
     return gone
 
 
-def removals(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", hot: int = HOT) -> DataFrame:
+def removals(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", hot: int = HOT, key: tuple[Column, Column, bool] | None = None) -> DataFrame:
     """(o, k, removed): the row's name and the numbers of its removed lines, for rows that lose any."""
-    return removed(keyed(docs, id_col, text_col), hot).groupBy("o", "k").agg(F.array_sort(F.collect_list(F.col("line").cast("long"))).alias("removed"))
+    return removed(keyed(docs, id_col, text_col, key), hot).groupBy("o", "k").agg(F.array_sort(F.collect_list(F.col("line").cast("long"))).alias("removed"))
 
 
 def marked(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", hot: int = HOT) -> DataFrame:
     """(id, n_lines, removed) for each row."""
     text = F.col(text_col)
-    lines = F.length(text) - F.length(F.replace(text, F.lit("\n"), F.lit(""))) + 1
-    o, k, repeated = row_key(docs, id_col, text_col)
+    lines = F.octet_length(text) - F.octet_length(F.replace(text, F.lit("\n"), F.lit(""))) + 1
+    o, k, repeated = key = row_key(docs, id_col, text_col)
     slim = docs.select(F.col(id_col).alias(id_col), F.coalesce(lines, F.lit(0)).alias("n_lines"), o.alias("o"), k.alias("k"))
     first = slim.dropDuplicates(["o", "k"]) if repeated else slim
-    out = first.join(removals(docs, id_col, text_col, hot), ["o", "k"], "left")
+    out = first.join(removals(docs, id_col, text_col, hot, key), ["o", "k"], "left")
     out = out.select(id_col, "n_lines", F.coalesce("removed", F.array().cast("array<bigint>")).alias("removed"))
     if not repeated:
         return out
@@ -544,7 +650,7 @@ def marked(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", hot:
 
 def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", hot: int = HOT) -> DataFrame:
     """``docs`` with the removed lines taken out of their texts; rows that lose all lines with words are left out."""
-    o, k, repeated = row_key(docs, id_col, text_col)
+    o, k, repeated = key = row_key(docs, id_col, text_col)
     own = [F.col(f"`{c}`") for c in docs.columns]
     whole = docs.select(F.struct(*own).alias("doc"), o.alias("o"), k.alias("k"))
     if repeated:
@@ -553,7 +659,7 @@ def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         first = named.where("worded").groupBy("o", "k").agg(F.min("name").alias("name"))
         once = named.where("worded").join(first, ["o", "k", "name"]).dropDuplicates(["o", "k"])
         whole = once.select("doc", "o", "k").unionByName(named.where("NOT worded").select("doc", "o", "k"))
-    joined = whole.join(removals(docs, id_col, text_col, hot), ["o", "k"], "left")
+    joined = whole.join(removals(docs, id_col, text_col, hot, key), ["o", "k"], "left")
     text = F.col("doc").getField(text_col)
     kept = F.array_join(F.filter(F.split(text, "\n", -1), lambda x, i: ~F.array_contains("removed", i.cast("long"))), "\n")
     joined = joined.withColumn("kept", F.when(F.col("removed").isNull(), text).otherwise(kept))
